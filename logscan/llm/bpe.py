@@ -17,7 +17,6 @@ table gives no rows. ids and decoded take the place of columns of these names.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logscan.llm.common import with_columns_from
 
 # The pre-tokenizer's pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -161,42 +163,27 @@ class _Shared:
         return self.content.value
 
 
-def _with_column(docs: DataFrame, name: str, kind: str, run) -> DataFrame:
-    """docs with a column that run makes of each Arrow batch, last."""
-    rest = docs.drop(name)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keep = [n for n in part.schema.names if n != name]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), run(part)], names=[*keep, name])
-
-    return docs.mapInArrow(batches, f"{schema}, {name} {kind}")
-
-
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """docs with ids, an array of the token ids of the text; added tokens of the vocabulary are found in the text, none is added."""
     shared = _Shared(docs, vocabulary)
 
-    def run(batch: pa.RecordBatch) -> pa.Array:
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
         vocab = _vocabulary(shared)
         parts = [vocab.encode(t) for t in pc.fill_null(batch.column(text), "").to_pylist()]
         offsets = np.cumsum([0, *map(len, parts)]) // 4
         ids = np.frombuffer(b"".join(parts), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
 
-    return _with_column(docs.withColumn(text, docs[text].cast("string")), "ids", "array<int>", run)
+    return with_columns_from(docs.withColumn(text, F.col(text).cast("string")), {"ids": "array<int>"}, run)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of its ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
     shared = _Shared(docs, vocabulary)
 
-    def run(batch: pa.RecordBatch) -> pa.Array:
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
         vocab, column = _vocabulary(shared), batch.column(ids)
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(column.value_lengths(), 0))
-        return pa.array([vocab.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.string())
+        return [pa.array([vocab.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.string())]
 
-    return _with_column(docs, out, "string", run)
+    return with_columns_from(docs, {out: "string"}, run)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,20 @@ def written(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more rows than that, else df for a shuffled join. df should be written()."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000) -> DataFrame:
+    """docs with columns (name: SQL type) that run makes of Arrow batches of so many rows, last and in place of columns of these names."""
+    lower = {c.lower() for c in columns}
+    quoted = lambda n: f"`{n.replace('`', '``')}`"
+    rest = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name.lower() not in lower]
+    schema = ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for _, f in rest), *(f"{quoted(n)} {t}" for n, t in columns.items())])
+    places, names = [i for i, _ in rest], [*(f.name for _, f in rest), *columns]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *run(part)], names=names)
+
+    return docs.mapInArrow(batches, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscan.llm import bpe, line_dedup, substring_dedup
+from logscan.llm import bpe, language_id, line_dedup, nearest, sharding, substring_dedup, toxicity
 from logscan.llm.common import table
 
 
@@ -20,6 +20,57 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return out.select("doc_id", "shard", "depth", "shard_bytes", "oversized")
+
+
+OP2_SQL = f"""
+WITH hashed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), levels AS (
+  SELECT doc_id, h, size, d, h >> (60 - d) AS prefix FROM hashed, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)
+  WHERE d >= (SELECT greatest(0, CAST(ceil(log2(greatest(1, sum(size) / {SHARD_BYTES}.0))) AS INTEGER)) FROM hashed) AND d <= 24
+), buckets AS (
+  SELECT d, prefix, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM levels GROUP BY d, prefix
+), fitting AS (
+  SELECT l.doc_id, l.h, l.d, b.bytes, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.d) AS nth
+  FROM levels l JOIN buckets b ON l.d = b.d AND l.prefix = b.prefix
+  WHERE b.bytes <= {SHARD_BYTES} OR b.n = 1
+)
+SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE lpad(bin(h >> (60 - d)), d, '0') END AS shard, d AS depth,
+       bytes AS shard_bytes, bytes > {SHARD_BYTES} AS oversized
+FROM fitting WHERE nth = 1
+"""
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
@@ -31,6 +82,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(language_id.remainder(4) != 2))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (language_id.remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), language_id.remainder(5) == 0
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    out = toxicity.score(docs, grammar)
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -52,8 +117,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_bpe, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_nearest, op6_bpe, op8_line_dedup, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op2_sharding": OP2_SQL, "op4_nearest": OP4_SQL, "op8_line_dedup": OP8_SQL}

@@ -101,11 +101,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about CHUNK bytes: first and end row, their bytes, and bounds within those."""
+def chunks(column: pa.Array, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about CHUNK bytes, and no more than so many rows: first and end row, their bytes, and bounds within those."""
     data, at = buffers(column)
     row, n = 0, len(column)
     while row < n:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1)
+        end = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, side="right")) - 1))
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
