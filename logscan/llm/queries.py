@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscan.llm import bpe, language_id, line_dedup, nearest, sharding, substring_dedup, toxicity
+from logscan.llm import bpe, language_id, line_dedup, minhash, nearest, sharding, substring_dedup, toxicity
 from logscan.llm.common import table
 
 
@@ -77,6 +77,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -117,7 +121,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_nearest, op6_bpe, op8_line_dedup, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_nearest, op6_bpe, op7_minhash, op8_line_dedup, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
