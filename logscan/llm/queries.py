@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscan.llm import bpe, language_id, line_dedup, minhash, nearest, sharding, substring_dedup, toxicity
+from logscan.llm import bpe, decontaminate, language_id, line_dedup, minhash, nearest, personal_data, sharding, substring_dedup, toxicity
 from logscan.llm.common import table
 
 
@@ -50,6 +50,10 @@ FROM fitting WHERE nth = 1
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return out.select("query_id", "rank", "vec_id", "score")
@@ -71,6 +75,14 @@ WHERE rank <= 20
 """
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spans = personal_data.find(table(spark, sf_dir, "documents")), F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{k}") for i, k in enumerate(personal_data.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(personal_data.listed(base), 256).alias("base_sha256"), personal_data.listed(spans).alias("spans"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
@@ -121,7 +133,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_nearest, op6_bpe, op7_minhash, op8_line_dedup, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_nearest, op5_personal_data, op6_bpe, op7_minhash, op8_line_dedup, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
