@@ -3,8 +3,10 @@
 A piece of text (as the pre-tokenizer cuts it) starts as its bytes. A segment tree holds
 the rank of each adjacent pair of symbols; its root is the leftmost pair of the lowest
 rank. That pair merges, the two pairs beside it get new ranks by point updates in
-logarithmic time, and so on until the root shows no mergeable pair. Each task keeps the
-pieces that it has met, up to a bound, so that a frequent piece is merged once.
+logarithmic time, and so on until the root shows no mergeable pair. Short pieces that a
+task meets for the first time go through this together, one row of an array of trees each;
+long ones have a tree of their own. A task remembers short pieces, up to a bound, so that
+a frequent one is merged once.
 
 The vocabulary file (JSON with added_tokens, vocab and merges) is read on the driver and
 its fixed content broadcast. Texts stream through the tasks; nothing is shuffled.
@@ -31,8 +33,8 @@ from logscan.llm.common import with_columns_from
 # The pre-tokenizer's pattern of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Pieces that a task remembers; longer ones than LONG bytes are not.
-REMEMBER, LONG = 300_000, 64
+#: Pieces that a task remembers, twice over; pieces over LONG bytes are not. TOGETHER: trees of one array.
+REMEMBER, LONG, TOGETHER = 300_000, 64, 8192
 NONE = 1 << 62
 
 
@@ -85,6 +87,77 @@ class Vocabulary:
         self.split_added = regex.compile("|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        pairs = np.array(list(self.merges), dtype=np.int64).reshape(-1, 2)
+        order = np.argsort(keys := pairs[:, 0] << 32 | pairs[:, 1])
+        self.pair_keys = np.append(keys[order], NONE)
+        self.pair_ranks = np.append(np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order], 0)
+        self.made = np.zeros(len(spec["model"]["merges"]) + 1, dtype=np.int64)
+        for rank, new in self.merges.values():
+            self.made[rank] = new
+
+    def _leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+        """Rank of each pair, then its place, in one number; NONE if it does not merge or has no right symbol."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where((self.pair_keys[at] == keys) & (right >= 0), self.pair_ranks[at] * size + place, NONE)
+
+    def merged_together(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """The ids, as 32-bit integers, of pieces of at most size bytes, a power of two."""
+        m = len(pieces)
+        lengths = np.array([len(p) for p in pieces])
+        places = np.arange(size)
+        inside = places < lengths[:, None]
+        ids = np.full((m, size + 1), -1, dtype=np.int64)  # the last column stands for no symbol
+        ids[:, :size][inside] = np.array(self.of_byte)[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.tile(np.append(np.minimum(places + 1, size), size), (m, 1))
+        after[np.arange(m), lengths - 1] = size
+        before = np.tile(np.arange(-1, size), (m, 1))
+        tree = np.full((m, 2 * size), NONE, dtype=np.int64)
+        tree[:, size:][inside] = self._leaves(ids[:, :size], ids[:, 1:], places, size)[inside]
+        level = size
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        rows = np.flatnonzero(tree[:, 1] < NONE)
+        while len(rows):
+            rank, i = np.divmod(tree[rows, 1], size)
+            j = after[rows, i]
+            k = after[rows, j]
+            new = self.made[rank]
+            ids[rows, i], ids[rows, j] = new, -1
+            after[rows, i], before[rows, k] = k, i
+            h = before[rows, i]
+            none = np.full(len(rows), NONE)
+            for leaf, value in (
+                (i, self._leaves(new, ids[rows, k], i, size)),
+                (j, none),
+                (np.where(h >= 0, h, j), np.where(h >= 0, self._leaves(ids[rows, h], new, h, size), none)),
+            ):
+                p = leaf + size
+                tree[rows, p] = value
+                for _ in range(size.bit_length() - 1):
+                    p >>= 1
+                    tree[rows, p] = np.minimum(tree[rows, 2 * p], tree[rows, 2 * p + 1])
+            rows = rows[tree[rows, 1] < NONE]
+        kept = ids[:, :size] >= 0
+        flat, ends = ids[:, :size][kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remembers the pieces of a batch of texts."""
+        if len(self.known) >= REMEMBER:
+            self.known, self.older = {}, self.known
+        sizes: dict[int, list[str]] = {}
+        for p in pieces.difference(self.known):
+            if (found := self.older.get(p)) is not None:
+                self.known[p] = found
+            elif (n := len(p.encode())) <= LONG:
+                sizes.setdefault(1 << max(0, n - 1).bit_length(), []).append(p)
+        for size, same in sizes.items():
+            for at in range(0, len(same), TOGETHER):
+                part = same[at : at + TOGETHER]
+                self.known.update(zip(part, self.merged_together([p.encode() for p in part], size), strict=True))
 
     def merged(self, piece: bytes) -> list[int]:
         ids, merges = [self.of_byte[b] for b in piece], self.merges
@@ -114,28 +187,29 @@ class Vocabulary:
                 tree.update(h, value(h, i))
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece as 32-bit integers, remembered."""
-        raw = piece.encode()
-        out = np.array(self.merged(raw), dtype=np.int32).tobytes()
-        if len(raw) <= LONG:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[piece] = out
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        runs = [self._runs(t) for t in texts]
+        self.learn({p for text in runs for run in text if isinstance(run, list) for p in run})
+        known = self.known.get
+        out = []
+        for text in runs:
+            parts = []
+            for run in text:
+                parts += [run] if isinstance(run, bytes) else [known(p) or self._long(p) for p in run]
+            out.append(b"".join(parts))
         return out
 
-    def encode(self, text: str) -> bytes:
-        if self.split_added is None or not (found := list(self.split_added.finditer(text))):
-            return self._plain(text)
+    def _runs(self, text: str) -> list[list[str] | bytes]:
+        """The pieces of the text, and the ids of added tokens between them."""
         out, at = [], 0
-        for m in found:
-            out += [self._plain(text[at : m.start()]), np.int32(self.added[m.group()]).tobytes()]
+        for m in self.split_added.finditer(text) if self.split_added else ():
+            out += [self.pieces.findall(text[at : m.start()]), np.int32(self.added[m.group()]).tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return [*out, self.pieces.findall(text[at:] if at else text)]
 
-    def _plain(self, text: str) -> bytes:
-        known, piece = self.known.get, self.piece
-        return b"".join([known(p) or piece(p) for p in self.pieces.findall(text)])
+    def _long(self, piece: str) -> bytes:
+        return np.array(self.merged(piece.encode()), dtype=np.int32).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -169,7 +243,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         vocab = _vocabulary(shared)
-        parts = [vocab.encode(t) for t in pc.fill_null(batch.column(text), "").to_pylist()]
+        parts = vocab.encode_batch(pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist())
         offsets = np.cumsum([0, *map(len, parts)]) // 4
         ids = np.frombuffer(b"".join(parts), dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
@@ -182,7 +256,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     shared = _Shared(docs, vocabulary)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocab, column = _vocabulary(shared), batch.column(ids)
+        vocab, column = _vocabulary(shared), batch.column(batch.schema.get_field_index(ids))
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(column.value_lengths(), 0))
         return [pa.array([vocab.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.string())]
 
