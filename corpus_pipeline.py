@@ -1 +1,71 @@
-STAGES = []
+"""A corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of docs.
+Stages are judged each on its own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logscan.llm import bpe, decontaminate, language_id, line_dedup, minhash
+from logscan.llm.common import broadcast_if_small, table, written
+from logscan.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that are in no language: null texts and texts without a letter (`und`).
+
+    The model learns from the rows of docs whose language is known and that are not held out.
+    """
+    model = language_id.train(docs.filter(language_id.remainder(4) != 2))
+    out = language_id.identify(docs, model)
+    return out.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the lines that stand in ten documents or more; n_chars follows the text. Documents stay, even if nothing is left of them."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of each group of near copies (shingles of 5 words, similarity 0.8)."""
+    gone = written(minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")))
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a passage of the benchmark; rows without doc_id stay, as no result can name them."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    gone = written(leaks.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids (of the tokens), n_tokens and decoded (the text that the ids stand for)."""
+    path = vocabulary()
+    out = bpe.decode(bpe.encode(docs, path).select("doc_id", "lang", "source", "ids"), path)
+    return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontamination", drop_leaks),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    return docs
+
+
+#: SQL expresses neither the classifier nor BPE.
+ORACLE_SQL = None
