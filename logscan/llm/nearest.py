@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block, and bytes of a block's vectors, at most.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
-STRIPES = 64
+STRIPES = 8
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
