@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -9,13 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
-from logscan.model import KEY, Search
+from logscan.model import KEY, LEVELS, Search
 from logscan.operators import classify, report, thresholds
 from logscan.sources import incremental, lines
 
 STATE = "tag string, host string, logfile string, logoffset long, logtime timestamp, fingerprint string, threshold map<string,long>, runcount long, runtime timestamp"
 
 
+ALERT = "tag string, host string, logfile string, level string, pat_idx int, pat_key string, file_seq int, line_no long, pat_pos int, message string"
+
+
+def alert(spark: SparkSession, tag: str, level: str, message: str, host: str = "localhost") -> DataFrame:
+    """A match that no line has made."""
+    return spark.createDataFrame([(tag, host, "", level, 0, "alert", (1 << 31) - 1, (1 << 31) - 1, 0, message)], ALERT)
+
+
+def _called(call: Callable, what: str, *args) -> tuple[str, str]:
+    """The level and text of a user's function; a failure is a warning."""
+    try:
+        return call(*args) or ("OK", "")
+    except Exception as e:  # the user's code, whatever it does
+        return "WARNING", f"cannot execute {what}: {e}"
+
+
 @dataclass
 class Run:
     matches: DataFrame
@@ -61,10 +78,23 @@ def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None
     return matches, kept
 
 
-def run(spark: SparkSession, searches: list[Search], paths: list[str], state_path: str, run_ts: datetime, host: str = "localhost", protocol_path: str | None = None) -> Run:
-    """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated."""
+def run(spark: SparkSession, searches: list[Search], paths: list[str], state_path: str, run_ts: datetime, host: str = "localhost", protocol_path: str | None = None, before: Callable | None = None, after: Callable | None = None, replaces: bool = False, protocol_error: str = "CRITICAL") -> Run:
+    """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
+
+    before() and after(result, matches) return None or (level, text); a level other than OK is
+    an alert. With replaces, an alert of before ends the run, and what after returns is the
+    result. A protocol that cannot be written is an alert of level protocol_error.
+    """
     for s in searches:
         s.check(spark)
+    alerts = []
+    if before:
+        level, text = _called(before, "before")
+        if level != "OK":
+            alerts.append(alert(spark, "before", level, text, host))
+            if replaces:
+                none = spark.createDataFrame([], "tag string, lines long, criticals long, warnings long, unknowns long")
+                return Run(alerts[0], none, report.service_result(alerts[0], report.preview(alerts[0], 1, ("file_seq", "line_no"))), spark.createDataFrame([], STATE))
     rows = [(s.tag, host, s.logfile, incremental.rotation_regex(s.rotation or "(?!)", s.logfile, host)) for s in searches]
     wanted = spark.createDataFrame(rows, "tag string, host string, logfile string, pattern string")
     state = sinks.load_state(spark, state_path)
@@ -89,16 +119,30 @@ def run(spark: SparkSession, searches: list[Search], paths: list[str], state_pat
     gone = incremental.missing_sources(wanted, files)
     end = F.lit((1 << 31) - 1)
     matches = matches.unionByName(gone.select(*KEY, "level", F.lit(0).alias("pat_idx"), F.lit("missing").alias("pat_key"), end.alias("file_seq"), end.cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "message"))
-    after = incremental.advance_state(state, reached, run_ts)
+    state_after = incremental.advance_state(state, reached, run_ts)
     if carry is not None:
         counts = carry.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("level", "carry"))).alias("threshold"))
-        after = after.join(counts, list(KEY), "left")
+        state_after = state_after.join(counts, list(KEY), "left")
     else:
-        after = after.withColumn("threshold", F.lit(None).cast("map<string,bigint>"))
+        state_after = state_after.withColumn("threshold", F.lit(None).cast("map<string,bigint>"))
     matches = matches.persist()
     if protocol_path:
         keep = [s.tag for s in searches if s.protocol]
-        sinks.write_protocol(matches.filter(F.col("tag").isin(keep)), protocol_path, run_ts)
-    out = Run(matches, report.perf_counters(todo, matches), report.service_result(matches.filter(F.col("tag").isin([s.tag for s in searches if s.count]))), after)
-    sinks.save_state(after, state_path)
-    return out
+        try:
+            sinks.write_protocol(matches.filter(F.col("tag").isin(keep)), protocol_path, run_ts)
+        except Exception as e:
+            alerts.append(alert(spark, "protocol", protocol_error, f"cannot write protocol: {str(e)[:200]}", host))
+    for extra in alerts:
+        matches = matches.unionByName(extra)
+    silent = [s.tag for s in searches if not s.count]
+    reported = matches.filter(~F.col("tag").isin(silent)) if silent else matches
+    result = report.service_result(reported, report.preview(reported, 1, ("file_seq", "line_no")))
+    if after:
+        level, text = _called(after, "after", result.first().asDict(), matches)
+        if replaces:
+            result = result.withColumns({"level": F.lit(level), "code": F.lit(LEVELS[level]), "text": F.lit(text)})
+        elif level != "OK":
+            reported = reported.unionByName(alert(spark, "after", level, text, host))
+            result = report.service_result(reported, report.preview(reported, 1, ("file_seq", "line_no")))
+    sinks.save_state(state_after, state_path)
+    return Run(matches, report.perf_counters(todo, matches), result, state_after)

@@ -101,6 +101,22 @@ def test_first_run_can_read_all(spark, tmp_path):
     assert counts(scan.run(spark, s, [str(tmp_path / "logs")], str(tmp_path / "state"), datetime(2024, 1, 1))) == (0, 2, 0, 2)
 
 
+def test_functions_around_a_run(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "messages").write_text("Failed password\n")
+    s = [Search(tag="ssh", logfile="messages", critical=["Failed password"], read_all_first=True)]
+    go = lambda name, **k: scan.run(spark, s, [str(tmp_path / "logs")], str(tmp_path / name), datetime(2024, 1, 1), **k)
+    assert counts(go("a", before=lambda: ("WARNING", "low disk"))) == (1, 1, 0, 2)
+    assert counts(go("b", before=lambda: 1 / 0)) == (1, 1, 0, 2)
+    ended = go("c", before=lambda: ("UNKNOWN", "stop"), replaces=True)
+    assert counts(ended) == (0, 0, 1, 3) and sinks.load_state(spark, str(tmp_path / "c")) is None
+    out = go("d", after=lambda result, matches: ("OK", f"{result['criticals']} found"), replaces=True).result.first()
+    assert (out["level"], out["code"], out["text"]) == ("OK", 0, "1 found")
+    assert counts(go("e", after=lambda result, matches: ("WARNING", "more"))) == (1, 1, 0, 2)
+    (tmp_path / "file").write_text("")
+    assert counts(go("f", protocol_path=str(tmp_path / "file" / "x"), protocol_error="UNKNOWN")) == (0, 1, 1, 2)
+
+
 def test_records(spark):
     one = lambda text: spark.createDataFrame([(t,) for t in text], "line string")
     r = records.parse_syslog(one(["Oct 31 15:49:21 host1 sshd[42]: Failed password", "no syslog"]), 2024).collect()
