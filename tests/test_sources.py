@@ -173,3 +173,22 @@ def test_formats(spark):
     assert set(got) == {0, 3}
     assert (got[0]["exit_code"], got[0]["format_name"], got[0]["subject"], got[0]["slots"]["hostname"]) == (2, "Check", "broken (x)", "me")
     assert (got[3]["exit_code"], got[3]["subject"]) == (1, "B at noon")
+
+
+def test_newest_file_and_archives(spark):
+    rows = [("access.log.1700000000", 1), ("access.log.1700000300", 3), ("access.log.1700000100", 2), ("error.log", 9)]
+    files = spark.createDataFrame([(f"/logs/{n}", t, 10) for n, t in rows], "path string, mtime int, length long")
+    search = spark.createDataFrame([("web", "h", "access.log", incremental.rotation_regex("MOD_LOG_ROTATE", "access.log"))], "tag string, host string, logfile string, pattern string")
+    found = incremental.match_archives(files, search).drop("current")
+    got = {r["name"]: r["current"] for r in incremental.current_file(found).collect()}
+    assert got == {"access.log.1700000000": False, "access.log.1700000300": True, "access.log.1700000100": False}
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from logscan.functions import text
+
+    row = spark.createDataFrame([("5m", '<a href="x">&</a>', "%41+b", "one\r\ntwo \n")], "d string, h string, u string, s string")
+    got = row.select(text.duration_seconds(F.col("d")), text.html_encode(F.col("h")), text.html_escape(F.col("h")), text.url_decode(F.col("u")), text.squeeze(F.col("s"))).first()
+    assert list(got) == [300, "&lta href=&quotx&quot&gt&amp&lt/a&gt", '&lt;a href="x"&gt;&&lt;/a&gt;', "A+b", "one two"]
