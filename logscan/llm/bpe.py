@@ -6,7 +6,7 @@ rank. That pair merges, the two pairs beside it get new ranks by point updates i
 logarithmic time, and so on until the root shows no mergeable pair. Short pieces that a
 task meets for the first time go through this together, one row of an array of trees each;
 long ones have a tree of their own. A task remembers short pieces, up to a bound, so that
-a frequent one is merged once.
+a frequent one is merged once, and forgets them at its end.
 
 The vocabulary file (JSON with added_tokens, vocab and merges) is read on the driver and
 its fixed content broadcast. Texts stream through the tasks; nothing is shuffled.
@@ -34,7 +34,9 @@ from logscan.llm.common import with_columns_from
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Pieces that a task remembers, twice over; pieces over LONG bytes are not. TOGETHER: trees of one array.
-REMEMBER, LONG, TOGETHER = 300_000, 64, 8192
+REMEMBER, LONG, TOGETHER = 100_000, 64, 8192
+#: Texts that are encoded at a time.
+TEXTS = 200
 NONE = 1 << 62
 
 
@@ -78,12 +80,6 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        back = {c: b for b, c in letters.items()}
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
-        for word, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in word)
-        for word, i in self.added.items():
-            self.bytes_of[i] = word.encode()
         self.split_added = regex.compile("|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.pieces = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
@@ -211,18 +207,31 @@ class Vocabulary:
     def _long(self, piece: str) -> bytes:
         return np.array(self.merged(piece.encode()), dtype=np.int32).tobytes()
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
+
+class Decoder:
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        back = {c: b for b, c in byte_letters().items()}
+        words = {i: bytes(back[c] for c in word) for word, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.bytes_of = [words.get(i, b"") for i in range(max(words) + 1)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[tuple[type, str], Vocabulary | Decoder] = {}
 
 
-def _vocabulary(shared) -> Vocabulary:
-    if shared.id not in _loaded:
-        _loaded.clear()
-        _loaded[shared.id] = Vocabulary(shared.value)
-    return _loaded[shared.id]
+def _load(kind: type, shared):
+    """What a worker has made of a vocabulary; it keeps one of each kind."""
+    if (kind, shared.id) not in _loaded:
+        for other in [k for k in _loaded if k[0] is kind]:
+            del _loaded[other]
+        _loaded[kind, shared.id] = kind(shared.value)
+    return _loaded[kind, shared.id]
 
 
 class _Shared:
@@ -242,13 +251,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     shared = _Shared(docs, vocabulary)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocab = _vocabulary(shared)
+        vocab = _load(Vocabulary, shared)
         parts = vocab.encode_batch(pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist())
         offsets = np.cumsum([0, *map(len, parts)]) // 4
         ids = np.frombuffer(b"".join(parts), dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
 
-    return with_columns_from(docs.withColumn(text, F.col(text).cast("string")), {"ids": "array<int>"}, run)
+    return with_columns_from(docs.withColumn(text, F.col(text).cast("string")), {"ids": "array<int>"}, run, TEXTS, done=lambda: _load(Vocabulary, shared).forget())
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -256,8 +265,8 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decod
     shared = _Shared(docs, vocabulary)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        vocab, column = _vocabulary(shared), batch.column(batch.schema.get_field_index(ids))
+        vocab, column = _load(Decoder, shared), batch.column(batch.schema.get_field_index(ids))
         flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(column.value_lengths(), 0))
         return [pa.array([vocab.decode(part.tolist()) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.string())]
 
-    return with_columns_from(docs, {out: "string"}, run)
+    return with_columns_from(docs, {out: "string"}, run, TEXTS)

@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/logscan-{spark.sparkContext.applicationId}"
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores in front until docs has no column of it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, computed once into a Parquet table of the shared folder and read from there.
 
@@ -45,8 +55,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000) -> DataFrame:
-    """docs with columns (name: SQL type) that run makes of Arrow batches of so many rows, last and in place of columns of these names."""
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sets how many rows go to Python at a time. Rows here are whole texts or blocks of vectors, so the session's usual number would not fit."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000, done: Callable[[], None] | None = None) -> DataFrame:
+    """docs with columns (name: SQL type) that run makes of Arrow batches of so many rows, last and in place of columns of these names; done ends a task."""
+    arrow_batches(docs.sparkSession)
     lower = {c.lower() for c in columns}
     quoted = lambda n: f"`{n.replace('`', '``')}`"
     rest = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name.lower() not in lower]
@@ -54,9 +70,13 @@ def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[p
     places, names = [i for i, _ in rest], [*(f.name for _, f in rest), *columns]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *run(part)], names=names)
+        try:
+            for batch in it:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *run(part)], names=names)
+        finally:
+            if done:
+                done()
 
     return docs.mapInArrow(batches, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import with_columns_from
+from logscan.llm.common import arrow_batches, with_columns_from
 from logscan.llm.tokens import chunks
 
 #: Families of languages; a language that is not listed is a family of its own.
@@ -146,6 +146,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(labelled: DataFrame, per_language: int = 1000) -> Model:
     """A model from the text and lang of rows, doc_id only to draw the sample: about per_language texts of each language."""
+    arrow_batches(labelled.sparkSession)
     rows = labelled.filter("lang is not null and text is not null").select("doc_id", "text", F.col("lang").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     draw = (F.xxhash64("doc_id") / F.lit(float(1 << 63)) + 1) / 2

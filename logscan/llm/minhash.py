@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import broadcast_if_small, written
+from logscan.llm.common import arrow_batches, broadcast_if_small, written
 from logscan.llm.components import components
 from logscan.llm.tokens import U64, Words, chunks, grams, mix
 
@@ -189,6 +189,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles of size words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    arrow_batches(docs.sparkSession)
     sketches = written(docs.mapInArrow(_sketch(size, bands, rows), "doc_id long, n long, a long, b long, bands array<long>"))
     named = sketches.filter("n > 0 and doc_id is not null")
     classes = written(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))

@@ -8,7 +8,7 @@ form a path, so equal windows lie in paths of equal anchors, at the same offset.
 1. Each document becomes paths (anchor, path hash, doc_id, start, number of edges), about
    one row for seven words. A task keeps one row for each path that it meets more than
    once, and one row for an anchor at which it sees several paths, so a hot passage sends
-   one row from each Arrow batch and not one from each document.
+   one row for a million paths of a task and not one from each document.
 2. One shuffle brings the paths of an anchor together. An anchor with a single path is
    nonbranching: all but the first source of the path repeat it as a whole. At a branching
    anchor equal paths compact likewise, and what is left is compared edge by edge.
@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscan.llm.common import written
+from logscan.llm.common import arrow_batches, written
 from logscan.llm.tokens import U64, Words, buffers, chunks, grams, inverse, mix, powers
 
 _Q = 0xA0761D6478BD642F | 1
+#: Paths or edges that a task looks through for repeats before it sends them on.
+GATHER = 1_000_000
 #: Kinds of rows that the first pass sends: a path to compare, the news that an anchor branches, a branching path, a repeated span.
 PATH, NEWS, BRANCH, SPAN = 0, 1, 2, 3
 
@@ -107,38 +109,48 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.nd
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema=_ROW)
 
 
-def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-    return batch if len(ids) < 2 or (ids[1:] >= ids[:-1]).all() else batch.take(pa.array(np.argsort(ids, kind="stable")))
+def _in_order(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The columns (..., doc, start, edges) of the parts in source order."""
+    cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    doc = cols[2]
+    return cols if len(doc) < 2 or (doc[1:] >= doc[:-1]).all() else [c[np.lexsort((cols[3], doc))] for c in cols]
 
 
-def _find_paths(window: int, anchor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _in_order(batch)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
-            for row, end, data, bounds in chunks(batch.column("text")):
-                a, b, doc, start, edges = _paths(Words(data, bounds), window, anchor)
-                parts.append((a, b, ids[row:end][doc], start, edges))
-            if not parts:
-                continue
-            a, b, doc, start, edges = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, new = _groups(a, b)
-            kept, later = _repeats(order, new, doc, start)
-            yield _apart(SPAN, *_joined(doc[later], start[later], edges[later]))
-            # kept is in the order of anchors: see which have several paths
-            same = np.zeros(len(kept), dtype=bool)
-            same[1:] = a[kept][1:] == a[kept][:-1]
-            several = same.copy()
-            several[:-1] |= same[1:]
-            news = kept[several & ~same]
-            for kind, at in ((PATH, kept[~several]), (NEWS, news)):
-                yield _rows(kind, a[at], b[at], doc[at], start[at], edges[at])
-            at = kept[several]
-            yield _apart(BRANCH, doc[at], start[at], edges[at])
+def _gathered(batches: Iterator[pa.RecordBatch], find, send) -> Iterator[pa.RecordBatch]:
+    """What send makes of the parts that find takes from batches, GATHER rows or more at a time."""
+    parts, n = [], 0
+    for batch in batches:
+        for part in find(batch):
+            parts.append(part)
+            n += len(part[0])
+        if n >= GATHER:
+            yield from send(*_in_order(parts))
+            parts, n = [], 0
+    if parts:
+        yield from send(*_in_order(parts))
 
-    return run
+
+def _find_paths(window: int, anchor: int):
+    def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, end, data, bounds in chunks(batch.column("text")):
+            a, b, doc, start, edges = _paths(Words(data, bounds), window, anchor)
+            yield a, b, ids[row:end][doc], start, edges
+
+    def send(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept, later = _repeats(*_groups(a, b), doc, start)
+        yield _apart(SPAN, *_joined(doc[later], start[later], edges[later]))
+        # kept is in the order of anchors: see which have several paths
+        same = np.zeros(len(kept), dtype=bool)
+        same[1:] = a[kept][1:] == a[kept][:-1]
+        several = same.copy()
+        several[:-1] |= same[1:]
+        for kind, at in ((PATH, kept[~several]), (NEWS, kept[several & ~same])):
+            yield _rows(kind, a[at], b[at], doc[at], start[at], edges[at])
+        at = kept[several]
+        yield _apart(BRANCH, doc[at], start[at], edges[at])
+
+    return lambda batches: _gathered(batches, find, send)
 
 
 def _apart(kind: int, doc: np.ndarray, start: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
@@ -148,37 +160,32 @@ def _apart(kind: int, doc: np.ndarray, start: np.ndarray, edges: np.ndarray) ->
 
 
 def _find_edges(window: int):
-    """Of joined rows (doc_id, text, at: places of branching paths) the edges there: the first source in the batch of each, and the spans already known to repeat."""
+    """Of joined rows (doc_id, text, at: places of branching paths) the edges there: the first source that the task has of each, and the spans already known to repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _in_order(batch)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            at = batch.column("at")
-            parts = []
-            for row, end, data, bounds in chunks(batch.column("text")):
-                words = Words(data, bounds)
-                if len(words.hash) < window:
-                    continue
-                places = at.slice(row, end - row)
-                packed = places.flatten().to_numpy(zero_copy_only=False)
-                doc = np.repeat(np.arange(end - row), np.asarray(places.value_lengths()))
-                start, n = packed >> 20, packed & 0xFFFFF
-                doc, start = np.repeat(doc, n), np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                one = np.unique(doc * (1 << 40) + start)
-                doc, start = one >> 40, one & ((1 << 40) - 1)
-                fits = start + window <= words.counts[doc]
-                doc, start = doc[fits], start[fits]
-                where = start + words.first[doc]
-                parts.append((grams(words.hash, window, 1)[where], grams(words.hash, window, 2)[where], ids[row:end][doc], start))
-            if not parts:
+    def find(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, end, data, bounds in chunks(batch.column("text")):
+            words = Words(data, bounds)
+            if len(words.hash) < window:
                 continue
-            a, b, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            kept, later = _repeats(*_groups(a, b), doc, start)
-            yield _apart(SPAN, *_joined(doc[later], start[later], np.ones(len(later), np.int64)))
-            yield _rows(PATH, a[kept], b[kept], doc[kept], start[kept], np.ones(len(kept), np.int64))
-
-    return run
+            places = batch.column("at").slice(row, end - row)
+            packed = places.flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(end - row), np.asarray(places.value_lengths()))
+            start, n = packed >> 20, packed & 0xFFFFF
+            doc, start = np.repeat(doc, n), np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            one = np.unique(doc * (1 << 40) + start)
+            doc, start = one >> 40, one & ((1 << 40) - 1)
+            fits = start + window <= words.counts[doc]
+            doc, start = doc[fits], start[fits]
+            at = start + words.first[doc]
+            yield grams(words.hash, window, 1)[at], grams(words.hash, window, 2)[at], ids[row:end][doc], start, np.ones(len(start), np.int64)
+
+    def send(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept, later = _repeats(*_groups(a, b), doc, start)
+        yield _apart(SPAN, *_joined(doc[later], start[later], edges[later]))
+        yield _rows(PATH, a[kept], b[kept], doc[kept], start[kept], edges[kept])
+
+    return lambda batches: _gathered(batches, find, send)
 
 
 def _cut_out(window: int):
@@ -225,6 +232,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, anchor: int | None = Non
     the input. anchor is the length in words of the k-mers that anchor the paths.
     """
     anchor = anchor or max(1, window * 2 // 5)
+    arrow_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = columns.filter("doc_id is not null")
     found = named.mapInArrow(_find_paths(window, anchor), _ROW_SQL).repartition("a")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text handled in one go; a longer document is a chunk of its own.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 U64 = np.uint64
 _BASE, _WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -30,16 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_tables: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    return _powers(base % (1 << 64), max(16, int(n).bit_length()))[:n]
+    """base**0, base**1, ... modulo 2**64; the longest table of each base is kept."""
+    if base not in _tables or len(_tables[base]) < n:
+        out = np.full(1 << max(16, int(n).bit_length()), base % (1 << 64), dtype=U64)
+        out[0] = 1
+        _tables[base] = np.multiply.accumulate(out, out=out)
+    return _tables[base][:n]
 
 
 def inverse(base: int) -> int:

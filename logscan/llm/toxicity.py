@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import with_columns_from, written
+from logscan.llm.common import arrow_batches, with_columns_from, written
 from logscan.llm.tokens import U64, Words, chunks, grams
 
 # The word classes that are not learned.
@@ -103,10 +103,13 @@ class Grammar:
             at = end - length + 1
             if end < done or at and text[at - 1].isalpha():
                 continue
-            least = max(done, at - REACH)
-            begin = max((m.end() for m in _STOP.finditer(text, least, at)), default=least)
+            far = max(0, at - REACH)
+            cut = far if not far else (text.find(" ", far, at) + 1 or at)  # at a word's end
+            begin = max((m.end() for m in _STOP.finditer(text, far, at)), default=cut)
+            begin = max(begin, done)
             stop = _STOP.search(text, end + 1, end + REACH)
-            done = stop.start() if stop else min(len(text), end + REACH)
+            done = stop.start() if stop else text.find(" ", end + REACH)
+            done = len(text) if done < 0 else done
             total = [a + b for a, b in zip(total, self.clause(_WORD.findall(text, begin, done)), strict=True)]
         return total
 
@@ -190,6 +193,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000) -> Grammar:
     """A grammar from labels (doc_id, toxic), about so many of each value, and the texts of these documents."""
+    arrow_batches(docs.sparkSession)
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("_doc"), F.col("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     draw = (F.xxhash64("_doc") / F.lit(float(1 << 63)) + 1) / 2
