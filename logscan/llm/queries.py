@@ -20,6 +20,28 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+), numbered AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows
+), gone AS (
+  SELECT DISTINCT doc_id, s + j AS p FROM (SELECT doc_id, s, unnest(range(0, 20)) AS j FROM numbered WHERE n > 1)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), marked AS (
+  SELECT w.doc_id, w.word, w.p, g.p IS NOT NULL AS gone FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS text FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 1 << 20
 
@@ -51,7 +73,32 @@ FROM fitting WHERE nth = 1
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity")
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), ds AS (
+  SELECT doc_id, i, len(w) - 4 AS m, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM t WHERE len(w) >= 5)
+), bs AS (
+  SELECT item_id, len(w) - 4 AS n, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS h FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS i FROM b WHERE len(w) >= 5)
+), starts AS (
+  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, ds.m, greatest(0, least(ds.i - j, ds.m - bs.n)) AS s
+  FROM ds JOIN bs ON ds.h = bs.h, unnest(range(0, bs.n)) r(j)
+), counts AS (
+  SELECT s.doc_id, s.item_id, s.n, s.m, s.s, ds.h, count(*) AS c FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.i >= s.s AND ds.i < s.s + s.n GROUP BY ALL
+), items AS (
+  SELECT item_id, h, count(*) AS ic FROM bs GROUP BY ALL
+), sims AS (
+  SELECT c.doc_id, c.item_id, c.s, sum(least(c.c, i.ic)) AS both_, c.n + least(c.n, c.m) AS total FROM counts c JOIN items i ON i.item_id = c.item_id AND i.h = c.h GROUP BY ALL
+), best AS (
+  SELECT doc_id, item_id, s, CAST(both_ AS DOUBLE) / CAST(total - both_ AS DOUBLE) AS similarity FROM sims
+)
+SELECT doc_id, item_id, max(similarity) AS similarity FROM best WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +140,27 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), roots AS (
+  SELECT a AS doc_id, min(b) AS root FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id, r.root = d.doc_id AS kept
+FROM d JOIN roots r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -137,4 +205,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op4_nearest": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_nearest": OP4_SQL, "op7_minhash": OP7_SQL, "op8_line_dedup": OP8_SQL}
