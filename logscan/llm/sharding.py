@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import BROADCAST_ROWS, broadcast_if_small, written
+from logscan.llm.common import BROADCAST_ROWS, broadcast_if_small, fresh, written
 
 BITS = 60
 #: Bits by which a histogram is deeper than the mean shard.
@@ -63,15 +63,17 @@ def shard(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     """docs with shard (the bits of its prefix, '' for the only shard), depth, shard_bytes and oversized; no shard holds over limit bytes of text unless oversized."""
     own = {"shard", "depth", "shard_bytes", "oversized"}
     kept = [c for c in docs.columns if c.lower() not in own]
-    rows = docs.select(*kept).withColumns({"_h": hash60(F.col(key), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))), "_size": F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")})
-    leaves = directory(rows.select(F.col("_h").alias("h"), F.col("_size").alias("size")), limit)
+    h, size, at, d, p = fresh(docs, "_h", "_size", "_at", "_depth", "_prefix")
+    content = F.col(text).cast("string")
+    rows = docs.select(*kept).withColumns({h: hash60(F.col(key), F.md5(F.coalesce(content, F.lit("")))), size: F.coalesce(F.octet_length(content), F.lit(0)).cast("long")})
+    leaves = directory(rows.select(F.col(h).alias("h"), F.col(size).alias("size")), limit)
     depths = sorted(r[0] for r in leaves.select("depth").distinct().collect()) or [0]
     bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), "0"))
-    leaves = leaves.select("depth", "prefix", F.col("bytes").alias("shard_bytes"), bits.alias("shard"))
-    tried = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("_h", BITS - d).alias("p")) for d in depths])).alias("_at")
-    found = (F.col("_at.d") == F.col("depth")) & (F.col("_at.p") == F.col("prefix"))  # of one leaf among the prefixes of a hash
+    leaves = leaves.select("depth", F.col("depth").alias(d), F.col("prefix").alias(p), F.col("bytes").alias("shard_bytes"), bits.alias("shard"))
+    tried = F.explode(F.array(*[F.struct(F.lit(n).alias("d"), F.shiftright(h, BITS - n).alias("p")) for n in depths])).alias(at)
+    found = (F.col(f"{at}.d") == F.col(d)) & (F.col(f"{at}.p") == F.col(p))  # of one leaf among the prefixes of a hash
     if leaves.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        at = rows.select("*", tried).join(F.broadcast(leaves), found)
+        out = rows.select("*", tried).join(F.broadcast(leaves), found)
     else:
-        at = rows.join(rows.select("_h").distinct().select("_h", tried).join(leaves, found), "_h")
-    return at.select(*kept, "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+        out = rows.join(rows.select(h).distinct().select(h, tried).join(leaves, found), h)
+    return out.select(*kept, "shard", "depth", "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
