@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import broadcast_if_small, written
+from logscan.llm.common import broadcast_if_small, fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,16 +35,18 @@ def lines_of(text: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs, its text without the lines whose key has min_chars code points and stands in min_docs documents; n_lines before, n_dropped."""
-    text, doc = F.col("text").cast("string"), [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_tag")]
+    d, t, g = fresh(docs, "_doc", "_tag", "_drop")
+    text, doc = F.col("text").cast("string"), [F.col("doc_id").alias(d), F.xxhash64("text").alias(t)]
     keys = F.transform(lines_of(text), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.md5(k)))
-    seen = docs.select(F.explode(F.array_distinct(hashed)).alias("hash")).filter("hash is not null")
+    # the outer forms, as the inner ones would first test the array's size and so make it twice
+    seen = docs.select(F.explode_outer(F.array_distinct(hashed)).alias("hash")).filter("hash is not null")
     common = written(seen.groupBy("hash").count().filter(F.col("count") >= min_docs).select("hash"))
-    placed = docs.select(*doc, F.posexplode(hashed).alias("_pos", "hash")).filter("hash is not null")
-    drops = placed.join(broadcast_if_small(common), "hash").groupBy("_doc", "_tag").agg(F.collect_set("_pos").alias("_drop"))
-    lines, gone = lines_of(text), F.col("_drop")
+    placed = docs.select(*doc, F.posexplode_outer(hashed).alias("pos", "hash")).filter("hash is not null")
+    drops = placed.join(broadcast_if_small(common), "hash").groupBy(d, t).agg(F.collect_set("pos").alias(g))
+    lines, gone = lines_of(text), F.col(g)
     rest = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_tag")), "left")
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
     return joined.withColumns(
         {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(gone), F.lit(0)).cast("long"), "text": F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(rest)}
-    ).drop("_doc", "_tag", "_drop")
+    ).drop(d, t, g)
