@@ -213,8 +213,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     component = F.coalesce("v", "rep").alias("component")
     inside = inside.filter("members > 2").join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "rep", "total", component)
-    split = inside.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket")
-    open_ = written(inside.join(split, "bucket").withColumn("blocks", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int")))
+    split = written(inside.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket"))
+    open_ = written(inside.join(broadcast_if_small(split), "bucket").withColumn("blocks", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int")))
     if open_.limit(1).count():
         dealt = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tiles = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "shingles")
