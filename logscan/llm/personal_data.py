@@ -82,7 +82,9 @@ def matches(docs: DataFrame) -> DataFrame:
     needs = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains("text", F.lit("+")), "mention": at | digit}
     none = F.array().cast("array<struct<kind:int,i:int,value:string,gap:int,last:string,first:string>>")
     all_ = [F.coalesce(_found(F.col("text"), k, rx, needs[k]), none) for k, rx in {**KINDS, "mention": MENTION}.items()]
-    one = rows.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.explode(F.concat(*all_)).alias("x")).select("doc_id", "tag", "x.*")
+    # the outer form, as the inner one would first test the array's size and so make it twice
+    one = rows.select("doc_id", "tag", F.explode_outer(F.concat(*all_)).alias("x")).filter("x is not null").select("doc_id", "tag", "x.*")
+    one = one.repartition("doc_id", "tag", "kind").dropDuplicates(["doc_id", "tag", "kind", "i"])
     order = Window.partitionBy("doc_id", "tag", "kind").orderBy("i")
     length = F.coalesce(F.length("value"), F.lit(0))
     placed = one.withColumn("end", F.sum(F.col("gap") + length).over(order).cast("int")).withColumn("right", F.lead("first").over(order))
