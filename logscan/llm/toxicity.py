@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -44,20 +44,20 @@ NEGATIONS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jam
 REPORTS = "said says told called calls quoted wrote claimed reported sagte schrieb dit écrit dijo escribió".split()
 
 ARMED = 3
-#: Characters; what lies further off in an endless clause is parsed with the stems there.
-REACH = 400
 PREFIX = range(3, 9)
 #: Seeds of the hashes that tell near copies in the sample.
 SKETCHES = (1, 2, 3)
 MODES = ("plain", "negated", "reported")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_STOP = re.compile(r"[.!?;:\n]")
+STOPS = ".!?;:\n"
+_STOP = re.compile(f"[{STOPS}]")
 START = (-3.0, 1.2, 0.4, 0.6)
 
 
 class Grammar:
     def __init__(self, stems: dict[str, float], coefficients: tuple[float, ...] = START):
         self.stems, self.coefficients = stems, coefficients
+        self.longest = max(map(len, stems), default=0)
         self.classes = {w: k for k, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
         self._automaton = None
 
@@ -75,11 +75,11 @@ class Grammar:
 
     def insult(self, word: str) -> float:
         """The weight of the heaviest stem that the word begins with."""
-        return max((self.stems.get(word[:k], 0.0) for k in range(1, len(word) + 1)), default=0.0)
+        return max((self.stems.get(word[:k], 0.0) for k in range(1, min(len(word), self.longest) + 1)), default=0.0)
 
-    def clause(self, words: list[str]) -> list[float]:
+    def clause(self, words: Iterable[str]) -> list[float]:
         """What the composed transducers emit for a clause, by mode."""
-        out, armed, reported, target, threats = [0.0] * 3, 0, False, False, []
+        out, armed, reported, target, threats = [0.0] * 3, 0, False, False, [0] * 3
         for w in words:
             kind, weight = self.classes.get(w), self.insult(w)
             mode = 2 if reported else 1 if armed else 0
@@ -88,29 +88,24 @@ class Grammar:
             target |= kind == "target"
             out[mode] += weight
             if kind == "threat":
-                threats.append(mode)
+                threats[mode] += 1
         if target:
-            for mode in threats:
-                out[mode] += 1.0
-            out = [x * 1.25 for x in out]
+            out = [(x + n) * 1.25 for x, n in zip(out, threats, strict=True)]
         return out
 
     def emitted(self, text: str) -> list[float]:
-        """Weights by mode over the clauses of a text that hold a stem; a clause reaches no further than REACH from it on either side."""
+        """Weights by mode over the clauses of a text that hold a stem; each of these is read once, from stop to stop, however long it is."""
         text = text.lower()
         total, done = [0.0] * 3, 0
         for end, length in self.automaton.iter(text):
             at = end - length + 1
             if end < done or at and text[at - 1].isalpha():
                 continue
-            far = max(0, at - REACH)
-            cut = far if not far else (text.find(" ", far, at) + 1 or at)  # at a word's end
-            begin = max((m.end() for m in _STOP.finditer(text, far, at)), default=cut)
-            begin = max(begin, done)
-            stop = _STOP.search(text, end + 1, end + REACH)
-            done = stop.start() if stop else text.find(" ", end + REACH)
-            done = len(text) if done < 0 else done
-            total = [a + b for a, b in zip(total, self.clause(_WORD.findall(text, begin, done)), strict=True)]
+            begin = max(done, *(text.rfind(c, done, at) + 1 for c in STOPS))
+            stop = _STOP.search(text, end + 1)
+            done = stop.start() if stop else len(text)
+            words = (m[0] for m in _WORD.finditer(text, begin, done))
+            total = [a + b for a, b in zip(total, self.clause(words), strict=True)]
         return total
 
     def score(self, emitted: np.ndarray) -> np.ndarray:

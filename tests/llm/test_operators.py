@@ -367,6 +367,16 @@ def test_toxicity_transducers():
     assert g.emitted("fool " * 1000)[0] == 4000.0
 
 
+def test_toxicity_of_endless_clauses():
+    g, la = toxicity.Grammar({"fool": 4.0}), "la " * 400
+    assert g.emitted(f"one said {la} fool") == [0.0, 0.0, 4.0]
+    assert g.emitted(f"i kill {la} you") == [1.25, 0.0, 0.0]
+    assert g.emitted(f"fool {la} fool {la} people. fool") == [14.0, 0.0, 0.0]
+    assert g.emitted(f"one said. {la} fool {'x' * 1000}! you") == [4.0, 0.0, 0.0]
+    for n in range(380, 420):  # a negation just before what was cut
+        assert g.emitted(f"fool {'y' * n} not a fool") == [4.0, 4.0, 0.0]
+
+
 # ------------------------------------------------------------------ odd tables
 
 
