@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of a fixed pattern per kind, checked by
 digit sums and ranges. The words beside them are lexical patterns. In a graph of patterns
-and instances (identifier-like tokens in the same contexts) scores go back and forth:
+and instances (identifier-like mentions in the same contexts) scores go back and forth:
 
 - the confidence of a pattern for a kind is the mean score of the instances it stands with,
   if enough distinct seeds of the kind stand there too;
@@ -23,6 +23,9 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +41,12 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
-MENTION = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
-ORDER = {kind: i for i, kind in enumerate([*KINDS, "mention"])}
+TOKEN = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
+# A run of number-like tokens joined by single spaces, up to punctuation (a plus sign begins a new one), or any token.
+DONE = rf"(?=[,;:!?'\"]*+(?!{WORD}))"
+RUN = rf"(?<!{WORD})[()\[\].+-]*+[0-9][0-9()\[\].-]*+{DONE}(?:\x20[0-9()\[\].-]++{DONE})*+[,;:!?'\"]*+"
+MENTIONS = {"mention": f"(?:{RUN}|{TOKEN})", "token": TOKEN}
+ORDER = {kind: i for i, kind in enumerate([*KINDS, *MENTIONS])}
 
 
 def _digits(x: Column) -> Column:
@@ -64,6 +71,12 @@ def _valid(kind: Column, x: Column) -> Column:
     )
 
 
+def _trimmed(x: Column) -> Column:
+    """x without punctuation at its end; a closing bracket stays if one is opened."""
+    opened = F.contains(x, F.lit("(")) | F.contains(x, F.lit("["))
+    return F.when(opened, F.rtrim(x, F.lit(".,;:!?'\" -"))).otherwise(F.rtrim(x, F.lit(".,;:!?'\" -)]}>")))
+
+
 def _found(text: Column, kind: str, rx: str, needs: Column) -> Column:
     """The matches of rx with their number, the length of the text before each and its outer words."""
     parts, matches = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
@@ -75,13 +88,17 @@ def _found(text: Column, kind: str, rx: str, needs: Column) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, kind, start, end (code points), value, left and right (the words beside it): base spans of valid form, and mentions (tokens with a digit or an @)."""
+    """doc_id, tag, kind, start, end (code points), value, left and right (the words beside it): base spans of valid form, and mentions.
+
+    Mentions are tokens with a digit or an @, and number-like tokens joined by single spaces as
+    one. A token that has the form of a kind by itself is a mention as well as the run it is in.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.xxhash64("text").alias("tag"), "text", F.contains("text", F.lit("@")).alias("at"), F.col("text").rlike("[0-9]").alias("digit")).filter("at or digit")
     at, digit = F.col("at"), F.col("digit")
-    needs = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains("text", F.lit("+")), "mention": at | digit}
+    needs = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains("text", F.lit("+")), "mention": at | digit, "token": F.col("text").rlike(r"[0-9()\[\].-]\x20[0-9()\[\].-]")}
     none = F.array().cast("array<struct<kind:int,i:int,value:string,gap:int,last:string,first:string>>")
-    all_ = [F.coalesce(_found(F.col("text"), k, rx, needs[k]), none) for k, rx in {**KINDS, "mention": MENTION}.items()]
+    all_ = [F.coalesce(_found(F.col("text"), k, rx, needs[k]), none) for k, rx in {**KINDS, **MENTIONS}.items()]
     # the outer form, as the inner one would first test the array's size and so make it twice
     one = rows.select("doc_id", "tag", F.explode_outer(F.concat(*all_)).alias("x")).filter("x is not null").select("doc_id", "tag", "x.*")
     one = one.repartition("doc_id", "tag", "kind").dropDuplicates(["doc_id", "tag", "kind", "i"])
@@ -89,7 +106,12 @@ def matches(docs: DataFrame) -> DataFrame:
     length = F.coalesce(F.length("value"), F.lit(0))
     placed = one.withColumn("end", F.sum(F.col("gap") + length).over(order).cast("int")).withColumn("right", F.lead("first").over(order))
     placed = placed.filter("value is not null").select("doc_id", "tag", "kind", (F.col("end") - length).alias("start"), "end", "value", F.lower("last").alias("left"), F.lower("right").alias("right"))
-    return placed.filter(_valid(F.col("kind"), F.col("value")))
+    mention, token = F.col("kind") >= ORDER["mention"], F.col("kind") == ORDER["token"]
+    placed = placed.withColumn("value", F.when(mention, _trimmed(F.col("value"))).otherwise(F.col("value")))
+    placed = placed.withColumn("end", F.when(mention, F.col("start") + F.length("value")).otherwise(F.col("end")))
+    alone = reduce(or_, (_shape(F.lit(ORDER[k]), F.col("value")) for k in ("ip", "card", "phone")))
+    placed = placed.filter(_valid(F.col("kind"), F.col("value")) & (~token | alone))
+    return placed.withColumn("kind", F.when(token, ORDER["mention"]).otherwise(F.col("kind"))).distinct()
 
 
 def _apart(found: DataFrame) -> DataFrame:
@@ -124,7 +146,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 5, sure: float = 0
     mention = F.col("kind") == ORDER["mention"]
     apart = written(_apart(found))
     edges = written(_edges(found.filter(~mention)).union(_edges(apart)))
-    kinds = F.explode(F.array(*[F.lit(i) for k, i in ORDER.items() if k != "mention"])).alias("k")
+    kinds = F.explode(F.array(*[F.lit(i) for k, i in ORDER.items() if k in KINDS])).alias("k")
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     support = edges.filter(~mention).groupBy("pattern", F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= seeds)
     patterns = written(support.join(size, "pattern"))
@@ -137,7 +159,9 @@ def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 5, sure: float = 0
         scores = written(open_.join(confidence, ["pattern", "k"]).groupBy("instance", "k").agg((1 - doubt).alias("score")).filter(F.col("score") > 0.01))
     best = Window.partitionBy("instance").orderBy(F.desc("score"), "k")
     named = scores.filter(F.col("score") >= sure).filter(_shape(F.col("k"), F.col("instance"))).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
-    return apart.withColumn("instance", F.lower("value")).join(named.select("instance", "k"), "instance").select("doc_id", "tag", F.col("k").alias("kind"), "start", "end", "value", "left", "right")
+    sure_ones = apart.withColumn("instance", F.lower("value")).join(named.select("instance", "k"), "instance").select("doc_id", "tag", F.col("k").alias("kind"), "start", "end", "value", "left", "right")
+    outer = F.max("end").over(Window.partitionBy("doc_id", "tag").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    return sure_ones.withColumn("outer", outer).filter(F.coalesce("outer", F.lit(-1)) < F.col("end")).drop("outer")  # of a run and a token in it the run
 
 
 def find(docs: DataFrame, rounds: int = 3, seeds: int = 5, sure: float = 0.8) -> DataFrame:

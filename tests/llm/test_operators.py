@@ -201,6 +201,23 @@ def test_personal_data_finds_more_in_known_contexts(spark):
     assert rows[41] == rows[42] == []
 
 
+def test_personal_data_finds_numbers_with_spaces(spark):
+    r = random.Random(5)
+
+    def card():
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        odd = sum(sum(divmod(2 * int(x), 10)) if i % 2 == 0 else int(x) for i, x in enumerate(d))
+        return d + str(-odd % 10)
+
+    cards = [card() for _ in range(40)]
+    texts = [f"please dial +1 (988) 555-{1000 + i} today {i}" for i in range(40)] + [f"paid with {' '.join(c[j : j + 4] for j in range(0, 16, 4))} visa {i}" for i, c in enumerate(cards)]
+    new = [("please dial (988) 555 1234 today", 3, "(988) 555 1234"), ("please dial 0171 555 0199, today", 3, "0171 555 0199"), ("please dial 0171 5550199.", 3, "0171 5550199"), ("paid with 4111 1111 1111 1112 visa", 2, "4111 1111 1111 1112"), ("please dial 0171-5550197.", 3, "0171-5550197"), ("please dial 0171-5550196 2024 1999 today", 3, "0171-5550196")]
+    rows = {x["doc_id"]: x["spans"] for x in personal_data.find(docs(spark, [*texts, *(t for t, _, _ in new), "built 0171 555 0198 parts"])).collect()}
+    for i, (text, kind, value) in enumerate(new, len(texts)):
+        assert [(x["kind"], text[x["start"] : x["end"]], x["base"]) for x in rows[i]] == [(kind, value, False)]
+    assert rows[len(texts) + len(new)] == []
+
+
 # ------------------------------------------------------------------ BPE
 
 
