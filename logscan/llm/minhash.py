@@ -11,7 +11,7 @@ cost one row. Then links are confirmed on full shingle sets:
 1. In every bucket each member is compared with the bucket's smallest.
 2. Components of these links are found. A bucket of one component is done; in the others all
    pairs across components are compared, in tiles: members are dealt into blocks of bounded
-   bytes, and each pair of blocks is one task that multiplies the incidence matrices of the
+   bytes and bounded numbers of members, and each pair of blocks is one task that multiplies the incidence matrices of the
    shingles that several members share. A tile sends the links that join components within it.
 
 So no bucket is gathered in one task and no pair between different sets is lost for the
@@ -40,6 +40,10 @@ from logscan.llm.tokens import U64, Words, chunks, grams, mix
 BANDS, ROWS = 28, 4
 #: Bytes of shingle hashes of a block of a bucket.
 BLOCK_BYTES = 4 << 20
+#: Members of a block, on average; a tile's matrix has twice as many rows and columns.
+BLOCK_MEMBERS = 2000
+#: Rows of a tile's matrix that are compared at a time.
+STRIP = 256
 U32 = np.uint32
 
 
@@ -164,20 +168,15 @@ def _tile(percent: int):
             m = np.zeros((len(sets), width), np.float32)
             m[member[part], kind[part] - at] = 1
             both += m @ m.T
-        i, j = np.nonzero(np.triu((100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :]), 1))
-        root = {c: c for c in comp.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        links = []
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            c, d = find(int(comp[p])), find(int(comp[q]))
-            if c != d:
-                root[max(c, d)] = min(c, d)
-                links.append((int(rep[p]), int(rep[q])))
+        links, label = [], comp.copy()  # label: the component with what the tile has joined so far
+        for at in range(0, len(sets), STRIP):
+            common = both[at : at + STRIP].astype(np.int64)
+            near = 100 * common >= percent * (n[at : at + STRIP, None] + n[None, :] - common)
+            for p, row in enumerate(near, at):
+                while len(other := np.flatnonzero(row[p + 1 :] & (label[p + 1 :] != label[p]))):
+                    q = p + 1 + other[0]
+                    links.append((int(rep[p]), int(rep[q])))
+                    label[label == label[q]] = label[p]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return run
@@ -212,9 +211,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     roots = components(links)
 
     component = F.coalesce("v", "rep").alias("component")
-    inside = inside.filter("members > 2").join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "rep", "total", component)
+    inside = inside.filter("members > 2").join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "rep", "members", "total", component)
     split = written(inside.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("bucket"))
-    open_ = written(inside.join(broadcast_if_small(split), "bucket").withColumn("blocks", F.ceil(F.col("total") * 8 / BLOCK_BYTES).cast("int")))
+    open_ = written(inside.join(broadcast_if_small(split), "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("total") * 8 / BLOCK_BYTES, F.col("members") / BLOCK_MEMBERS)).cast("int")))
     if open_.limit(1).count():
         dealt = open_.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         tiles = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "shingles")

@@ -302,6 +302,27 @@ def test_tiles_of_a_large_bucket(spark, monkeypatch):
     test_near_duplicates.__wrapped__(spark, 5) if hasattr(test_near_duplicates, "__wrapped__") else test_near_duplicates(spark, 5)
 
 
+def test_tiles_of_short_texts_have_bounded_members(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 10, raising=False)
+    inner = minhash._tile
+
+    def watched(percent):
+        tile = inner(percent)
+
+        def run(table):
+            if table.num_rows > 40:
+                raise ValueError(f"a tile of {table.num_rows} members")
+            return tile(table)
+
+        return run
+
+    monkeypatch.setattr(minhash, "_tile", watched)
+    r = random.Random(9)
+    texts = ["one two three four five " + " ".join(words(r, 3, 12)) for _ in range(300)]
+    got = {x["doc_id"]: x for x in minhash.near_duplicates(docs(spark, texts), 5, 100, 4, 1).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == plain_components(texts, 5, 100)
+
+
 def test_signature_estimates_similarity():
     r = np.random.default_rng(0)
     x = r.integers(0, 1 << 63, 1500, dtype=np.int64).astype(np.uint64)
