@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
-from logscan.model import KEY, LEVELS, Search
-from logscan.operators import classify, report, thresholds
+from logscan.model import KEY, LEVELS, TEN_YEARS, Search
+from logscan.operators import classify, report, sticky, thresholds
 from logscan.sources import incremental, lines
 
-STATE = "tag string, host string, logfile string, logoffset long, logtime timestamp, fingerprint string, threshold map<string,long>, runcount long, runtime timestamp"
+STATE = "tag string, host string, logfile string, logoffset long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, runcount long, runtime timestamp"
 
 
 ALERT = "tag string, host string, logfile string, level string, pat_idx int, pat_key string, file_seq int, line_no long, pat_pos int, message string"
@@ -41,11 +42,12 @@ class Run:
     state: DataFrame
 
 
-def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches to report and the thresholds' carry (key, level, carry) for lines with tag, host and logfile.
 
     Effects on a line come in this order: prefilter, exceptions, patterns, preferred level,
-    all-clear, threshold; must-appear patterns are judged over all lines.
+    all-clear, threshold; must-appear patterns are judged over all lines, and with keys for these
+    sources, lines or not. With now the carry has threshold_times, for searches whose hits expire.
     """
     out, carries = [], []
     for s in searches:
@@ -62,10 +64,12 @@ def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None
                 if carry is not None:
                     before = carry.filter((F.col("tag") == s.tag) & (F.col("level") == level))
                     before = before.join(clear, list(KEY), "left_anti") if clear is not None else before
-                carries.append(thresholds.next_carry(rows, n, before))
+                expires = now is not None and s.threshold_expiry
+                after = thresholds.next_carry(rows, n, before, now=now if expires else None)
+                carries.append(after.withColumn("threshold_times", F.lit(None).cast("array<timestamp>")) if now is not None and not expires else after)
                 rows = thresholds.apply_threshold(rows, n, before)
             out.append(rows.select(*KEY, "level", "pat_idx", "pat_key", "file_seq", "line_no", "pat_pos", "message"))
-        missing = classify.missing_patterns(own, s) if any(s.must_appear(x) for x in ("CRITICAL", "WARNING")) else None
+        missing = classify.missing_patterns(own, s, None if keys is None else keys.filter(F.col("tag") == s.tag)) if any(s.must_appear(x) for x in ("CRITICAL", "WARNING")) else None
         if missing is not None:
             at_end = F.lit((1 << 31) - 1)
             out.append(missing.select(*KEY, "level", "pat_idx", F.lit("missing").alias("pat_key"), at_end.alias("file_seq"), at_end.cast("long").alias("line_no"), F.col("pat_idx").alias("pat_pos"), "message"))
@@ -78,6 +82,34 @@ def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None
     return matches, kept
 
 
+def _carried(state: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
+    """key, level, carry, threshold_times of a state; of searches whose hits expire without those that are too old."""
+    old = state.select(*KEY, "threshold_times", "runtime", F.explode("threshold").alias("level", "carry"))
+    times = F.coalesce(F.col("threshold_times")[F.col("level")], F.array_repeat("runtime", F.col("carry").cast("int")))
+    old = old.select(*KEY, "level", "carry", times.alias("threshold_times"))
+    expiring = {s.tag: s.threshold_expiry for s in searches if s.threshold_expiry}
+    parts = [old.filter(~F.col("tag").isin(list(expiring)))]
+    for tag, expiry in expiring.items():
+        live = thresholds.live_times(old.filter(F.col("tag") == tag), now, expiry)
+        parts.append(live.withColumn("carry", F.size("threshold_times").cast("long")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _standing(matches: DataFrame, state: DataFrame, todo: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
+    """The matches that stand after this run with when, for searches with sticky alerts: those of this run and, before them, those kept."""
+    at = F.lit(now).cast("timestamp")
+    kept = state.select(*KEY, F.posexplode("sticky").alias("nth", "m"))
+    kept = kept.select(*KEY, "m.level", F.lit(0).alias("pat_idx"), F.lit("sticky").alias("pat_key"), F.lit(-1).alias("file_seq"), F.col("nth").cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "m.message", "m.when")
+    parts = []
+    for s in searches:
+        own = F.col("tag") == s.tag
+        clear = classify.all_clear(todo.filter(own), s) if s.ok else state.limit(0)
+        clear = clear.select(*KEY, F.timestamp_seconds(F.lit(0)).alias("ok_when"))  # this run's matches before the line are wiped already
+        seconds = s.sticky if s.sticky > 1 else TEN_YEARS
+        parts.append(sticky.apply_sticky(matches.filter(own).withColumn("when", at), kept.filter(own), clear, now, seconds, also=("pat_idx", "pat_key", "file_seq", "line_no", "pat_pos")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run(spark: SparkSession, searches: list[Search], paths: list[str], state_path: str, run_ts: datetime, host: str = "localhost", protocol_path: str | None = None, before: Callable | None = None, after: Callable | None = None, replaces: bool = False, protocol_error: str = "CRITICAL") -> Run:
     """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
 
@@ -100,13 +132,22 @@ def run(spark: SparkSession, searches: list[Search], paths: list[str], state_pat
     state = sinks.load_state(spark, state_path)
     first = state is None
     state = state if state is not None else spark.createDataFrame([], STATE)
+    for f in spark.createDataFrame([], STATE).schema.fields:  # a state of an older form
+        state = state if f.name in state.columns else state.withColumn(f.name, F.lit(None).cast(f.dataType))
 
     files = incremental.match_archives(lines.list_files(spark, paths), wanted)
     chosen = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
-    listing = chosen.select("path").distinct().collect()  # file names, not their lines
+    listing = chosen.select(*KEY, "path").collect()  # file names, not their lines
     if listing:
-        text = lines.read_lines(spark, [r["path"] for r in listing]).drop("host", "logfile", "file_mtime")
-        read = text.join(F.broadcast(chosen), F.expr("regexp_replace(file_path, '^file:/+', '/') = regexp_replace(path, '^file:/+', '/')"))
+        text = lines.read_lines(spark, sorted({r["path"] for r in listing})).drop("host", "logfile", "file_mtime")
+        same_path = F.expr("regexp_replace(file_path, '^file:/+', '/') = regexp_replace(path, '^file:/+', '/')")
+        if len({tuple(r[k] for k in KEY) for r in listing}) < len(listing):
+            whole = text.groupBy("file_path").agg(F.sum(F.xxhash64("line_no", "line").cast("decimal(20,0)")).cast("string").alias("fingerprint"), F.max("end_offset").alias("bytes"))
+            # copies by their whole content; of a log and its copy the log stays
+            named = chosen.join(whole, same_path, "left").select(*KEY, "path", F.col("mtime").alias("_mtime"), F.when(F.col("current"), F.lit("9999-01-01").cast("timestamp")).otherwise(F.col("mtime")).alias("mtime"), "current", F.coalesce("fingerprint", "path").alias("fingerprint"), F.coalesce("bytes", F.lit(0)).alias("length"))
+            once = incremental.dedupe_files(named).withColumn("mtime", F.col("_mtime"))
+            chosen = incremental.relevant_files(once, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
+        read = text.join(F.broadcast(chosen), same_path)
     else:
         none = spark.createDataFrame([], "file_path string, line_no long, start_offset long, end_offset long, line string")
         read = none.crossJoin(chosen.limit(0))
@@ -114,22 +155,36 @@ def run(spark: SparkSession, searches: list[Search], paths: list[str], state_pat
     reached = read.groupBy(*KEY, "file_seq", "mtime", "current").agg(F.max("end_offset").alias("end_offset"), F.max(F.when(F.col("line_no") == 0, F.xxhash64("line").cast("string"))).alias("fingerprint"))
     todo = incremental.apply_offset(read, state).filter(~F.col("tag").isin(skipped)) if skipped else incremental.apply_offset(read, state)
 
-    old = state.select(*KEY, F.explode_outer("threshold").alias("level", "carry")).filter("level is not null")
-    matches, carry = scan_lines(todo, searches, old)
+    old = _carried(state, searches, run_ts)
+    tags = [s.tag for s in searches]
+    # as in the reference, the first run of a source that reads all of it does not miss patterns
+    unread = wanted.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
+    matches, carry = scan_lines(todo, searches, old, wanted.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts)
     gone = incremental.missing_sources(wanted, files)
     end = F.lit((1 << 31) - 1)
-    matches = matches.unionByName(gone.select(*KEY, "level", F.lit(0).alias("pat_idx"), F.lit("missing").alias("pat_key"), end.alias("file_seq"), end.cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "message"))
     state_after = incremental.advance_state(state, reached, run_ts)
-    if carry is not None:
-        counts = carry.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("level", "carry"))).alias("threshold"))
-        state_after = state_after.join(counts, list(KEY), "left")
-    else:
-        state_after = state_after.withColumn("threshold", F.lit(None).cast("map<string,bigint>"))
+    sources = [(gone, "missing")] + [(incremental.stale_sources(state_after.filter(F.col("tag") == s.tag), run_ts, s.maxage), "stale") for s in searches if s.maxage]
+    for found, what in sources:
+        matches = matches.unionByName(found.select(*KEY, "level", F.lit(0).alias("pat_idx"), F.lit(what).alias("pat_key"), end.alias("file_seq"), end.cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "message"))
+    others = old.filter(~F.col("tag").isin(tags))
+    carry = carry.unionByName(others) if carry is not None else others
+    timed = F.when(F.col("threshold_times").isNotNull(), F.struct("level", "threshold_times"))
+    counts = carry.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("level", "carry"))).alias("threshold"), F.map_from_entries(F.collect_list(timed)).alias("threshold_times"))
+    state_after = state_after.join(counts, list(KEY), "left")
     matches = matches.persist()
+    new, sticking = matches, [s for s in searches if s.sticky]
+    stuck = state.filter(~F.col("tag").isin(tags)).select(*KEY, "sticky").filter("sticky is not null")
+    if sticking:
+        standing = _standing(new, state, todo, sticking, run_ts).persist()
+        matches = new.filter(~F.col("tag").isin([s.tag for s in sticking])).unionByName(standing.drop("when"))
+        in_order = F.sort_array(F.collect_list(F.struct("when", "file_seq", "line_no", "pat_pos", "level", "message")))
+        each = F.transform(in_order, lambda m: F.struct(m["level"].alias("level"), m["when"].alias("when"), m["message"].alias("message")))
+        stuck = stuck.unionByName(standing.groupBy(*KEY).agg(each.alias("sticky")))
+    state_after = state_after.join(stuck, list(KEY), "full").withColumns({"runcount": F.coalesce("runcount", F.lit(1).cast("long")), "runtime": F.coalesce("runtime", F.lit(run_ts))})
     if protocol_path:
         keep = [s.tag for s in searches if s.protocol]
         try:
-            sinks.write_protocol(matches.filter(F.col("tag").isin(keep)), protocol_path, run_ts)
+            sinks.write_protocol(new.filter(F.col("tag").isin(keep)), protocol_path, run_ts)
         except Exception as e:
             alerts.append(alert(spark, "protocol", protocol_error, f"cannot write protocol: {str(e)[:200]}", host))
     for extra in alerts:

@@ -44,6 +44,7 @@ class Search:
     threshold: dict = field(default_factory=dict)
     threshold_expiry: int | None = None
     sticky: int | None = None
+    maxage: int | None = None
     read_all_first: bool = False
     maxlength: int | None = None
     count: bool = True

@@ -89,8 +89,8 @@ def wipe(matches: DataFrame, clear: DataFrame, key: tuple = KEY) -> DataFrame:
     return matches.join(clear, list(key), "left").filter(F.col("ok_at").isNull() | (F.struct(*ORD) > F.col("ok_at"))).drop("ok_at")
 
 
-def missing_patterns(lines: DataFrame, search: Search, keys: DataFrame | None = None, key: tuple = KEY) -> DataFrame:
-    """A row (key, level, pat_idx, message) for each must-appear pattern that no line of the key has; keys: those to report even without lines."""
+def appearances(lines: DataFrame, search: Search, keys: DataFrame | None = None, key: tuple = KEY) -> DataFrame:
+    """A row (key, level, pat_idx, message, seen: 1 or 0) for each key and must-appear pattern; keys: those to judge, even without lines."""
     wanted = [(level, i, p) for level in ("CRITICAL", "WARNING") for i, _, p in search.must_appear(level)]
     ok = accepted(F.col("line"), search)
     flags = [F.max(F.when(ok & F.col("line").rlike(search.flags() + p), 1).otherwise(0)).alias(f"_p{n}") for n, (_, _, p) in enumerate(wanted)]
@@ -98,7 +98,12 @@ def missing_patterns(lines: DataFrame, search: Search, keys: DataFrame | None =
     if keys is not None:
         seen = keys.select(*key).distinct().join(seen, list(key), "left")
     rows = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(i).alias("pat_idx"), F.lit(f"MISSING: {p}").alias("message"), F.coalesce(F.col(f"_p{n}"), F.lit(0)).alias("seen")) for n, (level, i, p) in enumerate(wanted)])
-    return seen.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*").filter("seen = 0").drop("seen")
+    return seen.select(*key, F.explode(rows).alias("_r")).select(*key, "_r.*")
+
+
+def missing_patterns(lines: DataFrame, search: Search, keys: DataFrame | None = None, key: tuple = KEY) -> DataFrame:
+    """A row (key, level, pat_idx, message) for each must-appear pattern that no line of the key has; keys: those to report even without lines."""
+    return appearances(lines, search, keys, key).filter("seen = 0").drop("seen")
 
 
 def with_captures(matches: DataFrame, regex: str, groups: int, column: str = "line") -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from logscan.model import KEY, TEN_YEARS
 
 
-def apply_sticky(new: DataFrame, kept: DataFrame, clear: DataFrame, now, seconds: int = TEN_YEARS, key: tuple = KEY) -> DataFrame:
-    """key, level, when, message that stand after this run.
+def apply_sticky(new: DataFrame, kept: DataFrame, clear: DataFrame, now, seconds: int = TEN_YEARS, key: tuple = KEY, also: tuple = ()) -> DataFrame:
+    """key, level, when, message (and the columns also) that stand after this run.
 
     new and kept have these columns; of kept those of keys with an all-clear line (clear: key,
     ok_when) or older than seconds go, of new those not after that line.
     """
-    cols = [*key, "level", "when", "message"]
+    cols = [*key, "level", "when", "message", *also]
     both = kept.select(*cols, F.lit(True).alias("_old")).unionByName(new.select(*cols, F.lit(False).alias("_old")))
     held = both.join(clear.select(*key, "ok_when"), list(key), "left")
     young = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("when") <= seconds

@@ -39,16 +39,31 @@ def apply_threshold(matches: DataFrame, n: int, carry: DataFrame | None = None,
     return rows.filter((c + F.col("k")) % n == 0).drop("k", "_c")
 
 
-def next_carry(matches: DataFrame, n: int, carry: DataFrame | None = None, key: tuple = (*KEY, "level")) -> DataFrame:
-    """key, carry: what the next run counts on from."""
+def next_carry(matches: DataFrame, n: int, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), now=None) -> DataFrame:
+    """key, carry: what the next run counts on from.
+
+    With now, the time of this run's matches, also threshold_times: when the hits carried on came, n - 1 at most.
+    """
     total = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     if carry is not None:
-        total = total.join(carry.select(*key, "carry"), list(key), "full")
+        total = total.join(carry.select(*key, "carry", *(["threshold_times"] if now is not None else [])), list(key), "full")
     c = F.coalesce("carry", F.lit(0)) if carry is not None else F.lit(0)
-    return total.select(*key, ((c + F.coalesce("_n", F.lit(0))) % n).cast("long").alias("carry"))
+    hits = F.coalesce("_n", F.lit(0))
+    after = ((c + hits) % n).cast("long")
+    if now is None:
+        return total.select(*key, after.alias("carry"))
+    none = F.array().cast("array<timestamp>")
+    before = F.coalesce("threshold_times", none) if carry is not None else none
+    times = F.concat(before, F.array_repeat(F.lit(now).cast("timestamp"), F.least(hits, F.lit(n)).cast("int")))
+    last = F.slice(times, F.size(times) - after.cast("int") + 1, after.cast("int"))
+    return total.select(*key, after.alias("carry"), last.alias("threshold_times"))
+
+
+def live_times(state: DataFrame, now, expiry: int) -> DataFrame:
+    """state with the threshold_times that are not older than expiry seconds."""
+    return state.withColumn("threshold_times", F.filter("threshold_times", lambda t: F.unix_timestamp(F.lit(now)) - F.unix_timestamp(t) <= expiry))
 
 
 def live_carry(state: DataFrame, now, expiry: int, key: tuple = (*KEY, "level")) -> DataFrame:
     """key, carry from threshold_times: hits older than expiry seconds no longer count."""
-    fresh = F.filter("threshold_times", lambda t: F.unix_timestamp(F.lit(now)) - F.unix_timestamp(t) <= expiry)
-    return state.select(*key, F.size(fresh).cast("long").alias("carry"))
+    return live_times(state, now, expiry).select(*key, F.size("threshold_times").cast("long").alias("carry"))

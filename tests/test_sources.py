@@ -101,6 +101,44 @@ def test_first_run_can_read_all(spark, tmp_path):
     assert counts(scan.run(spark, s, [str(tmp_path / "logs")], str(tmp_path / "state"), datetime(2024, 1, 1))) == (0, 2, 0, 2)
 
 
+def test_what_a_series_of_runs_carries_on(spark, tmp_path):
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    door = Search(tag="door", logfile="door", critical=["open"], ok=["closed"], sticky=600, read_all_first=True)
+    rare = Search(tag="rare", logfile="rare", warning=["slow"], ok=["fast"], threshold={"warning": 3}, threshold_expiry=60, read_all_first=True)
+    beat = Search(tag="beat", logfile="beat", critical=["!alive"], maxage=3600)
+
+    def go(second, **text):
+        for name, add in text.items():
+            with (logs / name).open("a") as f:
+                f.write(add)
+            os.utime(logs / name, (1_700_000_000 + second,) * 2)
+        out = scan.run(spark, [door, rare, beat], [str(logs)], state, datetime.fromtimestamp(1_700_000_000 + second)).matches
+        return sorted((r["tag"], r["message"]) for r in out.collect())
+
+    missing, opened, slow = ("beat", "MISSING: alive"), ("door", "open 1"), ("rare", "slow")
+    assert go(0, door="open 1\n", rare="slow\nslow\n", beat="alive\n") == [missing, opened]  # beat starts at its end
+    assert go(10, beat="alive\n") == [opened]  # it sticks
+    assert go(50, rare="slow\n") == [missing, opened, slow]  # the third within 60 seconds
+    assert go(100, rare="slow\nslow\n", beat="alive\n", door="open 2\n") == [opened, ("door", "open 2")]
+    assert go(200, rare="slow\n", beat="alive\n") == [opened, ("door", "open 2")]  # the two are too old to count
+    assert go(650, rare="slow\nfast\nslow\n", beat="alive\n") == [("door", "open 2")]  # open 1 is too old
+    assert go(670, rare="slow\nslow\n", beat="alive\n", door="closed\nopen 3\n") == [("door", "open 3"), slow]  # the third since the all-clear
+    assert go(9000, door="closed\n") == [missing, ("beat", "logfile beat is too old (> 3600 s)")]
+
+
+def test_a_copied_archive_counts_once(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    s = [Search(tag="ssh", logfile="messages", critical=["Failed"], rotation="LOGLOG0LOG1", read_all_first=True)]
+    go = lambda day: scan.run(spark, s, [str(logs)], str(tmp_path / "state"), datetime(2024, 1, day))
+    for name, text, at in (("messages.2", "head\nFailed 1\n", 0), ("messages.1", "head\nFailed 2\n", 100), ("messages.0", "head\nFailed 2\n", 200), ("messages", "Failed 3\n", 300), ("messages.3", "Failed 3\n", 400)):
+        (logs / name).write_text(text)
+        os.utime(logs / name, (1_700_000_000 + at,) * 2)
+    assert sorted(r["message"] for r in go(1).matches.collect()) == ["Failed 1", "Failed 2", "Failed 3"]  # the same head and length are not enough
+    assert sinks.load_state(spark, str(tmp_path / "state")).first()["logoffset"] == 9
+
+
 def test_functions_around_a_run(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "messages").write_text("Failed password\n")
