@@ -2,51 +2,115 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logscan.model import Search
-from logscan.operators.classify import accepted, line_matches
+from logscan.model import KEY, TEN_YEARS, Search
+from logscan.operators.classify import accepted, appearances, line_matches
+
+CARRY = "tag string, host string, logfile string, level string, carry long, threshold_times array<timestamp>"
+SEEN = "tag string, host string, logfile string, level string, pat_idx int, message string, seen int"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _epochs(spark: SparkSession, out: str) -> list[int]:
+    """The micro-batches whose state is there, ascending."""
+    place, fs = _hadoop(spark, f"{out}/_state")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def stream_missing(spark: SparkSession, out: str) -> DataFrame:
+    """key, level, pat_idx, message of the must-appear patterns that no line of the stream into out has had so far.
+
+    Whether a pattern is missing is known at the end only, so it is asked for here and is not among the matches.
+    """
+    epochs = _epochs(spark, out)
+    seen = spark.read.schema(SEEN).parquet(f"{out}/_state/{epochs[-1]}/seen") if epochs else spark.createDataFrame([], SEEN)
+    return seen.filter("seen = 0").drop("seen")
 
 
 def scan_stream(lines: DataFrame, searches: list[Search], out: str, checkpoint: str, trigger: dict | None = None):
     """Matches of a stream of lines (tag, host, logfile, file_seq, line_no, line) into Parquet, a folder per micro-batch.
 
     A micro-batch that is run again overwrites its folder, so each match is written once.
+    Thresholds count on from micro-batch to micro-batch, hits expire as in runs, and
+    must-appear patterns are judged over the whole stream (stream_missing): the state after each
+    micro-batch is in out/_state, and one that is run again starts from that of the one before.
+    An all-clear line cannot call back what earlier micro-batches have written.
     """
     from logscan.jobs.scan import scan_lines
+    from logscan.operators.thresholds import live_times
 
     def batch(df: DataFrame, epoch: int) -> None:
-        matches, _ = scan_lines(df, searches)
-        matches.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        spark, now = df.sparkSession, datetime.fromtimestamp(time.time())
+        before = [e for e in _epochs(spark, out) if e < epoch]
+        last = f"{out}/_state/{before[-1]}" if before else None
+        carry = spark.read.schema(CARRY).parquet(f"{last}/carry") if last else spark.createDataFrame([], CARRY)
+        seen = spark.read.schema(SEEN).parquet(f"{last}/seen") if last else spark.createDataFrame([], SEEN)
+        for s in searches:
+            if s.threshold_expiry:
+                own = F.col("tag") == s.tag
+                live = live_times(carry.filter(own), now, s.threshold_expiry).withColumn("carry", F.size("threshold_times").cast("long"))
+                carry = carry.filter(~own).unionByName(live)
+            if any(s.must_appear(x) for x in ("CRITICAL", "WARNING")):
+                seen = seen.unionByName(appearances(df.filter(F.col("tag") == s.tag), s))
+        df.persist()
+        try:
+            matches, after = scan_lines(df, searches, carry, df.select(*KEY).limit(0), now)
+            matches.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+            after = after if after is not None else carry
+            after.write.mode("overwrite").parquet(f"{out}/_state/{epoch}/carry")
+            seen.groupBy(*KEY, "level", "pat_idx", "message").agg(F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{out}/_state/{epoch}/seen")
+        finally:
+            df.unpersist()
+        for e in before[:-1]:  # the last one is needed if this micro-batch is run again
+            place, fs = _hadoop(spark, f"{out}/_state/{e}")
+            fs.delete(place, True)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 class _Alerts(StatefulProcessor):
-    """Threshold counters and sticky alerts of a key; an all-clear line empties both."""
+    """Threshold counters and sticky alerts of a key; an all-clear line empties both.
 
-    def __init__(self, thresholds: dict[str, int], sticky: bool):
+    sticky: the seconds that alerts stand, 0 if none stands after its own line.
+    """
+
+    def __init__(self, thresholds: dict[str, int], sticky: int):
         self.thresholds, self.sticky = thresholds, sticky
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.counts = handle.getMapState("counts", "level string", "n long")
-        self.open = handle.getMapState("open", "level string", "n long")
+        self.open = handle.getMapState("open", "level string, at long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["file_seq", "line_no"], kind="stable")
-        fired = []
+        fired, now = [], int(time.time())
+        for k in list(self.open.keys()):
+            if now - k[1] > self.sticky:
+                self.open.removeKey(k)
+        standing: dict[str, int] = {}
+        for (level, _), (n,) in list(self.open.iterator()):
+            standing[level] = standing.get(level, 0) + n
         for r in frame.itertuples():
             for level in r.levels:
                 n = (self.counts.getValue((level,))[0] if self.counts.containsKey((level,)) else 0) + 1
                 every = self.thresholds.get(level, 1)
                 if n >= every:
-                    total = (self.open.getValue((level,))[0] if self.open.containsKey((level,)) else 0) + 1
-                    self.open.updateValue((level,), (total,))
+                    total = standing.get(level, 0) + 1
+                    if self.sticky:
+                        standing[level], at = total, (level, now)
+                        self.open.updateValue(at, ((self.open.getValue(at)[0] if self.open.containsKey(at) else 0) + 1,))
                     fired.append((level, total, r.line))
                     n = 0
                 self.counts.updateValue((level,), (n,))
@@ -54,6 +118,7 @@ class _Alerts(StatefulProcessor):
                 for state in (self.counts, self.open):
                     for k in list(state.keys()):
                         state.removeKey(k)
+                standing = {}
                 fired.append(("OK", 0, r.line))
         yield pd.DataFrame([(*key, *f) for f in fired], columns=["tag", "host", "logfile", "level", "standing", "message"])
 
@@ -62,7 +127,9 @@ class _Alerts(StatefulProcessor):
 
 
 def stream_alerts(lines: DataFrame, search: Search) -> DataFrame:
-    """tag, host, logfile, level, standing (alerts of the level since the last all-clear), message, as lines come in.
+    """tag, host, logfile, level, standing, message, as lines come in.
+
+    standing: alerts of the level since the last all-clear that still stand; without sticky alerts this one alone.
 
     Only lines that match a pattern or clear the alert are shuffled, once, by key.
     """
@@ -72,7 +139,7 @@ def stream_alerts(lines: DataFrame, search: Search) -> DataFrame:
     rows = rows.filter((F.size("levels") > 0) | F.col("cleared"))
     every = {k.upper(): v for k, v in search.threshold.items()}
     return rows.groupBy("tag", "host", "logfile").transformWithStateInPandas(
-        statefulProcessor=_Alerts(every, search.sticky is not None), outputStructType="tag string, host string, logfile string, level string, standing long, message string", outputMode="Append", timeMode="None"
+        statefulProcessor=_Alerts(every, search.sticky if (search.sticky or 0) > 1 else TEN_YEARS if search.sticky else 0), outputStructType="tag string, host string, logfile string, level string, standing long, message string", outputMode="Append", timeMode="None"
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from logscan.jobs.scan import scan_lines
 from logscan.model import Search
 from logscan.operators import callbacks
-from logscan.streaming.stream import scan_stream, stream_alerts
+from logscan.streaming.stream import scan_stream, stream_alerts, stream_missing
 
 SCHEMA = "tag string, host string, logfile string, file_seq int, line_no long, line string"
 
@@ -22,6 +22,38 @@ def test_stream_finds_what_a_batch_finds(spark, tmp_path):
     assert sorted(r["line_no"] for r in got.collect()) == sorted(r["line_no"] for r in want.collect())
 
 
+def test_thresholds_and_missing_patterns_over_batches(spark, tmp_path):
+    rows = [("t", "h", "a", n, i, "hit" if i < 9 else "calm") for n in range(4) for i in range(10)]
+    rows += [("t", "h", "b", n, i, "alive" if (n, i) == (1, 0) else "calm") for n in range(4) for i in range(3)]
+    rows += [("t", "h", "c", 2, 0, "calm")]
+    for n in range(4):
+        spark.createDataFrame([x for x in rows if x[3] == n], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    search = [Search(tag="t", critical=["hit", "!alive"], threshold={"critical": 10})]
+    stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    for _ in range(2):  # a restart finds nothing new
+        scan_stream(stream, search, out, str(tmp_path / "cp")).awaitTermination(180)
+    cols = ["logfile", "level", "pat_idx", "message"]
+    got = spark.read.parquet(out).select("file_seq", "line_no", *cols).collect()
+    want, _ = scan_lines(spark.createDataFrame(rows, SCHEMA), search)
+    missing = want.filter("pat_key = 'missing'")
+    assert len(got) == 3 and sorted(got) == sorted(want.filter("pat_key <> 'missing'").select("file_seq", "line_no", *cols).collect())
+    assert sorted(stream_missing(spark, out).select(*cols).collect()) == sorted(missing.select(*cols).collect())
+    assert [r["logfile"] for r in stream_missing(spark, out).orderBy("logfile").collect()] == ["a", "c"]
+
+
+def test_keyed_alerts_stand_only_if_they_are_sticky(spark, tmp_path):
+    schema = "host string, logfile string, file_seq int, line_no long, line string"
+    for n in range(2):
+        spark.createDataFrame([("h", "l", n, i, "open") for i in range(2)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, sticky, want in (("stay", 1, [1, 2, 3, 4]), ("go", None, [1, 1, 1, 1])):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = stream_alerts(stream, Search(tag="t", critical=["open"], sticky=sticky)).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert sorted(r["standing"] for r in spark.sql(f"select * from {name}").collect()) == want
+
+
 def test_keyed_alerts_over_batches(spark, tmp_path):
     s = Search(tag="t", critical=["open"], ok=["closed"], threshold={"critical": 2}, sticky=60)
     first = [("h", 0, "open"), ("h", 1, "noise"), ("h", 2, "open"), ("g", 0, "open")]
