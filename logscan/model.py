@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # Levels, their codes, and how severe each is (not in the order of codes).
 LEVELS = {"OK": 0, "WARNING": 1, "CRITICAL": 2, "UNKNOWN": 3}
 SEVERITY = {"OK": 0, "UNKNOWN": 1, "WARNING": 2, "CRITICAL": 3}
@@ -26,9 +31,22 @@ def seconds(duration: str | int) -> int:
     return int(found[1]) * UNITS[found[2] or "s"]
 
 
+def _pairs(patterns: tuple | list | dict | str) -> list[tuple[str, str]]:
+    """(key, pattern) of patterns in any of their forms."""
+    given = [patterns] if isinstance(patterns, str) else patterns
+    return list(given.items()) if isinstance(given, dict) else [p if isinstance(p, tuple) else ("unknown_pattern", p) for p in given]
+
+
 @dataclass(frozen=True)
 class Search:
-    """A tag with its rules and options. Patterns are lists, or dicts from a key to a pattern; `!` in front of a pattern means that it must appear."""
+    """A tag with its rules and options.
+
+    Patterns are lists of patterns or of (key, pattern), or dicts from a key to a pattern; `!` in
+    front of a pattern means that it must appear. newest: the log is the newest of the files that
+    rotation names. virtual: the file is read whole in each run. logfile_missing: the level of a
+    missing log, `ok`, or `off` for none. formats: FORMAT blocks, with format_levels from severities
+    to codes. callback sees the matches of a run (see callbacks.with_state).
+    """
 
     tag: str
     logfile: str | None = None
@@ -52,6 +70,15 @@ class Search:
     protocol: bool = True
     template: bool = False
     rotation: str | None = None
+    host: str | None = None
+    newest: bool = False
+    virtual: bool = False
+    logfile_missing: str = "unknown"
+    save_threshold: bool = True
+    formats: str | None = None
+    format_levels: dict = field(default_factory=dict)
+    callback: Callable | None = None
+    callback_mode: str = "plain"
 
     def flags(self) -> str:
         """Line feeds alone end lines for the dot, as in the reference's dialect."""
@@ -65,9 +92,7 @@ class Search:
         return [(i, k, p[1:]) for i, k, p in self._all(level) if p.startswith("!")]
 
     def _all(self, level: str) -> list[tuple[int, str, str]]:
-        given = getattr(self, level.lower())
-        given = [given] if isinstance(given, str) else given
-        pairs = list(given.items()) if isinstance(given, dict) else [("unknown_pattern", p) for p in given]
+        pairs = _pairs(getattr(self, level.lower()))
         pairs = [(k, ".*" if p == "match_them_all" else p) for k, p in pairs if p != "match_never_ever"]
         return [(i, k, p) for i, (k, p) in enumerate(pairs)]
 
@@ -90,6 +115,31 @@ def merge_searches(configs: list[list[Search]]) -> list[Search]:
     return list(merged.values())
 
 
+def newest_configs(rows: DataFrame, tag: str = "tag", version: str = "version") -> DataFrame:
+    """Of the rows of a table of configurations the one of each tag with the largest version: merging for configurations that are kept as a table."""
+    newest = rows.groupBy(tag).agg(F.max_by(F.struct(*[c for c in rows.columns if c != tag]), version).alias("_r"))
+    return newest.select(tag, "_r.*")
+
+
+def with_rules(search: Search, rule_sets: list[dict]) -> Search:
+    """The search with the patterns of rule sets (level to patterns, and `exceptions`: level to patterns) in front of its own, those of a later set before those of an earlier one."""
+    for rules in rule_sets:
+        unknown = set(rules) - {"critical", "warning", "unknown", "ok", "exceptions"}
+        if unknown:
+            raise ValueError(f"search {search.tag}: a rule set has {sorted(unknown)}")
+        both = {level: [*_pairs(rules[level]), *_pairs(getattr(search, level))] for level in ("critical", "warning", "unknown") if level in rules}
+        if "ok" in rules:
+            both["ok"] = [*(p for _, p in _pairs(rules["ok"])), *search.ok]
+        more = {level: [p for _, p in _pairs(ps)] for level, ps in rules.get("exceptions", {}).items()}
+        search = replace(search, **both, exceptions={level: [*more.get(level, ()), *search.exceptions.get(level, ())] for level in {**more, **search.exceptions}})
+    return search
+
+
+def read_rules(spark: SparkSession, paths: list[str]) -> list[dict]:
+    """Rule sets from JSON files, one of each, in the order of paths."""
+    return [json.loads("\n".join(r["value"] for r in spark.read.text(p, wholetext=True).collect())) for p in paths]
+
+
 def select_searches(searches: list[Search], names: list[str]) -> list[Search]:
     """Searches named, or matched by a name that holds * or ? as a regular expression."""
 
@@ -101,21 +151,30 @@ def select_searches(searches: list[Search], names: list[str]) -> list[Search]:
 
 def expand_templates(searches: list[Search], tags: list[str]) -> list[Search]:
     """Templates once for each tag, named template_tag and bound to that host; without tags they are left out."""
-    from dataclasses import replace
-
     out = []
     for s in searches:
         out += [replace(s, tag=f"{s.tag}_{t}", need=[*s.need, re.escape(t)], template=False) for t in tags] if s.template else [s]
     return out
 
 
-def macros(run_ts: datetime, **own: str) -> dict[str, str]:
-    """The built-in macros at a time, and the caller's."""
+def macros(run_ts: datetime, host: str = "", **own: str) -> dict[str, str]:
+    """The built-in macros at a time, with the parts of a host's full name if one is given, and the caller's."""
+    name, _, domain = host.partition(".")
+    names = {"CL_HOSTNAME": name, "CL_DOMAIN": domain or "localdomain", "CL_FQDN": f"{name}.{domain or 'localdomain'}"} if host else {}
     parts = {"YYYY": "%Y", "YY": "%y", "MM": "%m", "DD": "%d", "HH": "%H", "MI": "%M", "SS": "%S", "CW": "%V"}
-    return {f"CL_DATE_{k}": run_ts.strftime(v) for k, v in parts.items()} | {"CL_DATE_TIMESTAMP": str(int(run_ts.timestamp()))} | own
+    return {f"CL_DATE_{k}": run_ts.strftime(v) for k, v in parts.items()} | {"CL_DATE_TIMESTAMP": f"{int(run_ts.timestamp()):10d}"} | names | own
 
 
 def resolve(text: str, values: dict[str, str], in_pattern: bool = False) -> str:
     """$NAME$ replaced by its value; in patterns its / - and . are escaped."""
     quote = (lambda v: re.sub(r"([/.\-])", r"\\\1", v)) if in_pattern else (lambda v: v)
     return re.sub(r"\$(\w+)\$", lambda m: quote(values[m[1]]) if m[1] in values else m[0], text)
+
+
+def resolved(search: Search, values: dict[str, str]) -> Search:
+    """The search with the macros in its log's name, its rotation and its patterns replaced."""
+    named = {n: resolve(getattr(search, n), values) for n in ("logfile", "rotation") if getattr(search, n)}
+    inside = lambda p: resolve(p, values, in_pattern=True)
+    rules = {level: [(k, inside(p)) for k, p in _pairs(getattr(search, level))] for level in ("critical", "warning", "unknown")}
+    plain = {n: [inside(p) for p in getattr(search, n)] for n in ("ok", "need", "skip")}
+    return replace(search, **named, **rules, **plain, exceptions={level: [inside(p) for _, p in _pairs(ps)] for level, ps in search.exceptions.items()})

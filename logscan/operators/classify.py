@@ -1,87 +1,146 @@
 """Rules on lines: prefilters, patterns with exceptions, preferred level, all-clear and must-appear patterns.
 
-The pass over lines is one narrow projection: an array of the matches of each line, exploded.
-Nothing is shuffled before that; all that follows works on matches.
+The pass over lines is one narrow projection: an array of what a line has for its search,
+exploded. Nothing is shuffled before that; all that follows works on matches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscan.model import KEY, ORD, VISITED, Search
+from logscan.operators.formats import format_hit, parse_formats
+from logscan.operators.literals import any_found, found
 
-MATCH = "struct<tag:string,level:string,pat_idx:int,pat_key:string>"
+MATCH = "struct<tag:string,level:string,pat_idx:int,pat_key:string,pattern:string,text:string>"
+EVENT = "struct<kind:int,level:string,pat_idx:int,pat_key:string,pattern:string,text:string,pat_pos:int>"
+#: Kinds of what a line has for its search: a match, an all-clear, the appearance of a pattern that must appear.
+MATCHED, CLEARED, APPEARED = 0, 1, 2
+#: Levels by the exit codes of formats; lines of other codes are no matches.
+BY_CODE = {1: "WARNING", 2: "CRITICAL", 3: "UNKNOWN"}
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of value, which is computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _any(line: Column, search: Search, patterns: list[str]) -> Column:
-    """Whether one of the patterns is found: one alternation, so a line is scanned once."""
-    return line.rlike(search.flags() + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    return any_found(line, list(patterns), search.flags(), search.case)
 
 
 def accepted(line: Column, search: Search) -> Column:
     """Lines that hold all need patterns and no skip pattern."""
-    found = [line.rlike(search.flags() + p) for p in search.need]
-    return reduce(lambda a, b: a & b, found, F.lit(True)) & ~_any(line, search, list(search.skip))
+    needed = [found(line, p, search.flags(), search.case) for p in search.need]
+    return reduce(lambda a, b: a & b, needed, F.lit(True)) & ~_any(line, search, search.skip)
+
+
+def _match(search: Search, level: Column, i: int, key: Column, pattern: str, text: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(search.tag).alias("tag"), level.alias("level"), F.lit(i).alias("pat_idx"), key.alias("pat_key"), F.lit(pattern).alias("pattern"), (none if text is None else text).alias("text"))
 
 
 def line_matches(line: Column, search: Search) -> Column:
     """All matches of a line as an array: every pattern of a level counts, unless an exception of its level is found."""
-    by_level = {}
+    levels = []
     for level in VISITED:
         rules = search.rules(level)
         if not rules:
             continue
-        each = F.array_compact(F.array(*[F.when(line.rlike(search.flags() + p), F.struct(F.lit(search.tag).alias("tag"), F.lit(level).alias("level"), F.lit(i).alias("pat_idx"), F.lit(k).alias("pat_key"))) for i, k, p in rules]))
-        hit = _any(line, search, [p for _, _, p in rules]) & ~_any(line, search, list(search.exceptions.get(level.lower(), ())))
-        by_level[level] = F.when(hit, each).otherwise(F.array().cast(f"array<{MATCH}>"))
-    if not by_level:
+        each = F.array_compact(F.array(*[F.when(found(line, p, search.flags(), search.case), _match(search, F.lit(level), i, F.lit(k), p)) for i, k, p in rules]))
+        exceptions = search.exceptions.get(level.lower(), ())
+        excepted = _any(line, search, exceptions)  # looked for only if there is a match
+        levels.append(F.filter(each, lambda _: ~excepted) if exceptions else each)
+    if search.formats:
+        formats = [f for f in parse_formats(search.formats) if len(f.patterns()) == 1]
+        hit = format_hit(formats, [line], {"LABEL": search.host or "", "FILENAME": search.logfile or ""}, search.format_levels)
+        if hit is not None:
+            named = lambda h: reduce(lambda out, c: F.when(h["exit_code"] == c, BY_CODE[c]).otherwise(out), BY_CODE, F.lit(None).cast("string"))
+            made = _let(hit, lambda h: F.when(named(h).isNotNull(), _match(search, named(h), 0, h["format_name"], "", h["subject"])))
+            levels.append(F.array_compact(F.array(made)))
+    if not levels:
         return F.array().cast(f"array<{MATCH}>")
-    found = F.concat(*by_level.values())
-    preferred = by_level.get((search.preferred_level or "").upper())
-    if preferred is not None:
-        found = F.when(F.size(preferred) > 0, preferred).otherwise(found)
-    return F.when(accepted(line, search), found)
+    all_ = F.concat(*levels) if len(levels) > 1 else levels[0]
+    preferred = (search.preferred_level or "").upper()
+    if preferred in VISITED:
+        is_preferred = lambda m: m["level"] == preferred
+        all_ = _let(all_, lambda a: F.when(F.exists(a, is_preferred), F.filter(a, is_preferred)).otherwise(a))
+    return F.when(accepted(line, search), all_)
+
+
+def _message(line: Column, lengths: dict[str, int]) -> Column:
+    """The line as a message, cut for the tags that ask for it."""
+    message = line
+    for tag, n in lengths.items():
+        message = F.when(F.col("tag") == tag, F.substring(line, 1, n)).otherwise(message)
+    return F.when(F.length(line) == 0, "_(null)_").otherwise(message)
+
+
+def _lengths(searches: list[Search]) -> dict[str, int]:
+    return {s.tag: s.maxlength for s in searches if s.maxlength}
 
 
 def classify(lines: DataFrame, searches: list[Search]) -> DataFrame:
-    """The columns of lines with tag, level, pat_idx, pat_key, pat_pos (place among the line's matches of the tag) and message, a row for each match.
+    """The columns of lines with tag, level, pat_idx, pat_key, pattern, pat_pos (place among the line's matches of the tag) and message, a row for each match.
 
     All searches look at a line in one pass; a search with a logfile sees only its lines.
     """
     arrays = []
     for s in searches:
-        found = F.transform(line_matches(F.col("line"), s), lambda m, i: F.struct(m["tag"].alias("tag"), m["level"].alias("level"), m["pat_idx"].alias("pat_idx"), m["pat_key"].alias("pat_key"), i.alias("pat_pos")))
+        each = F.transform(line_matches(F.col("line"), s), lambda m, i: F.struct(*[m[n].alias(n) for n in ("tag", "level", "pat_idx", "pat_key", "pattern", "text")], i.alias("pat_pos")))
         seen = F.col("logfile") == s.logfile if s.logfile else F.lit(True)
-        arrays.append(F.coalesce(F.when(seen, found), F.array().cast("array<struct<tag:string,level:string,pat_idx:int,pat_key:string,pat_pos:int>>")))
+        arrays.append(F.coalesce(F.when(seen, each), F.array().cast(f"array<{MATCH[:-1]},pat_pos:int>>")))
     # the outer form, as the inner one would first test the array's size and so make it twice
     out = lines.withColumn("_m", F.explode_outer(F.concat(*arrays))).filter("_m is not null")
     out = out.select(*[c for c in lines.columns if c != "tag"], "_m.*")
-    lengths = {s.tag: s.maxlength for s in searches if s.maxlength}
-    message = F.col("line")
-    for tag, n in lengths.items():
-        message = F.when(F.col("tag") == tag, F.substring("line", 1, n)).otherwise(message)
-    return out.withColumn("message", F.when(F.length("line") == 0, "_(null)_").otherwise(message))
+    return out.withColumn("message", F.coalesce("text", _message(F.col("line"), _lengths(searches)))).drop("text")
 
 
-def classify_by_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matches for rules (level, pat_idx, regex) given as a table, for hundreds of patterns: one alternation sifts the lines, a join tests the rest.
+def line_events(lines: DataFrame, searches: list[Search]) -> DataFrame:
+    """key, file_seq, line_no, kind, level, pat_idx, pat_key, pattern, pat_pos, message: all that the lines (tag, host, logfile, ...) have for the searches of their tags, in one pass.
 
-    rules is configuration: it is read on the driver for the alternation.
+    kind tells matches, all-clear lines and appearances of patterns that must appear; lines with none of these give no row.
     """
-    patterns = [r["regex"] for r in rules.select("regex").collect()]
-    if not patterns:
+    line, none = F.col("line"), F.lit(None).cast("string")
+    event = lambda kind, level, i: F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("string").alias("level"), F.lit(i).alias("pat_idx"), none.alias("pat_key"), none.alias("pattern"), none.alias("text"), F.lit(0).alias("pat_pos"))
+    events = F.lit(None).cast(f"array<{EVENT}>")
+    for s in searches:
+        parts = [F.transform(line_matches(line, s), lambda m, i: F.struct(F.lit(MATCHED).alias("kind"), *[m[n].alias(n) for n in ("level", "pat_idx", "pat_key", "pattern", "text")], i.alias("pat_pos")))]
+        if s.ok:
+            parts.append(F.array_compact(F.array(F.when(_any(line, s, s.ok), event(CLEARED, None, 0)))))
+        wanted = [(level, i, p) for level in VISITED for i, _, p in s.must_appear(level)]
+        if wanted:
+            parts.append(F.array_compact(F.array(*[F.when(found(line, p, s.flags(), s.case), event(APPEARED, level, i)) for level, i, p in wanted])))
+        own = F.concat(*parts) if len(parts) > 1 else parts[0]
+        events = F.when(F.col("tag") == s.tag, F.when(accepted(line, s), own)).otherwise(events)
+    out = lines.select(*KEY, *ORD, "line", F.explode_outer(events).alias("_e")).filter("_e is not null").select(*KEY, *ORD, "line", "_e.*")
+    message = F.when(F.col("kind") == MATCHED, F.coalesce("text", _message(line, _lengths(searches))))
+    return out.withColumn("message", message).drop("line", "text")
+
+
+def classify_by_table(lines: DataFrame, rules: DataFrame, chunk: int = 100) -> DataFrame:
+    """Matches for rules (level, pat_idx, regex, and any other columns) given as a table: lines with the columns of rules.
+
+    rules is configuration: it is read on the driver, and each pattern becomes a test that is compiled once, sifted by its literal texts.
+    """
+    rows = rules.collect()
+    if not rows:
         return lines.join(rules.limit(0), F.lit(False))
-    sifted = lines.filter(F.col("line").rlike("(?d)" + "|".join(f"(?:{p})" for p in patterns)))
-    return sifted.join(F.broadcast(rules), F.expr("line rlike concat('(?d)', regex)"))
+    rule = lambda r: F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in rules.schema.fields])
+    tests = [F.when(found(F.col("line"), r["regex"], "(?d)"), rule(r)) for r in rows]
+    parts = [F.array_compact(F.array(*tests[i : i + chunk])) for i in range(0, len(tests), chunk)]
+    hits = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return lines.withColumn("_r", F.explode_outer(hits)).filter("_r is not null").select(*lines.columns, "_r.*")
 
 
 def all_clear(lines: DataFrame, search: Search, key: tuple = KEY) -> DataFrame:
     """The last line of each key that an OK pattern clears, as ok_at."""
-    found = lines.filter(accepted(F.col("line"), search) & _any(F.col("line"), search, list(search.ok)))
-    return found.groupBy(*key).agg(F.max(F.struct(*ORD)).alias("ok_at"))
+    cleared = lines.filter(accepted(F.col("line"), search) & _any(F.col("line"), search, search.ok))
+    return cleared.groupBy(*key).agg(F.max(F.struct(*ORD)).alias("ok_at"))
 
 
 def wipe(matches: DataFrame, clear: DataFrame, key: tuple = KEY) -> DataFrame:
@@ -91,9 +150,9 @@ def wipe(matches: DataFrame, clear: DataFrame, key: tuple = KEY) -> DataFrame:
 
 def appearances(lines: DataFrame, search: Search, keys: DataFrame | None = None, key: tuple = KEY) -> DataFrame:
     """A row (key, level, pat_idx, message, seen: 1 or 0) for each key and must-appear pattern; keys: those to judge, even without lines."""
-    wanted = [(level, i, p) for level in ("CRITICAL", "WARNING") for i, _, p in search.must_appear(level)]
+    wanted = [(level, i, p) for level in VISITED for i, _, p in search.must_appear(level)]
     ok = accepted(F.col("line"), search)
-    flags = [F.max(F.when(ok & F.col("line").rlike(search.flags() + p), 1).otherwise(0)).alias(f"_p{n}") for n, (_, _, p) in enumerate(wanted)]
+    flags = [F.max(F.when(ok & found(F.col("line"), p, search.flags(), search.case), 1).otherwise(0)).alias(f"_p{n}") for n, (_, _, p) in enumerate(wanted)]
     seen = lines.groupBy(*key).agg(*flags)
     if keys is not None:
         seen = keys.select(*key).distinct().join(seen, list(key), "left")
@@ -106,8 +165,19 @@ def missing_patterns(lines: DataFrame, search: Search, keys: DataFrame | None =
     return appearances(lines, search, keys, key).filter("seen = 0").drop("seen")
 
 
+def missing_events(events: DataFrame, searches: list[Search], keys: DataFrame) -> DataFrame | None:
+    """The same from line_events for all searches, of the sources keys; None if no pattern must appear."""
+    wanted = [(s.tag, level, i, p, f"MISSING: {p}") for s in searches for level in VISITED for i, _, p in s.must_appear(level)]
+    if not wanted:
+        return None
+    rules = events.sparkSession.createDataFrame(wanted, "tag string, level string, pat_idx int, pattern string, message string")
+    seen = events.filter(F.col("kind") == APPEARED).select(*KEY, "level", "pat_idx").distinct()
+    asked = keys.select(*KEY).distinct().join(F.broadcast(rules), "tag")  # rules are configuration
+    return asked.join(seen, [*KEY, "level", "pat_idx"], "left_anti").select(*KEY, "level", "pat_idx", "pattern", "message")
+
+
 def with_captures(matches: DataFrame, regex: str, groups: int, column: str = "line") -> DataFrame:
     """captures: the groups of the pattern (null if a group is empty), and highest, the number of the last that is not."""
-    found = F.array(*[F.nullif(F.regexp_extract(column, regex, i), F.lit("")) for i in range(1, groups + 1)])
-    last = F.array_max(F.transform(found, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
-    return matches.withColumns({"captures": found, "highest": last})
+    each = F.array(*[F.nullif(F.regexp_extract(column, regex, i), F.lit("")) for i in range(1, groups + 1)])
+    last = F.array_max(F.transform(each, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
+    return matches.withColumns({"captures": each, "highest": last})

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logscan.tables import broadcast_if_small, written
+
 
 def event_window(events: DataFrame, last, now, ts: str = "ts") -> DataFrame:
     """last <= ts < now: a record is in one run only."""
@@ -24,6 +26,25 @@ def drop_late(events: DataFrame, state: DataFrame, key: str, ts: str = "ts") ->
     return events.join(state.select(key, "last_ts"), key, "left").filter(F.col("last_ts").isNull() | (F.col(ts) >= F.col("last_ts"))).drop("last_ts")
 
 
+def of_hosts(events: DataFrame, hosts: DataFrame, key: str = "host") -> DataFrame:
+    """Events of the hosts listed (key). A list of checked size goes to the events, a larger one meets them in a shuffle."""
+    return events.join(broadcast_if_small(written(hosts.select(key).distinct())), key, "left_semi")
+
+
+def units(events: DataFrame, last, now, names: list[str] | None = None, unit: str = "unit", ts: str = "ts") -> DataFrame:
+    """Journal records from last on and before now, of the given units if any."""
+    inside = event_window(events, last, now, ts)
+    return inside.filter(F.col(unit).isin(names)) if names else inside
+
+
+def event_lines(events: DataFrame, last, now, included: Column | None = None, excluded: Column | None = None, fmt: str = "%g %i %m", ts: str = "ts", key: tuple = ("tag", "host", "logfile")) -> DataFrame:
+    """tag, host, logfile, file_seq, line_no, line of the events of a run: those in its window that are included and not excluded, rendered, in the order of time (line_no is in microseconds)."""
+    kept = event_window(events, last, now, ts)
+    kept = kept if included is None else kept.filter(included)
+    kept = kept if excluded is None else kept.filter(~excluded)
+    return kept.select(*key, F.lit(0).alias("file_seq"), F.unix_micros(ts).alias("line_no"), render_event(fmt).alias("line"))
+
+
 def _tests(source: list | None, category: list | None, event_id: list | None, event_type: list | None) -> list[Column | None]:
     blind = lambda col, values: F.lower(col).isin([v.lower() for v in values]) if values else None
     return [blind("source", source), blind("category", category), F.col("event_id").bitwiseAND(0xFFFF).isin(list(event_id)) if event_id else None, blind("event_type", event_type)]

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscan.functions.text import html_escape
 from logscan.model import LEVELS, ORD, SEVERITY, VISITED
 
+#: Colours of rows of a report.
+COLOURS = {"OK": "#90ee90", "WARNING": "#ffff99", "CRITICAL": "#ff9999", "UNKNOWN": "#ffcc99"}
+
 
 def severity(level: Column) -> Column:
     out = F.lit(0)
@@ -28,10 +32,7 @@ def _counts() -> list[Column]:
 
 def perf_counters(lines: DataFrame, matches: DataFrame, key: str = "tag") -> DataFrame:
     """key, lines, criticals, warnings, unknowns; lines count before any prefilter, and keys without matches have zeros."""
-    read = lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines"))
-    found = matches.groupBy(key).agg(*_counts())
-    names = ["lines", "criticals", "warnings", "unknowns"]
-    return read.join(found, key, "full").select(key, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    return counters(lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines")), matches, key)
 
 
 def level_rollup(matches: DataFrame, key: str = "tag") -> DataFrame:
@@ -77,7 +78,9 @@ def service_result(matches: DataFrame, previewed: DataFrame | None = None, hit_c
 def long_report(matches: DataFrame, maxlength: int = 4096, order: tuple = (*ORD, "pat_pos")) -> DataFrame:
     """seq, tag, level, text: a header for each tag, then its messages in the order of levels, cut at the first row past maxlength characters.
 
-    Each tag is cut first, in its own window, so that the global running length sees a few rows.
+    No tag can bring more rows than maxlength, and neither can the report: tasks send no more
+    than that of a tag, and the running lengths are taken over so few rows. An empty message
+    counts as one character.
     """
     place = F.array_position(F.array(*[F.lit(v) for v in VISITED]), F.col("level"))
     body = matches.select("tag", "level", place.alias("p"), F.struct(*order).alias("o"), F.col("message").alias("text"))
@@ -85,11 +88,27 @@ def long_report(matches: DataFrame, maxlength: int = 4096, order: tuple = (*ORD,
     empty = F.struct(*[F.lit(None).cast("long").alias(c) for c in order])
     head = worst.select("tag", F.col("w.level").alias("level"), F.lit(0).cast("long").alias("p"), empty.alias("o"), F.concat(F.lit("tag "), "tag", F.lit(" "), "w.level").alias("text"))
     body = body.withColumn("o", F.struct(*[F.col(f"o.{c}").cast("long").alias(c) for c in order]))
-    rows = head.unionByName(body)
-    own = Window.partitionBy("tag").orderBy("p", "o", "text")
-    cut = rows.withColumn("run", F.sum(F.length("text")).over(own)).withColumn("nth", F.row_number().over(own)).filter(F.col("run") < maxlength)
-    whole = Window.orderBy("tag", "nth")  # over rows of less than maxlength characters a tag
-    return cut.withColumn("total", F.sum(F.length("text")).over(whole)).withColumn("seq", F.row_number().over(whole)).filter(F.col("total") < maxlength).select("seq", "tag", "level", "text")
+    own, size = Window.partitionBy("tag").orderBy("p", "o", "text"), F.greatest(F.length("text"), F.lit(1))
+    first = head.unionByName(body).withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= maxlength)
+    cut = first.withColumn("run", F.sum(size).over(Window.partitionBy("tag").orderBy("nth"))).filter(F.col("run") < maxlength)
+    whole = Window.orderBy("tag", "nth")  # over so many rows
+    top = cut.orderBy("tag", "nth").limit(maxlength)
+    return top.withColumn("total", F.sum(size).over(whole)).withColumn("seq", F.row_number().over(whole)).filter(F.col("total") < maxlength).select("seq", "tag", "level", "text")
+
+
+def html_report(report: DataFrame) -> DataFrame:
+    """seq, html: a table row for each row of a long report, coloured by level; the texts are escaped."""
+    colour = F.lit(COLOURS["OK"])
+    for level, c in COLOURS.items():
+        colour = F.when(F.col("level") == level, c).otherwise(colour)
+    return report.select("seq", F.concat(F.lit('<tr style="background-color: '), colour, F.lit('"><td>'), html_escape(F.col("text")), F.lit("</td></tr>")).alias("html"))
+
+
+def counters(read: DataFrame, matches: DataFrame, key: str = "tag") -> DataFrame:
+    """key, lines, criticals, warnings, unknowns from read (key, lines), the lines before any prefilter; keys without matches have zeros."""
+    found = matches.groupBy(key).agg(*_counts())
+    names = ["lines", "criticals", "warnings", "unknowns"]
+    return read.join(found, key, "full").select(key, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def perf_text(counters: DataFrame, key: str = "tag") -> DataFrame:

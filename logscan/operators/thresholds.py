@@ -6,10 +6,28 @@ line) the k-th match is reported if (c + k) mod N = 0, and (c + total) mod N is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscan.model import KEY, ORD
+from logscan.model import KEY, ORD, Search
+
+#: Lines of a file that a hot key's matches are numbered in at a time.
+RUN = 100_000
+
+
+def every(searches: list[Search]) -> Column:
+    """The threshold of a match by its tag and level, 1 if there is none."""
+    out = F.lit(1)
+    for s in searches:
+        for level, n in s.threshold.items():
+            if n > 1:
+                out = F.when((F.col("tag") == s.tag) & (F.col("level") == level.upper()), n).otherwise(out)
+    return out
+
+
+def run_of_lines() -> Column:
+    """A run of lines of one file, for numbering in runs."""
+    return F.struct("file_seq", F.floor(F.col("line_no") / RUN).alias("part"))
 
 
 def numbered(matches: DataFrame, key: tuple = (*KEY, "level"), order: tuple = (*ORD, "pat_pos"), hot: str | None = None) -> DataFrame:
@@ -28,9 +46,9 @@ def numbered(matches: DataFrame, key: tuple = (*KEY, "level"), order: tuple = (*
     return matches.withColumn("_in", inside).join(runs, [*key, hot]).withColumn("k", F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
-def apply_threshold(matches: DataFrame, n: int, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), order: tuple = (*ORD, "pat_pos"), hot: str | None = None) -> DataFrame:
-    """Every n-th match of a key, counted on from carry (key, carry)."""
-    if n <= 1:
+def apply_threshold(matches: DataFrame, n: int | Column, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), order: tuple = (*ORD, "pat_pos"), hot: str | None = None) -> DataFrame:
+    """Every n-th match of a key, counted on from carry (key, carry); n may be a column that the key determines."""
+    if isinstance(n, int) and n <= 1:
         return matches
     rows = numbered(matches, key, order, hot)
     if carry is not None:
@@ -39,8 +57,8 @@ def apply_threshold(matches: DataFrame, n: int, carry: DataFrame | None = None,
     return rows.filter((c + F.col("k")) % n == 0).drop("k", "_c")
 
 
-def next_carry(matches: DataFrame, n: int, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), now=None) -> DataFrame:
-    """key, carry: what the next run counts on from.
+def next_carry(matches: DataFrame, n: int | Column, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), now=None) -> DataFrame:
+    """key, carry: what the next run counts on from; n may be a column over the key.
 
     With now, the time of this run's matches, also threshold_times: when the hits carried on came, n - 1 at most.
     """
@@ -54,7 +72,7 @@ def next_carry(matches: DataFrame, n: int, carry: DataFrame | None = None, key:
         return total.select(*key, after.alias("carry"))
     none = F.array().cast("array<timestamp>")
     before = F.coalesce("threshold_times", none) if carry is not None else none
-    times = F.concat(before, F.array_repeat(F.lit(now).cast("timestamp"), F.least(hits, F.lit(n)).cast("int")))
+    times = F.concat(before, F.array_repeat(F.lit(now).cast("timestamp"), F.least(hits, F.lit(n) if isinstance(n, int) else n).cast("int")))
     last = F.slice(times, F.size(times) - after.cast("int") + 1, after.cast("int"))
     return total.select(*key, after.alias("carry"), last.alias("threshold_times"))
 
@@ -67,3 +85,8 @@ def live_times(state: DataFrame, now, expiry: int) -> DataFrame:
 def live_carry(state: DataFrame, now, expiry: int, key: tuple = (*KEY, "level")) -> DataFrame:
     """key, carry from threshold_times: hits older than expiry seconds no longer count."""
     return live_times(state, now, expiry).select(*key, F.size("threshold_times").cast("long").alias("carry"))
+
+
+def live_counts(hits: DataFrame, now, expiry: int, key: tuple = (*KEY, "level"), when: str = "when") -> DataFrame:
+    """key, carry from a table of hits, a row each: the same without any list of times."""
+    return hits.groupBy(*key).agg(F.count_if(F.unix_timestamp(F.lit(now)) - F.unix_timestamp(when) <= expiry).alias("carry"))
