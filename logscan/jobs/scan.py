@@ -1,4 +1,9 @@
-"""One incremental run: list, select, read, classify, reduce, write, then save the state."""
+"""One incremental run: list, measure, select, read, classify, reduce, write, then save the state.
+
+The text is read twice: once to measure it (sizes, line counts, fingerprints: sums of each
+split), and, of files with something new, once for all searches together. What the lines
+have for the searches is written as a table of events, and all that follows works on that.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +16,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
-from logscan.model import KEY, LEVELS, TEN_YEARS, Search
-from logscan.operators import classify, report, sticky, thresholds
+from logscan.model import KEY, LEVELS, TEN_YEARS, Search, macros, resolved
+from logscan.operators import callbacks, classify, formats, report, sticky, thresholds
 from logscan.sources import incremental, lines
+from logscan.tables import broadcast_if_small, written
 
-STATE = "tag string, host string, logfile string, logoffset long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, runcount long, runtime timestamp"
-
+STATE = "tag string, host string, logfile string, logoffset long, loglines long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, private map<string,string>, runcount long, runtime timestamp"
 
-ALERT = "tag string, host string, logfile string, level string, pat_idx int, pat_key string, file_seq int, line_no long, pat_pos int, message string"
+#: Where alerts stand that no line has made: at the end.
+END = (1 << 31) - 1
+ALERT = "tag string, host string, logfile string, level string, pat_idx int, pat_key string, pattern string, file_seq long, line_no long, pat_pos int, message string"
+COLUMNS = [c.split()[0] for c in ALERT.split(", ")]
 
 
 def alert(spark: SparkSession, tag: str, level: str, message: str, host: str = "localhost") -> DataFrame:
     """A match that no line has made."""
-    return spark.createDataFrame([(tag, host, "", level, 0, "alert", (1 << 31) - 1, (1 << 31) - 1, 0, message)], ALERT)
+    return spark.createDataFrame([(tag, host, "", level, 0, "alert", "", END, END, 0, message)], ALERT)
+
+
+def _alerts(found: DataFrame, what: str) -> DataFrame:
+    """Rows (key, level, message, and maybe pat_idx and pattern) as matches at the end."""
+    given = {"pat_idx": F.lit(0), "pattern": F.lit(""), "pat_pos": F.lit(0)} | {c: F.col(c) for c in ("pat_idx", "pattern") if c in found.columns}
+    fixed = {"pat_key": F.lit(what), "file_seq": F.lit(END), "line_no": F.lit(END)}
+    return found.withColumns({**given, **fixed}).select(*[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in ALERT.split(", "))])
 
 
 def _called(call: Callable, what: str, *args) -> tuple[str, str]:
@@ -42,49 +57,74 @@ class Run:
     state: DataFrame
 
 
-def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-    """Matches to report and the thresholds' carry (key, level, carry) for lines with tag, host and logfile.
+@dataclass
+class Scanned:
+    """What the lines of a run give: matches to report, the thresholds' carry (key, level, carry, threshold_times), and the last all-clear line (key, ok_at)."""
+
+    matches: DataFrame
+    carry: DataFrame | None
+    clear: DataFrame
+
+
+def _several_lines(read: DataFrame, searches: list[Search]) -> list[DataFrame]:
+    """The events of formats over several lines, which look at the lines before a line."""
+    out = []
+    for s in searches:
+        wide = [f for f in formats.parse_formats(s.formats) if len(f.patterns()) > 1] if s.formats else []
+        if any(f.can_match() for f in wide):
+            own = read.filter(F.col("tag") == s.tag)
+            hits = formats.match_formats(own, wide, key=KEY, defaults={"LABEL": s.host or "", "FILENAME": s.logfile or ""}, severity_map=s.format_levels)
+            level = reduce(lambda o, c: F.when(F.col("hit.exit_code") == c, classify.BY_CODE[c]).otherwise(o), classify.BY_CODE, F.lit(None).cast("string"))
+            rows = hits.filter(classify.accepted(F.col("line"), s)).withColumn("level", level).filter("level is not null")
+            out.append(rows.select(*KEY, "file_seq", "line_no", F.lit(classify.MATCHED).alias("kind"), "level", F.lit(0).alias("pat_idx"), F.col("hit.format_name").alias("pat_key"), F.lit("").alias("pattern"), F.lit(1000).alias("pat_pos"), F.col("hit.subject").alias("message")))
+    return out
+
+
+def scan_all(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> Scanned:
+    """What the lines (tag, host, logfile, file_seq, line_no, line) give for the searches of their tags.
 
     Effects on a line come in this order: prefilter, exceptions, patterns, preferred level,
     all-clear, threshold; must-appear patterns are judged over all lines, and with keys for these
     sources, lines or not. With now the carry has threshold_times, for searches whose hits expire.
+
+    The lines are read once for all searches (but for formats over several lines, and for
+    must-appear patterns without keys, which ask for the sources of the lines).
     """
-    out, carries = [], []
-    for s in searches:
-        own = read.filter(F.col("tag") == s.tag)
-        found = classify.classify(own, [s])
-        clear = None
-        if s.ok:
-            clear = classify.all_clear(own, s)
-            found = classify.wipe(found, clear)
-        for level in ("CRITICAL", "WARNING", "UNKNOWN"):
-            n, rows = s.threshold.get(level.lower(), 1), found.filter(F.col("level") == level)
-            if n > 1:
-                before = None
-                if carry is not None:
-                    before = carry.filter((F.col("tag") == s.tag) & (F.col("level") == level))
-                    before = before.join(clear, list(KEY), "left_anti") if clear is not None else before
-                expires = now is not None and s.threshold_expiry
-                after = thresholds.next_carry(rows, n, before, now=now if expires else None)
-                carries.append(after.withColumn("threshold_times", F.lit(None).cast("array<timestamp>")) if now is not None and not expires else after)
-                rows = thresholds.apply_threshold(rows, n, before)
-            out.append(rows.select(*KEY, "level", "pat_idx", "pat_key", "file_seq", "line_no", "pat_pos", "message"))
-        missing = classify.missing_patterns(own, s, None if keys is None else keys.filter(F.col("tag") == s.tag)) if any(s.must_appear(x) for x in ("CRITICAL", "WARNING")) else None
-        if missing is not None:
-            at_end = F.lit((1 << 31) - 1)
-            out.append(missing.select(*KEY, "level", "pat_idx", F.lit("missing").alias("pat_key"), at_end.alias("file_seq"), at_end.cast("long").alias("line_no"), F.col("pat_idx").alias("pat_pos"), "message"))
-    matches = out[0]
-    for m in out[1:]:
-        matches = matches.unionByName(m)
-    kept = carries[0] if carries else None
-    for c in carries[1:]:
-        kept = kept.unionByName(c)
-    return matches, kept
+    events = written(reduce(DataFrame.unionByName, _several_lines(read, searches), classify.line_events(read, searches)))
+    kind, every = F.col("kind"), thresholds.every(searches)
+    clear = events.filter(kind == classify.CLEARED).groupBy(*KEY).agg(F.max(F.struct("file_seq", "line_no")).alias("ok_at"))
+    found = events.filter(kind == classify.MATCHED)
+    if any(s.ok for s in searches):
+        clear = written(clear)
+        found = classify.wipe(found, broadcast_if_small(clear))
+    after = None
+    if any(n > 1 for s in searches for n in s.threshold.values()):
+        counted, before = found.filter(every > 1), None
+        if carry is not None:
+            before = carry.filter(every > 1).join(clear, list(KEY), "left_anti")
+        after = thresholds.next_carry(counted, every, before, now=now)
+        if now is not None:
+            expiring = F.col("tag").isin([s.tag for s in searches if s.threshold_expiry])
+            after = after.withColumn("threshold_times", F.when(expiring, F.col("threshold_times")))
+        rows = thresholds.apply_threshold(counted.withColumn("_run", thresholds.run_of_lines()), every, before, hot="_run").drop("_run")
+        found = found.filter(every == 1).unionByName(rows)
+    matches = found.select(*[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in ALERT.split(", "))])
+    missing = classify.missing_events(events, searches, read.select(*KEY).distinct() if keys is None else keys)
+    if missing is not None:
+        matches = matches.unionByName(_alerts(missing, "missing").withColumn("pat_pos", F.col("pat_idx")))
+    return Scanned(matches, after, clear)
+
+
+def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The matches and the carry of scan_all."""
+    out = scan_all(read, searches, carry, keys, now)
+    return out.matches, out.carry
 
 
 def _carried(state: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
-    """key, level, carry, threshold_times of a state; of searches whose hits expire without those that are too old."""
-    old = state.select(*KEY, "threshold_times", "runtime", F.explode("threshold").alias("level", "carry"))
+    """key, level, carry, threshold_times of a state; of searches whose hits expire without those that are too old, and none of searches that do not save them."""
+    unsaved = [s.tag for s in searches if not s.save_threshold]
+    old = state.filter(~F.col("tag").isin(unsaved)).select(*KEY, "threshold_times", "runtime", F.explode("threshold").alias("level", "carry"))
     times = F.coalesce(F.col("threshold_times")[F.col("level")], F.array_repeat("runtime", F.col("carry").cast("int")))
     old = old.select(*KEY, "level", "carry", times.alias("threshold_times"))
     expiring = {s.tag: s.threshold_expiry for s in searches if s.threshold_expiry}
@@ -95,28 +135,80 @@ def _carried(state: DataFrame, searches: list[Search], now: datetime) -> DataFra
     return reduce(DataFrame.unionByName, parts)
 
 
-def _standing(matches: DataFrame, state: DataFrame, todo: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
+def _standing(matches: DataFrame, state: DataFrame, clear: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
     """The matches that stand after this run with when, for searches with sticky alerts: those of this run and, before them, those kept."""
     at = F.lit(now).cast("timestamp")
     kept = state.select(*KEY, F.posexplode("sticky").alias("nth", "m"))
-    kept = kept.select(*KEY, "m.level", F.lit(0).alias("pat_idx"), F.lit("sticky").alias("pat_key"), F.lit(-1).alias("file_seq"), F.col("nth").cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "m.message", "m.when")
+    kept = kept.select(*KEY, "m.level", F.lit(0).alias("pat_idx"), F.lit("sticky").alias("pat_key"), F.lit("").alias("pattern"), F.lit(-1).cast("long").alias("file_seq"), F.col("nth").cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "m.message", "m.when")
+    clear = clear.select(*KEY, F.timestamp_seconds(F.lit(0)).alias("ok_when"))  # this run's matches before the line are wiped already
     parts = []
     for s in searches:
         own = F.col("tag") == s.tag
-        clear = classify.all_clear(todo.filter(own), s) if s.ok else state.limit(0)
-        clear = clear.select(*KEY, F.timestamp_seconds(F.lit(0)).alias("ok_when"))  # this run's matches before the line are wiped already
         seconds = s.sticky if s.sticky > 1 else TEN_YEARS
-        parts.append(sticky.apply_sticky(matches.filter(own).withColumn("when", at), kept.filter(own), clear, now, seconds, also=("pat_idx", "pat_key", "file_seq", "line_no", "pat_pos")))
+        parts.append(sticky.apply_sticky(matches.filter(own).withColumn("when", at), kept.filter(own), clear.filter(own), now, seconds, also=("pat_idx", "pat_key", "pattern", "file_seq", "line_no", "pat_pos")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(spark: SparkSession, searches: list[Search], paths: list[str], state_path: str, run_ts: datetime, host: str = "localhost", protocol_path: str | None = None, before: Callable | None = None, after: Callable | None = None, replaces: bool = False, protocol_error: str = "CRITICAL") -> Run:
+def _called_back(matches: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame]:
+    """The matches after the callbacks of their searches have seen them, and the callbacks' state (key, private)."""
+    out = matches.filter(~F.col("tag").isin([s.tag for s in searches]))
+    states = state.filter("private is not null").select(*KEY, "private")
+    kept = states.filter(~F.col("tag").isin([s.tag for s in searches]))
+    for s in searches:
+        own = F.col("tag") == s.tag
+        seen = written(callbacks.with_state(matches.filter(own), s.callback, s.callback_mode, states.filter(own)))
+        rows = seen.filter("origin <> 'state'")
+        if s.callback_mode == "plain":
+            rows = rows.filter("origin = 'failure'")
+            out = out.unionByName(matches.filter(own))
+        out = out.unionByName(rows.select(*KEY, "level", F.lit(0).alias("pat_idx"), F.col("origin").alias("pat_key"), F.lit("").alias("pattern"), "file_seq", "line_no", "pat_pos", "message"))
+        new = seen.filter("origin = 'state'").select(*KEY, "private")
+        kept = kept.unionByName(new).unionByName(states.filter(own).join(new, list(KEY), "left_anti"))
+    return out, kept
+
+
+def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame | None]:
+    """The files of this run (key, path, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, and the splits of their text."""
+    relevant = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq")
+    names = [r["path"] for r in relevant.select("path").distinct().collect()]  # file names: Spark's own listing is on the driver too
+    if not names:
+        return relevant.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in (("end", "long"), ("rows", "long"), ("fingerprint", "string"), ("start", "long"), ("seen", "long"))}), None
+    splits = written(lines.measure(spark, sorted(names)))
+    named = relevant.join(lines.measured_files(splits), lines.same_path("file_path", "path"), "left").withColumns({"end": F.coalesce("end", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
+    # copies by their whole content; of a log and its copy the log stays
+    newest = F.when(F.col("current"), F.lit("9999-01-01").cast("timestamp")).otherwise(F.col("mtime"))
+    copies = named.select(*KEY, "path", F.col("mtime").alias("_mtime"), newest.alias("mtime"), "current", F.col("fingerprint").alias("_print"), F.coalesce("content", "path").alias("fingerprint"), F.col("end").alias("length"), "rows")
+    once = incremental.dedupe_files(copies).withColumns({"mtime": F.col("_mtime"), "fingerprint": F.col("_print")})
+    chosen = incremental.relevant_files(once, state).select(*KEY, "path", "mtime", "current", "file_seq", F.col("length").alias("end"), "rows", "fingerprint")
+    options = spark.createDataFrame([(s.tag, bool(s.rotation), s.read_all_first, s.virtual) for s in searches], "tag string, rotating boolean, read_all boolean, virtual boolean")
+    return written(incremental.starts(chosen.join(F.broadcast(options), "tag"), state)), splits
+
+
+def run(
+    spark: SparkSession,
+    searches: list[Search],
+    paths: list[str],
+    state_path: str,
+    run_ts: datetime,
+    host: str = "localhost",
+    protocol_path: str | None = None,
+    before: Callable | None = None,
+    after: Callable | None = None,
+    replaces: bool = False,
+    protocol_error: str = "CRITICAL",
+    state_error: str = "CRITICAL",
+    own_macros: dict[str, str] | None = None,
+) -> Run:
     """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
 
     before() and after(result, matches) return None or (level, text); a level other than OK is
     an alert. With replaces, an alert of before ends the run, and what after returns is the
-    result. A protocol that cannot be written is an alert of level protocol_error.
+    result. A protocol that cannot be written is an alert of level protocol_error, a state that cannot
+    be saved one of state_error; the next run reads the same lines again then. Macros in the names
+    of logs, rotations and patterns are replaced by their values at run_ts and own_macros.
     """
+    values = macros(run_ts, host, **(own_macros or {}))
+    searches = [resolved(s, values) for s in searches]
     for s in searches:
         s.check(spark)
     alerts = []
@@ -127,77 +219,94 @@ def run(spark: SparkSession, searches: list[Search], paths: list[str], state_pat
             if replaces:
                 none = spark.createDataFrame([], "tag string, lines long, criticals long, warnings long, unknowns long")
                 return Run(alerts[0], none, report.service_result(alerts[0], report.preview(alerts[0], 1, ("file_seq", "line_no"))), spark.createDataFrame([], STATE))
-    rows = [(s.tag, host, s.logfile, incremental.rotation_regex(s.rotation or "(?!)", s.logfile, host)) for s in searches]
+    rows = [(s.tag, s.host or host, s.logfile, incremental.rotation_regex(s.rotation or "(?!)", s.logfile, s.host or host)) for s in searches]
     wanted = spark.createDataFrame(rows, "tag string, host string, logfile string, pattern string")
-    state = sinks.load_state(spark, state_path)
-    first = state is None
+    version, state = sinks.state_version(spark, state_path), sinks.load_state(spark, state_path)
     state = state if state is not None else spark.createDataFrame([], STATE)
     for f in spark.createDataFrame([], STATE).schema.fields:  # a state of an older form
         state = state if f.name in state.columns else state.withColumn(f.name, F.lit(None).cast(f.dataType))
 
     files = incremental.match_archives(lines.list_files(spark, paths), wanted)
-    chosen = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
-    listing = chosen.select(*KEY, "path").collect()  # file names, not their lines
-    if listing:
-        text = lines.read_lines(spark, sorted({r["path"] for r in listing})).drop("host", "logfile", "file_mtime")
-        same_path = F.expr("regexp_replace(file_path, '^file:/+', '/') = regexp_replace(path, '^file:/+', '/')")
-        if len({tuple(r[k] for k in KEY) for r in listing}) < len(listing):
-            whole = text.groupBy("file_path").agg(F.sum(F.xxhash64("line_no", "line").cast("decimal(20,0)")).cast("string").alias("fingerprint"), F.max("end_offset").alias("bytes"))
-            # copies by their whole content; of a log and its copy the log stays
-            named = chosen.join(whole, same_path, "left").select(*KEY, "path", F.col("mtime").alias("_mtime"), F.when(F.col("current"), F.lit("9999-01-01").cast("timestamp")).otherwise(F.col("mtime")).alias("mtime"), "current", F.coalesce("fingerprint", "path").alias("fingerprint"), F.coalesce("bytes", F.lit(0)).alias("length"))
-            once = incremental.dedupe_files(named).withColumn("mtime", F.col("_mtime"))
-            chosen = incremental.relevant_files(once, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
-        read = text.join(F.broadcast(chosen), same_path)
+    newest = [s.tag for s in searches if s.newest]
+    if newest:
+        files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
+    files = written(files)
+    chosen, splits = _chosen(spark, files, state, searches)
+    fresh = chosen.filter("start < end")
+    names = sorted({r["path"] for r in fresh.select("path").distinct().collect()})
+    if names:
+        text = lines.read_lines(spark, names, splits=splits).drop("host", "logfile", "file_mtime")
+        todo = text.join(broadcast_if_small(fresh.select(*KEY, "path", "file_seq", "start"), size=64 << 20), lines.same_path("file_path", "path")).filter("start_offset >= start")
     else:
-        none = spark.createDataFrame([], "file_path string, line_no long, start_offset long, end_offset long, line string")
-        read = none.crossJoin(chosen.limit(0))
-    skipped = [s.tag for s in searches if first and not s.read_all_first]
-    reached = read.groupBy(*KEY, "file_seq", "mtime", "current").agg(F.max("end_offset").alias("end_offset"), F.max(F.when(F.col("line_no") == 0, F.xxhash64("line").cast("string"))).alias("fingerprint"))
-    todo = incremental.apply_offset(read, state).filter(~F.col("tag").isin(skipped)) if skipped else incremental.apply_offset(read, state)
+        todo = spark.createDataFrame([], "tag string, host string, logfile string, file_seq int, line_no long, line string")
 
     old = _carried(state, searches, run_ts)
     tags = [s.tag for s in searches]
     # as in the reference, the first run of a source that reads all of it does not miss patterns
     unread = wanted.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
-    matches, carry = scan_lines(todo, searches, old, wanted.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts)
-    gone = incremental.missing_sources(wanted, files)
-    end = F.lit((1 << 31) - 1)
+    scanned = scan_all(todo, searches, old, wanted.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts)
+    matches, carry = scanned.matches, scanned.carry
+    reached = chosen.select(*KEY, "file_seq", F.col("end").alias("end_offset"), "mtime", "fingerprint", "current", F.col("rows").alias("loglines"))
     state_after = incremental.advance_state(state, reached, run_ts)
-    sources = [(gone, "missing")] + [(incremental.stale_sources(state_after.filter(F.col("tag") == s.tag), run_ts, s.maxage), "stale") for s in searches if s.maxage]
-    for found, what in sources:
-        matches = matches.unionByName(found.select(*KEY, "level", F.lit(0).alias("pat_idx"), F.lit(what).alias("pat_key"), end.alias("file_seq"), end.cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "message"))
+    stale = [incremental.stale_sources(state_after.filter(F.col("tag") == s.tag), run_ts, s.maxage) for s in searches if s.maxage]
+    # a source that is not there yet is known from now on, and read from its start when it comes
+    unseen = wanted.select(*KEY).distinct().join(state_after.select(*KEY), list(KEY), "left_anti")
+    state_after = state_after.unionByName(unseen.select(*KEY, F.lit(0).cast("long").alias("logoffset"), F.timestamp_seconds(F.lit(0)).alias("logtime"), F.lit(None).cast("string").alias("fingerprint"), F.lit(1).cast("long").alias("runcount"), F.lit(run_ts).alias("runtime")))
+    at_line = reached.groupBy(*KEY).agg(F.max_by(F.when(F.col("current"), F.col("loglines")).otherwise(0), "file_seq").alias("_reached"))
+    state_after = state_after.join(at_line, list(KEY), "left").join(state.select(*KEY, "loglines"), list(KEY), "left").withColumn("loglines", F.coalesce("_reached", "loglines")).drop("_reached")
+    for level in sorted({s.logfile_missing for s in searches} - {"off"}):
+        asked = wanted.filter(F.col("tag").isin([s.tag for s in searches if s.logfile_missing == level]))
+        matches = matches.unionByName(_alerts(incremental.missing_sources(asked, files, level.upper()), "missing log"))
+    for old_ones in stale:
+        matches = matches.unionByName(_alerts(old_ones, "stale"))
     others = old.filter(~F.col("tag").isin(tags))
     carry = carry.unionByName(others) if carry is not None else others
     timed = F.when(F.col("threshold_times").isNotNull(), F.struct("level", "threshold_times"))
     counts = carry.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("level", "carry"))).alias("threshold"), F.map_from_entries(F.collect_list(timed)).alias("threshold_times"))
     state_after = state_after.join(counts, list(KEY), "left")
-    matches = matches.persist()
+    matches = written(matches)
+    heard = [s for s in searches if s.callback]
+    private = state.filter("private is not null").select(*KEY, "private")
+    if heard:
+        matches, private = _called_back(matches, state, heard)
+        matches = written(matches)
     new, sticking = matches, [s for s in searches if s.sticky]
     stuck = state.filter(~F.col("tag").isin(tags)).select(*KEY, "sticky").filter("sticky is not null")
     if sticking:
-        standing = _standing(new, state, todo, sticking, run_ts).persist()
+        standing = written(_standing(new, state, scanned.clear, sticking, run_ts))
         matches = new.filter(~F.col("tag").isin([s.tag for s in sticking])).unionByName(standing.drop("when"))
         in_order = F.sort_array(F.collect_list(F.struct("when", "file_seq", "line_no", "pat_pos", "level", "message")))
         each = F.transform(in_order, lambda m: F.struct(m["level"].alias("level"), m["when"].alias("when"), m["message"].alias("message")))
         stuck = stuck.unionByName(standing.groupBy(*KEY).agg(each.alias("sticky")))
-    state_after = state_after.join(stuck, list(KEY), "full").withColumns({"runcount": F.coalesce("runcount", F.lit(1).cast("long")), "runtime": F.coalesce("runtime", F.lit(run_ts))})
+    state_after = state_after.join(stuck, list(KEY), "full").join(private, list(KEY), "full")
+    state_after = state_after.withColumns({"runcount": F.coalesce("runcount", F.lit(1).cast("long")), "runtime": F.coalesce("runtime", F.lit(run_ts))}).select(*[c.split()[0] for c in STATE.split(", ")])
     if protocol_path:
         keep = [s.tag for s in searches if s.protocol]
         try:
-            sinks.write_protocol(new.filter(F.col("tag").isin(keep)), protocol_path, run_ts)
+            sinks.write_protocol(new.filter(F.col("tag").isin(keep) & (F.col("level") != "OK")), protocol_path, run_ts, str(version))
         except Exception as e:
             alerts.append(alert(spark, "protocol", protocol_error, f"cannot write protocol: {str(e)[:200]}", host))
     for extra in alerts:
         matches = matches.unionByName(extra)
     silent = [s.tag for s in searches if not s.count]
-    reported = matches.filter(~F.col("tag").isin(silent)) if silent else matches
-    result = report.service_result(reported, report.preview(reported, 1, ("file_seq", "line_no")))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        counted = rows.filter(~F.col("tag").isin(silent)) if silent else rows
+        return report.service_result(counted, report.preview(counted, 1, ("file_seq", "line_no")))
+
+    result = summed(matches)
     if after:
         level, text = _called(after, "after", result.first().asDict(), matches)
         if replaces:
             result = result.withColumns({"level": F.lit(level), "code": F.lit(LEVELS[level]), "text": F.lit(text)})
         elif level != "OK":
-            reported = reported.unionByName(alert(spark, "after", level, text, host))
-            result = report.service_result(reported, report.preview(reported, 1, ("file_seq", "line_no")))
-    sinks.save_state(state_after, state_path)
-    return Run(matches, report.perf_counters(todo, matches), result, state_after)
+            matches = matches.unionByName(alert(spark, "after", level, text, host))
+            result = summed(matches)
+    try:
+        sinks.save_state(state_after, state_path)
+        state_after = sinks.load_state(spark, state_path)
+    except Exception as e:
+        matches = matches.unionByName(alert(spark, "state", state_error, f"cannot write state: {str(e)[:200]}", host))
+        result = summed(matches)
+    read = chosen.groupBy("tag").agg(F.sum(F.col("rows") - F.col("seen")).alias("lines"))
+    return Run(matches, report.counters(read, matches), result, state_after)

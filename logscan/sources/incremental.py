@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscan.tables import broadcast_if_small, written
+
 KEY = ["tag", "host", "logfile"]
 
 # Names of archives by rotation scheme, anchored at the start of the name; NAME and HOST are filled in.
@@ -36,7 +38,10 @@ def rotation_regex(scheme: str, basename: str, host: str = "") -> str:
 
 
 def match_archives(files: DataFrame, searches: DataFrame) -> DataFrame:
-    """files (path, mtime, length) with the searches (tag, host, logfile, pattern) whose log or archives they are; current marks the log itself."""
+    """files (path, mtime, length) with the searches (tag, host, logfile, pattern) whose log or archives they are; current marks the log itself.
+
+    searches are configuration: they go to the files.
+    """
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     named = files.withColumn("name", name)
     hit = F.expr("name rlike pattern") | (F.col("name") == F.col("logfile"))
@@ -89,11 +94,47 @@ def relevant_files(files: DataFrame, state: DataFrame, key: list = KEY) -> DataF
     return new.withColumn("file_seq", F.row_number().over(w) - 1).drop("logtime")
 
 
+def starts(files: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
+    """files with start, the offset to read on from (end, if nothing is to be read), and seen, the lines before it.
+
+    files: key, file_seq, end, rows, fingerprint, current, and the options rotating, read_all and
+    virtual of their searches; state: key, logoffset, fingerprint, loglines.
+
+    - A source without state is read from its start with read_all, else from its end on.
+    - A virtual source is read whole in each run.
+    - Of a rotating log the file with the saved fingerprint is read on, older ones are done with, newer ones are
+      read whole; if there is no such file all are. Without a saved fingerprint the oldest is the one.
+    - A log that does not rotate is read on if its fingerprint is the saved one.
+    - A file that ends before the saved offset is read whole.
+    """
+    saved = state.select(*key, "logoffset", F.col("fingerprint").alias("_print"), "loglines", F.lit(True).alias("_known"))
+    both = files.join(saved, key, "left")
+    at, end, seq = F.coalesce("logoffset", F.lit(0)), F.col("end"), F.col("file_seq")
+    same = F.when(F.col("_print").isNull(), seq == 0).otherwise(F.coalesce(F.col("fingerprint") == F.col("_print"), F.lit(False)))
+    last = F.min(F.when(same, seq)).over(Window.partitionBy(*key))  # over the files of a log
+    both = both.withColumn("_last", F.when(F.col("rotating"), last).when(same, seq))
+    on = F.when(at <= end, at).otherwise(0)
+    start = (
+        F.when(F.col("virtual"), 0)
+        .when(F.col("_known").isNull() | F.col("logoffset").isNull(), F.when(F.col("read_all"), 0).otherwise(end))
+        .when(F.col("_last").isNull() | (seq > F.col("_last")), 0)
+        .when(seq < F.col("_last"), end)
+        .otherwise(on)
+    )
+    both = both.withColumn("start", start.cast("long"))
+    seen = F.when(F.col("start") == end, F.col("rows")).when(F.col("start") == 0, 0).otherwise(F.coalesce("loglines", F.lit(0)))
+    return both.withColumn("seen", seen.cast("long")).drop("logoffset", "_print", "loglines", "_known", "_last")
+
+
 def apply_offset(lines: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
-    """Lines of the oldest file from the saved offset on, of later files all; an oldest file that ends before the offset is read whole."""
+    """Lines of the oldest file from the saved offset on, of later files all; an oldest file that ends before the offset is read whole.
+
+    The starts are a row a source; if they are few enough they go to the lines, which are not shuffled then.
+    """
     first = lines.filter("file_seq = 0").groupBy(*key).agg(F.max("end_offset").alias("_size"))
-    start = first.join(state.select(*key, "logoffset"), key, "left").select(*key, F.when(F.col("logoffset") <= F.col("_size"), F.col("logoffset")).otherwise(0).alias("_start"))
-    out = lines.join(start, key, "left")
+    saved = state.select(*key, "logoffset").filter("logoffset > 0")
+    start = written(first.join(saved, key).filter(F.col("logoffset") <= F.col("_size")).select(*key, F.col("logoffset").alias("_start")))
+    out = lines.join(broadcast_if_small(start), key, "left")
     return out.filter((F.col("file_seq") > 0) | (F.col("start_offset") >= F.coalesce("_start", F.lit(0)))).drop("_start")
 
 
@@ -116,6 +157,29 @@ def advance_state(state: DataFrame, read: DataFrame, run_ts, key: list = KEY) ->
     )
 
 
+def situation_rotating(files: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
+    """key, situation of rotating logs (files: key, file_seq, length, fingerprint, current): as in classify_source for the file that was read last.
+
+    new, same or grown: that file is still the log; rotated: it is an archive now; replaced: it is
+    gone and other files are there; only_archives: the log itself is missing; missing: no file at all.
+    """
+    saved = state.select(*key, "logoffset", F.col("fingerprint").alias("_print"), F.lit(True).alias("_known"))
+    one = files.join(saved, key, "left").groupBy(*key).agg(
+        F.max(F.when(F.col("current"), F.struct("length", "fingerprint"))).alias("log"), F.max(F.when(F.col("fingerprint") == F.col("_print"), True)).alias("found"), F.first("_known").alias("_known"), F.first("_print").alias("_print"), F.first("logoffset").alias("logoffset")
+    )
+    gone = saved.join(files.select(*key).distinct(), key, "left_anti").select(*key, F.lit("missing").alias("situation"))
+    still = F.col("log.fingerprint") == F.col("_print")
+    what = (
+        F.when(F.col("log").isNull(), "only_archives")
+        .when(F.col("_known").isNull(), "new")
+        .when(still & (F.col("log.length") > F.col("logoffset")), "grown")
+        .when(still & (F.col("log.length") == F.col("logoffset")), "same")
+        .when(F.col("found"), "rotated")
+        .otherwise("replaced")
+    )
+    return one.select(*key, what.alias("situation")).unionByName(gone)
+
+
 def missing_sources(searches: DataFrame, files: DataFrame, level: str = "UNKNOWN", key: list = KEY) -> DataFrame:
     """key, level, message of the searches without any file."""
     gone = searches.select(*key).join(files.select(*key).distinct(), key, "left_anti")

@@ -2,49 +2,148 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from datetime import datetime
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logscan.tables import broadcast_if_small, written
+
+COMPRESSED = r"\.(gz|bz2)$"
+
+
+def _changed(spark: SparkSession, name: str) -> datetime:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return datetime.fromtimestamp(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime() / 1000)
+
 
-def list_files(spark: SparkSession, paths: list[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """path, mtime, length of files; their content is not read."""
+def list_files(spark: SparkSession, paths: list[str], recursive: bool = True, glob: str | None = None, levels: int | None = None) -> DataFrame:
+    """path, mtime, length of files; their content is not read. levels: how many folders below paths are looked into."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.load(paths).select(F.col("path"), F.col("modificationTime").alias("mtime"), F.col("length"))
+    found = reader.load(paths)
+    files = found.select(F.col("path"), F.col("modificationTime").alias("mtime"), F.col("length"))
+    # the reader passes over empty files
+    names = spark.createDataFrame([(unquote(n),) for n in found.inputFiles()], "name string")
+    empty = [r["name"] for r in names.join(files, same_path("name", "path"), "left_anti").collect()]
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(n, _changed(spark, n), 0) for n in empty], "path string, mtime timestamp, length long"))
+    if levels is None:
+        return files
+    depth = lambda p: F.size(F.split(F.regexp_replace(p, "^[a-z]+:/*|^/+", ""), "/"))
+    within = [F.contains(F.col("path"), F.lit(p.rstrip("/") + "/")) & (depth(F.col("path")) - depth(F.lit(p.rstrip("/"))) <= levels + 1) for p in paths]
+    out = within[0]
+    for w in within[1:]:
+        out = out | w
+    return files.filter(out)
+
+
+def same_path(a: str, b: str) -> Column:
+    """Whether two columns name one file, whichever way a local path is written."""
+    return F.expr(f"regexp_replace({a}, '^file:/+', '/') = regexp_replace({b}, '^file:/+', '/')")
+
+
+def _text(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
+    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(paths)
+    meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "file_path"), ("file_modification_time", "file_mtime"), ("file_size", "size"), ("file_block_start", "block"))]
+    return text.select(*meta, F.col("value").alias("line"))
+
 
+def measure(spark: SparkSession, paths: list[str], recursive: bool = True, larger: int | None = None) -> DataFrame:
+    """file_path, size, block, rows, bytes (line feeds included), first (a hash of the first line) and content (one of all) of each split of the files.
 
-def read_lines(spark: SparkSession, paths: list[str], host: str | None = None, encoding: str | None = None, recursive: bool = True) -> DataFrame:
+    One pass over the text; only these sums are shuffled. larger: only files of more bytes.
+    """
+    rows = _text(spark, paths, recursive)
+    rows = rows if larger is None else rows.filter(F.col("size") > larger)
+    hashed = F.xxhash64("line")
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min_by(hashed, F.col("_id")).alias("first"), F.sum(hashed.cast("decimal(20,0)")).alias("content")]
+    return rows.withColumn("_id", F.monotonically_increasing_id()).groupBy("file_path", "size", "block").agg(*sums)
+
+
+def measured_files(splits: DataFrame) -> DataFrame:
+    """file_path, rows, end (the offset after the last line), fingerprint (of the first line, null if that may not be complete) and content of each file."""
+    files = splits.groupBy("file_path").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"), F.min_by("first", "block").alias("first"), F.sum("content").alias("content"))
+    plain = ~F.col("file_path").rlike(COMPRESSED)
+    whole = (F.col("rows") > 1) | ~plain | (F.col("bytes") <= F.col("size"))
+    return files.select("file_path", "rows", F.when(plain, F.least("bytes", "size")).otherwise(F.col("bytes")).alias("end"), F.when(whole, F.col("first").cast("string")).alias("fingerprint"), F.col("content").cast("string").alias("content"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the number of each line in its split and the bytes up to its end; the lines of a split follow on each other in a task."""
+    key, rows, bytes_ = None, 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        path, block = batch.column("file_path"), batch.column("block").to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        new = np.zeros(n, dtype=bool)
+        new[0] = key != (path[0].as_py(), block[0])
+        new[1:] = (block[1:] != block[:-1]) | pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        total, place = np.cumsum(sizes), np.arange(1, n + 1)
+        starts = np.flatnonzero(new)
+        of = np.cumsum(new) - 1  # -1: goes on from the batch before
+        number, end = place.copy(), total.copy()
+        if len(starts):
+            later = of >= 0
+            number[later] -= starts[of[later]]
+            end[later] -= (total - sizes)[starts[of[later]]]
+        number[of < 0] += rows
+        end[of < 0] += bytes_
+        key, rows, bytes_ = (path[n - 1].as_py(), block[n - 1]), int(number[-1]), int(end[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(end)], names=[*batch.schema.names, "n", "bytes"])
+
+
+def _smallest_split(spark: SparkSession) -> int:
+    """Bytes of a file that is never split."""
+    context = spark._jsparkSession.sessionState().conf()
+    return min(context.filesOpenCostInBytes(), context.filesMaxPartitionBytes())
+
+
+def read_lines(spark: SparkSession, paths: list[str], host: str | None = None, encoding: str | None = None, recursive: bool = True, splits: DataFrame | None = None) -> DataFrame:
     """host, logfile, file_path, file_mtime, line_no (from 0), start_offset, end_offset, line.
 
     Only line feeds end a line. .gz and .bz2 files are read by their suffix. Lines are numbered
-    in two steps, so that a large file is not sorted in one task: rows and bytes are counted for
-    each split of a file, those small sums are added up and joined back, and rows are numbered
-    inside their split. With an encoding a file is decoded as a whole; other signs become `?`.
+    where they are read, in one pass over each split, and no text is shuffled. A split of a larger file
+    begins where those before it end: splits (of measure) tells, else the larger files are
+    measured first. With an encoding a file is decoded as a whole; other signs become `?`.
     """
     if encoding:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
         text = F.regexp_replace(F.regexp_replace(F.decode("content", encoding), "\r\n?", "\n"), r"[^\x00-\x7F]", "?")
-        rows = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_mtime"), F.col("length").alias("size"), F.lit(0).cast("long").alias("block"), F.posexplode(F.split(text, "\n")).alias("in_block", "line"))
-        last = F.max("in_block").over(Window.partitionBy("file_path"))
-        rows = rows.withColumn("_last", last).filter((F.col("in_block") < F.col("_last")) | (F.col("line") != "")).drop("_last")
+        lines = F.split(text, "\n")
+        whole = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+        rows = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_mtime"), F.col("length").alias("size"), F.lit(0).cast("long").alias("block"), F.explode(whole).alias("line"))
+        bases = None
+    else:
+        rows = _text(spark, paths, recursive)
+        if splits is None:
+            splits = measure(spark, paths, recursive, larger=_smallest_split(spark))
+        before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over the splits of a file
+        bases = splits.select(F.xxhash64("file_path").alias("file"), "block", F.sum("rows").over(before).alias("base_rows"), F.sum("bytes").over(before).alias("base")).filter("base is not null")
+        bases = written(bases)
+        bases = bases if bases.limit(1).count() else None
+    if bases is not None:
+        rows = rows.withColumn("file", F.xxhash64("file_path")).join(broadcast_if_small(bases, rows=4_000_000, size=128 << 20), ["file", "block"], "left")
+        rows = rows.withColumns({"base_rows": F.coalesce("base_rows", F.lit(0)), "base": F.coalesce("base", F.lit(0))})
     else:
-        text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(paths)
-        meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "file_path"), ("file_modification_time", "file_mtime"), ("file_size", "size"), ("file_block_start", "block"))]
-        rows = text.select(*meta, F.monotonically_increasing_id().alias("in_block"), F.col("value").alias("line"))
-    in_block = Window.partitionBy("file_path", "block").orderBy("in_block")
-    rows = rows.withColumns({"n": F.row_number().over(in_block), "bytes": F.sum(F.octet_length("line") + 1).over(in_block.rowsBetween(Window.unboundedPreceding, 0))})
-    blocks = rows.groupBy("file_path", "block").agg(F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("all"))
-    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file_path", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
-    out = rows.join(blocks, ["file_path", "block"])
+        rows = rows.withColumns({"base_rows": F.lit(0).cast("long"), "base": F.lit(0).cast("long")})
+    rows = rows.select("file_path", "file_mtime", "size", "block", "base_rows", "base", "line")
+    out = rows.mapInArrow(_numbered, "file_path string, file_mtime timestamp, size long, block long, base_rows long, base long, line string, n long, bytes long")
     end = F.col("base") + F.col("bytes")
-    compressed = F.col("file_path").rlike(r"\.(gz|bz2)$")
+    compressed = F.col("file_path").rlike(COMPRESSED)
     return out.select(
         F.lit(host).alias("host"),
         F.regexp_extract("file_path", r"([^/]+)$", 1).alias("logfile"),
         "file_path",
         "file_mtime",
-        (F.col("rows") + F.col("n") - 1).alias("line_no"),
+        (F.col("base_rows") + F.col("n") - 1).alias("line_no"),
         (end - F.octet_length("line") - 1).alias("start_offset"),
         F.when(compressed | F.lit(bool(encoding)), end).otherwise(F.least(end, F.col("size"))).alias("end_offset"),
         "line",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logscan.tables import broadcast_if_small, written
+
 # Fixed value: Mon dd HH:MM:SS host process[pid] message.
 SYSLOG = r"^(\w{3})\s+(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[(\d+)\])?:? ?(.*)$"
 
@@ -73,8 +75,8 @@ def since_line(lines: DataFrame, state: DataFrame, key: tuple) -> DataFrame:
     """Lines from the saved number on (state: key, next_line); a source that now ends before it has rotated and is read from its start."""
     ends = lines.groupBy(*key).agg(F.max("line_no").alias("_end"))
     start = F.when(F.col("next_line") <= F.col("_end") + 1, F.col("next_line")).otherwise(0)
-    starts = ends.join(state.select(*key, "next_line"), list(key), "left").select(*key, F.coalesce(start, F.lit(0)).alias("_start"))
-    return lines.join(starts, list(key)).filter(F.col("line_no") >= F.col("_start")).drop("_start")
+    starts = written(ends.join(state.select(*key, "next_line"), list(key)).select(*key, start.alias("_start")).filter("_start > 0"))
+    return lines.join(broadcast_if_small(starts), list(key), "left").filter(F.col("line_no") >= F.coalesce("_start", F.lit(0))).drop("_start")
 
 
 def read_alert_table(rows: DataFrame, last, now, ts: str = "ts", text: str = "message") -> DataFrame:
@@ -83,6 +85,15 @@ def read_alert_table(rows: DataFrame, last, now, ts: str = "ts", text: str = "me
     return inside.filter(F.col(text) != "").withColumn(ts, F.date_trunc("second", F.expr(f"{ts} + interval 500 milliseconds")))
 
 
+def error_report(rows: DataFrame, last, now, ts: str = "ts", **equal: str) -> DataFrame:
+    """Records of an error report from the minute of last to the minute before now, both whole, with the given columns equal: the minute in progress is left for the next run."""
+    floor = lambda t: F.date_trunc("minute", F.lit(t).cast("timestamp"))
+    out = rows.filter((F.date_trunc("minute", F.col(ts)) >= floor(last)) & (F.date_trunc("minute", F.col(ts)) < floor(now)))
+    for column, value in equal.items():
+        out = out.filter(F.col(column) == value)
+    return out
+
+
 def skip_report_header(lines: DataFrame, header: str, **equal: str) -> DataFrame:
     """Rows of a report without its header lines, with the given columns equal."""
     out = lines.filter(~F.col("line").rlike(header))

@@ -1,4 +1,4 @@
-"""The reference scenarios, and a sequential scanner as oracle on random lines."""
+"""Scenarios of single scans, and a sequential scanner as oracle on random lines."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logscan.jobs.scan import scan_lines
-from logscan.model import Search, expand_templates, merge_searches, resolve, seconds, select_searches
-from logscan.operators import classify, report, sticky, thresholds
+from logscan.model import Search, expand_templates, macros, merge_searches, read_rules, resolve, resolved, seconds, select_searches, with_rules
+from logscan.operators import classify, literals, report, sticky, thresholds
 
 SCHEMA = "tag string, host string, logfile string, file_seq int, line_no long, line string"
 
@@ -29,23 +29,23 @@ def counts(matches):
 def test_exceptions(spark):
     s = Search(
         tag="t",
-        critical=["Failed password"],
-        warning=["Unknown user", "Failed password for invalid user seppl"],
-        exceptions={"critical": ["Failed password for invalid user (lausser|seppl)"], "warning": ["Unknown user lausser"]},
+        critical=["Disk full"],
+        warning=["Fan slow", "Disk full on volume scratch"],
+        exceptions={"critical": ["Disk full on volume (cache|scratch)"], "warning": ["Fan slow in rack 7"]},
     )
-    lines = ["Failed password for invalid user user2"] * 2 + ["Failed password for invalid user seppl"] * 2 + ["Failed password for invalid user lausser"] * 2 + ["Unknown user lausser", "Unknown user hiasl", "-- MARK --"]
+    lines = ["Disk full on volume data"] * 2 + ["Disk full on volume scratch"] * 2 + ["Disk full on volume cache"] * 2 + ["Fan slow in rack 7", "Fan slow in rack 9", "all quiet"]
     assert counts(scan_lines(frame(spark, lines), [s])[0]) == (3, 2, 0)
 
 
-@pytest.mark.parametrize(("preferred", "line", "want"), [(None, "Failed password user2", (2, 2, 0)), ("critical", "Failed password user3", (0, 4, 0)), ("warning", "Failed password user3", (2, 0, 0))])
+@pytest.mark.parametrize(("preferred", "line", "want"), [(None, "Disk full on b", (2, 2, 0)), ("critical", "Disk full on c", (0, 4, 0)), ("warning", "Disk full on c", (2, 0, 0))])
 def test_each_pattern_counts_and_preferred_level(spark, preferred, line, want):
-    s = Search(tag="t", critical=["Failed password", "user3"], warning=[".*"], preferred_level=preferred)
+    s = Search(tag="t", critical=["Disk full", "on c"], warning=[".*"], preferred_level=preferred)
     assert counts(scan_lines(frame(spark, [line] * 2), [s])[0]) == want
 
 
 def test_must_appear(spark):
-    s = Search(tag="t", critical=["rsync error", "!.*DEBUT.*", "!.*FIN.*", "!never"])
-    matches, _ = scan_lines(frame(spark, ["x DEBUT", *["rsync error"] * 4, "y FIN"]), [s])
+    s = Search(tag="t", critical=["copy error", "!.*BEGUN.*", "!.*ENDED.*", "!never"])
+    matches, _ = scan_lines(frame(spark, ["x BEGUN", *["copy error"] * 4, "y ENDED"]), [s])
     assert counts(matches) == (0, 5, 0)
     assert [r["message"] for r in matches.filter("message like 'MISSING%'").collect()] == ["MISSING: never"]
 
@@ -110,6 +110,91 @@ def test_against_a_sequential_scanner(spark, seed):
     assert got == scanner(lines, s)
 
 
+@pytest.mark.parametrize("searches", [1, 20])
+def test_all_searches_read_the_lines_once(spark, tmp_path, searches):
+    frame(spark, ["hit", "fine"]).write.parquet(str(tmp_path / "in"))
+    read = spark.read.parquet(str(tmp_path / "in"))
+    own = [Search(tag=f"t{i}", critical=["hit", "!seen"], warning=["h.t"], ok=["fine"], threshold={"critical": 2, "warning": 3}, exceptions={"warning": ["x"]}) for i in range(searches)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(classify.line_events(read, own)).count("Relation [") == 1
+    matches, carry = scan_lines(read, own, keys=spark.createDataFrame([("t0", "h", "log")], "tag string, host string, logfile string"))
+    assert str(tmp_path / "in") not in "".join(df._jdf.queryExecution().executedPlan().toString() for df in (matches, carry))
+
+
+def test_searches_keep_to_their_tags(spark):
+    own = [Search(tag="a", critical=["x"], threshold={"critical": 2}), Search(tag="b", warning=["x"], ok=["y"]), Search(tag="c", critical=["!z"], unknown=["x$"])]
+    both = frame(spark, ["x", "x", "x"], "a").union(frame(spark, ["x", "y", "x"], "b")).union(frame(spark, ["ax", "xa"], "c"))
+    matches, carry = scan_lines(both, own)
+    assert Counter((r["tag"], r["level"], r["pattern"]) for r in matches.collect()) == {("a", "CRITICAL", "x"): 1, ("b", "WARNING", "x"): 1, ("c", "UNKNOWN", "x$"): 1, ("c", "CRITICAL", "z"): 1}
+    assert [(r["tag"], r["carry"]) for r in carry.collect()] == [("a", 1)]
+
+
+PATTERNS = ["abc", "a(bc)+d", "a|b", "(ab|cd)ef", "x{0,2}yz", "[ab]cd", "a.c", "(?i)abc", "^ab$", "a\\.b", "(?:foo)bar", "ab*c", "b+", "\\d\\dab", "(?=ab)a", "a\\/b", "[[:alpha:]]b", "[a[bc]]d", "(a(b(c)))?d", "AbC"]
+
+
+@pytest.mark.parametrize("case", [True, False])
+def test_literals_lose_no_match(spark, case):
+    r = random.Random(3)
+    lines = ["".join(r.choice("abcdefoxyzABC./1 ") for _ in range(r.randrange(1, 9))) for _ in range(2000)] + ["foobar", "abcbcd", "abef", "12ab", "a.b", "a/b", ":b", "cd", "\u212a"]
+    rows = frame(spark, lines)
+    flags = "(?d)" if case else "(?di)"
+    sifted = [literals.found(F.col("line"), p, flags, case).alias(f"s{i}") for i, p in enumerate(PATTERNS)]
+    plain = [F.col("line").rlike(flags + p).alias(f"p{i}") for i, p in enumerate(PATTERNS)]
+    for x in rows.select(*sifted, *plain, literals.any_found(F.col("line"), PATTERNS, flags, case).alias("any")).collect():
+        assert all(x[f"s{i}"] == x[f"p{i}"] for i in range(len(PATTERNS))) and x["any"] == any(x[f"p{i}"] for i in range(len(PATTERNS)))
+
+
+@pytest.mark.parametrize(("pattern", "texts", "whole"), [("abc", ["abc"], True), ("abc.*de", ["abc", "de"], False), ("x(foo)+y", ["foo", "x"], False), ("(foo)bar", ["foobar"], False), ("a|b", [], False), ("(?i)abc", [], False), ("ab?", ["a"], False), ("[a[b]]c", [], False), ("\\p{L}abc", [], False)])
+def test_required_literals(pattern, texts, whole):
+    assert literals.required(pattern) == (texts, whole)
+
+
+def test_formats_as_an_option(spark):
+    text = "FORMAT Disk\n%s* disk %s is %s*\nseverity WARNING\nmsg $2\nEND\nFORMAT Dead FOLLOWS Disk\n%s* disk %s is dead\nseverity FATAL\nEND\nFORMAT Two\n%s* begins%n%s* ends\nseverity MINOR\nmsg $1\nEND"
+    s = Search(tag="t", critical=["panic"], formats=text, format_levels={"minor": 3})
+    matches, _ = scan_lines(frame(spark, ["the disk sda is slow", "the disk sdb is dead", "panic", "it begins", "it ends", "none"]), [s])
+    assert {(r["level"], r["pat_key"], r["message"]) for r in matches.collect()} == {("WARNING", "Disk", "sda"), ("CRITICAL", "Dead", "sdb"), ("CRITICAL", "unknown_pattern", "panic"), ("UNKNOWN", "Two", "it")}
+
+
+def test_rule_sets(tmp_path, spark):
+    a = Search(tag="a", critical={"k": "own"}, warning="w", exceptions={"critical": ["e"]})
+    (tmp_path / "r.json").write_text('{"critical": ["one"], "ok": "fine", "exceptions": {"critical": ["f"], "warning": ["g"]}}')
+    b = with_rules(a, [*read_rules(spark, [str(tmp_path / "r.json")]), {"critical": {"x": "two"}}])
+    assert b.rules("critical") == [(0, "x", "two"), (1, "unknown_pattern", "one"), (2, "k", "own")] and b.rules("warning") == a.rules("warning")
+    assert b.exceptions == {"critical": ["f", "e"], "warning": ["g"]} and b.ok == ["fine"]
+    with pytest.raises(ValueError, match="search a"):
+        with_rules(a, [{"criticals": []}])
+
+
+def test_all_lines_and_no_line(spark):
+    s = Search(tag="t", warning=["match_them_all"], critical=["match_never_ever", "b"])
+    assert counts(scan_lines(frame(spark, ["a", "b", ""]), [s])[0]) == (3, 1, 0)
+
+
+def test_macros_in_searches():
+    from datetime import datetime
+
+    values = macros(datetime(2024, 3, 7, 5, 6, 9), "web1.example.org", OWN="a.b")
+    s = resolved(Search(tag="t", logfile="log.$CL_DATE_YYYY$-$CL_DATE_MM$-$CL_DATE_DD$", critical={"k": "$CL_HOSTNAME$ $OWN$"}, exceptions={"critical": ["$CL_FQDN$"]}, ok=["$NONE$"]), values)
+    assert s.logfile == "log.2024-03-07" and s.rules("critical") == [(0, "k", "web1 a\\.b")]
+    assert s.exceptions == {"critical": ["web1\\.example\\.org"]} and s.ok == ["$NONE$"] and values["CL_DATE_CW"] == "10" and values["CL_DOMAIN"] == "example.org"
+
+
+def test_long_report_and_its_page(spark):
+    rows = [(t, "CRITICAL" if i % 2 else "WARNING", 0, i, 0, f"{t}<{i}>") for t in ("a", "b") for i in range(3000)]
+    m = spark.createDataFrame(rows, "tag string, level string, file_seq int, line_no long, pat_pos int, message string")
+    out = [r["text"] for r in report.long_report(m, 200).orderBy("seq").collect()]
+    want, size = [], 0
+    for text in ["tag a CRITICAL", *(f"a<{i}>" for i in range(1, 3000, 2))]:
+        size += len(text)
+        if size >= 200:
+            break
+        want.append(text)
+    assert out == want
+    page = report.html_report(report.long_report(m, 40)).orderBy("seq").collect()
+    assert page[1]["html"] == '<tr style="background-color: #ff9999"><td>a&lt;1&gt;</td></tr>'
+
+
 def test_several_searches_in_one_pass(spark):
     a, b = Search(tag="a", critical=["x"], logfile="log"), Search(tag="b", warning=["x"], logfile="other")
     both = frame(spark, ["x"]).union(frame(spark, ["x", "x"], logfile="other")).drop("tag")
@@ -118,10 +203,10 @@ def test_several_searches_in_one_pass(spark):
 
 
 def test_case_captures_and_messages(spark):
-    s = Search(tag="t", critical={"key1": "FAILED (\\w+)( now)?", "key2": "^$"}, case=False, maxlength=8)
-    found = classify.with_captures(classify.classify(frame(spark, ["failed login", ""]), [s]), "(?i)FAILED (\\w+)( now)?", 2)
+    s = Search(tag="t", critical={"key1": "BROKEN (\\w+)( now)?", "key2": "^$"}, case=False, maxlength=8)
+    found = classify.with_captures(classify.classify(frame(spark, ["broken drive", ""]), [s]), "(?i)BROKEN (\\w+)( now)?", 2)
     rows = {r["pat_key"]: r for r in found.collect()}
-    assert rows["key1"]["captures"] == ["login", None] and rows["key1"]["highest"] == 1 and rows["key1"]["message"] == "failed l"
+    assert rows["key1"]["captures"] == ["drive", None] and rows["key1"]["highest"] == 1 and rows["key1"]["message"] == "broken d"
     assert rows["key2"]["message"] == "_(null)_"
 
 
@@ -159,8 +244,8 @@ def test_configuration():
     a, b = Search(tag="a", critical=["1"]), Search(tag="b")
     newer = replace(a, critical=["2"])
     assert merge_searches([[a, b], [newer]]) == [newer, b]
-    assert [s.tag for s in select_searches([Search(tag="ssh"), Search(tag="ssh_2"), Search(tag="x")], ["ssh.*"])] == ["ssh", "ssh_2"]
-    assert [s.tag for s in select_searches([Search(tag="ssh"), Search(tag="ssh_2")], ["ssh"])] == ["ssh"]
+    assert [s.tag for s in select_searches([Search(tag="disk"), Search(tag="disk_2"), Search(tag="x")], ["disk.*"])] == ["disk", "disk_2"]
+    assert [s.tag for s in select_searches([Search(tag="disk"), Search(tag="disk_2")], ["disk"])] == ["disk"]
     assert [s.tag for s in expand_templates([Search(tag="n", template=True), b], ["h1", "h2"])] == ["n_h1", "n_h2", "b"]
     assert [s.tag for s in expand_templates([Search(tag="n", template=True)], [])] == []
     assert (seconds("5m"), seconds(90), seconds("2h"), seconds("1d")) == (300, 90, 7200, 86400)
