@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logscan.functions.text import html_encode, html_escape, url_decode
 from logscan.jobs import scan, sinks
-from logscan.model import Search
+from logscan.model import Search, merge_searches, newest_configs, with_rules
 from logscan.operators import callbacks, classify, events, formats, report, sticky, thresholds
 from logscan.sources import incremental, records
 from logscan.sources.lines import text_lines
@@ -173,7 +173,7 @@ def pattern_table(spark, sf_dir):
 @register(f"""WITH {EVENTS} SELECT host, count(*) AS n FROM ev WHERE host IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_nationkey < 5) GROUP BY host""")
 def host_semi_join(spark, sf_dir):
     hosts = _table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").cast("string").alias("host"))
-    return _events(spark, sf_dir).join(hosts, "host", "left_semi").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return events.of_hosts(_events(spark, sf_dir), hosts).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS conv, turn, 'host_' || CAST(conv_id % 3 AS VARCHAR) AS host, text FROM conversations)
@@ -187,11 +187,21 @@ def expand_templates(spark, sf_dir):
 
 
 @register("""SELECT p_brand AS tag, p_type AS template, p_partkey AS version FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1 AND regexp_matches(p_brand, 'Brand#1.*')""")
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS n FROM part) WHERE n = 1""")
 def merge_configs(spark, sf_dir):
-    rows = _table(spark, sf_dir, "part").filter(F.col("p_brand").rlike("Brand#1.*"))
-    newest = rows.groupBy(F.col("p_brand").alias("tag")).agg(F.max_by(F.struct("p_type", "p_partkey"), "p_partkey").alias("r"))
-    return newest.select("tag", F.col("r.p_type").alias("template"), F.col("r.p_partkey").alias("version"))
+    """Each part as a configuration of its brand; the newest counts."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("tag"), F.col("p_type").alias("template"), F.col("p_partkey").alias("version"))
+    return newest_configs(rows).select("tag", "template", "version")
+
+
+@register(f"""WITH {LINES}, rules(tag, level, pat_idx, re) AS (VALUES ('a', 'CRITICAL', 0, '[0-9]{{16}}'), ('a', 'CRITICAL', 1, '###'), ('a', 'CRITICAL', 2, '@'), ('a', 'WARNING', 0, '%%%'), ('b', 'CRITICAL', 0, '[Ll]icense'))
+SELECT r.tag, r.level, r.pat_idx, count(*) AS n FROM lines l JOIN rules r ON regexp_matches(l.line, r.re) WHERE NOT (r.tag = 'a' AND r.level = 'CRITICAL' AND regexp_matches(l.line, '&&&|the the')) GROUP BY ALL""")
+def rule_sets(spark, sf_dir):
+    """A search with the rules of two sets in front of its own, and a configuration that takes the place of an older one of the same tag."""
+    a = Search(tag="a", critical={"mail": "@"}, exceptions={"critical": ["&&&"]})
+    a = with_rules(a, [{"critical": {"hash": "###"}, "warning": ["%%%"]}, {"critical": ["[0-9]{16}"], "exceptions": {"critical": ["the the"]}}])
+    merged = merge_searches([[a, Search(tag="b", critical=["never"])], [Search(tag="b", critical=["[Ll]icense"])]])
+    return classify.classify(_lines(spark, sf_dir), merged).groupBy("tag", "level", "pat_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- thresholds and sticky alerts
@@ -231,8 +241,7 @@ def threshold_next_carry(spark, sf_dir):
 
 @register(f"""WITH {EVENTS} SELECT host, level, count(*) FILTER (WHERE epoch(TIMESTAMP '{SPLIT}') - floor(epoch(ts)) <= 86400) AS carry FROM ev WHERE level IS NOT NULL AND ts < '{SPLIT}' GROUP BY ALL""")
 def threshold_expiry(spark, sf_dir):
-    state = _alerts(spark, sf_dir).filter(F.col("ts") < _ts(SPLIT)).groupBy(*BY_LEVEL).agg(F.collect_list("ts").alias("threshold_times"))
-    return thresholds.live_carry(state, _ts(SPLIT), 86400, key=BY_LEVEL)
+    return thresholds.live_counts(_alerts(spark, sf_dir).filter(F.col("ts") < _ts(SPLIT)), _ts(SPLIT), 86400, key=BY_LEVEL, when="ts")
 
 
 @register(f"""WITH {EVENTS}, clear AS (SELECT host, max(ts) AS ok FROM ev WHERE event_type = 'signup' AND ts >= '{SPLIT}' AND ts < '2024-01-16' GROUP BY host)
@@ -324,9 +333,9 @@ def html_encoding(spark, sf_dir):
     return p.select("page_id", F.md5(html_encode(F.col("html"))).alias("encoded"), F.md5(html_escape(F.col("html"))).alias("escaped"), url_decode(F.replace("url", F.lit("/"), F.lit("%2F"))).alias("url"))
 
 
-@register(f"""WITH {MATCHES} SELECT level || ' Errors in ' || logfile || ' (tag docs)' AS header, level, file_seq, line_no, line AS message FROM matches WHERE logfile IN ('src1', 'src2')""")
+@register(f"""WITH {MATCHES} SELECT level || ' Errors in ' || logfile || ' (tag docs)' AS header, level, file_seq, line_no, line AS message FROM matches""")
 def protocol(spark, sf_dir):
-    found = classify.classify(_lines(spark, sf_dir), [SEARCH]).filter(F.col("logfile").isin("src1", "src2"))
+    found = classify.classify(_lines(spark, sf_dir), [SEARCH])
     return sinks.protocol(found, _ts(SPLIT)).select("header", "level", "file_seq", "line_no", "message")
 
 
@@ -347,6 +356,17 @@ def event_window(spark, sf_dir):
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@register(f"WITH {EVENTS} SELECT event_id, event_type FROM ev WHERE ts >= '2024-01-10' AND ts < '{SPLIT}' AND event_type IN ('error', 'click')")
+def journal_units(spark, sf_dir):
+    """Journal records of a window and of some units."""
+    return events.units(_events(spark, sf_dir), _ts("2024-01-10"), _ts(SPLIT), ["error", "click"], unit="event_type").select("event_id", "event_type")
+
+
+@register(f"WITH {EVENTS} SELECT event_id FROM ev WHERE date_trunc('minute', ts) >= TIMESTAMP '2024-01-10 00:00:00' AND date_trunc('minute', ts) < TIMESTAMP '2024-01-12 12:34:00' AND event_type = 'error'")
+def error_report(spark, sf_dir):
+    return records.error_report(_events(spark, sf_dir), _ts("2024-01-10 00:00:41"), _ts("2024-01-12 12:34:56"), event_type="error").select("event_id")
+
+
 @register(f"WITH {EVENTS} SELECT event_id FROM ev WHERE ts >= '2024-01-10 00:00:00' AND ts < '2024-01-12 12:34:00'")
 def event_window_minute(spark, sf_dir):
     return events.whole_minutes(_events(spark, sf_dir), _ts("2024-01-10 00:00:41"), _ts("2024-01-12 12:34:56")).select("event_id")
@@ -370,6 +390,15 @@ def event_exclude(spark, sf_dir):
     return _records(spark, sf_dir).filter(~gone).select("event_id")
 
 
+@register(f"""WITH {RECORDS} SELECT source AS host, epoch_us(ts) AS line_no, lpad(CAST(event_id & 65535 AS VARCHAR), CAST(greatest(4, length(CAST(event_id & 65535 AS VARCHAR))) AS INTEGER), '0') || ' ' || event_type || ': ' || message AS line
+FROM rec WHERE ts >= '2024-01-10' AND ts < '{SPLIT}' AND lower(event_type) IN ('error', 'view') AND NOT category IN ('7', '8')""")
+def event_lines(spark, sf_dir):
+    """The events of a run, filtered and rendered as lines."""
+    rows = _records(spark, sf_dir).withColumns({"tag": F.lit("events"), "host": F.col("source"), "logfile": F.lit("events")})
+    out = events.event_lines(rows, _ts("2024-01-10"), _ts(SPLIT), events.include(event_type=["ERROR", "View"]), events.exclude(category=["7", "8"]), "%i %t: %m")
+    return out.select("host", "line_no", "line")
+
+
 @register("SELECT CAST(user_id AS VARCHAR) AS host, CASE WHEN event_type = 'error' THEN 'CRITICAL' END AS level, count(*) AS n FROM events GROUP BY ALL")
 def event_severity(spark, sf_dir):
     return _events(spark, sf_dir).groupBy("host", events.level_from_type(F.col("event_type")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
@@ -431,16 +460,14 @@ def drop_late(spark, sf_dir):
     return events.drop_late(e, e.filter("event_type = 'signup'").groupBy("host").agg(F.max("ts").alias("last_ts")), "host").select("event_id")
 
 
-@register(f"""WITH {EVENTS} SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM ev WHERE level = 'CRITICAL' GROUP BY 1""")
+@register(f"""WITH {EVENTS} SELECT level, strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM ev WHERE level IS NOT NULL GROUP BY ALL""")
 def alert_rate(spark, sf_dir):
-    rows = _alerts(spark, sf_dir).filter("level = 'CRITICAL'")
-    return report.alert_rate(rows, "10 minutes", when="ts").select(_text("window_start").alias("window_start"), "n")
+    return report.alert_rate(_alerts(spark, sf_dir), "10 minutes", key=("level",), when="ts").select("level", _text("window_start").alias("window_start"), "n")
 
 
-@register(f"""WITH {EVENTS} SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL (5 * s) MINUTE, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM ev, (VALUES (0), (1)) v(s) WHERE level = 'WARNING' GROUP BY 1""")
+@register(f"""WITH {EVENTS} SELECT level, strftime(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL (5 * s) MINUTE, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM ev, (VALUES (0), (1)) v(s) WHERE level IS NOT NULL GROUP BY ALL""")
 def alert_rate_sliding(spark, sf_dir):
-    rows = _alerts(spark, sf_dir).filter("level = 'WARNING'")
-    return report.alert_rate(rows, "10 minutes", "5 minutes", when="ts").select(_text("window_start").alias("window_start"), "n")
+    return report.alert_rate(_alerts(spark, sf_dir), "10 minutes", "5 minutes", key=("level",), when="ts").select("level", _text("window_start").alias("window_start"), "n")
 
 
 @register(f"""WITH {EVENTS}, keys AS (SELECT DISTINCT host FROM ev), grid AS (SELECT host, unnest(range(TIMESTAMP '2024-01-01', TIMESTAMP '{END}', INTERVAL 1 DAY)) AS w FROM keys),
@@ -533,6 +560,16 @@ def situation(spark, sf_dir):
     return incremental.classify_source(_files(spark, sf_dir).filter("current"), _state(spark, sf_dir)).select("logfile", "situation", F.coalesce("start_at", F.lit(-1)).alias("start_at"))
 
 
+@register(f"""WITH {FILES}, seen AS (SELECT * FROM files WHERE path % 3 <> 0), one AS (
+  SELECT f.logfile, max(f.length) FILTER (WHERE f.current) AS length, max(f.fingerprint) FILTER (WHERE f.current) AS now, max(CASE WHEN f.fingerprint = s.fingerprint THEN 1 ELSE 0 END) AS found, max(s.logoffset) AS logoffset, max(s.fingerprint) AS before
+  FROM seen f LEFT JOIN state s ON f.logfile = s.logfile GROUP BY f.logfile)
+SELECT logfile, CASE WHEN length IS NULL THEN 'only_archives' WHEN logoffset IS NULL THEN 'new' WHEN now = before AND length > logoffset THEN 'grown' WHEN now = before AND length = logoffset THEN 'same' WHEN found = 1 THEN 'rotated' ELSE 'replaced' END AS situation FROM one
+UNION ALL SELECT logfile, 'missing' FROM state WHERE logfile NOT IN (SELECT logfile FROM seen)""")
+def situation_rotating(spark, sf_dir):
+    """What has become of logs that rotate; a third of the files is gone."""
+    return incremental.situation_rotating(_files(spark, sf_dir).filter("path % 3 <> 0"), _state(spark, sf_dir)).select("logfile", "situation")
+
+
 @register(f"""WITH {FILES} SELECT f.logfile, f.path, CAST(row_number() OVER (PARTITION BY f.logfile ORDER BY f.current, f.mtime, f.path) - 1 AS INTEGER) AS file_seq
 FROM files f LEFT JOIN state s USING (logfile) WHERE f.current OR s.logtime IS NULL OR f.mtime >= s.logtime""")
 def relevant_files(spark, sf_dir):
@@ -645,5 +682,6 @@ a AS (SELECT logfile, level, pat_idx FROM k WHERE level = 'CRITICAL' OR k % 3 =
 SELECT logfile, level, pat_idx, count(*) AS n FROM a GROUP BY ALL""")
 def scan_run(spark, sf_dir):
     """A whole run: prefilter, exceptions, patterns, all-clear, threshold and must-appear patterns."""
-    matches, _ = scan.scan_lines(_lines(spark, sf_dir), RUN)
+    sources = _table(spark, sf_dir, "documents").filter("text is not null").select(F.lit("docs").alias("tag"), F.lit("all").alias("host"), F.col("source").alias("logfile"))
+    matches, _ = scan.scan_lines(_lines(spark, sf_dir), RUN, keys=sources)
     return matches.groupBy("logfile", "level", "pat_idx").agg(F.count(F.lit(1)).alias("n"))
