@@ -1,34 +1,21 @@
-"""What the operators share: reading tables, written intermediate tables, size-checked broadcasts."""
+"""What the operators share: reading tables, names that are free, columns made in Python by batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Largest table, in rows, that the operators broadcast after counting it.
-BROADCAST_ROWS = 20_000
+from logscan.tables import broadcast_if_small, is_small, shared_dir, written
+
+__all__ = ["broadcast_if_small", "fresh", "is_small", "shared_dir", "table", "with_columns_from", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on a local master, where it is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="logscan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/logscan-{spark.sparkContext.applicationId}"
-
-
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """names, each with underscores in front until docs has no column of it."""
     taken, out = {c.lower() for c in docs.columns}, []
@@ -39,30 +26,12 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed once into a Parquet table of the shared folder and read from there.
+def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000, done: Callable[[], None] | None = None) -> DataFrame:
+    """docs with columns (name: SQL type) that run makes of Arrow batches of so many rows, last and in place of columns of these names; done ends a task.
 
-    It cuts the lineage so that a lost executor costs a reread and not a rerun. The
-    tables go with the application's folder, which a cluster clears after the run.
+    Spark bounds what goes to Python at a time in bytes (spark.sql.execution.arrow.maxBytesPerBatch);
+    such a batch is handled in slices here, and the session's settings are left as they are.
     """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more rows than that, else df for a shuffled join. df should be written()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Sets how many rows go to Python at a time. Rows here are whole texts or blocks of vectors, so the session's usual number would not fit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def with_columns_from(docs: DataFrame, columns: dict[str, str], run: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000, done: Callable[[], None] | None = None) -> DataFrame:
-    """docs with columns (name: SQL type) that run makes of Arrow batches of so many rows, last and in place of columns of these names; done ends a task."""
-    arrow_batches(docs.sparkSession)
     lower = {c.lower() for c in columns}
     quoted = lambda n: f"`{n.replace('`', '``')}`"
     rest = [(i, f) for i, f in enumerate(docs.schema.fields) if f.name.lower() not in lower]

@@ -1,18 +1,21 @@
 """Benchmark decontamination: SimHash windows of an item's size, multi-index Hamming blocks, exact weighted shingles.
 
 1. Texts become lower-case words (runs of letters and digits) and hashes of their word
-   shingles. The shingles of all documents meet those of the benchmark in one broadcast
-   join (after the benchmark's are counted). A window without any shingle of an item has
-   similarity 0 with it, so this loses nothing.
-2. For an item of n shingles the windows of n shingles are taken whose first hit lies no
-   deeper than n (1 - t) / (1 + t): a window of similarity t or more has such a hit. They get
-   SimHash fingerprints, every shingle weighted by its count.
+   shingles. The shingles of all documents meet those of the benchmark in broadcast joins,
+   one for each block of benchmark shingles of bounded size, so the corpus is never shuffled.
+2. Windows of n shingles are taken for an item of n shingles where they can be similar at
+   all. A window of similarity t shares 2 t n / (1 + t) shingles or more with the item (of
+   a shorter document, t / (1 + t) times the sum of both sizes), so
+   its first hit lies no deeper than n (1 - t) / (1 + t), and from that hit on so many hits
+   follow within n shingles. Windows with fewer hits, which are nearly all that merely share
+   a phrase, end here. The others get SimHash fingerprints, every shingle weighted by its count.
 3. Distinct fingerprints meet those of items of the same size on any of radius + 1 blocks of
    bits: two fingerprints within the radius agree on a block at least, so all such pairs
    are found; the distance is then computed.
 4. What is left is verified by the exact weighted similarity sum(min) / sum(max) of shingle
    counts. At similarity 0.8 fingerprints differ in 10 of 64 bits on average; 21, the radius,
-   is four standard deviations off.
+   is four standard deviations off. In so wide a radius blocks of two or three bits sift
+   little by themselves; it is step 2 that keeps the number of fingerprints near that of leaks.
 
 DataFrame functions only. The texts are read twice, for all documents and for those with
 hits; without many hits they are never shuffled.
@@ -25,11 +28,15 @@ doc_id. Copies of an item are found each. Empty tables give no rows. Only doc_id
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logscan.llm.common import broadcast_if_small, written
 
+#: Shingles of the benchmark that are broadcast at a time.
+BLOCK = 250_000
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 21
 LANES = 0x0001000100010001
 
@@ -76,22 +83,32 @@ def within_radius(windows: DataFrame, items: DataFrame, radius: int) -> DataFram
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n", "fp", "item_id").distinct()
 
 
+def possible(hits: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, tag, start, n of the windows that hold hits enough for an item of their size. hits: doc_id, tag, m (the document's shingles), pos and the sizes of items with this shingle."""
+    need = lambda n: F.ceil(threshold * (n + F.least(n, F.col("m"))) / (1 + threshold) - 1e-9).cast("int")
+    # a document's own hits; those of rows that repeat it stand there once
+    each = hits.groupBy("doc_id", "tag", "m").agg(F.array_sort(F.collect_set(F.struct("pos", "sizes"))).alias("hits"))
+    follows = lambda i, pos, n: F.get("hits", i + need(n) - 1)["pos"] < pos + n
+    sizes = F.transform("hits", lambda x, i: F.struct(x["pos"].alias("pos"), F.filter(x["sizes"], lambda n: follows(i, x["pos"], n)).alias("n")))
+    first = each.select("doc_id", "tag", "m", F.explode(F.filter(sizes, lambda x: F.size(x["n"]) > 0)).alias("x")).select("doc_id", "tag", "m", "x.pos", F.explode("x.n").alias("n"))
+    slack = F.floor(F.col("n") * (1 - threshold) / (1 + threshold) + 1e-9).cast("int")
+    starts = first.filter(F.col("m") >= F.col("n") * threshold).withColumn("j", F.explode(F.sequence(F.lit(0), slack)))
+    return starts.select("doc_id", "tag", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("m") - F.col("n"))).cast("int").alias("start"), "n").distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start (word of the best window), n_windows: of each document and item with a window of similarity threshold or more."""
     items = written(with_shingles(benchmark.select("item_id", "text").filter("item_id is not null").distinct(), size).filter(F.size("sh") > 0))
     item_shingles = items.select("item_id", F.size("sh").alias("n"), F.explode_outer("sh").alias("h"))
-    shared = written(item_shingles.select("h").distinct())
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
     # the outer form, as the inner one would first test the array's size and so make it twice
     hits = with_shingles(docs, size).select("doc_id", "tag", "sh", F.size("sh").alias("m")).select("doc_id", "tag", "m", F.posexplode_outer("sh").alias("pos", "h"))
-    hits = written(hits.join(broadcast_if_small(shared), "h"))
-
-    slack = F.floor(F.col("n") * (1 - threshold) / (1 + threshold) + 1e-9).cast("int")
-    by_size = broadcast_if_small(written(item_shingles.select("h", "n").distinct()))
-    starts = hits.join(by_size, "h").withColumn("j", F.explode(F.sequence(F.lit(0), slack)))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("m") - F.col("n")))
-    asked = starts.filter(F.col("m") >= F.col("n") * threshold).select(F.col("doc_id").alias("at_doc"), F.col("tag").alias("at_tag"), start.alias("start"), "n").distinct()
+    by_size = written(item_shingles.groupBy("h").agg(F.collect_set("n").alias("sizes")))
+    n_blocks = -(-by_size.count() // BLOCK) or 1
+    blocks = [by_size.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == i) if n_blocks > 1 else by_size for i in range(n_blocks)]
+    hits = written(reduce(DataFrame.unionByName, [hits.join(F.broadcast(b), "h") for b in blocks]).select("doc_id", "tag", "m", "pos", "sizes"))
+    asked = possible(hits, threshold).select(F.col("doc_id").alias("at_doc"), F.col("tag").alias("at_tag"), "start", "n").distinct()
     asked = written(asked.groupBy("at_doc", "at_tag").agg(F.collect_list(F.struct("start", "n")).alias("asked")))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tag") == F.col("at_tag"))
     found = docs.join(broadcast_if_small(asked), here).select("doc_id", "tag", "text", "asked").dropDuplicates(["doc_id", "tag"])

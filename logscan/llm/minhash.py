@@ -8,7 +8,8 @@ come from two permutations. Bands of coordinates put documents into buckets; wit
 Equal sets become one class first, with the smallest doc_id for all its members, so copies
 cost one row. Then links are confirmed on full shingle sets:
 
-1. In every bucket each member is compared with the bucket's smallest.
+1. In every bucket each member is compared with the bucket's smallest, the hub; a hub of many
+   members is copied for each thousand of them.
 2. Components of these links are found. A bucket of one component is done; in the others all
    pairs across components are compared, in tiles: members are dealt into blocks of bounded
    bytes and bounded numbers of members, and each pair of blocks is one task that multiplies the incidence matrices of the
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscan.llm.common import arrow_batches, broadcast_if_small, written
+from logscan.llm.common import broadcast_if_small, written
 from logscan.llm.components import components
 from logscan.llm.tokens import U64, Words, chunks, grams, mix
 
@@ -42,6 +43,8 @@ BANDS, ROWS = 28, 4
 BLOCK_BYTES = 4 << 20
 #: Members of a block, on average; a tile's matrix has twice as many rows and columns.
 BLOCK_MEMBERS = 2000
+#: Pairs of a bucket's hub that are confirmed with one copy of its set.
+PAIRS = 1000
 #: Rows of a tile's matrix that are compared at a time.
 STRIP = 256
 U32 = np.uint32
@@ -188,7 +191,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct shingles of size words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    arrow_batches(docs.sparkSession)
     sketches = written(docs.mapInArrow(_sketch(size, bands, rows), "doc_id long, n long, a long, b long, bands array<long>"))
     named = sketches.filter("n > 0 and doc_id is not null")
     classes = written(named.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -205,9 +207,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sets = written(texts.mapInArrow(_sets(size), "doc_id long, shingles binary"))
 
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    pairs = inside.filter((F.col("rep") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    links = written(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
+    pairs = written(inside.filter((F.col("rep") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+    # the set of a hub goes out once for so many of its pairs, so that those of a large bucket are in many tasks
+    hubs = broadcast_if_small(written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("copies"))))
+    pairs = pairs.join(hubs, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
+    left = sets.withColumnRenamed("doc_id", "a").join(hubs, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    links = written(pairs.join(right, "b").join(left, ["a", "copy"]).select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long"))
     roots = components(links)
 
     component = F.coalesce("v", "rep").alias("component")

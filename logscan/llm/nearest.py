@@ -29,12 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscan.llm.common import arrow_batches
-
 #: Vectors of a block, and bytes of a block's vectors, at most.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
-#: Joined blocks that go to Python at a time.
-TILES = 32
 STRIPES = 8
 
 
@@ -137,7 +133,6 @@ def _tiles(k: int):
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each row where is_query holds the k others of the largest inner product."""
-    arrow_batches(vectors.sparkSession, TILES)
     rows = usable(vectors, id_col, vector_col)
     queries = usable(vectors.filter(is_query), id_col, vector_col)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()

@@ -1,12 +1,17 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
 Base spans are the leftmost non-overlapping matches of a fixed pattern per kind, checked by
-digit sums and ranges. The words beside them are lexical patterns. In a graph of patterns
-and instances (identifier-like mentions in the same contexts) scores go back and forth:
-
-- the confidence of a pattern for a kind is the mean score of the instances it stands with,
-  if enough distinct seeds of the kind stand there too;
-- the score of an instance is the noisy-or of its patterns' confidences; seeds have 1.
+digit sums and ranges. What stands beside them makes lexical patterns: the word or the two
+words on the left, the word or the two words on the right, and the words on both sides. In a
+graph of patterns and instances (identifier-like mentions in the same contexts) scores go
+back and forth:
+
+- the confidence of a pattern for a kind is the sum of the scores of the instances it stands
+  with over their number, if enough distinct seeds of the kind stand there too; seeds have 1,
+  and the number is raised by that of the seeds asked for, so that a few chance meetings make
+  no sure pattern;
+- the score of an instance is the noisy-or of the surest pattern on its left and the surest
+  one on its right, or the confidence of the surest on both sides, if that is larger.
 
 After a few rounds the instances above a score, in a shape that the kind allows, are new
 spans in those contexts. Everything is joins and map-side sums on (pattern, instance)
@@ -46,6 +51,9 @@ TOKEN = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
 DONE = rf"(?=[,;:!?'\"]*+(?!{WORD}))"
 RUN = rf"(?<!{WORD})[()\[\].+-]*+[0-9][0-9()\[\].-]*+{DONE}(?:\x20[0-9()\[\].-]++{DONE})*+[,;:!?'\"]*+"
 MENTIONS = {"mention": f"(?:{RUN}|{TOKEN})", "token": TOKEN}
+# Up to two words at the end and at the beginning of what stands between matches, in time linear in its length.
+LAST = rf"(?<!{WORD})((?:{WORD}++{SPACE}++)?{WORD}++){SPACE}*+\z"
+FIRST = rf"\A{SPACE}*+({WORD}++(?:{SPACE}++{WORD}++)?+)"
 ORDER = {kind: i for i, kind in enumerate([*KINDS, *MENTIONS])}
 
 
@@ -78,17 +86,14 @@ def _trimmed(x: Column) -> Column:
 
 
 def _found(text: Column, kind: str, rx: str, needs: Column) -> Column:
-    """The matches of rx with their number, the length of the text before each and its outer words."""
+    """The matches of rx with their number, the length of the text before each, its last words and its first ones."""
     parts, matches = F.split(text, rx, -1), F.regexp_extract_all(text, F.lit(rx), F.lit(0))
-    before = F.transform(
-        F.arrays_zip(parts.alias("p"), matches.alias("m")),
-        lambda z: F.struct(z["m"].alias("value"), F.length(z["p"]).alias("gap"), F.regexp_extract(F.right(z["p"], F.lit(200)), rf"({WORD}+){SPACE}*$", 1).alias("last"), F.regexp_extract(F.left(z["p"], F.lit(200)), rf"^{SPACE}*({WORD}+)", 1).alias("first")),
-    )
+    before = F.transform(F.arrays_zip(parts.alias("p"), matches.alias("m")), lambda z: F.struct(z["m"].alias("value"), F.length(z["p"]).alias("gap"), F.regexp_extract(z["p"], LAST, 1).alias("last"), F.regexp_extract(z["p"], FIRST, 1).alias("first")))
     return F.when(needs, F.transform(before, lambda z, i: F.struct(F.lit(ORDER[kind]).alias("kind"), i.alias("i"), z["value"].alias("value"), z["gap"].alias("gap"), z["last"].alias("last"), z["first"].alias("first"))))
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, kind, start, end (code points), value, left and right (the words beside it): base spans of valid form, and mentions.
+    """doc_id, tag, kind, start, end (code points), value, left and right (up to two words beside it): base spans of valid form, and mentions.
 
     Mentions are tokens with a digit or an @, and number-like tokens joined by single spaces as
     one. A token that has the form of a kind by itself is a mention as well as the run it is in.
@@ -126,8 +131,13 @@ def _apart(found: DataFrame) -> DataFrame:
 
 def _edges(rows: DataFrame) -> DataFrame:
     """(pattern, instance, kind): once each."""
-    sides = [F.when(F.col(side) != "", F.concat(F.lit(f"{side} "), F.col(side))) for side in ("left", "right")]
-    return rows.select(F.explode(F.array_compact(F.array(*sides))).alias("pattern"), F.lower("value").alias("instance"), "kind").distinct()
+    words = {side: F.filter(F.split(F.coalesce(side, F.lit("")), f"{SPACE}+"), lambda w: w != "") for side in ("left", "right")}
+    left, right = words["left"], words["right"]
+    near = {"left": F.get(left, F.size(left) - 1), "right": F.get(right, F.lit(0))}
+    forms = [F.concat(F.lit(f"{side} "), near[side]) for side in near]
+    forms += [F.when(F.size(words[side]) > 1, F.concat(F.lit(f"{side} "), F.array_join(words[side], " "))) for side in near]
+    forms.append(F.concat(F.lit("both "), near["left"], F.lit(" "), near["right"]))
+    return rows.select(F.explode(F.array_compact(F.array(*forms))).alias("pattern"), F.lower("value").alias("instance"), "kind").distinct()
 
 
 def _shape(kind: Column, x: Column) -> Column:
@@ -141,22 +151,31 @@ def _shape(kind: Column, x: Column) -> Column:
     )
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 5, sure: float = 0.8) -> DataFrame:
-    """The mentions (as rows of matches, with the kind they are found to be) whose score reaches sure; a pattern needs so many distinct seeds."""
+def scored(edges: DataFrame, rounds: int = 3, seeds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The patterns (pattern, k, confidence) and the instances (instance, k, score) of a graph of edges (pattern, instance, kind) after some rounds."""
     mention = F.col("kind") == ORDER["mention"]
-    apart = written(_apart(found))
-    edges = written(_edges(found.filter(~mention)).union(_edges(apart)))
     kinds = F.explode(F.array(*[F.lit(i) for k, i in ORDER.items() if k in KINDS])).alias("k")
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     support = edges.filter(~mention).groupBy("pattern", F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= seeds)
     patterns = written(support.join(size, "pattern"))
     open_ = written(edges.filter(mention).select("pattern", "instance").join(patterns.select("pattern").distinct(), "pattern").select("pattern", "instance", kinds))
     scores = open_.select("instance", "k").distinct().withColumn("score", F.lit(0.0))
+    side, surest = F.substring_index("pattern", " ", 1), lambda name: F.coalesce(F.max(F.when(side == name, F.col("confidence"))), F.lit(0.0))
+    confidence = patterns.select("pattern", "k", (F.col("seeds") / (F.col("n") + seeds)).alias("confidence"))
     for _ in range(rounds):
         gained = open_.join(scores, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum("score").alias("gained"))
-        confidence = patterns.join(gained, ["pattern", "k"], "left").select("pattern", "k", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("n")).alias("confidence"))
-        doubt = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
-        scores = written(open_.join(confidence, ["pattern", "k"]).groupBy("instance", "k").agg((1 - doubt).alias("score")).filter(F.col("score") > 0.01))
+        confidence = patterns.join(gained, ["pattern", "k"], "left").select("pattern", "k", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + seeds)).alias("confidence"))
+        best = open_.join(confidence, ["pattern", "k"]).groupBy("instance", "k").agg(*[surest(x).alias(x) for x in ("left", "right", "both")])
+        scores = written(best.select("instance", "k", F.greatest("both", 1 - (1 - F.col("left")) * (1 - F.col("right"))).alias("score")).filter(F.col("score") > 0.01))
+    return confidence, scores
+
+
+def bootstrap(found: DataFrame, rounds: int = 3, seeds: int = 5, sure: float = 0.8) -> DataFrame:
+    """The mentions (as rows of matches, with the kind they are found to be) whose score reaches sure; a pattern needs so many distinct seeds."""
+    mention = F.col("kind") == ORDER["mention"]
+    apart = written(_apart(found))
+    edges = written(_edges(found.filter(~mention)).union(_edges(apart)))
+    scores = scored(edges, rounds, seeds)[1]
     best = Window.partitionBy("instance").orderBy(F.desc("score"), "k")
     named = scores.filter(F.col("score") >= sure).filter(_shape(F.col("k"), F.col("instance"))).withColumn("nth", F.row_number().over(best)).filter("nth = 1")
     sure_ones = apart.withColumn("instance", F.lower("value")).join(named.select("instance", "k"), "instance").select("doc_id", "tag", F.col("k").alias("kind"), "start", "end", "value", "left", "right")

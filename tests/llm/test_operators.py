@@ -6,9 +6,10 @@ import hashlib
 import random
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,25 +70,65 @@ def test_substring_dedup_of_ids_that_repeat_or_lack(spark):
     assert sorted((x["doc_id"] or 0, x["n_removed"]) for x in got) == [(0, 0), (1, 0), (1, 0), (2, 30)]
 
 
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, f"{c} {b} {c}"), (2, f"{b} tail")]
+    got = {x["kept_text"] for x in substring_dedup.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    first, second = sorted([b, f"{b} tail"], key=lambda t: spark.range(1).select(F.hash(F.lit(t))).first()[0])
+    assert got == {a, "", first, "tail" if second.endswith("tail") else "", f"{c} {c}".rsplit(" ", 30)[0]}
+
+
+def test_spans_are_cut_only_if_the_words_at_both_places_are_equal():
+    w = [f"w{i}" for i in range(40)]
+    at = lambda digest: [{"start": 5, "edges": 2, "digest": digest}]
+    batch = lambda at, kind: pa.RecordBatch.from_pylist([{"doc_id": 7, "tag": 1, "text": " ".join(w), "at": at}], pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("text", pa.string()), ("at", pa.list_(kind))]))
+    place = pa.struct([("start", pa.int32()), ("edges", pa.int32())])
+    span = pa.struct([*place, ("digest", pa.binary())])
+    (read,) = substring_dedup._read_sources(20)([batch([{"start": 5, "edges": 2}], place)])
+    assert read.to_pylist() == [{"doc_id": 7, "tag": 1, "start": 5, "edges": 2, "digest": hashlib.blake2b(" ".join(w[5:26]).encode(), digest_size=16).digest()}]
+    (cut,) = substring_dedup._cut_out(20)([batch(at(read.to_pylist()[0]["digest"]), span)])
+    (left,) = substring_dedup._cut_out(20)([batch(at(b"0" * 16), span)])
+    assert cut.to_pylist()[0]["kept_text"].split() == w[:5] + w[26:] and cut.to_pylist()[0]["n_removed"] == 21
+    assert left.to_pylist()[0]["kept_text"].split() == w and left.to_pylist()[0]["n_removed"] == 0
+
+
 # ------------------------------------------------------------------ sharding
 
 
-def test_sharding_splits_only_what_is_over(spark):
+def plain_shards(rows, limit):
+    """The directory of an extendible hash table: from one bucket on, what is over the limit splits on the next bit."""
+    out, todo = {}, [("", rows)]
+    while todo:
+        bits, held = todo.pop()
+        if sum(n for _, n in held) <= limit or len(held) == 1 or len(bits) == 60:
+            out |= {bits: held} if held else {}
+            continue
+        for bit in "01":
+            todo.append((bits + bit, [x for x in held if x[0][len(bits)] == bit]))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "texts"), [(20_000, None), (10_000, ["x" * 100] * 50 + ["y" * 1_000_000]), (1_000_000, ["x"] * 20), (1, ["", None, "a", "bb"])])
+def test_sharding_splits_only_what_is_over(spark, limit, texts):
     r = random.Random(1)
-    texts = ["x" * r.randrange(0, 4000) for _ in range(400)] + ["y" * 30_000, None]
-    rows = sharding.shard(docs(spark, texts), 20_000).collect()
+    texts = texts or ["x" * r.randrange(0, 4000) for _ in range(400)] + ["y" * 30_000, None]
+    rows = sharding.shard(docs(spark, texts), limit).collect()
     assert len(rows) == len(texts)
-    size = Counter()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    hashed = [(f"{int(md5(f'{i}{chr(10)}{md5(t or str())}')[:15], 16):060b}", len(t or "")) for i, t in enumerate(texts)]
+    want = plain_shards(hashed, limit)
     for x in rows:
-        size[x["shard"]] += len(texts[x["doc_id"]] or "")
-        assert len(x["shard"]) == x["depth"]
-    assert all(size[x["shard"]] == x["shard_bytes"] for x in rows)
-    assert {x["shard"] for x in rows if x["oversized"]} == {x["shard"] for x in rows if x["doc_id"] == 400}
-    for shard in size:  # a bucket has split because it was over; no shard holds another
-        assert not any(o != shard and o.startswith(shard) for o in size)
-        mean = max(0, int(np.ceil(np.log2(sum(size.values()) / 20_000))))
-        if len(shard) > mean:
-            assert sum(n for o, n in size.items() if o.startswith(shard[:-1])) > 20_000
+        held = want[x["shard"]]
+        assert hashed[x["doc_id"]] in held and len(x["shard"]) == x["depth"]
+        assert x["shard_bytes"] == sum(n for _, n in held) and x["oversized"] == (x["shard_bytes"] > limit)
+    assert {x["shard"] for x in rows} == set(want)
+
+
+def test_sharding_goes_past_its_first_sums(spark):
+    """A bucket whose rows are all alike but for the last bits of the hash."""
+    rows = spark.createDataFrame([(i, 100) for i in range(8)] + [(1 << 59, 100)], "h long, size int")
+    leaves = {(x["depth"], x["prefix"]): (x["bytes"], x["rows"]) for x in sharding.directory(rows, 250).collect()}
+    assert leaves == {(1, 1): (100, 1), **{(59, i): (200, 2) for i in range(4)}}
 
 
 def test_sharding_of_equal_rows(spark):
@@ -126,7 +167,7 @@ def test_decontamination(spark):
             for _ in range(edits):
                 own[r.randrange(len(own))] = "edited"
             texts.append(" ".join(words(r, 30) + own + words(r, 30)).upper().replace(" ", ",  "))
-        texts += [" ".join(w[: len(w) // 2] + words(r, 50)), " ".join(w[:-1]), " ".join(w + w)]
+        texts += [" ".join(w[: len(w) // 2] + words(r, 50)), " ".join(w[:-1]), " ".join(w[:-3]), " ".join(w[: len(w) * 21 // 25]), " ".join(w + w)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): round(x["similarity"], 9) for x in decontaminate.find_leaks(docs(spark, texts), bench).collect()}
     want = {k: round(v, 9) for k, v in plain_leaks(texts, items).items()}
@@ -218,6 +259,42 @@ def test_personal_data_finds_numbers_with_spaces(spark):
     assert rows[len(texts) + len(new)] == []
 
 
+def test_personal_data_contexts_of_any_length(spark):
+    word, gap = "x" * 5000, " " * 5000
+    texts = [f"{word}{gap}+1 (988) 555-{1000 + i}{gap}{word} {i}" for i in range(40)] + [f"{word}{gap}0171-5550199{gap}{word} 7"]
+    (spans,) = (x["spans"] for x in personal_data.find(docs(spark, texts)).collect() if x["doc_id"] == 40)
+    assert [(s["kind"], s["start"], s["end"]) for s in spans] == [(3, 10_000, 10_012)]
+
+
+def plain_scores(edges, rounds, seeds):
+    """Confidence of (pattern, kind) and score of (instance, kind), over dicts."""
+    size, seen = Counter(p for p, _, _ in edges), Counter((p, k) for p, _, k in edges if k < 4)
+    patterns = {x for x, n in seen.items() if n >= seeds}
+    links = {(p, i) for p, i, k in edges if k == 4}
+    confidence, scores = {}, {}
+    for _ in range(rounds):
+        confidence = {(p, k): (seen[p, k] + sum(scores.get((i, k), 0) for q, i in links if q == p)) / (size[p] + seeds) for p, k in patterns}
+        scores = {}
+        for i in {i for _, i in links}:
+            for k in range(4):
+                best = {side: max([c for (p, j), c in confidence.items() if j == k and (p, i) in links and p.startswith(side)], default=0) for side in ("left", "right", "both")}
+                found = max(best["both"], 1 - (1 - best["left"]) * (1 - best["right"]))
+                if found > 0.01:
+                    scores[i, k] = found
+    return confidence, scores
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_personal_data_bootstrapping_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = list({(f"{r.choice(['left', 'right', 'both'])} {r.randrange(6)}", f"i{r.randrange(40)}" if k == 4 else f"s{k}{r.randrange(25)}", k) for k in (r.choice([0, 3, 3, 3, 4, 4]) for _ in range(300))})
+    confidence, scores = personal_data.scored(spark.createDataFrame(edges, "pattern string, instance string, kind int"), 3, 5)
+    want = plain_scores(edges, 3, 5)
+    rounded = lambda d: {k: round(v, 9) for k, v in d.items()}
+    assert rounded({(x["pattern"], x["k"]): x["confidence"] for x in confidence.collect()}) == rounded(want[0])
+    assert rounded({(x["instance"], x["k"]): x["score"] for x in scores.collect()}) == rounded(want[1]) and want[1]
+
+
 # ------------------------------------------------------------------ BPE
 
 
@@ -347,6 +424,22 @@ def test_line_dedup(spark):
         assert (got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
 
 
+def test_lines_are_counted_by_documents(spark):
+    rows = [(7, "the line\nown")] * 12 + [(None, "the line")] * 12 + [(i, f"other\nnumber {i}") for i in range(10)] + [(3, "other\nagain")]
+    got = sorted((x["doc_id"] or -1, x["text"], x["n_dropped"]) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    want = [(7, "the line\nown", 0)] * 12 + [(-1, "the line", 0)] * 12 + [(i, f"number {i}", 1) for i in range(10)] + [(3, "again", 1)]
+    assert got == sorted((i or -1, t, n) for i, t, n in want)
+
+
+def test_a_document_of_many_dropped_lines(spark):
+    """The time to put it together again is linear in its lines."""
+    long = "\n".join(f"common {i}\nown {i}" for i in range(20_000))
+    common = "\n".join(f"common {i}" for i in range(20_000))
+    got = {x["doc_id"]: x for x in line_dedup.dedup_lines(docs(spark, [long, *[common] * 9])).collect()}
+    assert got[0]["text"] == "\n".join(f"own {i}" for i in range(20_000)) and (got[0]["n_lines"], got[0]["n_dropped"]) == (40_000, 20_000)
+    assert got[5]["text"] == "" and got[5]["n_dropped"] == 20_000
+
+
 # ------------------------------------------------------------------ classifiers
 
 
@@ -371,6 +464,13 @@ def test_language_id(spark):
     assert {x["doc_id"]: x["lang_pred"] for x in out if x["doc_id"] >= 600} == dict.fromkeys((600, 601, 602), "und")
 
 
+def test_language_id_on_the_given_tables(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(frame.filter(language_id.remainder(4) != 2))
+    out = language_id.identify(frame.drop("lang"), model).join(frame.select("doc_id", "lang"), "doc_id").filter((language_id.remainder(4) == 2) & F.col("lang").isNotNull()).collect()
+    assert len(out) > 100 and np.mean([x["lang"] == x["lang_pred"] for x in out if x["lang_pred"] != "und"]) > 0.97
+
+
 def test_language_id_without_labels(spark):
     frame = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [x["lang_pred"] for x in language_id.identify(frame, language_id.train(frame)).collect()] == ["und"]
@@ -405,6 +505,59 @@ def test_toxicity_transducers():
     assert g.emitted("fool " * 1000)[0] == 4000.0
 
 
+def all_paths(machines, word, states):
+    """Every way in which a chain of transducers reads a word: the states after it, and what is emitted."""
+    found = [((), word, [])]
+    for machine, state in zip(machines, states, strict=True):
+        after = []
+        for then, symbol, emitted in found:
+            if (state, symbol) in machine.arcs:
+                to, out, emits = machine.arcs[state, symbol]
+                after.append(((*then, to), out, emitted + ([emits] if emits else [])))
+        found = after
+    return [(states, emitted) for states, _, emitted in found]
+
+
+def plain_clause(machines, tokens):
+    """The sum of weights on each path of a clause that ends in final states everywhere."""
+    paths = [(starts, [0.0] * 3) for starts in product(*(m.starts for m in machines))]
+    for kind, weight in tokens:
+        longer = []
+        for states, total in paths:
+            for after, emitted in all_paths(machines, (kind, None, "plain"), states):
+                new = list(total)
+                for mode, factor in emitted:
+                    new[toxicity.MODES.index(mode)] += factor * weight
+                longer.append((after, new))
+        paths = longer
+    return [total for states, total in paths if all(s in m.final for s, m in zip(states, machines, strict=True))]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_toxicity_machine_against_all_paths(seed):
+    r, g, machines = random.Random(seed), toxicity.Grammar({"fool": 4.0}), toxicity.transducers()
+    for _ in range(300):
+        tokens = [(r.choice(toxicity.CLASSES), r.choice([1.0, 2.5])) for _ in range(r.randrange(0, 9))]
+        accepted = plain_clause(machines, tokens)
+        assert len(accepted) == 1 and g.clause(tokens) == accepted[0]
+
+
+def test_toxicity_learns_classes_beside_stems(spark):
+    r, rows = random.Random(12), []
+    for i in range(900):
+        w = words(r, 20, 300)
+        kind = i % 3
+        if kind == 1:
+            w[8:10] = ["lumpen", "zonk"]
+        elif kind == 2 and r.random() < 0.3:
+            w[7:10] = ["quothed", "a", "lumpen"]
+        rows.append((int(kind == 1), " ".join(w)))
+    sample = spark.createDataFrame(rows, "toxic int, text string")
+    reports, targets = toxicity.learn_context(sample, {"lump": 4.0})
+    assert reports == ["a", "quothed"] and targets == ["zonk"]
+    assert toxicity.Grammar({"lump": 4.0}, reports=reports).emitted("one quothed lumpen") == [0.0, 0.0, 4.0]
+
+
 def test_toxicity_of_endless_clauses():
     g, la = toxicity.Grammar({"fool": 4.0}), "la " * 400
     assert g.emitted(f"one said {la} fool") == [0.0, 0.0, 4.0]
@@ -439,20 +592,29 @@ def test_odd_tables(spark, vocabulary, case):
     d, n = odd(spark, rows), len(rows)
     bench = spark.createDataFrame([(1, "long5 the long6 the long7 the long8"), (None, "x"), (2, None)], "item_id long, text string")
     labels = spark.createDataFrame([(3, 1), (5, 0), (None, 1), (2, None)] if rows else [], "doc_id long, toxic int")
-    assert substring_dedup.dedup_substrings(d).count() == n
-    assert sharding.shard(d, 1000).count() == n
-    assert {x["doc_id"] for x in decontaminate.find_leaks(d, bench).collect()} == ({3, 4} if rows else set())
+    rows_of = lambda df, *cols: sorted(([x[c] for c in cols] for x in df.collect()), key=repr)
+    want = [[i, len(t.split()) if t else 0, len(LONG.split()) if i == 4 else 0] for i, t, *_ in rows]
+    assert rows_of(substring_dedup.dedup_substrings(d), "doc_id", "n_words", "n_removed") == sorted(want, key=repr)
+    assert {x["oversized"] for x in sharding.shard(d, 1000).filter("doc_id in (3, 4)").collect()} == ({True} if rows else set()) and sharding.shard(d, 1000).count() == n
+    leaks = decontaminate.find_leaks(d, bench)
+    assert rows_of(leaks, "doc_id", "item_id", "similarity", "start", "n_windows") == ([[3, 1, 1.0, 10, 1], [4, 1, 1.0, 10, 1]] if rows else [])
     assert decontaminate.find_leaks(d, bench.limit(0)).count() == 0
     assert nearest.nearest(d.selectExpr("doc_id as vec_id", "cast(null as array<float>) as embedding"), F.col("vec_id") % 20 == 0).count() == 0
-    assert personal_data.find(d).count() == n
-    assert bpe.decode(bpe.encode(d, vocabulary), vocabulary).count() == n
-    near = minhash.near_duplicates(d).collect()
-    assert len(near) == n and all(x["kept"] for x in near if x["doc_id"] is None)
-    assert {x["doc_id"]: x["component_id"] for x in near}.get(4, 3) == 3
-    assert line_dedup.dedup_lines(d, 2).count() == n
-    assert language_id.identify(d, language_id.train(d)).count() == n
-    assert toxicity.score(d, toxicity.train(d, labels)).count() == n
-
+    spans = personal_data.find(d).select("doc_id", personal_data.listed(F.col("spans")).alias("s"))
+    assert rows_of(spans, "doc_id", "s") == sorted(([i, ",".join(plain_spans(t))] for i, t, *_ in rows), key=repr)
+    decoded = bpe.decode(bpe.encode(d, vocabulary), vocabulary)
+    assert rows_of(decoded, "doc_id", "decoded") == sorted(([i, t or ""] for i, t, *_ in rows), key=repr)
+    near = minhash.near_duplicates(d)
+    grams = {i: len({tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))}) if t else 0 for i, t, *_ in rows if i}
+    want = [[i, (0 if not t else 1 if len(t.split()) < 5 else 2 if i == 1 else grams[i]), None if i is None else 3 if i == 4 else i, i != 4] for i, t, *_ in rows]
+    assert rows_of(near, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
+    lines = line_dedup.dedup_lines(d, 2)
+    assert rows_of(lines, "doc_id", "text", "n_lines", "n_dropped") == sorted(([i, "" if i in (3, 4) else t or "", (t or "").count(chr(10)) + 1, int(i in (3, 4))] for i, t, *_ in rows), key=repr)
+    assert set(lines.columns) == {*d.columns, "n_lines", "n_dropped"}
+    langs = language_id.identify(d, language_id.train(d))
+    assert langs.count() == n and all((x["lang_pred"] == "und") == (not re.search("[a-z]", x["text"] or "")) and 0 <= x["score"] <= 1 for x in langs.collect())
+    scores = toxicity.score(d, toxicity.train(d, labels)).collect()
+    assert len(scores) == n and len({x["score"] for x in scores if not x["text"]}) == (1 if rows else 0) and all(0 <= x["score"] <= 1 for x in scores)
 
 def test_written_tables_are_in_the_shared_folder(spark):
     from logscan.llm.common import shared_dir
