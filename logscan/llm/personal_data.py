@@ -122,9 +122,10 @@ def matches(docs: DataFrame) -> DataFrame:
 def _apart(found: DataFrame) -> DataFrame:
     """Mentions that overlap no base span."""
     mention = F.col("kind") == ORDER["mention"]
-    order = Window.partitionBy("doc_id", "tag").orderBy("start", "kind")
-    before = F.max(F.when(~mention, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(~mention, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    place = Window.partitionBy("doc_id", "tag")
+    # both frames begin at the first row, so that a document's mentions cost linear time
+    before = F.max(F.when(~mention, F.col("end"))).over(place.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(~mention, F.col("start"))).over(place.orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0))
     kept = found.withColumn("before", before).withColumn("after", after).filter(mention)
     return kept.filter((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))).drop("before", "after")
 

@@ -58,13 +58,12 @@ WITH hashed AS (
   FROM documents
 ), levels AS (
   SELECT doc_id, h, size, d, h >> (60 - d) AS prefix FROM hashed, (SELECT CAST(unnest(range(0, 61)) AS INTEGER) AS d)
-  WHERE d >= (SELECT greatest(0, CAST(ceil(log2(greatest(1, sum(size) / {SHARD_BYTES}.0))) AS INTEGER)) FROM hashed) AND d <= 24
 ), buckets AS (
   SELECT d, prefix, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM levels GROUP BY d, prefix
 ), fitting AS (
   SELECT l.doc_id, l.h, l.d, b.bytes, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.d) AS nth
   FROM levels l JOIN buckets b ON l.d = b.d AND l.prefix = b.prefix
-  WHERE b.bytes <= {SHARD_BYTES} OR b.n = 1
+  WHERE b.bytes <= {SHARD_BYTES} OR b.n = 1 OR b.d = 60
 )
 SELECT doc_id, CASE WHEN d = 0 THEN '' ELSE lpad(bin(h >> (60 - d)), d, '0') END AS shard, d AS depth,
        bytes AS shard_bytes, bytes > {SHARD_BYTES} AS oversized

@@ -605,7 +605,8 @@ def test_odd_tables(spark, vocabulary, case):
     decoded = bpe.decode(bpe.encode(d, vocabulary), vocabulary)
     assert rows_of(decoded, "doc_id", "decoded") == sorted(([i, t or ""] for i, t, *_ in rows), key=repr)
     near = minhash.near_duplicates(d)
-    grams = {i: len({tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))}) if t else 0 for i, t, *_ in rows if i}
+    words_of = {i: (t or "").lower().split() for i, t, *_ in rows if i}
+    grams = {i: len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in words_of.items()}
     want = [[i, (0 if not t else 1 if len(t.split()) < 5 else 2 if i == 1 else grams[i]), None if i is None else 3 if i == 4 else i, i != 4] for i, t, *_ in rows]
     assert rows_of(near, "doc_id", "n_shingles", "component_id", "kept") == sorted(want, key=repr)
     lines = line_dedup.dedup_lines(d, 2)
