@@ -20,9 +20,9 @@ Insult stems are learned from a bounded sample of the labelled rows (about `toxi
 `clean_rows`, by hash of the id, near copies counted once): beginnings of 3 to 8 letters and
 whole words whose presence goes with the label beyond chance for the number of stems tried.
 How many are learned, and in how many rounds, is up to that test alone. The classes of the
-context start from fixed words and are extended by the same test: words that stand before a
-stem mostly in texts that are not toxic join the reports, those that stand beside a stem
-mostly in toxic ones join the targets. Stems are found in whole texts with one automaton;
+context start from fixed words and are extended by the same test: words before a stem whose
+texts are toxic less often than those of the stem join the reports, words beside a stem whose
+texts are toxic more often join the targets. Stems are found in whole texts with one automaton;
 only clauses that hold one are parsed. Scoring shuffles nothing.
 
 A null or empty text scores as one without any match. Null labels teach nothing, a null id
@@ -187,6 +187,10 @@ class Grammar:
         """The weight of the heaviest stem that the word begins with."""
         return max((self.stems.get(word[:k], 0.0) for k in range(1, min(len(word), self.longest) + 1)), default=0.0)
 
+    def stem(self, word: str) -> str:
+        """The stem of that weight."""
+        return max((word[:k] for k in range(1, min(len(word), self.longest) + 1) if word[:k] in self.stems), key=self.stems.__getitem__)
+
     def tokens(self, words: Iterable[str]) -> list[tuple[str, float]]:
         """The class and weight of each word."""
         out = []
@@ -267,7 +271,7 @@ def _stem_counts(known: Grammar):
 
 
 def _context_counts(known: Grammar):
-    """Documents of either label by word and place (before: whether it stands before an insult in its clause), by batch."""
+    """Documents of either label by word, stem of an insult in its clause and place (before: whether it stands before an insult), by batch; the word '' stands for the insult alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,14 +279,16 @@ def _context_counts(known: Grammar):
             for y, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found = set()
                 for words in known.clauses(text):
-                    insults = [i for i, w in enumerate(words) if known.insult(w)]
+                    insults = [(i, known.stem(w)) for i, w in enumerate(words) if known.insult(w)]
+                    stems = {s for _, s in insults}
+                    found |= {("", False, s) for s in stems}
                     for i, w in enumerate(words if insults else ()):
                         if w not in known.classes and not known.insult(w):
-                            found |= {(w, False), (w, True)} if i < insults[-1] else {(w, False)}
+                            found |= {(w, False, s) for s in stems} | {(w, True, s) for at, s in insults if i < at}
                 counts[y].update(found)
             rows = list(counts[0].keys() | counts[1].keys())
-            cols = [pa.array([w for w, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.bool_()), *(pa.array([c[r] for r in rows], pa.int64()) for c in (counts[1], counts[0]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["stem", "before", "toxic", "clean"])
+            cols = [pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.string(), pa.bool_(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([c[r] for r in rows], pa.int64()) for c in (counts[1], counts[0]))], names=["word", "before", "insult", "toxic", "clean"])
 
     return run
 
@@ -335,26 +341,22 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 
 
 def learn_context(sample: DataFrame, stems: dict[str, float]) -> tuple[list[str], list[str]]:
-    """Words of reported speech and targets besides the fixed ones: those beside a stem that go with one label beyond chance."""
-    known = Grammar(stems)
-    holds = sample.mapInArrow(_context_counts(known), "stem string, before boolean, toxic long, clean long").groupBy("stem", "before").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n1, n0 = _sizes(sample.mapInArrow(_holders(known), "toxic int"))
-    if not stems or not n1 or not n0:
-        return [], []
-    tried = written(_tested(holds.filter("toxic + clean >= 5"), n1, n0))
-    sure = tried.filter((F.col("sure") > _chance(tried.count())) & (F.abs("weight") > 1)).collect()
-    return sorted({r["stem"] for r in sure if r["before"] and r["weight"] < 0}), sorted({r["stem"] for r in sure if not r["before"] and r["weight"] > 0})
-
-
-def _holders(known: Grammar):
-    """The labels of the texts that hold an insult."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([any(known.insult(w) for words in known.clauses(t) for w in words) for t in batch.column("text").to_pylist()], pa.bool_())
-            yield batch.select(["toxic"]).filter(keep)
+    """Words of reported speech and targets besides the fixed ones: those that stand with stems more often than chance in texts of one label.
 
-    return run
+    How often is to be expected follows from the stems that a word stands with, so that a word which is merely of
+    the language of the surest stems is not learned.
+    """
+    if not stems:
+        return [], []
+    rows = sample.mapInArrow(_context_counts(Grammar(stems)), "word string, before boolean, insult string, toxic long, clean long")
+    counts = written(rows.groupBy("word", "before", "insult").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    rates = written(counts.filter("word = ''").select("insult", (F.col("toxic") / (F.col("toxic") + F.col("clean"))).alias("rate")))
+    n, toxic, due = F.col("n"), F.col("toxic"), F.col("due")
+    each = counts.filter("word <> ''").withColumn("n", F.col("toxic") + F.col("clean")).join(broadcast_if_small(rates), "insult")
+    words = each.groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.sum(n * F.col("rate")).alias("due")).filter("n >= 5")
+    tried = written(words.withColumn("sure", 2 * (_xlog(toxic, due) + _xlog(n - toxic, n - due))))
+    sure = tried.filter(F.col("sure") > _chance(tried.count())).collect()  # words of the sample, which is bounded
+    return sorted({r["word"] for r in sure if r["before"] and r["toxic"] < r["due"]}), sorted({r["word"] for r in sure if not r["before"] and r["toxic"] > r["due"]})
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
