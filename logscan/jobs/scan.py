@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
@@ -168,20 +168,31 @@ def _called_back(matches: DataFrame, state: DataFrame, searches: list[Search]) -
 
 
 def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame | None]:
-    """The files of this run (key, path, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, and the splits of their text."""
-    relevant = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq")
-    names = [r["path"] for r in relevant.select("path").distinct().collect()]  # file names: Spark's own listing is on the driver too
+    """The files of this run (key, path, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, and the splits of their text.
+
+    A log with the time and the size of the last run, and no archive beside it, is not read at all.
+    """
+    options = spark.createDataFrame([(s.tag, bool(s.rotation), s.read_all_first, s.virtual) for s in searches], "tag string, rotating boolean, read_all boolean, virtual boolean")
+    saved = state.select(*KEY, "logoffset", "logtime", F.col("fingerprint").alias("_print"), "loglines")
+    alone = F.count(F.lit(1)).over(Window.partitionBy(*KEY)) == 1  # over the files of a log
+    unchanged = F.col("current") & ~F.col("virtual") & alone & (F.col("mtime") == F.col("logtime")) & (F.col("length") == F.col("logoffset")) & F.col("loglines").isNotNull()
+    relevant = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
+    marked = written(relevant.join(F.broadcast(options), "tag").join(saved, list(KEY), "left").withColumn("idle", F.coalesce(unchanged, F.lit(False))))
+    columns = [*KEY, "path", "mtime", "current", "file_seq", "end", "rows", "fingerprint", "start", "seen"]
+    idle = marked.filter("idle").select(*KEY, "path", "mtime", "current", "file_seq", F.col("length").alias("end"), F.col("loglines").alias("rows"), F.col("_print").alias("fingerprint"), F.col("length").alias("start"), F.col("loglines").alias("seen"))
+    busy = marked.filter("not idle").select(*KEY, "path", "mtime", "current")
+    names = [r["path"] for r in busy.select("path").distinct().collect()]  # file names: Spark's own listing is on the driver too
     if not names:
-        return relevant.limit(0).withColumns({c: F.lit(None).cast(t) for c, t in (("end", "long"), ("rows", "long"), ("fingerprint", "string"), ("start", "long"), ("seen", "long"))}), None
+        return idle, None
     splits = written(lines.measure(spark, sorted(names)))
-    named = relevant.join(lines.measured_files(splits), lines.same_path("file_path", "path"), "left").withColumns({"end": F.coalesce("end", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
+    named = busy.join(lines.measured_files(splits), lines.same_path("file_path", "path"), "left").withColumns({"end": F.coalesce("end", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
     # copies by their whole content; of a log and its copy the log stays
     newest = F.when(F.col("current"), F.lit("9999-01-01").cast("timestamp")).otherwise(F.col("mtime"))
     copies = named.select(*KEY, "path", F.col("mtime").alias("_mtime"), newest.alias("mtime"), "current", F.col("fingerprint").alias("_print"), F.coalesce("content", "path").alias("fingerprint"), F.col("end").alias("length"), "rows")
     once = incremental.dedupe_files(copies).withColumns({"mtime": F.col("_mtime"), "fingerprint": F.col("_print")})
     chosen = incremental.relevant_files(once, state).select(*KEY, "path", "mtime", "current", "file_seq", F.col("length").alias("end"), "rows", "fingerprint")
-    options = spark.createDataFrame([(s.tag, bool(s.rotation), s.read_all_first, s.virtual) for s in searches], "tag string, rotating boolean, read_all boolean, virtual boolean")
-    return written(incremental.starts(chosen.join(F.broadcast(options), "tag"), state)), splits
+    chosen = incremental.starts(chosen.join(F.broadcast(options), "tag"), state).select(*columns)
+    return written(chosen.unionByName(idle)), splits
 
 
 def run(

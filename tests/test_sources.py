@@ -185,6 +185,17 @@ def test_a_log_with_other_content_is_read_whole(spark, tmp_path):
     assert go(8) == [("t", "CRITICAL", "hit")] and go(9) == []
 
 
+def test_an_idle_log_is_not_read(spark, tmp_path, monkeypatch):
+    logs, go = _runs(spark, tmp_path, Search(tag="t", logfile="log", critical=["hit", "!alive"], read_all_first=True))
+    _write(logs, 0, log="alive\nhit 1\n")
+    assert go(1) == [("t", "CRITICAL", "hit 1")]
+    with monkeypatch.context() as m:
+        m.setattr(lines, "measure", lambda *_: 1 / 0)
+        assert go(2) == go(3) == [("t", "CRITICAL", "MISSING: alive")]
+    _write(logs, 4, log="alive\nhit 2\n")
+    assert go(5) == [("t", "CRITICAL", "hit 2")]
+
+
 def test_rotations_between_runs(spark, tmp_path):
     logs, go = _runs(spark, tmp_path, Search(tag="t", logfile="log", critical=["hit"], warning=["odd"], rotation="LOGLOG0LOG1GZ", read_all_first=True))
     _write(logs, 0, log="one\nhit 1\n")
