@@ -209,6 +209,7 @@ def run(
     protocol_error: str = "CRITICAL",
     state_error: str = "CRITICAL",
     own_macros: dict[str, str] | None = None,
+    levels: int | None = None,
 ) -> Run:
     """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
 
@@ -216,7 +217,8 @@ def run(
     an alert. With replaces, an alert of before ends the run, and what after returns is the
     result. A protocol that cannot be written is an alert of level protocol_error, a state that cannot
     be saved one of state_error; the next run reads the same lines again then. Macros in the names
-    of logs, rotations and patterns are replaced by their values at run_ts and own_macros.
+    of logs, rotations and patterns are replaced by their values at run_ts and own_macros. levels: how
+    many folders below paths archives are looked for, all if None.
     """
     values = macros(run_ts, host, **(own_macros or {}))
     searches = [resolved(s, values) for s in searches]
@@ -237,7 +239,7 @@ def run(
     for f in spark.createDataFrame([], STATE).schema.fields:  # a state of an older form
         state = state if f.name in state.columns else state.withColumn(f.name, F.lit(None).cast(f.dataType))
 
-    files = incremental.match_archives(lines.list_files(spark, paths), wanted)
+    files = incremental.match_archives(lines.list_files(spark, paths, levels=levels), wanted)
     newest = [s.tag for s in searches if s.newest]
     if newest:
         files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
@@ -253,7 +255,7 @@ def run(
 
     old = _carried(state, searches, run_ts)
     tags = [s.tag for s in searches]
-    # as in the reference, the first run of a source that reads all of it does not miss patterns
+    # the first run of a source that reads all of it does not miss patterns
     unread = wanted.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
     scanned = scan_all(todo, searches, old, wanted.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts)
     matches, carry = scanned.matches, scanned.carry

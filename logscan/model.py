@@ -42,7 +42,8 @@ class Search:
     """A tag with its rules and options.
 
     Patterns are lists of patterns or of (key, pattern), or dicts from a key to a pattern; `!` in
-    front of a pattern means that it must appear. newest: the log is the newest of the files that
+    front of a pattern means that it must appear. client: a pattern of the host that lines must
+    name; server: a host, whose lines or those of localhost are taken. newest: the log is the newest of the files that
     rotation names. virtual: the file is read whole in each run. logfile_missing: the level of a
     missing log, `ok`, or `off` for none. formats: FORMAT blocks, with format_levels from severities
     to codes. callback sees the matches of a run (see callbacks.with_state).
@@ -57,6 +58,8 @@ class Search:
     exceptions: dict = field(default_factory=dict)
     need: tuple | list = ()
     skip: tuple | list = ()
+    client: str | None = None
+    server: str | None = None
     case: bool = True
     preferred_level: str | None = None
     threshold: dict = field(default_factory=dict)
@@ -81,9 +84,13 @@ class Search:
     callback_mode: str = "plain"
 
     def flags(self) -> str:
-        """Line feeds alone end lines for the dot, as in the reference's dialect."""
+        """Line feeds alone end lines for the dot."""
         return "(?d)" if self.case else "(?di)"
 
+    def needed(self) -> list[str]:
+        """All patterns that a line must hold."""
+        return [*self.need, *([self.client] if self.client else []), *([f"({re.escape(self.server)}|localhost)"] if self.server else [])]
+
     def rules(self, level: str) -> list[tuple[int, str, str]]:
         """(number, key, pattern) of a level, without those that must appear."""
         return [r for r in self._all(level) if not r[2].startswith("!")]
@@ -150,10 +157,10 @@ def select_searches(searches: list[Search], names: list[str]) -> list[Search]:
 
 
 def expand_templates(searches: list[Search], tags: list[str]) -> list[Search]:
-    """Templates once for each tag, named template_tag and bound to that host; without tags they are left out."""
+    """Templates once for each tag, named template_tag, bound to that host and with $CL_TAG$, $CL_tag$ and $CL_TEMPLATE$ replaced; without tags they are left out."""
     out = []
     for s in searches:
-        out += [replace(s, tag=f"{s.tag}_{t}", need=[*s.need, re.escape(t)], template=False) for t in tags] if s.template else [s]
+        out += [resolved(replace(s, tag=f"{s.tag}_{t}", need=[*s.need, re.escape(t)], template=False), {"CL_TAG": t, "CL_tag": t.lower(), "CL_TEMPLATE": s.tag}) for t in tags] if s.template else [s]
     return out
 
 
@@ -172,9 +179,12 @@ def resolve(text: str, values: dict[str, str], in_pattern: bool = False) -> str:
 
 
 def resolved(search: Search, values: dict[str, str]) -> Search:
-    """The search with the macros in its log's name, its rotation and its patterns replaced."""
-    named = {n: resolve(getattr(search, n), values) for n in ("logfile", "rotation") if getattr(search, n)}
+    """The search with the macros in its log's name, its rotation, its server and its patterns replaced; $CL_TAG$, $CL_tag$ and $CL_LOGFILE$ are its own."""
+    values = {"CL_TAG": search.tag, "CL_tag": search.tag.lower()} | values
+    named = {n: resolve(getattr(search, n), values) for n in ("logfile", "rotation", "server") if getattr(search, n)}
+    values = {"CL_LOGFILE": named.get("logfile", "")} | values if "logfile" in named else values
     inside = lambda p: resolve(p, values, in_pattern=True)
     rules = {level: [(k, inside(p)) for k, p in _pairs(getattr(search, level))] for level in ("critical", "warning", "unknown")}
     plain = {n: [inside(p) for p in getattr(search, n)] for n in ("ok", "need", "skip")}
-    return replace(search, **named, **rules, **plain, exceptions={level: [inside(p) for _, p in _pairs(ps)] for level, ps in search.exceptions.items()})
+    client = inside(search.client) if search.client else None
+    return replace(search, **named, **rules, **plain, client=client, exceptions={level: [inside(p) for _, p in _pairs(ps)] for level, ps in search.exceptions.items()})

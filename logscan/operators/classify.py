@@ -35,7 +35,7 @@ def _any(line: Column, search: Search, patterns: list[str]) -> Column:
 
 def accepted(line: Column, search: Search) -> Column:
     """Lines that hold all need patterns and no skip pattern."""
-    needed = [found(line, p, search.flags(), search.case) for p in search.need]
+    needed = [found(line, p, search.flags(), search.case) for p in search.needed()]
     return reduce(lambda a, b: a & b, needed, F.lit(True)) & ~_any(line, search, search.skip)
 
 

@@ -7,9 +7,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logscan.model import TEN_YEARS, seconds
 from logscan.tables import broadcast_if_small, written
 
 
+# The seconds that a first run looks back, for events, and for reports and alert tables.
+LOOKBACK = {"event": 600, "report": 300}
+
+
+def since(last, now, lookback: str | int | None = None, read_all: bool = False, kind: str = "event") -> Column:
+    """Where the window of a run at now begins: lookback (`90s`, `5m`, `2h`, `1d`) before now, if given; else at the last run; in a first run (last is None) the kind's time before now, or ten years with read_all."""
+    if lookback is None and last is not None:
+        return F.lit(last).cast("timestamp")
+    back = seconds(lookback) if lookback is not None else TEN_YEARS if read_all else LOOKBACK[kind]
+    return F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(back))
+
+
 def event_window(events: DataFrame, last, now, ts: str = "ts") -> DataFrame:
     """last <= ts < now: a record is in one run only."""
     return events.filter((F.col(ts) >= F.lit(last)) & (F.col(ts) < F.lit(now)))

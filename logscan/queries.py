@@ -204,6 +204,18 @@ def rule_sets(spark, sf_dir):
     return classify.classify(_lines(spark, sf_dir), merged).groupBy("tag", "level", "pat_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("""WITH t AS (SELECT CASE conv_id % 4 WHEN 3 THEN 'localhost' ELSE 'web.' || CAST(conv_id % 4 AS VARCHAR) END AS host, text FROM conversations), l AS (SELECT host, host || ' ' || text AS line FROM t)
+SELECT 'client' AS tag, host, count(*) AS n FROM l WHERE regexp_matches(line, 'web.[12]') AND regexp_matches(line, 'the') GROUP BY host
+UNION ALL SELECT 'server', host, count(*) FROM l WHERE regexp_matches(line, '(web[.]0|localhost)') AND regexp_matches(line, 'the') GROUP BY host""")
+def client_server(spark, sf_dir):
+    """Lines of the hosts that a search is for, and those of a host itself."""
+    c = _table(spark, sf_dir, "conversations")
+    host = F.when(F.col("conv_id") % 4 == 3, "localhost").otherwise(F.concat(F.lit("web."), (F.col("conv_id") % 4).cast("string")))
+    lines = c.select(host.alias("host"), F.lit("talk").alias("logfile"), F.concat(host, F.lit(" "), "text").alias("line"))
+    searches = [Search(tag="client", critical=["the"], client="web.[12]"), Search(tag="server", critical=["the"], server="web.0")]
+    return classify.classify(lines, searches).groupBy("tag", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---------------------------------------------------------------- thresholds and sticky alerts
 
 NUMBERED = f"{EVENTS}, num AS (SELECT *, row_number() OVER (PARTITION BY host, level ORDER BY line_no) AS k FROM ev WHERE level IS NOT NULL)"
@@ -356,6 +368,12 @@ def event_window(spark, sf_dir):
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@register(f"WITH {EVENTS} SELECT event_id FROM ev WHERE ts >= TIMESTAMP '{SPLIT}' - INTERVAL 36 HOUR AND ts < '{SPLIT}'")
+def event_lookback(spark, sf_dir):
+    """The events of a run that looks back for some time."""
+    return events.event_window(_events(spark, sf_dir), events.since(None, _ts(SPLIT), "36h"), _ts(SPLIT)).select("event_id")
+
+
 @register(f"WITH {EVENTS} SELECT event_id, event_type FROM ev WHERE ts >= '2024-01-10' AND ts < '{SPLIT}' AND event_type IN ('error', 'click')")
 def journal_units(spark, sf_dir):
     """Journal records of a window and of some units."""
@@ -479,9 +497,15 @@ def heartbeat(spark, sf_dir):
     return out.select("host", _text("window_start").alias("window_start"))
 
 
-@register()
+@register(f"""WITH RECURSIVE {EVENTS}, num AS (SELECT host, event_id, line_no / 1e6 AS t, row_number() OVER (PARTITION BY host ORDER BY line_no) AS k FROM ev WHERE level IS NOT NULL),
+run AS (
+  SELECT host, event_id, k, CAST(0 AS BIGINT) AS wait, [t] AS history FROM num WHERE k = 1
+  UNION ALL
+  SELECT host, event_id, k, wait, CASE WHEN len(history) < 5 THEN list_append(history, t) WHEN wait = 0 THEN list_append(history[2:], t) ELSE history END
+  FROM (SELECT n.*, r.history, CASE WHEN len(r.history) < 5 THEN 0 ELSE greatest(0, CAST(trunc(r.history[1] + 43200.0::DOUBLE - n.t) AS BIGINT)) END AS wait FROM run r JOIN num n ON n.host = r.host AND n.k = r.k + 1))
+SELECT host, event_id, CAST(wait AS BIGINT) AS wait FROM run""")
 def flood_check(spark, sf_dir):
-    """Events over 5 in 12 hours of a host; each depends on all before it, which SQL does not express."""
+    """Events over 5 in 12 hours of a host; each depends on all before it."""
     rows = callbacks.flood(_alerts(spark, sf_dir).select("host", "event_id", "ts"), 5, 43200, key=HOST, when="ts")
     return rows.select("host", "event_id", "wait")
 

@@ -131,7 +131,8 @@ def stream_alerts(lines: DataFrame, search: Search) -> DataFrame:
 
     standing: alerts of the level since the last all-clear that still stand; without sticky alerts this one alone.
 
-    Only lines that match a pattern or clear the alert are shuffled, once, by key.
+    Only lines that match a pattern or clear the alert are shuffled, once, by key. Those that a
+    micro-batch has of a key are sorted in one task: bound micro-batches at the source (maxFilesPerTrigger).
     """
     found = F.transform(line_matches(F.col("line"), search), lambda m: m["level"])
     clear = accepted(F.col("line"), search) & F.col("line").rlike(search.flags() + "|".join(f"(?:{p})" for p in search.ok)) if search.ok else F.lit(False)

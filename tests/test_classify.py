@@ -6,13 +6,14 @@ import random
 import re
 from collections import Counter
 from dataclasses import replace
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from logscan.jobs.scan import scan_lines
 from logscan.model import Search, expand_templates, macros, merge_searches, read_rules, resolve, resolved, seconds, select_searches, with_rules
-from logscan.operators import classify, literals, report, sticky, thresholds
+from logscan.operators import classify, events, literals, report, sticky, thresholds
 
 SCHEMA = "tag string, host string, logfile string, file_seq int, line_no long, line string"
 
@@ -172,14 +173,29 @@ def test_all_lines_and_no_line(spark):
 
 
 def test_macros_in_searches():
-    from datetime import datetime
-
     values = macros(datetime(2024, 3, 7, 5, 6, 9), "web1.example.org", OWN="a.b")
     s = resolved(Search(tag="t", logfile="log.$CL_DATE_YYYY$-$CL_DATE_MM$-$CL_DATE_DD$", critical={"k": "$CL_HOSTNAME$ $OWN$"}, exceptions={"critical": ["$CL_FQDN$"]}, ok=["$NONE$"]), values)
     assert s.logfile == "log.2024-03-07" and s.rules("critical") == [(0, "k", "web1 a\\.b")]
     assert s.exceptions == {"critical": ["web1\\.example\\.org"]} and s.ok == ["$NONE$"] and values["CL_DATE_CW"] == "10" and values["CL_DOMAIN"] == "example.org"
 
 
+def test_client_server_and_tags_of_templates(spark):
+    lines = ["web.1 x", "web21 x", "localhost x", "db x"]
+    own = lambda **k: counts(scan_lines(frame(spark, lines), [Search(tag="t", critical=["x"], **k)])[0])[1]
+    assert (own(client="web.?1"), own(server="web.1"), own(server="db", need=["l"]), own()) == (2, 2, 1, 4)
+    (s,) = expand_templates([Search(tag="n", template=True, logfile="$CL_tag$.log", client="$CL_TAG$ ", critical=["$CL_TEMPLATE$"])], ["Web.1"])
+    assert (s.tag, s.logfile, s.client, s.rules("critical")) == ("n_Web.1", "web.1.log", "Web\\.1 ", [(0, "unknown_pattern", "n")])
+    s = resolved(Search(tag="t", logfile="$CL_TAG$.$X$", server="$X$", need=["$CL_LOGFILE$"]), {"X": "a.b"})
+    assert (s.logfile, s.server, s.need, s.needed()[1]) == ("t.a.b", "a.b", ["t\\.a\\.b"], "(a\\.b|localhost)")
+
+
+def test_where_the_window_of_a_run_begins(spark):
+    now, last = datetime(2024, 3, 1, 12), datetime(2024, 3, 1, 11)
+    begins = [events.since(last, now), events.since(None, now), events.since(None, now, kind="report"), events.since(last, now, "2h"), events.since(None, now, read_all=True)]
+    row = spark.range(1).select(*[(F.unix_timestamp(F.lit(now)) - F.unix_timestamp(b)).alias(f"b{i}") for i, b in enumerate(begins)]).first()
+    assert list(row) == [3600, 600, 300, 7200, 3650 * 86400]
+
+
 def test_long_report_and_its_page(spark):
     rows = [(t, "CRITICAL" if i % 2 else "WARNING", 0, i, 0, f"{t}<{i}>") for t in ("a", "b") for i in range(3000)]
     m = spark.createDataFrame(rows, "tag string, level string, file_seq int, line_no long, pat_pos int, message string")
