@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from logscan.llm.common import broadcast_if_small, written
 
-#: Shingles of the benchmark that are broadcast at a time.
-BLOCK = 250_000
+#: Bytes of the benchmark's shingles, with the sizes of their items, that are broadcast at a time.
+BLOCK_BYTES = 8 << 20
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 21
 LANES = 0x0001000100010001
 
@@ -105,7 +105,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshol
     # the outer form, as the inner one would first test the array's size and so make it twice
     hits = with_shingles(docs, size).select("doc_id", "tag", "sh", F.size("sh").alias("m")).select("doc_id", "tag", "m", F.posexplode_outer("sh").alias("pos", "h"))
     by_size = written(item_shingles.groupBy("h").agg(F.collect_set("n").alias("sizes")))
-    n_blocks = -(-by_size.count() // BLOCK) or 1
+    size_bytes = by_size.agg(F.sum(24 + 8 * F.size("sizes"))).first()[0] or 0
+    n_blocks = -(-size_bytes // BLOCK_BYTES) or 1
     blocks = [by_size.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == i) if n_blocks > 1 else by_size for i in range(n_blocks)]
     hits = written(reduce(DataFrame.unionByName, [hits.join(F.broadcast(b), "h") for b in blocks]).select("doc_id", "tag", "m", "pos", "sizes"))
     asked = possible(hits, threshold).select(F.col("doc_id").alias("at_doc"), F.col("tag").alias("at_tag"), "start", "n").distinct()

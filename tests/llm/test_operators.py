@@ -156,7 +156,9 @@ def plain_leaks(texts, items, size=5, threshold=0.8):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 1000])
+def test_decontamination(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)  # the second: several blocks
     r = random.Random(3)
     items = [" ".join(words(r, n)) for n in (14, 20, 20, 33, 60)] + ["too short item", None, ""]
     texts = [None, "", " ".join(words(r, 400))]
