@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscan.llm import bpe, decontaminate, language_id, line_dedup, minhash, nearest, personal_data, sharding, substring_dedup, toxicity
+from logscan.llm import bpe, centroids, conversation_repair, decontaminate, language_id, line_dedup, minhash, nearest, packing, personal_data, sharding, substring_dedup, toxicity
 from logscan.llm.common import table
 
 
@@ -199,9 +199,127 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    summary, turns = conversation_repair.repair(conversation_repair.damage(conversations))
+    same = lambda other: F.col("conv_id").eqNullSafe(F.col(other))
+    every = conversations.select("conv_id").distinct()
+    told = every.join(summary.withColumnRenamed("conv_id", "_told"), same("_told"), "left").join(conversation_repair.digests(turns).withColumnRenamed("conv_id", "_left"), same("_left"), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), bits(b, n, c) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT b, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY b) AS t FROM bits WHERE n = 8
+), faults AS (
+  SELECT h.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                              lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS f
+  FROM hashed h, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM faults WHERE f <> 0
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         left(role, 1) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink
+  FROM damaged
+), told AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair
+  FROM placed
+), sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY conv_id
+), grammar(st, role, nxt) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), fills(st, nxt, cost, audit, out) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+         (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']),
+         (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])
+), walk(conv_id, i, n, st, cost, audit, out) AS (
+  SELECT s.conv_id, CAST(0 AS BIGINT), s.n, f.nxt, CAST(f.cost AS BIGINT), f.audit, f.out FROM sums s JOIN fills f ON f.st = 0
+  UNION ALL
+  SELECT conv_id, i, n, nxt, best.cost, best.audit, best.out FROM (
+    SELECT conv_id, i, n, nxt, min({'cost': cost, 'audit': audit, 'out': out}) AS best FROM (
+      SELECT e.conv_id, e.i, e.n, f.nxt, e.cost + f.cost AS cost, e.audit || f.audit AS audit, list_concat(e.out, f.out) AS out FROM (
+        SELECT w.conv_id, w.i + 1 AS i, w.n, w.st, w.cost + 4 AS cost, w.audit || 'D' AS audit, w.out FROM walk w WHERE w.i < w.n
+        UNION ALL
+        SELECT w.conv_id, w.i + 1, w.n, g.nxt, w.cost + CASE t.fault WHEN 'truncated' THEN 3 ELSE 0 END + CASE k.k WHEN 'R' THEN 3 ELSE 0 END, w.audit || k.k,
+               list_append(w.out, CASE k.k WHEN 'K' THEN t.role WHEN 'R' THEN CASE g.role WHEN 'u' THEN 'user' ELSE 'assistant' END END || ':' || t.text)
+        FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 JOIN grammar g ON g.st = w.st, (VALUES ('K'), ('R')) k(k)
+        WHERE t.fault NOT IN ('blank', 'duplicate') AND CASE k.k WHEN 'K' THEN t.r = g.role ELSE g.role <> 's' END
+      ) e JOIN fills f ON f.st = e.st
+    ) GROUP BY conv_id, i, n, nxt
+  )
+), best AS (
+  SELECT conv_id, min({'cost': cost, 'audit': audit, 'out': out}) AS b FROM walk WHERE i = n AND st IN (0, 3) GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+       coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, CAST(coalesce(b.b.cost, 0) AS BIGINT) AS cost,
+       coalesce(b.b.audit, '') AS audit, sha256(coalesce(array_to_string(b.b.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, scale=64))
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _lloyd(rounds: int) -> str:
+    """SQL of Lloyd's rounds in full: assignments a0, a1, ... and centroids c0, c1, ..."""
+    out = []
+    for n in range(rounds + 1):
+        out.append(f"""a{n} AS (
+  SELECT v.n, v.vec_id, v.x, arg_min(c.k, (c.d, c.k)) AS k, min(c.d) AS d
+  FROM (SELECT v.n, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{n} c) c JOIN v ON v.n = c.n
+  GROUP BY v.n, v.vec_id, v.x
+)""")
+        if n < rounds:
+            out.append(f"""s{n} AS (
+  SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY k, i
+), c{n + 1} AS (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c
+  LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{n} GROUP BY k) m ON m.k = c.k
+)""")
+    return ", ".join(out)
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS k, x FROM v ORDER BY k LIMIT 16
+), {_lloyd(3)}, ends AS (
+  SELECT k, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM c3
+)
+SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, e.centroid_sha256
+FROM a3 a JOIN ends e ON e.k = a.k
+"""
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), capacity=1024, end=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_nearest, op5_personal_data, op6_bpe, op7_minhash, op8_line_dedup, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontamination, op4_nearest, op5_personal_data, op6_bpe, op7_minhash, op8_line_dedup, op9_language_id, op10_toxicity, op11_conversation_repair, op12_centroid_clustering, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_nearest": OP4_SQL, "op7_minhash": OP7_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op3_decontamination": OP3_SQL, "op4_nearest": OP4_SQL, "op7_minhash": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_centroid_clustering": OP12_SQL}
