@@ -7,21 +7,23 @@ have for the searches is written as a table of events, and all that follows work
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
-from logscan.model import KEY, LEVELS, TEN_YEARS, Search, macros, resolved
+from logscan.model import KEY, LEVELS, ORD, TEN_YEARS, Search, macros, resolved
 from logscan.operators import callbacks, classify, formats, report, sticky, thresholds
 from logscan.sources import incremental, lines
-from logscan.tables import broadcast_if_small, written
+from logscan.tables import BROADCAST_ROWS, broadcast_if_small, written
 
-STATE = "tag string, host string, logfile string, logoffset long, loglines long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, private map<string,string>, runcount long, runtime timestamp"
+STATE = "tag string, host string, logfile string, logoffset long, loglines long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, private map<string,string>, tail array<string>, runcount long, runtime timestamp"
 
 #: Where alerts stand that no line has made: at the end.
 END = (1 << 31) - 1
@@ -59,39 +61,50 @@ class Run:
 
 @dataclass
 class Scanned:
-    """What the lines of a run give: matches to report, the thresholds' carry (key, level, carry, threshold_times), and the last all-clear line (key, ok_at)."""
+    """What the lines of a run give: matches to report, the thresholds' carry (key, level, carry, threshold_times), the last all-clear line (key, ok_at), and the lines that formats over several lines look back at in the next run (key, tail)."""
 
     matches: DataFrame
     carry: DataFrame | None
     clear: DataFrame
+    tails: DataFrame | None = None
 
 
-def _several_lines(read: DataFrame, searches: list[Search]) -> list[DataFrame]:
-    """The events of formats over several lines, which look at the lines before a line."""
-    out = []
+def _several_lines(read: DataFrame, searches: list[Search], tails: DataFrame | None) -> tuple[list[DataFrame], DataFrame | None]:
+    """The events of searches with formats over several lines, which look at the lines before a line that passed the prefilter, and the tails of their logs."""
+    out, after = [], None
     for s in searches:
-        wide = [f for f in formats.parse_formats(s.formats) if len(f.patterns()) > 1] if s.formats else []
-        if any(f.can_match() for f in wide):
-            own = read.filter(F.col("tag") == s.tag)
-            hits = formats.match_formats(own, wide, key=KEY, defaults={"LABEL": s.host or "", "FILENAME": s.logfile or ""}, severity_map=s.format_levels)
-            level = reduce(lambda o, c: F.when(F.col("hit.exit_code") == c, classify.BY_CODE[c]).otherwise(o), classify.BY_CODE, F.lit(None).cast("string"))
-            rows = hits.filter(classify.accepted(F.col("line"), s)).withColumn("level", level).filter("level is not null")
-            out.append(rows.select(*KEY, "file_seq", "line_no", F.lit(classify.MATCHED).alias("kind"), "level", F.lit(0).alias("pat_idx"), F.col("hit.format_name").alias("pat_key"), F.lit("").alias("pattern"), F.lit(1000).alias("pat_pos"), F.col("hit.subject").alias("message")))
-    return out
+        own = read.filter((F.col("tag") == s.tag) & classify.accepted(F.col("line"), s)).select(*KEY, *ORD, "line")
+        before = None if tails is None else tails.filter(F.col("tag") == s.tag)
+        rows, tail = formats.with_before(own, classify.lines_before(s), ORD, KEY, before)
+        out.append(classify.line_events(rows, [s]))
+        after = tail if after is None else after.unionByName(tail)
+    return out, after
+
 
+def line_events(read: DataFrame, searches: list[Search], tails: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What lines have for their searches, written (see classify.line_events), and the tails of logs with formats over several lines."""
+    wide = [s for s in searches if classify.lines_before(s)]
+    several, after = _several_lines(read, wide, tails)
+    plain = [s for s in searches if s not in wide]
+    parts = [*([classify.line_events(read, plain)] if plain or not several else []), *several]
+    return written(reduce(DataFrame.unionByName, parts)), after
 
-def scan_all(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> Scanned:
+
+def scan_all(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None, tails: DataFrame | None = None, events: DataFrame | None = None) -> Scanned:
     """What the lines (tag, host, logfile, file_seq, line_no, line) give for the searches of their tags.
 
     Effects on a line come in this order: prefilter, exceptions, patterns, preferred level,
     all-clear, threshold; must-appear patterns are judged over all lines, and with keys for these
-    sources, lines or not. With now the carry has threshold_times, for searches whose hits expire.
+    sources, lines or not. With now the carry has threshold_times, for searches whose hits expire. Formats
+    are one list of a line, those over several lines too, which look at tails for what was read before.
 
-    The lines are read once for all searches (but for formats over several lines, and for
-    must-appear patterns without keys, which ask for the sources of the lines).
+    The lines are read once for all searches (but once more for each with formats over several lines, and for
+    must-appear patterns without keys, which ask for the sources of the lines), and not at all if their events are given.
     """
-    events = written(reduce(DataFrame.unionByName, _several_lines(read, searches), classify.line_events(read, searches)))
-    kind, every = F.col("kind"), thresholds.every(searches)
+    after_tails = None
+    if events is None:
+        events, after_tails = line_events(read, searches, tails)
+    kind = F.col("kind")
     clear = events.filter(kind == classify.CLEARED).groupBy(*KEY).agg(F.max(F.struct("file_seq", "line_no")).alias("ok_at"))
     found = events.filter(kind == classify.MATCHED)
     if any(s.ok for s in searches):
@@ -99,20 +112,21 @@ def scan_all(read: DataFrame, searches: list[Search], carry: DataFrame | None =
         found = classify.wipe(found, broadcast_if_small(clear))
     after = None
     if any(n > 1 for s in searches for n in s.threshold.values()):
-        counted, before = found.filter(every > 1), None
+        found = thresholds.with_every(found, searches)
+        counted, every, before = found.filter("every > 1"), F.col("every"), None
         if carry is not None:
-            before = carry.filter(every > 1).join(clear, list(KEY), "left_anti")
-        after = thresholds.next_carry(counted, every, before, now=now)
+            before = thresholds.with_every(carry, searches).filter("every > 1").drop("every").join(clear, list(KEY), "left_anti")
+        after = thresholds.next_carry(counted, searches, before, now=now)
         if now is not None:
             expiring = F.col("tag").isin([s.tag for s in searches if s.threshold_expiry])
             after = after.withColumn("threshold_times", F.when(expiring, F.col("threshold_times")))
         rows = thresholds.apply_threshold(counted.withColumn("_run", thresholds.run_of_lines()), every, before, hot="_run").drop("_run")
-        found = found.filter(every == 1).unionByName(rows)
+        found = found.filter("every = 1").unionByName(rows)
     matches = found.select(*[F.col(n).cast(t).alias(n) for n, t in (c.split() for c in ALERT.split(", "))])
     missing = classify.missing_events(events, searches, read.select(*KEY).distinct() if keys is None else keys)
     if missing is not None:
         matches = matches.unionByName(_alerts(missing, "missing").withColumn("pat_pos", F.col("pat_idx")))
-    return Scanned(matches, after, clear)
+    return Scanned(matches, after, clear, after_tails)
 
 
 def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None = None, keys: DataFrame | None = None, now: datetime | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -121,16 +135,25 @@ def scan_lines(read: DataFrame, searches: list[Search], carry: DataFrame | None
     return out.matches, out.carry
 
 
+def _by(searches: list[Search], value: Callable[[Search], object]) -> dict:
+    """Tags by a value of their searches, for those that have it."""
+    out: dict = {}
+    for s in searches:
+        if value(s):
+            out.setdefault(value(s), []).append(s.tag)
+    return out
+
+
 def _carried(state: DataFrame, searches: list[Search], now: datetime) -> DataFrame:
     """key, level, carry, threshold_times of a state; of searches whose hits expire without those that are too old, and none of searches that do not save them."""
     unsaved = [s.tag for s in searches if not s.save_threshold]
     old = state.filter(~F.col("tag").isin(unsaved)).select(*KEY, "threshold_times", "runtime", F.explode("threshold").alias("level", "carry"))
     times = F.coalesce(F.col("threshold_times")[F.col("level")], F.array_repeat("runtime", F.col("carry").cast("int")))
     old = old.select(*KEY, "level", "carry", times.alias("threshold_times"))
-    expiring = {s.tag: s.threshold_expiry for s in searches if s.threshold_expiry}
-    parts = [old.filter(~F.col("tag").isin(list(expiring)))]
-    for tag, expiry in expiring.items():
-        live = thresholds.live_times(old.filter(F.col("tag") == tag), now, expiry)
+    expiring = _by(searches, lambda s: s.threshold_expiry)
+    parts = [old.filter(~F.col("tag").isin([t for tags in expiring.values() for t in tags]))]
+    for expiry, tags in expiring.items():
+        live = thresholds.live_times(old.filter(F.col("tag").isin(tags)), now, expiry)
         parts.append(live.withColumn("carry", F.size("threshold_times").cast("long")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -142,9 +165,8 @@ def _standing(matches: DataFrame, state: DataFrame, clear: DataFrame, searches:
     kept = kept.select(*KEY, "m.level", F.lit(0).alias("pat_idx"), F.lit("sticky").alias("pat_key"), F.lit("").alias("pattern"), F.lit(-1).cast("long").alias("file_seq"), F.col("nth").cast("long").alias("line_no"), F.lit(0).alias("pat_pos"), "m.message", "m.when")
     clear = clear.select(*KEY, F.timestamp_seconds(F.lit(0)).alias("ok_when"))  # this run's matches before the line are wiped already
     parts = []
-    for s in searches:
-        own = F.col("tag") == s.tag
-        seconds = s.sticky if s.sticky > 1 else TEN_YEARS
+    for seconds, tags in _by(searches, lambda s: s.sticky and (s.sticky if s.sticky > 1 else TEN_YEARS)).items():
+        own = F.col("tag").isin(tags)
         parts.append(sticky.apply_sticky(matches.filter(own).withColumn("when", at), kept.filter(own), clear.filter(own), now, seconds, also=("pat_idx", "pat_key", "pattern", "file_seq", "line_no", "pat_pos")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -167,32 +189,107 @@ def _called_back(matches: DataFrame, state: DataFrame, searches: list[Search]) -
     return out, kept
 
 
-def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame | None]:
-    """The files of this run (key, path, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, and the splits of their text.
+def _options(spark: SparkSession, searches: list[Search]) -> DataFrame:
+    """What reading files depends on, a row for each search."""
+    rows = [(s.tag, bool(s.rotation), s.read_all_first, s.virtual, s.encoding or "") for s in searches]
+    out = spark.createDataFrame(rows, "tag string, rotating boolean, read_all boolean, virtual boolean, encoding string")
+    return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
+
+
+def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None]:
+    """The files of this run (key, path, file_path, encoding, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, the splits of their text by encoding, and the sources' files (key, path) that cannot be read.
 
     A log with the time and the size of the last run, and no archive beside it, is not read at all.
     """
-    options = spark.createDataFrame([(s.tag, bool(s.rotation), s.read_all_first, s.virtual) for s in searches], "tag string, rotating boolean, read_all boolean, virtual boolean")
+    options = _options(spark, searches)
     saved = state.select(*KEY, "logoffset", "logtime", F.col("fingerprint").alias("_print"), "loglines")
     alone = F.count(F.lit(1)).over(Window.partitionBy(*KEY)) == 1  # over the files of a log
     unchanged = F.col("current") & ~F.col("virtual") & alone & (F.col("mtime") == F.col("logtime")) & (F.col("length") == F.col("logoffset")) & F.col("loglines").isNotNull()
     relevant = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
-    marked = written(relevant.join(F.broadcast(options), "tag").join(saved, list(KEY), "left").withColumn("idle", F.coalesce(unchanged, F.lit(False))))
-    columns = [*KEY, "path", "mtime", "current", "file_seq", "end", "rows", "fingerprint", "start", "seen"]
-    idle = marked.filter("idle").select(*KEY, "path", "mtime", "current", "file_seq", F.col("length").alias("end"), F.col("loglines").alias("rows"), F.col("_print").alias("fingerprint"), F.col("length").alias("start"), F.col("loglines").alias("seen"))
-    busy = marked.filter("not idle").select(*KEY, "path", "mtime", "current")
-    names = [r["path"] for r in busy.select("path").distinct().collect()]  # file names: Spark's own listing is on the driver too
+    marked = written(relevant.join(options, "tag").join(saved, list(KEY), "left").withColumn("idle", F.coalesce(unchanged, F.lit(False))))
+    columns = [*KEY, "path", "file_path", "encoding", "mtime", "current", "file_seq", "end", "rows", "fingerprint", "start", "seen"]
+    idle = marked.filter("idle").select(*KEY, "path", F.lit("").alias("file_path"), "encoding", "mtime", "current", "file_seq", F.col("length").alias("end"), F.col("loglines").alias("rows"), F.col("_print").alias("fingerprint"), F.col("length").alias("start"), F.col("loglines").alias("seen"))
+    busy = marked.filter("not idle").select(*KEY, "path", "mtime", "current", "encoding")
+    names: dict[str, list[str]] = {}
+    for r in busy.select("path", "encoding").distinct().collect():  # file names: Spark's own listing is on the driver too
+        names.setdefault(r["encoding"], []).append(r["path"])
+    splits, measured, broken = {}, [], []
+    for encoding, own in sorted(names.items()):
+        found, bad = lines.measure_each(spark, sorted(own), encoding or None)
+        broken += [(b, encoding) for b in bad]
+        if found is not None:
+            splits[encoding] = found
+            measured.append(lines.measured_files(found).withColumn("_encoding", F.lit(encoding)))
     if not names:
-        return idle, None
-    splits = written(lines.measure(spark, sorted(names)))
-    named = busy.join(lines.measured_files(splits), lines.same_path("file_path", "path"), "left").withColumns({"end": F.coalesce("end", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
+        return idle, splits, None
+    bad = None
+    if broken:
+        given = spark.createDataFrame(broken, "path string, encoding string")
+        bad = written(busy.join(given, ["path", "encoding"]).select(*KEY, "path"))
+        busy = busy.join(given, ["path", "encoding"], "left_anti")
+    told = reduce(DataFrame.unionByName, measured) if measured else spark.createDataFrame([], "file_path string, rows long, end long, fingerprint string, content string, _encoding string")
+    named = busy.join(told, (lines.metadata_path("file_path") == lines.plain_path("path")) & (F.col("encoding") == F.col("_encoding")), "left").withColumns({"end": F.coalesce("end", F.lit(0)), "rows": F.coalesce("rows", F.lit(0))})
     # copies by their whole content; of a log and its copy the log stays
     newest = F.when(F.col("current"), F.lit("9999-01-01").cast("timestamp")).otherwise(F.col("mtime"))
-    copies = named.select(*KEY, "path", F.col("mtime").alias("_mtime"), newest.alias("mtime"), "current", F.col("fingerprint").alias("_print"), F.coalesce("content", "path").alias("fingerprint"), F.col("end").alias("length"), "rows")
+    copies = named.select(*KEY, "path", "file_path", F.col("mtime").alias("_mtime"), newest.alias("mtime"), "current", F.col("fingerprint").alias("_print"), F.coalesce("content", "path").alias("fingerprint"), F.col("end").alias("length"), "rows")
     once = incremental.dedupe_files(copies).withColumns({"mtime": F.col("_mtime"), "fingerprint": F.col("_print")})
-    chosen = incremental.relevant_files(once, state).select(*KEY, "path", "mtime", "current", "file_seq", F.col("length").alias("end"), "rows", "fingerprint")
-    chosen = incremental.starts(chosen.join(F.broadcast(options), "tag"), state).select(*columns)
-    return written(chosen.unionByName(idle)), splits
+    chosen = incremental.relevant_files(once, state).select(*KEY, "path", "file_path", "mtime", "current", "file_seq", F.col("length").alias("end"), "rows", "fingerprint")
+    chosen = incremental.starts(chosen.join(options, "tag"), state).select(*columns)
+    return written(chosen.unionByName(idle)), splits, bad
+
+
+def _fresh_events(spark: SparkSession, chosen: DataFrame, splits: dict[str, DataFrame], searches: list[Search], tails: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What the new lines of the files have for their searches, and the tails of their logs."""
+    fresh = chosen.filter("start < end").select(*KEY, "file_path", "encoding", "file_seq", "start")  # of a written table
+    names: dict[str, list[str]] = {}
+    for r in fresh.select("file_path", "encoding").distinct().collect():
+        names.setdefault(r["encoding"], []).append(r["file_path"])
+    if not names:
+        return line_events(spark.createDataFrame([], "tag string, host string, logfile string, file_seq int, line_no long, line string"), searches[:1], None)
+    texts = [lines.read_lines(spark, sorted(unquote(n) for n in own), splits=splits[e], encoding=e or None).drop("host", "logfile", "file_mtime", "end_offset").withColumn("encoding", F.lit(e)) for e, own in sorted(names.items())]
+    text = reduce(DataFrame.unionByName, texts)
+    by_file = ["file_path", "encoding"]
+    own_lines = lambda fresh: text.join(broadcast_if_small(fresh, size=64 << 20), by_file).filter("start_offset >= start")
+    plain = [s for s in searches if not s.formats]
+    if not classify.many(plain):
+        return line_events(own_lines(fresh), searches, tails)
+    # a line goes once to all searches that look at its file; only what is found goes to their sources
+    sets = written(fresh.filter(F.col("tag").isin([s.tag for s in plain])).groupBy(*by_file).agg(F.sort_array(F.collect_set("tag")).alias("tags")).withColumn("_set", F.xxhash64("tags")))
+    place = {s.tag: n for n, s in enumerate(plain)}
+    looking = {r["_set"]: [place[t] for t in r["tags"]] for r in sets.select("_set", "tags").distinct().collect()}  # sets of searches: configuration
+    at = text.join(broadcast_if_small(sets.drop("tags"), size=64 << 20), by_file)
+    found = classify.rule_events(at, plain, "_set", looking)
+    mine = found.join(broadcast_if_small(fresh, size=64 << 20), [*by_file, "tag"]).filter("start_offset >= start")
+    parts, after = [mine.select(*KEY, *ORD, "kind", "level", "pat_idx", "pat_key", "pattern", "pat_pos", "message")], None
+    rest = [s for s in searches if s.formats]
+    if rest:
+        more, after = line_events(own_lines(fresh.filter(F.col("tag").isin([s.tag for s in rest]))), rest, tails)
+        parts.append(more)
+    return written(reduce(DataFrame.unionByName, parts)), after
+
+
+def _shown(paths: list[str]) -> Column:
+    """How a log is named: its path below the folder that was looked into."""
+    roots = sorted((re.sub("^file:/+", "/", p).rstrip("/") for p in paths), key=len, reverse=True)
+    return F.regexp_replace("logfile", "^(?:" + "|".join(f"\\Q{r}\\E" for r in roots) + ")/", "")
+
+
+def _hosts(files: DataFrame, layout: str | None, host: str) -> DataFrame:
+    """files with host: the part of its path where layout has {host}; * in it is any name."""
+    if not layout:
+        return files
+    parts = re.split(r"(\{host\}|\*)", re.sub("^file:/+", "/", layout))
+    pattern = "".join({"{host}": "([^/]+)", "*": "[^/]*"}.get(p, re.escape(p)) for p in parts)
+    return files.withColumn("host", F.coalesce(F.nullif(F.regexp_extract(lines.plain_path("path"), f"^{pattern}", 1), F.lit("")), F.lit(host)))
+
+
+def _wanted(spark: SparkSession, searches: list[Search], host: str, hosts_known: bool) -> DataFrame:
+    """The searches as rows for match_archives."""
+    rows = []
+    for s in searches:
+        base, at = s.logfile.rsplit("/", 1)[-1], s.host or ("" if hosts_known else host)
+        rows.append((s.tag, at or None, s.logfile, incremental.rotation_regex(s.rotation or "(?!)", base, at), *incremental.stem(s.rotation, base), s.archives))
+    return spark.createDataFrame(rows, "tag string, host string, logfile string, pattern string, stem string, anywhere boolean, archives string")
 
 
 def run(
@@ -210,6 +307,7 @@ def run(
     state_error: str = "CRITICAL",
     own_macros: dict[str, str] | None = None,
     levels: int | None = None,
+    layout: str | None = None,
 ) -> Run:
     """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
 
@@ -218,7 +316,10 @@ def run(
     result. A protocol that cannot be written is an alert of level protocol_error, a state that cannot
     be saved one of state_error; the next run reads the same lines again then. Macros in the names
     of logs, rotations and patterns are replaced by their values at run_ts and own_macros. levels: how
-    many folders below paths archives are looked for, all if None.
+    many folders below paths archives are looked for, all if None. layout: the beginning of paths of files, such as
+    /logs/{host}/, from which the host of a log is known; a search without host then takes the logs of all hosts.
+
+    A log of a name that is in several folders, or of several hosts, is a source each, with a state each.
     """
     values = macros(run_ts, host, **(own_macros or {}))
     searches = [resolved(s, values) for s in searches]
@@ -232,44 +333,49 @@ def run(
             if replaces:
                 none = spark.createDataFrame([], "tag string, lines long, criticals long, warnings long, unknowns long")
                 return Run(alerts[0], none, report.service_result(alerts[0], report.preview(alerts[0], 1, ("file_seq", "line_no"))), spark.createDataFrame([], STATE))
-    rows = [(s.tag, s.host or host, s.logfile, incremental.rotation_regex(s.rotation or "(?!)", s.logfile, s.host or host)) for s in searches]
-    wanted = spark.createDataFrame(rows, "tag string, host string, logfile string, pattern string")
+    wanted = _wanted(spark, searches, host, bool(layout))
     version, state = sinks.state_version(spark, state_path), sinks.load_state(spark, state_path)
     state = state if state is not None else spark.createDataFrame([], STATE)
     for f in spark.createDataFrame([], STATE).schema.fields:  # a state of an older form
         state = state if f.name in state.columns else state.withColumn(f.name, F.lit(None).cast(f.dataType))
 
-    files = incremental.match_archives(lines.list_files(spark, paths, levels=levels), wanted)
+    shown = _shown(paths)
+    files = incremental.match_archives(_hosts(lines.list_files(spark, paths, levels=levels), layout, host), wanted)
     newest = [s.tag for s in searches if s.newest]
     if newest:
         files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
     files = written(files)
-    chosen, splits = _chosen(spark, files, state, searches)
-    fresh = chosen.filter("start < end")
-    names = sorted({r["path"] for r in fresh.select("path").distinct().collect()})
-    if names:
-        text = lines.read_lines(spark, names, splits=splits).drop("host", "logfile", "file_mtime")
-        todo = text.join(broadcast_if_small(fresh.select(*KEY, "path", "file_seq", "start"), size=64 << 20), lines.same_path("file_path", "path")).filter("start_offset >= start")
-    else:
-        todo = spark.createDataFrame([], "tag string, host string, logfile string, file_seq int, line_no long, line string")
+    state = incremental.adopted(state, files.select(*KEY).distinct())
+    chosen, splits, broken = _chosen(spark, files, state, searches)
+    state = state.drop("shared")
+    events, tails = _fresh_events(spark, chosen, splits, searches, state.filter("tail is not null").select(*KEY, "tail"))
 
     old = _carried(state, searches, run_ts)
     tags = [s.tag for s in searches]
+    # sources: those with files, those that had some, and searches that never had any
+    base = F.regexp_extract("logfile", r"([^/]+)$", 1)
+    had = state.filter(F.contains("logfile", F.lit("/"))).select(*KEY, base.alias("_base")).join(wanted.select("tag", F.regexp_extract("logfile", r"([^/]+)$", 1).alias("_base")), ["tag", "_base"]).select(*KEY)
+    sources = files.select(*KEY).unionByName(had).distinct()
+    sources = sources.unionByName(wanted.select("tag", F.coalesce("host", F.lit(host)).alias("host"), "logfile").join(sources.select("tag").distinct(), "tag", "left_anti"))
     # the first run of a source that reads all of it does not miss patterns
-    unread = wanted.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
-    scanned = scan_all(todo, searches, old, wanted.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts)
+    unread = sources.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
+    scanned = scan_all(events, searches, old, sources.join(unread.select(*KEY), list(KEY), "left_anti"), run_ts, events=events)
     matches, carry = scanned.matches, scanned.carry
     reached = chosen.select(*KEY, "file_seq", F.col("end").alias("end_offset"), "mtime", "fingerprint", "current", F.col("rows").alias("loglines"))
     state_after = incremental.advance_state(state, reached, run_ts)
-    stale = [incremental.stale_sources(state_after.filter(F.col("tag") == s.tag), run_ts, s.maxage) for s in searches if s.maxage]
+    stale = [incremental.stale_sources(state_after.filter(F.col("tag").isin(own)), run_ts, maxage, shown=shown) for maxage, own in _by(searches, lambda s: s.maxage).items()]
     # a source that is not there yet is known from now on, and read from its start when it comes
-    unseen = wanted.select(*KEY).distinct().join(state_after.select(*KEY), list(KEY), "left_anti")
+    unseen = sources.join(state_after.select(*KEY), list(KEY), "left_anti")
     state_after = state_after.unionByName(unseen.select(*KEY, F.lit(0).cast("long").alias("logoffset"), F.timestamp_seconds(F.lit(0)).alias("logtime"), F.lit(None).cast("string").alias("fingerprint"), F.lit(1).cast("long").alias("runcount"), F.lit(run_ts).alias("runtime")))
     at_line = reached.groupBy(*KEY).agg(F.max_by(F.when(F.col("current"), F.col("loglines")).otherwise(0), "file_seq").alias("_reached"))
     state_after = state_after.join(at_line, list(KEY), "left").join(state.select(*KEY, "loglines"), list(KEY), "left").withColumn("loglines", F.coalesce("_reached", "loglines")).drop("_reached")
     for level in sorted({s.logfile_missing for s in searches} - {"off"}):
-        asked = wanted.filter(F.col("tag").isin([s.tag for s in searches if s.logfile_missing == level]))
-        matches = matches.unionByName(_alerts(incremental.missing_sources(asked, files, level.upper()), "missing log"))
+        asked = sources.filter(F.col("tag").isin([s.tag for s in searches if s.logfile_missing == level]))
+        matches = matches.unionByName(_alerts(incremental.missing_sources(asked, files, level.upper(), shown=shown), "missing log"))
+    if broken is not None:
+        for level in sorted({s.unreadable for s in searches} - {"off"}):
+            own = broken.filter(F.col("tag").isin([s.tag for s in searches if s.unreadable == level]))
+            matches = matches.unionByName(_alerts(own.select(*KEY, F.lit(level.upper()).alias("level"), F.concat(F.lit("could not read "), lines.plain_path("path")).alias("message")), "unreadable log"))
     for old_ones in stale:
         matches = matches.unionByName(_alerts(old_ones, "stale"))
     others = old.filter(~F.col("tag").isin(tags))
@@ -277,6 +383,9 @@ def run(
     timed = F.when(F.col("threshold_times").isNotNull(), F.struct("level", "threshold_times"))
     counts = carry.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("level", "carry"))).alias("threshold"), F.map_from_entries(F.collect_list(timed)).alias("threshold_times"))
     state_after = state_after.join(counts, list(KEY), "left")
+    ends = state.filter("tail is not null").select(*KEY, "tail")
+    ends = ends if tails is None else ends.join(tails.select(*KEY), list(KEY), "left_anti").unionByName(tails)
+    state_after = state_after.join(ends, list(KEY), "left")
     matches = written(matches)
     heard = [s for s in searches if s.callback]
     private = state.filter("private is not null").select(*KEY, "private")
@@ -296,7 +405,7 @@ def run(
     if protocol_path:
         keep = [s.tag for s in searches if s.protocol]
         try:
-            sinks.write_protocol(new.filter(F.col("tag").isin(keep) & (F.col("level") != "OK")), protocol_path, run_ts, str(version))
+            sinks.write_protocol(new.filter(F.col("tag").isin(keep) & (F.col("level") != "OK")).withColumn("logfile", shown), protocol_path, run_ts, str(version))
         except Exception as e:
             alerts.append(alert(spark, "protocol", protocol_error, f"cannot write protocol: {str(e)[:200]}", host))
     for extra in alerts:

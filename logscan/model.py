@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 # Levels, their codes, and how severe each is (not in the order of codes).
 LEVELS = {"OK": 0, "WARNING": 1, "CRITICAL": 2, "UNKNOWN": 3}
 SEVERITY = {"OK": 0, "UNKNOWN": 1, "WARNING": 2, "CRITICAL": 3}
-#: The order in which the levels of a line are visited.
+#: The order in which the levels of a line are visited, and the levels whose patterns can be missed.
 VISITED = ("CRITICAL", "WARNING", "UNKNOWN")
+MISSED = ("CRITICAL", "WARNING")
 KEY = ("tag", "host", "logfile")
 ORD = ("file_seq", "line_no")
 
@@ -42,10 +43,12 @@ class Search:
     """A tag with its rules and options.
 
     Patterns are lists of patterns or of (key, pattern), or dicts from a key to a pattern; `!` in
-    front of a pattern means that it must appear. client: a pattern of the host that lines must
+    front of a pattern means that it must appear, for critical and warning; unknown ones are never missed. client: a pattern of the host that lines must
     name; server: a host, whose lines or those of localhost are taken. newest: the log is the newest of the files that
     rotation names. virtual: the file is read whole in each run. logfile_missing: the level of a
-    missing log, `ok`, or `off` for none. formats: FORMAT blocks, with format_levels from severities
+    missing log, `ok`, or `off` for none; unreadable: that of a file that is there and cannot be read. logfile is a
+    name, with folders above it if these tell it from others; each folder's log is a source of its own. archives: a pattern of
+    the folder of its archives, below the log's folder or whole; without it they are beside the log. encoding: the charset of its files. formats: FORMAT blocks, with format_levels from severities
     to codes. callback sees the matches of a run (see callbacks.with_state).
     """
 
@@ -78,6 +81,9 @@ class Search:
     virtual: bool = False
     logfile_missing: str = "unknown"
     save_threshold: bool = True
+    archives: str | None = None
+    unreadable: str = "critical"
+    encoding: str | None = None
     formats: str | None = None
     format_levels: dict = field(default_factory=dict)
     callback: Callable | None = None
@@ -105,12 +111,15 @@ class Search:
 
     def check(self, spark) -> None:
         """Compiles every pattern where it will run, so that a bad one fails here with its tag."""
-        for level in VISITED:
-            for _, key, p in [*self.rules(level), *self.must_appear(level)]:
-                try:
-                    spark._jvm.java.util.regex.Pattern.compile(self.flags() + p)
-                except Exception as e:
-                    raise ValueError(f"search {self.tag}, {level} pattern {key} {p!r}: {e}") from None
+        named = [(f"{level} pattern {key}", p) for level in VISITED for _, key, p in [*self.rules(level), *self.must_appear(level)]]
+        named += [(f"{level} exception", p) for level, patterns in self.exceptions.items() for _, p in _pairs(patterns)]
+        named += [(n, p) for n in ("ok", "need", "skip") for p in getattr(self, n)]
+        named += [(n, getattr(self, n)) for n in ("client", "rotation", "archives") if getattr(self, n)]
+        for what, p in named:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(self.flags() + p)
+            except Exception as e:
+                raise ValueError(f"search {self.tag}, {what} {p!r}: {e}") from None
 
 
 def merge_searches(configs: list[list[Search]]) -> list[Search]:

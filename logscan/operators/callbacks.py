@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from logscan.model import KEY, LEVELS, ORD
 
@@ -107,7 +108,8 @@ def flood(matches: DataFrame, max_events: int, period: int, key: tuple = ("tag",
     A history of max_events times: once it is full an event must come period seconds after the
     oldest; if it does, the oldest goes, and the event is added (push_after_shift) or not. Each
     event depends on all before it, so a key is one sequence; its rows stream through a task in the
-    order of time, with no more than the history held.
+    order of time, with no more than the history held. Equal times are in the order of the other columns. An
+    event without a time is allowed and leaves the history as it is.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matches.schema.fields) + ", wait long"
 
@@ -119,7 +121,9 @@ def flood(matches: DataFrame, max_events: int, period: int, key: tuple = ("tag",
             waits = []
             for t in part["_at"] / 1e6:
                 wait = 0
-                if len(history) >= max_events:
+                if t != t:  # no time
+                    pass
+                elif len(history) >= max_events:
                     wait = max(0, int(history[0] + len(history) * period / max_events - t))
                     if not wait:
                         history.popleft()
@@ -131,7 +135,8 @@ def flood(matches: DataFrame, max_events: int, period: int, key: tuple = ("tag",
             yield part.drop(columns="_at").assign(wait=waits)
 
     timed = matches.withColumn("_at", F.unix_micros(F.col(when).cast("timestamp")))
-    return timed.repartition(*key).sortWithinPartitions(*key, "_at").mapInPandas(run, schema)
+    rest = [f.name for f in matches.schema.fields if f.name not in key and not isinstance(f.dataType, (MapType, VariantType))]
+    return timed.repartition(*key).sortWithinPartitions(*key, "_at", *rest).mapInPandas(run, schema)
 
 
 def count_waits(rows: DataFrame, key: tuple = ("tag",)) -> DataFrame:

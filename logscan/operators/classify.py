@@ -12,14 +12,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logscan.model import KEY, ORD, VISITED, Search
-from logscan.operators.formats import format_hit, parse_formats
+from logscan.model import KEY, MISSED, ORD, VISITED, Search
+from logscan.operators.dispatch import APPEARED, CLEARED, MATCHED, many, rule_events
+from logscan.operators.formats import format_hit, parse_formats, span
 from logscan.operators.literals import any_found, found
 
 MATCH = "struct<tag:string,level:string,pat_idx:int,pat_key:string,pattern:string,text:string>"
 EVENT = "struct<kind:int,level:string,pat_idx:int,pat_key:string,pattern:string,text:string,pat_pos:int>"
-#: Kinds of what a line has for its search: a match, an all-clear, the appearance of a pattern that must appear.
-MATCHED, CLEARED, APPEARED = 0, 1, 2
 #: Levels by the exit codes of formats; lines of other codes are no matches.
 BY_CODE = {1: "WARNING", 2: "CRITICAL", 3: "UNKNOWN"}
 
@@ -44,8 +43,16 @@ def _match(search: Search, level: Column, i: int, key: Column, pattern: str, tex
     return F.struct(F.lit(search.tag).alias("tag"), level.alias("level"), F.lit(i).alias("pat_idx"), key.alias("pat_key"), F.lit(pattern).alias("pattern"), (none if text is None else text).alias("text"))
 
 
-def line_matches(line: Column, search: Search) -> Column:
-    """All matches of a line as an array: every pattern of a level counts, unless an exception of its level is found."""
+def lines_before(search: Search) -> int:
+    """How many lines before a line the search's formats look at."""
+    return span(parse_formats(search.formats)) - 1 if search.formats else 0
+
+
+def line_matches(line: Column, search: Search, before: tuple | list = ()) -> Column:
+    """All matches of a line as an array: every pattern of a level counts, unless an exception of its level is found.
+
+    before: the lines before it that passed the prefilter, nearest first, for formats over several lines; without them these do not match.
+    """
     levels = []
     for level in VISITED:
         rules = search.rules(level)
@@ -56,8 +63,7 @@ def line_matches(line: Column, search: Search) -> Column:
         excepted = _any(line, search, exceptions)  # looked for only if there is a match
         levels.append(F.filter(each, lambda _: ~excepted) if exceptions else each)
     if search.formats:
-        formats = [f for f in parse_formats(search.formats) if len(f.patterns()) == 1]
-        hit = format_hit(formats, [line], {"LABEL": search.host or "", "FILENAME": search.logfile or ""}, search.format_levels)
+        hit = format_hit(parse_formats(search.formats), [line, *before], {"LABEL": search.host or "", "FILENAME": search.logfile or ""}, search.format_levels)
         if hit is not None:
             named = lambda h: reduce(lambda out, c: F.when(h["exit_code"] == c, BY_CODE[c]).otherwise(out), BY_CODE, F.lit(None).cast("string"))
             made = _let(hit, lambda h: F.when(named(h).isNotNull(), _match(search, named(h), 0, h["format_name"], "", h["subject"])))
@@ -87,8 +93,20 @@ def _lengths(searches: list[Search]) -> dict[str, int]:
 def classify(lines: DataFrame, searches: list[Search]) -> DataFrame:
     """The columns of lines with tag, level, pat_idx, pat_key, pattern, pat_pos (place among the line's matches of the tag) and message, a row for each match.
 
-    All searches look at a line in one pass; a search with a logfile sees only its lines.
+    All searches look at a line in one pass; a search with a logfile sees only its lines. Formats over several lines need lines with
+    their before (see formats.with_before) and do not match here.
     """
+    plain = [s for s in searches if not s.formats]
+    if many(plain):
+        by_log: dict[str, list[int]] = {}
+        for n, s in enumerate(plain):
+            if s.logfile:
+                by_log.setdefault(s.logfile, []).append(n)
+        given = lines.drop("tag") if "logfile" in lines.columns else lines.drop("tag").withColumn("logfile", F.lit(None).cast("string"))
+        out = rule_events(given, plain, "logfile", by_log, [n for n, s in enumerate(plain) if not s.logfile]).filter(F.col("kind") == MATCHED)
+        out = out.select(*[c for c in lines.columns if c != "tag"], "tag", "level", "pat_idx", "pat_key", "pattern", "pat_pos", "message")
+        rest = [s for s in searches if s.formats]
+        return out.unionByName(classify(lines, rest)) if rest else out
     arrays = []
     for s in searches:
         each = F.transform(line_matches(F.col("line"), s), lambda m, i: F.struct(*[m[n].alias(n) for n in ("tag", "level", "pat_idx", "pat_key", "pattern", "text")], i.alias("pat_pos")))
@@ -103,16 +121,23 @@ def classify(lines: DataFrame, searches: list[Search]) -> DataFrame:
 def line_events(lines: DataFrame, searches: list[Search]) -> DataFrame:
     """key, file_seq, line_no, kind, level, pat_idx, pat_key, pattern, pat_pos, message: all that the lines (tag, host, logfile, ...) have for the searches of their tags, in one pass.
 
-    kind tells matches, all-clear lines and appearances of patterns that must appear; lines with none of these give no row.
+    kind tells matches, all-clear lines and appearances of patterns that must appear; lines with none of these give no row. Where
+    lines have before (see formats.with_before), formats over several lines match too.
     """
+    plain = [s for s in searches if not s.formats]
+    if many(plain):
+        out = rule_events(lines, plain).select(*KEY, *ORD, "kind", "level", "pat_idx", "pat_key", "pattern", "pat_pos", "message")
+        rest = [s for s in searches if s.formats]
+        return out.unionByName(line_events(lines, rest)) if rest else out
     line, none = F.col("line"), F.lit(None).cast("string")
     event = lambda kind, level, i: F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("string").alias("level"), F.lit(i).alias("pat_idx"), none.alias("pat_key"), none.alias("pattern"), none.alias("text"), F.lit(0).alias("pat_pos"))
     events = F.lit(None).cast(f"array<{EVENT}>")
     for s in searches:
-        parts = [F.transform(line_matches(line, s), lambda m, i: F.struct(F.lit(MATCHED).alias("kind"), *[m[n].alias(n) for n in ("level", "pat_idx", "pat_key", "pattern", "text")], i.alias("pat_pos")))]
+        before = [F.get(F.col("before"), F.lit(i)) for i in range(lines_before(s))] if "before" in lines.columns else []
+        parts = [F.transform(line_matches(line, s, before), lambda m, i: F.struct(F.lit(MATCHED).alias("kind"), *[m[n].alias(n) for n in ("level", "pat_idx", "pat_key", "pattern", "text")], i.alias("pat_pos")))]
         if s.ok:
             parts.append(F.array_compact(F.array(F.when(_any(line, s, s.ok), event(CLEARED, None, 0)))))
-        wanted = [(level, i, p) for level in VISITED for i, _, p in s.must_appear(level)]
+        wanted = [(level, i, p) for level in MISSED for i, _, p in s.must_appear(level)]
         if wanted:
             parts.append(F.array_compact(F.array(*[F.when(found(line, p, s.flags(), s.case), event(APPEARED, level, i)) for level, i, p in wanted])))
         own = F.concat(*parts) if len(parts) > 1 else parts[0]
@@ -150,7 +175,7 @@ def wipe(matches: DataFrame, clear: DataFrame, key: tuple = KEY) -> DataFrame:
 
 def appearances(lines: DataFrame, search: Search, keys: DataFrame | None = None, key: tuple = KEY) -> DataFrame:
     """A row (key, level, pat_idx, message, seen: 1 or 0) for each key and must-appear pattern; keys: those to judge, even without lines."""
-    wanted = [(level, i, p) for level in VISITED for i, _, p in search.must_appear(level)]
+    wanted = [(level, i, p) for level in MISSED for i, _, p in search.must_appear(level)]
     ok = accepted(F.col("line"), search)
     flags = [F.max(F.when(ok & found(F.col("line"), p, search.flags(), search.case), 1).otherwise(0)).alias(f"_p{n}") for n, (_, _, p) in enumerate(wanted)]
     seen = lines.groupBy(*key).agg(*flags)
@@ -167,7 +192,7 @@ def missing_patterns(lines: DataFrame, search: Search, keys: DataFrame | None =
 
 def missing_events(events: DataFrame, searches: list[Search], keys: DataFrame) -> DataFrame | None:
     """The same from line_events for all searches, of the sources keys; None if no pattern must appear."""
-    wanted = [(s.tag, level, i, p, f"MISSING: {p}") for s in searches for level in VISITED for i, _, p in s.must_appear(level)]
+    wanted = [(s.tag, level, i, p, f"MISSING: {p}") for s in searches for level in MISSED for i, _, p in s.must_appear(level)]
     if not wanted:
         return None
     rules = events.sparkSession.createDataFrame(wanted, "tag string, level string, pat_idx int, pattern string, message string")

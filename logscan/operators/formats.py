@@ -12,10 +12,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Severities of formats, the keywords of slots, and the date that %t stands for.
+from logscan.tables import written
+
+# Severities of formats, the keywords of slots, and what %t, %s, %s+, %s* and blanks stand for.
 SEVERITIES = {"fatal": 2, "critical": 2, "severe": 2, "warning": 1, "minor": 1, "harmless": 0, "unknown": 0}
 DISCARD, NO_RULE = "*DISCARD*", "NO MATCHING RULE"
 DATE = r"(\w{3}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2})"
+WORD, WORDS, TEXT, REST, BLANKS = r"([^\s]+)", r"([^\s]*?.+[^\s]*?)", r"(.*?)", r"(.*)", r"\s+"
+
+HIT = "struct<exit_code:int,severity:string,format_name:string,subject:string,logline:string,slots:map<string,string>>"
+#: Lines of a log that are looked at together, where formats span several lines.
+BLOCK = 256
 
 
 @dataclass
@@ -41,11 +48,11 @@ def format_regex(pattern: str) -> str:
     for m in re.finditer(r"%s\+|%s\*\s*$|%s\*|%s|%t| +", pattern):
         out.append(_literal(pattern[at : m.start()]))
         token = m.group()
-        out.append(r"\s+" if token.isspace() else DATE if token == "%t" else r"([^\s]*?.+[^\s]*?)" if token == "%s+" else r"([^\s]+)" if token == "%s" else r"(.*)" if m.end() == len(pattern) else r"(.*?)")
+        out.append(BLANKS if token.isspace() else DATE if token == "%t" else WORDS if token == "%s+" else WORD if token == "%s" else REST if m.end() == len(pattern) else TEXT)
         at = m.end()
     out.append(_literal(pattern[at:]))
     # text in front needs no search for where it begins
-    return ("(?m)^" if out[:2] in (["", "(.*?)"], ["", "(.*)"]) else "") + "".join(out)
+    return ("(?m)^" if out[:2] in (["", TEXT], ["", REST]) else "") + "".join(out)
 
 
 def _literal(text: str) -> str:
@@ -118,7 +125,7 @@ def format_hit(formats: list[Format], lines: list[Column], defaults: dict[str, s
         groups = [(p, x, i) for p, x in at for i in range(1, re.compile(p[4:]).groups + 1)]
         group = lambda n, groups=groups: F.regexp_extract(groups[n - 1][1], groups[n - 1][0], groups[n - 1][2]) if n <= len(groups) else F.lit("")
         if f.name == DISCARD:
-            hit = F.lit(None)
+            hit = F.lit(None).cast(HIT)
         else:
             slots = _slots(f, group, defaults or {})
             severity = slots["severity"]
@@ -132,10 +139,55 @@ def format_hit(formats: list[Format], lines: list[Column], defaults: dict[str, s
     return out
 
 
+def span(formats: list[Format]) -> int:
+    """The most lines that one of the formats looks at."""
+    return max((len(f.patterns()) for f in formats if f.can_match()), default=1)
+
+
+def with_before(lines: DataFrame, most: int, order: tuple = ("file_seq", "line_no"), key: tuple = ("logfile",), carried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """lines with before, the most lines before each in its key, nearest first; and key, tail: those that the next run's first line has before it.
+
+    carried: such tails of the run before. Lines are put together in blocks of BLOCK numbers
+    of a file, so that no log is sorted in one task; what a block needs of those before it are the
+    last lines of at most so many blocks, and only these go over the whole log. Equal places go by the line.
+    """
+    *above, last = order
+    rest = [c for c in lines.columns if c not in (*key, *order, "line")]
+    part = [*key, *above]
+    rows = lines.withColumn("_block", F.floor(F.col(last) / BLOCK))
+    by_place = lambda a, b: F.when(F.struct(a[last], a["line"]) < F.struct(b[last], b["line"]), -1).when(F.struct(a[last], a["line"]) > F.struct(b[last], b["line"]), 1).otherwise(0)
+    blocks = written(rows.groupBy(*part, "_block").agg(F.array_sort(F.collect_list(F.struct(last, "line", *rest)), by_place).alias("_l")))
+    none = F.array().cast("array<string>")
+    tails = blocks.select(*part, "_block", F.slice(F.reverse(F.transform("_l", lambda x: x["line"])), 1, most).alias("_t"))
+    w = Window.partitionBy(*key).orderBy(*above, "_block")  # over the ends of a log's blocks
+    if carried is not None:
+        tails = tails.join(carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("tail").alias("_c")), _same(key, [f"_k{i}" for i in range(len(key))]), "left").drop(*[f"_k{i}" for i in range(len(key))])
+    farthest = F.coalesce("_c", none) if carried is not None else none
+    halo = F.slice(F.concat(*[F.coalesce(F.lag("_t", i).over(w), none) for i in range(1, most + 1)], farthest), 1, most)
+    ends = written(tails.withColumn("_h", halo))
+    tail = ends.groupBy(*key).agg(F.max_by(F.slice(F.concat("_t", "_h"), 1, most), F.struct(*above, "_block")).alias("tail"))
+    names = [f"_p{i}" for i in range(len(part) + 1)]
+    halos = ends.select(*[F.col(c).alias(n) for c, n in zip([*part, "_block"], names, strict=True)], "_h")
+    joined = blocks.join(halos, _same([*part, "_block"], names))
+    line = lambda i: F.get(F.col("_l"), i)["line"]
+    before = lambda i: F.array(*[F.when(i >= j, line(i - j)).otherwise(F.get(F.col("_h"), F.lit(j - 1) - i)) for j in range(1, most + 1)])
+    each = F.transform("_l", lambda x, i: F.struct(x[last].alias(last), x["line"].alias("line"), *[x[c].alias(c) for c in rest], before(i).alias("before")))
+    return joined.select(*part, F.explode(each).alias("_e")).select(*part, "_e.*").select(*lines.columns, "before"), tail
+
+
+def _same(left: list[str] | tuple, right: list[str]) -> Column:
+    """Whether columns are equal, nulls too."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
 def match_formats(lines: DataFrame, formats: list[Format], order: tuple = ("file_seq", "line_no"), key: tuple = ("logfile",), **given) -> DataFrame:
     """lines with hit, for those that a format matches. Lines before are looked up only if a format spans several."""
-    span = max((len(f.patterns()) for f in formats if f.can_match()), default=1)
-    w = Window.partitionBy(*key).orderBy(*order)
-    before = [F.col("line"), *[F.col(f"_b{i}") for i in range(1, span)]]
-    rows = lines.withColumns({f"_b{i}": F.lag("line", i).over(w) for i in range(1, span)}) if span > 1 else lines
-    return rows.withColumn("hit", format_hit(formats, before, **given)).filter("hit is not null").drop(*[f"_b{i}" for i in range(1, span)])
+    most = span(formats) - 1
+    if most:
+        rows, _ = with_before(lines, most, order, key)
+        before = [F.get(F.col("before"), F.lit(i)) for i in range(most)]
+        return rows.withColumn("hit", format_hit(formats, [F.col("line"), *before], **given)).filter("hit is not null").drop("before")
+    return lines.withColumn("hit", format_hit(formats, [F.col("line")], **given)).filter("hit is not null")

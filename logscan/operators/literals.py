@@ -41,7 +41,8 @@ def _runs(parsed, out: list[str], now: list[str]) -> None:
 
 def required(pattern: str) -> tuple[list[str], bool]:
     """The longest literal texts of a pattern, and whether it is nothing but one; none where the two dialects of patterns might read it differently."""
-    if re.search(r"&&|\[[^\]]*\[", pattern):
+    # classes in classes; escapes that are a class here and one sign there; counts without a least
+    if re.search(r"&&|\[[^\]]*\[|\\[vhHRXG0NcQE]|\{,", pattern):
         return [], False
     try:
         with warnings.catch_warnings():
@@ -60,6 +61,14 @@ def required(pattern: str) -> tuple[list[str], bool]:
     return sorted(set(out), key=lambda x: (-len(x), x))[:MOST], whole and bool(out)
 
 
+def folded(text: str) -> str:
+    """The text with A-Z in small letters, as patterns without case see it."""
+    return text.translate(_SMALL)
+
+
+_SMALL = {c: c + 32 for c in range(65, 91)}
+
+
 def either(tests: list[Column], join: Callable[[Column, Column], Column] = lambda a, b: a | b) -> Column:
     """The tests joined, as a balanced tree."""
     while len(tests) > 1:

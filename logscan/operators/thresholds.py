@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logscan.model import KEY, ORD, Search
+from logscan.tables import BROADCAST_ROWS
 
 #: Lines of a file that a hot key's matches are numbered in at a time.
 RUN = 100_000
 
 
-def every(searches: list[Search]) -> Column:
-    """The threshold of a match by its tag and level, 1 if there is none."""
-    out = F.lit(1)
-    for s in searches:
-        for level, n in s.threshold.items():
-            if n > 1:
-                out = F.when((F.col("tag") == s.tag) & (F.col("level") == level.upper()), n).otherwise(out)
-    return out
+def with_every(matches: DataFrame, searches: list[Search]) -> DataFrame:
+    """matches (tag, level) with every, the threshold of its tag and level, 1 if there is none: a table of rows, so that the plan does not grow with the searches."""
+    rows = [(s.tag, level.upper(), n) for s in searches for level, n in s.threshold.items() if n > 1]
+    if not rows:
+        return matches.withColumn("every", F.lit(1))
+    given = matches.sparkSession.createDataFrame(rows, "tag string, level string, every int")
+    joined = matches.join(F.broadcast(given) if len(rows) <= BROADCAST_ROWS else given, ["tag", "level"], "left").select(*matches.columns, "every")
+    return joined.withColumn("every", F.coalesce("every", F.lit(1)))
 
 
 def run_of_lines() -> Column:
@@ -57,14 +58,16 @@ def apply_threshold(matches: DataFrame, n: int | Column, carry: DataFrame | None
     return rows.filter((c + F.col("k")) % n == 0).drop("k", "_c")
 
 
-def next_carry(matches: DataFrame, n: int | Column, carry: DataFrame | None = None, key: tuple = (*KEY, "level"), now=None) -> DataFrame:
-    """key, carry: what the next run counts on from; n may be a column over the key.
+def next_carry(matches: DataFrame, n: int | Column | list[Search], carry: DataFrame | None = None, key: tuple = (*KEY, "level"), now=None) -> DataFrame:
+    """key, carry: what the next run counts on from; n may be a column over the key, or the searches that have it.
 
     With now, the time of this run's matches, also threshold_times: when the hits carried on came, n - 1 at most.
     """
     total = matches.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     if carry is not None:
         total = total.join(carry.select(*key, "carry", *(["threshold_times"] if now is not None else [])), list(key), "full")
+    if isinstance(n, list):
+        total, n = with_every(total, n), F.col("every")
     c = F.coalesce("carry", F.lit(0)) if carry is not None else F.lit(0)
     hits = F.coalesce("_n", F.lit(0))
     after = ((c + hits) % n).cast("long")

@@ -7,6 +7,9 @@ clears). A previous run is everything before SPLIT.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from logscan.operators import callbacks, classify, events, formats, report, stic
 from logscan.sources import incremental, records
 from logscan.sources.lines import text_lines
 from logscan.streaming import stream
+from logscan.tables import shared_dir
 
 SPLIT, END = "2024-01-15 00:00:00", "2024-01-31 00:00:00"
 HOST = ("host",)
@@ -709,3 +713,55 @@ def scan_run(spark, sf_dir):
     sources = _table(spark, sf_dir, "documents").filter("text is not null").select(F.lit("docs").alias("tag"), F.lit("all").alias("host"), F.col("source").alias("logfile"))
     matches, _ = scan.scan_lines(_lines(spark, sf_dir), RUN, keys=sources)
     return matches.groupBy("logfile", "level", "pat_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Formats of one and of two lines as one list: the last that matches wins, and one discards. Lines that are skipped are not looked back at.
+MIXED = Search(
+    tag="docs",
+    skip=["%%%"],
+    formats="""
+FORMAT Alone
+%s* the %s*
+severity WARNING
+END
+FORMAT Pair
+%s* the %s*%n%s* and %s*
+severity CRITICAL
+msg $4
+END
+FORMAT *DISCARD*
+%s*@%s*
+END
+""",
+)
+
+
+@register(f"""WITH {LINES}, seen AS (SELECT *, lag(line) OVER (PARTITION BY logfile ORDER BY file_seq, line_no) AS before FROM lines WHERE NOT regexp_matches(line, '%%%')),
+hits AS (SELECT *, CASE WHEN regexp_matches(line, '@') THEN NULL WHEN regexp_matches(before, '(.*?)\\s+the\\s+(.*)') AND regexp_matches(line, '(.*?)\\s+and\\s+(.*)') THEN 'CRITICAL'
+  WHEN regexp_matches(line, '(.*?)\\s+the\\s+(.*)') THEN 'WARNING' END AS level FROM seen)
+SELECT logfile, file_seq, line_no, level, CASE WHEN level = 'CRITICAL' AND regexp_extract(line, '(.*?)\\s+and\\s+(.*)', 2) <> '' THEN regexp_extract(line, '(.*?)\\s+and\\s+(.*)', 2) ELSE line END AS message
+FROM hits WHERE level IS NOT NULL""")
+def formats_mixed(spark, sf_dir):
+    matches, _ = scan.scan_lines(_lines(spark, sf_dir), [MIXED])
+    return matches.select("logfile", "file_seq", "line_no", "level", "message")
+
+
+FILES = [Search(tag="docs", logfile="part", rotation="part-.*", newest=True, read_all_first=True, critical=["[0-9]{4}", "@"], warning=["%%%"], exceptions={"critical": ["[0-9]{16}"]}, need=["e"])]
+
+
+@register("""WITH lines AS (
+  SELECT CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS run, coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS host, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL
+), m AS (
+  SELECT l.*, r.level FROM lines l JOIN (VALUES ('CRITICAL', '[0-9]{4}'), ('CRITICAL', '@'), ('WARNING', '%%%')) r(level, re) ON regexp_matches(l.line, r.re)
+  WHERE contains(l.line, 'e') AND NOT (r.level = 'CRITICAL' AND regexp_matches(l.line, '[0-9]{16}'))
+) SELECT CAST(run AS INTEGER) AS run, host, level, count(*) AS n FROM m GROUP BY ALL""")
+def run_over_files(spark, sf_dir):
+    """Two runs over log files in a folder for each source: the second finds what has come since the first, and that alone."""
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    docs, out = _table(spark, sf_dir, "documents").filter("text is not null"), None
+    for run, rest in ((1, 0), (2, 1)):
+        docs.filter(F.pmod("doc_id", F.lit(2)) == rest).select("source", "text").write.mode("append").partitionBy("source").text(f"{folder}/logs")
+        found = scan.run(spark, FILES, [f"{folder}/logs"], f"{folder}/state", datetime(2024, 1, run), layout=f"{folder}/logs/source={{host}}/").matches
+        found = found.groupBy("host", "level").agg(F.count(F.lit(1)).alias("n")).select(F.lit(run).alias("run"), "host", "level", "n")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscan.tables import broadcast_if_small, written
+from logscan.operators.literals import required
+from logscan.sources.lines import plain_path
+from logscan.tables import BROADCAST_ROWS, broadcast_if_small, written
 
 KEY = ["tag", "host", "logfile"]
 
@@ -37,15 +39,85 @@ def rotation_regex(scheme: str, basename: str, host: str = "") -> str:
     return known.replace("NAME", re.escape(basename)).replace("HOST", re.escape(host)) if known else f"^{scheme}"
 
 
+#: Schemes whose names do not begin with the log's name, and what their names hold instead, or do hold in another place.
+ELSEWHERE = {"HPUX": "NAME", "BMWHPUX": "NAME", "DEBIAN": "NAME", "EHL": "NAME", "QMAIL": "@", "MOD_LOG_ROTATE": "access.log"}
+
+
+def stem(scheme: str | None, basename: str) -> tuple[str, bool]:
+    """A text that all names of archives hold, and whether it may stand anywhere and not only in front."""
+    if not scheme:
+        return basename, False
+    if scheme.upper() in SCHEMES:
+        text = ELSEWHERE.get(scheme.upper())
+        return (basename, False) if text is None else (text.replace("NAME", basename), True)
+    texts, _ = required(scheme)
+    return (texts[0] if texts else ""), True
+
+
 def match_archives(files: DataFrame, searches: DataFrame) -> DataFrame:
-    """files (path, mtime, length) with the searches (tag, host, logfile, pattern) whose log or archives they are; current marks the log itself.
+    """files (path, mtime, length, and host where that is known) with the searches (tag, host, logfile, pattern) whose log or archives they are; current marks the log itself.
 
-    searches are configuration: they go to the files.
+    logfile becomes the whole path of the log, so that logs of one name in several folders are several sources. The
+    archives of a log are beside it, or, where a search has archives, in folders of that pattern: below
+    the log's folder, or whole ones, which are those of every log of the search. A search without host takes the logs of all hosts.
+    stem and anywhere of searches (see stem) are a text that names of archives hold: files meet searches by
+    it and by the log's name in an equi join, so a pattern is tried on the names that can have it only.
+    """
+    given = {"stem": F.lit(""), "anywhere": F.lit(True), "archives": F.lit(None).cast("string")}
+    asked = searches.withColumns({c: v for c, v in given.items() if c not in searches.columns})
+    asked = asked.withColumns({"_base": F.regexp_extract("logfile", r"([^/]+)$", 1), "_above": F.regexp_extract("logfile", r"^(.*)/[^/]*$", 1)})
+    of = ["tag", "_host", "pattern", "archives", "_base", "_above"]
+    either = asked.withColumnRenamed("host", "_host").select(*of, F.explode(F.array(F.struct(F.lit(True).alias("log"), F.col("_base").alias("text"), F.lit(False).alias("anywhere")), F.struct(F.lit(False).alias("log"), F.col("stem").alias("text"), F.col("anywhere").alias("anywhere")))).alias("_s")).select(*of, "_s.*")
+    sizes, total = {True: [], False: []}, 0
+    for r in either.groupBy(F.length("text").alias("n"), "anywhere").count().collect():  # lengths of names
+        sizes[r["anywhere"]].append(r["n"])
+        total += r["count"]
+    cut = lambda at, sizes: F.filter(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.substring("name", at, n)), lambda x: F.length(x) > 0)
+    front = F.transform(F.concat(cut(F.lit(1), [n for n in sizes[False] if n]), F.array(F.lit(""))) if any(sizes[False]) else F.array(F.lit("")), lambda x: F.struct(x.alias("text"), F.lit(False).alias("anywhere")))
+    inner = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: cut(i, [n for n in sizes[True] if n])))) if any(sizes[True]) else F.array().cast("array<string>")
+    inner = F.transform(F.concat(F.array(F.lit("")), inner), lambda x: F.struct(x.alias("text"), F.lit(True).alias("anywhere")))
+    named = files.withColumns({"name": F.regexp_extract("path", r"([^/]+)$", 1), "_folder": F.regexp_extract(plain_path("path"), r"^(.*)/[^/]*$", 1)})
+    keyed = named.withColumn("_k", F.explode(F.array_distinct(F.concat(front, inner)))).select(*named.columns, "_k.*")
+    if "host" in files.columns:
+        keyed = keyed.withColumnRenamed("host", "_at").withColumn("host", F.col("_at"))
+    found = keyed.drop("host").join(F.broadcast(either) if total <= BROADCAST_ROWS else either, ["text", "anywhere"])
+    if "host" in files.columns:
+        found = found.filter(F.col("_host").isNull() | F.col("_at").isNull() | (F.col("_host") == F.col("_at"))).withColumn("host", F.coalesce("_host", "_at")).drop("_at")
+    else:
+        found = found.withColumn("host", F.col("_host"))
+    is_log = F.col("name") == F.col("_base")
+    found = found.filter(F.when(F.col("log"), is_log).otherwise(~is_log & F.expr("name rlike pattern")))
+    below = F.expr("regexp_extract(_folder, concat('^(.*)/(?:', archives, ')$'), 1)")
+    whole = F.col("archives").startswith("/")
+    home = F.when(F.col("log") | F.col("archives").isNull(), F.col("_folder")).when(~whole, F.nullif(below, F.lit("")))
+    found = found.withColumn("_home", home)
+    plain = found.filter(F.col("_home").isNotNull())
+    # archives in folders of their own belong to the logs that their search has
+    apart = found.filter(F.col("_home").isNull() & whole & F.expr("_folder rlike concat('^(?:', archives, ')$')")).drop("_home")
+    logs = found.filter("log").select(F.col("tag").alias("_t"), F.col("host").alias("_h"), "_home").distinct()
+    apart = apart.join(logs, (F.col("tag") == F.col("_t")) & F.col("host").eqNullSafe(F.col("_h"))).drop("_t", "_h")
+    both = plain.unionByName(apart)
+    below_that = (F.col("_above") == "") | (F.col("_home") == F.col("_above")) | (~F.col("_above").startswith("/") & F.endswith("_home", F.concat(F.lit("/"), "_above")))
+    both = both.filter(below_that).withColumns({"logfile": F.concat("_home", F.lit("/"), "_base"), "current": F.col("log")})
+    return both.drop("log", "text", "anywhere", "archives", "_base", "_above", "_host", "_folder", "_home")
+
+
+def adopted(state: DataFrame, sources: DataFrame, key: list = KEY) -> DataFrame:
+    """The state where rows that name a log without its folder are rows of the sources (key) of that name that have none of their own.
+
+    Such rows are those of logs that were not there yet, and of states of an older form. shared is true where several sources take
+    over one position: which of them it belongs to, the fingerprint tells (see starts).
     """
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    named = files.withColumn("name", name)
-    hit = F.expr("name rlike pattern") | (F.col("name") == F.col("logfile"))
-    return named.join(F.broadcast(searches), hit).withColumn("current", F.col("name") == F.col("logfile"))
+    nameless = state.filter(~F.contains("logfile", F.lit("/")))
+    if not nameless.limit(1).count():
+        return state.withColumn("shared", F.lit(False))
+    own = sources.select(*key).join(state.select(*key), key, "left_anti").withColumn("_base", F.regexp_extract("logfile", r"([^/]+)$", 1))
+    heirs = own.select(F.col("tag").alias("_tag"), F.col("host").alias("_host"), F.col("logfile").alias("_log"), "_base")
+    taken = written(nameless.join(heirs, (F.col("tag") == F.col("_tag")) & F.col("host").eqNullSafe(F.col("_host")) & (F.col("logfile") == F.col("_base"))).drop("_tag", "_host", "_base"))
+    several = taken.groupBy(*key).agg((F.count(F.lit(1)) > 1).alias("shared"))
+    heirs = taken.join(several, key).withColumn("logfile", F.col("_log")).drop("_log")
+    left = state.join(taken.select(*key).distinct(), key, "left_anti")
+    return written(left.withColumn("shared", F.lit(False)).unionByName(heirs))
 
 
 def current_file(files: DataFrame, key: tuple = ("tag",)) -> DataFrame:
@@ -106,8 +178,10 @@ def starts(files: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
       read whole; if there is no such file all are. Without a saved fingerprint the oldest is the one.
     - A log that does not rotate is read on if its fingerprint is the saved one.
     - A file that ends before the saved offset is read whole.
+    - A source that shares a position with others (shared of state) and has no file with its fingerprint is one without state.
     """
-    saved = state.select(*key, "logoffset", F.col("fingerprint").alias("_print"), "loglines", F.lit(True).alias("_known"))
+    shared = F.col("shared") if "shared" in state.columns else F.lit(False)
+    saved = state.select(*key, "logoffset", F.col("fingerprint").alias("_print"), "loglines", F.lit(True).alias("_known"), shared.alias("_shared"))
     both = files.join(saved, key, "left")
     at, end, seq = F.coalesce("logoffset", F.lit(0)), F.col("end"), F.col("file_seq")
     same = F.when(F.col("_print").isNull(), seq == 0).otherwise(F.coalesce(F.col("fingerprint") == F.col("_print"), F.lit(False)))
@@ -116,14 +190,14 @@ def starts(files: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
     on = F.when(at <= end, at).otherwise(0)
     start = (
         F.when(F.col("virtual"), 0)
-        .when(F.col("_known").isNull() | F.col("logoffset").isNull(), F.when(F.col("read_all"), 0).otherwise(end))
+        .when(F.col("_known").isNull() | F.col("logoffset").isNull() | (F.col("_shared") & F.col("_print").isNotNull() & F.col("_last").isNull()), F.when(F.col("read_all"), 0).otherwise(end))
         .when(F.col("_last").isNull() | (seq > F.col("_last")), 0)
         .when(seq < F.col("_last"), end)
         .otherwise(on)
     )
     both = both.withColumn("start", start.cast("long"))
     seen = F.when(F.col("start") == end, F.col("rows")).when(F.col("start") == 0, 0).otherwise(F.coalesce("loglines", F.lit(0)))
-    return both.withColumn("seen", seen.cast("long")).drop("logoffset", "_print", "loglines", "_known", "_last")
+    return both.withColumn("seen", seen.cast("long")).drop("logoffset", "_print", "loglines", "_known", "_last", "_shared")
 
 
 def apply_offset(lines: DataFrame, state: DataFrame, key: list = KEY) -> DataFrame:
@@ -180,16 +254,16 @@ def situation_rotating(files: DataFrame, state: DataFrame, key: list = KEY) -> D
     return one.select(*key, what.alias("situation")).unionByName(gone)
 
 
-def missing_sources(searches: DataFrame, files: DataFrame, level: str = "UNKNOWN", key: list = KEY) -> DataFrame:
-    """key, level, message of the searches without any file."""
+def missing_sources(searches: DataFrame, files: DataFrame, level: str = "UNKNOWN", key: list = KEY, shown: Column | None = None) -> DataFrame:
+    """key, level, message of the searches without any file; shown: how a log is named."""
     gone = searches.select(*key).join(files.select(*key).distinct(), key, "left_anti")
-    return gone.select(*key, F.lit(level).alias("level"), F.concat(F.lit("could not find logfile "), "logfile").alias("message"))
+    return gone.select(*key, F.lit(level).alias("level"), F.concat(F.lit("could not find logfile "), F.col("logfile") if shown is None else shown).alias("message"))
 
 
-def stale_sources(state: DataFrame, now, maxage: int, key: list = KEY) -> DataFrame:
+def stale_sources(state: DataFrame, now, maxage: int, key: list = KEY, shown: Column | None = None) -> DataFrame:
     """key, level, message of the sources whose last log time is maxage seconds old or older."""
     old = F.unix_timestamp("logtime") <= F.unix_timestamp(F.lit(now)) - maxage
-    return state.filter(old).select(*key, F.lit("CRITICAL").alias("level"), F.format_string(f"logfile %s is too old (> {maxage} s)", "logfile").alias("message"))
+    return state.filter(old).select(*key, F.lit("CRITICAL").alias("level"), F.format_string(f"logfile %s is too old (> {maxage} s)", F.col("logfile") if shown is None else shown).alias("message"))
 
 
 def rewind(state: DataFrame, tags: list[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from urllib.parse import unquote
 
@@ -30,7 +31,7 @@ def list_files(spark: SparkSession, paths: list[str], recursive: bool = True, gl
     files = found.select(F.col("path"), F.col("modificationTime").alias("mtime"), F.col("length"))
     # the reader passes over empty files
     names = spark.createDataFrame([(unquote(n),) for n in found.inputFiles()], "name string")
-    empty = [r["name"] for r in names.join(files, same_path("name", "path"), "left_anti").collect()]
+    empty = [r["name"] for r in names.join(files, plain_path("name") == plain_path("path"), "left_anti").collect()]
     if empty:
         files = files.unionByName(spark.createDataFrame([(n, _changed(spark, n), 0) for n in empty], "path string, mtime timestamp, length long"))
     if levels is None:
@@ -43,29 +44,79 @@ def list_files(spark: SparkSession, paths: list[str], recursive: bool = True, gl
     return files.filter(out)
 
 
-def same_path(a: str, b: str) -> Column:
-    """Whether two columns name one file, whichever way a local path is written."""
-    return F.expr(f"regexp_replace({a}, '^file:/+', '/') = regexp_replace({b}, '^file:/+', '/')")
+def plain_path(name: str) -> Column:
+    """A path as it is, whichever way a local one is written."""
+    return F.regexp_replace(name, "^file:/+", "/")
 
 
-def _text(spark: SparkSession, paths: list[str], recursive: bool) -> DataFrame:
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).text(paths)
+def metadata_path(name: str) -> Column:
+    """The same for a path as Spark's readers tell it of a row, where some signs are encoded."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+
+
+def width(encoding: str | None) -> int:
+    """Bytes of a line feed."""
+    n = len("\n".encode(encoding or "UTF-8"))
+    if len("\n\n".encode(encoding or "UTF-8")) != 2 * n:  # it writes a mark in front
+        raise ValueError(f"{encoding}: name the order of bytes, as in {encoding}LE")
+    return n
+
+
+def _text(spark: SparkSession, paths: list[str], recursive: bool, encoding: str | None = None) -> DataFrame:
+    """The lines of files, cut at line feeds of the encoding, as the bytes that they are."""
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
+    text = (reader.option("encoding", encoding) if width(encoding) > 1 else reader).text(paths)
     meta = [F.col(f"_metadata.{a}").alias(b) for a, b in (("file_path", "file_path"), ("file_modification_time", "file_mtime"), ("file_size", "size"), ("file_block_start", "block"))]
     return text.select(*meta, F.col("value").alias("line"))
 
 
-def measure(spark: SparkSession, paths: list[str], recursive: bool = True, larger: int | None = None) -> DataFrame:
+def measure(spark: SparkSession, paths: list[str], recursive: bool = True, larger: int | None = None, encoding: str | None = None) -> DataFrame:
     """file_path, size, block, rows, bytes (line feeds included), first (a hash of the first line) and content (one of all) of each split of the files.
 
     One pass over the text; only these sums are shuffled. larger: only files of more bytes.
     """
-    rows = _text(spark, paths, recursive)
+    rows = _text(spark, paths, recursive, encoding)
     rows = rows if larger is None else rows.filter(F.col("size") > larger)
     hashed = F.xxhash64("line")
-    sums = [F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.min_by(hashed, F.col("_id")).alias("first"), F.sum(hashed.cast("decimal(20,0)")).alias("content")]
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("line") + width(encoding)).alias("bytes"), F.min_by(hashed, F.col("_id")).alias("first"), F.sum(hashed.cast("decimal(20,0)")).alias("content")]
     return rows.withColumn("_id", F.monotonically_increasing_id()).groupBy("file_path", "size", "block").agg(*sums)
 
 
+#: Files that cannot be read are found one by one, so many times; if there are more, halves of the rest are tried apart.
+ONE_BY_ONE = 3
+
+
+def measure_each(spark: SparkSession, names: list[str], encoding: str | None = None) -> tuple[DataFrame | None, list[str]]:
+    """What measure tells of the files, written (None if there are none), and the files that cannot be read.
+
+    All are read in one pass. If it fails at a file, that one is left out and the others are read again; with many such files
+    halves of the rest are, so that one costs a number of passes over ever smaller parts that is logarithmic.
+    """
+    good, bad, todo = [], [], [list(names)] if names else []
+    while todo:
+        part = todo.pop()
+        try:
+            good.append(written(measure(spark, part, encoding=encoding)))
+        except Exception as e:
+            if "FAILED_READ_FILE" not in str(e) and "FILE_NOT_EXIST" not in str(e):
+                raise
+            told = unquote(str(e))
+            named = [n for n in part if f"{_plain(n)}" in told] if len(part) > 1 else part
+            named = [max(named, key=len)] if named else []
+            bad += named
+            rest = [n for n in part if n not in named]
+            half = len(rest) // 2
+            todo += [x for x in ([rest] if named and len(bad) <= ONE_BY_ONE else [rest[:half], rest[half:]]) if x]
+    out = None
+    for g in good:
+        out = g if out is None else out.unionByName(g)
+    return out, sorted(bad)
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def measured_files(splits: DataFrame) -> DataFrame:
     """file_path, rows, end (the offset after the last line), fingerprint (of the first line, null if that may not be complete) and content of each file."""
     files = splits.groupBy("file_path").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"), F.min_by("first", "block").alias("first"), F.sum("content").alias("content"))
@@ -74,30 +125,63 @@ def measured_files(splits: DataFrame) -> DataFrame:
     return files.select("file_path", "rows", F.when(plain, F.least("bytes", "size")).otherwise(F.col("bytes")).alias("end"), F.when(whole, F.col("first").cast("string")).alias("fingerprint"), F.col("content").cast("string").alias("content"))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number of each line in its split and the bytes up to its end; the lines of a split follow on each other in a task."""
-    key, rows, bytes_ = None, 0, 0
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        path, block = batch.column("file_path"), batch.column("block").to_numpy(zero_copy_only=False)
-        sizes = pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        new = np.zeros(n, dtype=bool)
-        new[0] = key != (path[0].as_py(), block[0])
-        new[1:] = (block[1:] != block[:-1]) | pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        total, place = np.cumsum(sizes), np.arange(1, n + 1)
-        starts = np.flatnonzero(new)
-        of = np.cumsum(new) - 1  # -1: goes on from the batch before
-        number, end = place.copy(), total.copy()
-        if len(starts):
-            later = of >= 0
-            number[later] -= starts[of[later]]
-            end[later] -= (total - sizes)[starts[of[later]]]
-        number[of < 0] += rows
-        end[of < 0] += bytes_
-        key, rows, bytes_ = (path[n - 1].as_py(), block[n - 1]), int(number[-1]), int(end[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(end)], names=[*batch.schema.names, "n", "bytes"])
+def _numbered(encoding: str | None) -> Callable:
+    """Adds the number of each line in its split and the bytes up to its end; the lines of a split follow on each other in a task.
+
+    With an encoding lines are decoded, signs beyond ASCII become `?`, and carriage returns line feeds. A line feed that begins
+    within a sign is none: the lines around it are of odd length, and are put together again.
+    """
+    feed = width(encoding)
+
+    def decoded(values: list[bytes], held: list[bytes]) -> list[str | None]:
+        """The texts; None for a part that goes on in the next line. held: such parts so far."""
+        out = []
+        for value in values:
+            held.append(value)
+            whole = "\n".encode(encoding).join(held)
+            if len(whole) % feed and len(held) == 1:
+                out.append(None)
+                continue
+            held.clear()
+            text = whole.decode(encoding, "replace").replace("\r\n", "\n").replace("\r", "\n")
+            out.append(text.removesuffix("\n").encode("ascii", "replace").decode())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, bytes_, held = None, 0, 0, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            path, block = batch.column("file_path"), batch.column("block").to_numpy(zero_copy_only=False)
+            sizes = pc.binary_length(batch.column("line")).to_numpy(zero_copy_only=False).astype(np.int64) + feed
+            new = np.zeros(n, dtype=bool)
+            new[0] = key != (path[0].as_py(), block[0])
+            new[1:] = (block[1:] != block[:-1]) | pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            total, place = np.cumsum(sizes), np.arange(1, n + 1)
+            starts = np.flatnonzero(new)
+            of = np.cumsum(new) - 1  # -1: goes on from the batch before
+            number, end = place.copy(), total.copy()
+            if len(starts):
+                later = of >= 0
+                number[later] -= starts[of[later]]
+                end[later] -= (total - sizes)[starts[of[later]]]
+            number[of < 0] += rows
+            end[of < 0] += bytes_
+            key, rows, bytes_ = (path[n - 1].as_py(), block[n - 1]), int(number[-1]), int(end[-1])
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n": pa.array(number), "bytes": pa.array(end)}
+            if encoding:
+                raw, texts, at = columns["line"].to_pylist(), [], 0
+                for stop in [*(int(x) for x in starts if x), n]:
+                    if new[at]:
+                        held.clear()
+                    texts += decoded(raw[at:stop], held)
+                    at = stop
+                columns["line"] = pa.array(texts, pa.string())
+            out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield out if not encoding else out.filter(pc.is_valid(columns["line"]))
+
+    return run
 
 
 def _smallest_split(spark: SparkSession) -> int:
@@ -112,30 +196,25 @@ def read_lines(spark: SparkSession, paths: list[str], host: str | None = None, e
     Only line feeds end a line. .gz and .bz2 files are read by their suffix. Lines are numbered
     where they are read, in one pass over each split, and no text is shuffled. A split of a larger file
     begins where those before it end: splits (of measure) tells, else the larger files are
-    measured first. With an encoding a file is decoded as a whole; other signs become `?`.
+    measured first. With an encoding lines are decoded, and signs beyond ASCII become `?`; offsets are those of the file. What
+    is split before it is decoded needs no task to hold a file, so files of all encodings are read in splits.
     """
-    if encoding:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-        text = F.regexp_replace(F.regexp_replace(F.decode("content", encoding), "\r\n?", "\n"), r"[^\x00-\x7F]", "?")
-        lines = F.split(text, "\n")
-        whole = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-        rows = files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("file_mtime"), F.col("length").alias("size"), F.lit(0).cast("long").alias("block"), F.explode(whole).alias("line"))
-        bases = None
-    else:
-        rows = _text(spark, paths, recursive)
-        if splits is None:
-            splits = measure(spark, paths, recursive, larger=_smallest_split(spark))
+    rows = _text(spark, paths, recursive, encoding)
+    if splits is None:
+        splits = measure(spark, paths, recursive, larger=_smallest_split(spark), encoding=encoding)
+    bases = None
+    if splits.filter("block > 0").limit(1).count():
         before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # over the splits of a file
-        bases = splits.select(F.xxhash64("file_path").alias("file"), "block", F.sum("rows").over(before).alias("base_rows"), F.sum("bytes").over(before).alias("base")).filter("base is not null")
-        bases = written(bases)
-        bases = bases if bases.limit(1).count() else None
+        sums = splits.select(F.xxhash64("file_path").alias("file"), "block", F.sum("rows").over(before).alias("base_rows"), F.sum("bytes").over(before).alias("base"))
+        bases = written(sums.filter("base is not null"))
+    line = F.col("line").cast("binary") if encoding else F.col("line")
+    rows = rows.select("file_path", "file_mtime", "size", "block", line.alias("line"), (F.octet_length("line") + width(encoding)).cast("long").alias("took"))
+    out = rows.mapInArrow(_numbered(encoding), "file_path string, file_mtime timestamp, size long, block long, line string, took long, n long, bytes long")
     if bases is not None:
-        rows = rows.withColumn("file", F.xxhash64("file_path")).join(broadcast_if_small(bases, rows=4_000_000, size=128 << 20), ["file", "block"], "left")
-        rows = rows.withColumns({"base_rows": F.coalesce("base_rows", F.lit(0)), "base": F.coalesce("base", F.lit(0))})
+        out = out.withColumn("file", F.xxhash64("file_path")).join(broadcast_if_small(bases, rows=2_000_000, size=64 << 20), ["file", "block"], "left")
+        out = out.withColumns({"base_rows": F.coalesce("base_rows", F.lit(0)), "base": F.coalesce("base", F.lit(0))})
     else:
-        rows = rows.withColumns({"base_rows": F.lit(0).cast("long"), "base": F.lit(0).cast("long")})
-    rows = rows.select("file_path", "file_mtime", "size", "block", "base_rows", "base", "line")
-    out = rows.mapInArrow(_numbered, "file_path string, file_mtime timestamp, size long, block long, base_rows long, base long, line string, n long, bytes long")
+        out = out.withColumns({"base_rows": F.lit(0).cast("long"), "base": F.lit(0).cast("long")})
     end = F.col("base") + F.col("bytes")
     compressed = F.col("file_path").rlike(COMPRESSED)
     return out.select(
@@ -144,8 +223,8 @@ def read_lines(spark: SparkSession, paths: list[str], host: str | None = None, e
         "file_path",
         "file_mtime",
         (F.col("base_rows") + F.col("n") - 1).alias("line_no"),
-        (end - F.octet_length("line") - 1).alias("start_offset"),
-        F.when(compressed | F.lit(bool(encoding)), end).otherwise(F.least(end, F.col("size"))).alias("end_offset"),
+        (end - F.col("took")).alias("start_offset"),
+        F.when(compressed, end).otherwise(F.least(end, F.col("size"))).alias("end_offset"),
         "line",
     )
 
