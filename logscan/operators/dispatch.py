@@ -3,7 +3,8 @@
 Every rule has texts that a line must hold for it (see literals). The texts of all searches that
 look at a line are in one automaton, which finds them in one pass over the line, however many there are;
 what a line has of them names the few rules that can apply to it, and lines without any go no further.
-Their regular expressions, as values of a row, are then looked for where all others are, in the JVM, and the rest
+Patterns that mean the same in both dialects are decided right there, each compiled once; other
+regular expressions, as values of a row, are looked for where they always are, in the JVM, and the rest
 (prefilters, exceptions, preferred level) is a handful of expressions over the array of rules
 found. So neither the plan nor the code that Spark makes of it grows with the searches.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logscan.model import MISSED, VISITED, Search
-from logscan.operators.literals import folded, required
+from logscan.operators.literals import folded, plain, required
 
 #: Kinds of rules, the first three also of events: a match, an all-clear, the appearance of a pattern that must appear; what takes matches back, what lines must hold, what they must not.
 MATCHED, CLEARED, APPEARED, EXCEPTED, NEEDED, SKIPPED = range(6)
@@ -37,6 +38,7 @@ class Rules:
     rows: list[tuple] = field(default_factory=list)
     texts: list[tuple[str, ...]] = field(default_factory=list)
     case: list[bool] = field(default_factory=list)
+    alike: list[str | None] = field(default_factory=list)
     of: list[int] = field(default_factory=list)
     searches: list[tuple[str, int, str, int]] = field(default_factory=list)
     numbers: list[list[int]] = field(default_factory=list)
@@ -47,7 +49,9 @@ class Rules:
         def rule(kind: int, level: str | None, i: int, key: str | None, pattern: str) -> None:
             texts, whole = required(pattern)
             own.append(len(self.rows))
-            self.rows.append((kind, level, i, key, pattern if kind == MATCHED else None, s.flags() + pattern, whole and s.case))
+            alike = s.case and not whole and plain(pattern) is not None
+            self.rows.append((kind, level, i, key, pattern if kind == MATCHED else None, s.flags() + pattern, s.case and (whole or alike)))
+            self.alike.append(pattern if alike else None)
             self.texts.append(tuple(t if s.case else folded(t) for t in texts))
             self.case.append(s.case)
             self.of.append(n)
@@ -84,13 +88,12 @@ class _Group:
 
     def __init__(self, rules: Rules, searches: list[int]):
         self.rules, self.always = rules, []
-        by_text: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        by_text: tuple[dict[str, list], dict[str, list]] = ({}, {})
         for n in searches:
             for r in rules.numbers[n]:
-                if rules.texts[r]:
-                    by_text[rules.case[r]].setdefault(rules.texts[r][0], []).append(r)
-                    for t in rules.texts[r][1:]:
-                        by_text[rules.case[r]].setdefault(t, [])
+                if texts := rules.texts[r]:
+                    # the longest text is in the automaton, the others are looked for where it is found
+                    by_text[rules.case[r]].setdefault(texts[0], []).append((r, texts[1] if len(texts) > 1 else ""))
                 else:
                     self.always.append(r)
         self.waiting = not any(rules.rows[r][0] <= APPEARED for r in self.always)
@@ -98,24 +101,32 @@ class _Group:
         for case in (True, False):
             if by_text[case]:
                 machine = ahocorasick.Automaton()
-                for t, numbers in by_text[case].items():
-                    machine.add_word(t, (t, numbers))
+                for n, (t, numbers) in enumerate(by_text[case].items()):
+                    machine.add_word(t, (n, numbers))
                 machine.make_automaton()
                 self.machines.append((case, machine))
+        self.events = [r[0] <= APPEARED for r in rules.rows]
+        self.compiled: dict[int, Callable] = {}
 
     def candidates(self, line: str) -> dict[int, list[int]]:
         """By number of search, the rules that a line may have; none of searches without one that can be an event."""
         found = []
         for case, machine in self.machines:
-            held = dict(value for _, value in machine.iter(line if case else folded(line)))
-            for numbers in held.values():
-                found += [r for r in numbers if all(t in held for t in self.rules.texts[r][1:])]
+            text = line if case else folded(line)
+            for numbers in dict(value for _, value in machine.iter(text)).values():
+                found += [r for r, other in numbers if other in text]
         if not found and self.waiting:
             return {}
         out: dict[int, list[int]] = {}
+        of, events, alike, compiled = self.rules.of, self.events, self.rules.alike, self.compiled
         for r in sorted([*found, *self.always]):
-            out.setdefault(self.rules.of[r], []).append(r)
-        return {n: own for n, own in out.items() if any(self.rules.rows[r][0] <= APPEARED for r in own)}
+            if alike[r] is not None:
+                if (search := compiled.get(r)) is None:
+                    search = compiled[r] = plain(alike[r]).search
+                if not search(line):
+                    continue
+            out.setdefault(of[r], []).append(r)
+        return {n: own for n, own in out.items() if any(events[r] for r in own)}
 
 
 def _sifted(shared, by: str, looking: dict, always: list[int], names: list[str]) -> Callable:

@@ -39,18 +39,24 @@ def _runs(parsed, out: list[str], now: list[str]) -> None:
                     out.append("".join(inner))
 
 
-def required(pattern: str) -> tuple[list[str], bool]:
-    """The longest literal texts of a pattern, and whether it is nothing but one; none where the two dialects of patterns might read it differently."""
+def _parsed(pattern: str):
+    """What a pattern is, where both dialects of patterns read it alike as far as its literal texts go; else None."""
     # classes in classes; escapes that are a class here and one sign there; counts without a least
     if re.search(r"&&|\[[^\]]*\[|\\[vhHRXG0NcQE]|\{,", pattern):
-        return [], False
+        return None
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("error")
             parsed = _parser.parse(pattern)
     except (re.error, Warning, OverflowError, RecursionError):
-        return [], False
-    if parsed.state.flags & ~re.UNICODE:
+        return None
+    return None if parsed.state.flags & ~re.UNICODE else parsed
+
+
+def required(pattern: str) -> tuple[list[str], bool]:
+    """The longest literal texts of a pattern, and whether it is nothing but one; none where the two dialects of patterns might read it differently."""
+    parsed = _parsed(pattern)
+    if parsed is None:
         return [], False
     out: list[str] = []
     now: list[str] = []
@@ -61,6 +67,32 @@ def required(pattern: str) -> tuple[list[str], bool]:
     return sorted(set(out), key=lambda x: (-len(x), x))[:MOST], whole and bool(out)
 
 
+def _alike(parsed) -> bool:
+    """Whether all parts of a pattern mean the same in both dialects: signs, classes of signs, repeats, groups, alternatives, beginning and end."""
+    for op, value in parsed:
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            inner = [value[2]]
+        elif op is sre.SUBPATTERN:
+            inner = [value[3]] if not value[1] and not value[2] else None
+        elif op is sre.BRANCH:
+            inner = value[1]
+        elif op is sre.IN:
+            inner = [] if all(o in (sre.LITERAL, sre.RANGE, sre.NEGATE, sre.CATEGORY) for o, _ in value) else None
+        elif op is sre.AT:
+            inner = [] if value in (sre.AT_BEGINNING, sre.AT_END) else None
+        else:
+            inner = [] if op in (sre.LITERAL, sre.NOT_LITERAL, sre.ANY) else None
+        if inner is None or not all(map(_alike, inner)):
+            return False
+    return True
+
+
+def plain(pattern: str) -> re.Pattern | None:
+    """The pattern for Python, if whether it is found is the same for both dialects (with (?d) and no other flag)."""
+    parsed = _parsed(pattern)
+    return re.compile(pattern, re.ASCII) if parsed is not None and _alike(parsed) else None
+
+
 def folded(text: str) -> str:
     """The text with A-Z in small letters, as patterns without case see it."""
     return text.translate(_SMALL)

@@ -248,15 +248,20 @@ def test_no_texts_where_dialects_differ(pattern):
 def test_texts_are_held_by_every_match(spark):
     """What Java finds holds the texts that Python's reading of the pattern asks for."""
     r = random.Random(6)
-    parts = ["a", "bc", "d+", "(ef|g)", "[h-k]", r"\.", r"\d", r"\x41", r"\t", "(?:lm)?", "(no){2}", "p*", "^", "$", r"\bq", "r{1,2}", r"\v", r"\e", "(?i:s)", r"t"]
+    parts = ["a", "bc", "d+", "(ef|g)", "[h-k]", r"\.", r"\d", r"\x41", r"\t", "(?:lm)?", "(no){2}", "p*", "^", "$", r"\bq", "r{1,2}", r"\v", r"\e", "(?i:s)", r"t", r"\s", r"\w+", r"[^a\d]", ".", ".*?", r"\S", "(a|b|)+", r"\W"]
     patterns = ["".join(r.choice(parts) for _ in range(r.randrange(1, 6))) for _ in range(150)]
-    texts = ["".join(r.choice(["a", "bc", "d", "ef", "g", "h", ".", "7", "A", "\t", "lm", "nono", "p", "q", "r", "\n", "\x1b", "S", "t", " "]) for _ in range(12)) for _ in range(120)]
+    texts = ["".join(r.choice(["a", "bc", "d", "ef", "g", "h", ".", "7", "A", "\t", "lm", "nono", "p", "q", "r", "\n", "\x1b", "S", "t", " ", "\x85", "é", "\u2028", "\r", "\x1c", "😀"]) for _ in range(12)) for _ in range(120)]
     df = spark.createDataFrame([(t,) for t in texts], "line string")
     for n in range(0, len(patterns), 50):
         part = patterns[n : n + 50]
         plain = df.select(*[F.col("line").rlike("(?d)" + p).alias(f"p{i}") for i, p in enumerate(part)]).collect()
         sifted = df.select(*[literals.found(F.col("line"), p, "(?d)").alias(f"p{i}") for i, p in enumerate(part)]).collect()
         assert plain == sifted
+        alike = [(i, literals.plain(p)) for i, p in enumerate(part)]
+        assert sum(p is not None for _, p in alike) > 5
+        for t, found in zip(df.collect(), plain, strict=True):
+            for i, p in alike:
+                assert p is None or bool(p.search(t["line"])) == found[i], (part[i], t["line"])
 
 
 def test_unknown_patterns_are_never_missed(spark):
