@@ -20,10 +20,15 @@ from pyspark.sql import functions as F
 from logscan.jobs import sinks
 from logscan.model import KEY, LEVELS, ORD, TEN_YEARS, Search, macros, resolved
 from logscan.operators import callbacks, classify, formats, report, sticky, thresholds
+from logscan.sources import feeds as feeds_of_run
 from logscan.sources import incremental, lines
+from logscan.sources.feeds import Feed
 from logscan.tables import BROADCAST_ROWS, broadcast_if_small, written
 
-STATE = "tag string, host string, logfile string, logoffset long, loglines long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, private map<string,string>, tail array<string>, runcount long, runtime timestamp"
+STATE = "tag string, host string, logfile string, logoffset long, loglines long, logtime timestamp, fingerprint string, threshold map<string,long>, threshold_times map<string,array<timestamp>>, sticky array<struct<level:string,when:timestamp,message:string>>, private map<string,string>, tail array<string>, cursor map<string,string>, runcount long, runtime timestamp"
+
+FILES = "tag string, host string, logfile string, path string, mtime timestamp, length long, name string, current boolean, pattern string"
+CHOSEN = "tag string, host string, logfile string, path string, file_path string, encoding string, mtime timestamp, current boolean, file_seq int, end long, rows long, fingerprint string, start long, seen long"
 
 #: Where alerts stand that no line has made: at the end.
 END = (1 << 31) - 1
@@ -308,6 +313,7 @@ def run(
     own_macros: dict[str, str] | None = None,
     levels: int | None = None,
     layout: str | None = None,
+    feeds: dict[str, Feed] | None = None,
 ) -> Run:
     """A run over the files of the searches' logs; what it read is not read again. The state is saved last, so a run that dies is repeated.
 
@@ -319,6 +325,8 @@ def run(
     many folders below paths archives are looked for, all if None. layout: the beginning of paths of files, such as
     /logs/{host}/, from which the host of a log is known; a search without host then takes the logs of all hosts.
 
+    feeds: records by name, for searches that look at these instead of files.
+
     A log of a name that is in several folders, or of several hosts, is a source each, with a state each.
     """
     values = macros(run_ts, host, **(own_macros or {}))
@@ -333,22 +341,37 @@ def run(
             if replaces:
                 none = spark.createDataFrame([], "tag string, lines long, criticals long, warnings long, unknowns long")
                 return Run(alerts[0], none, report.service_result(alerts[0], report.preview(alerts[0], 1, ("file_seq", "line_no"))), spark.createDataFrame([], STATE))
-    wanted = _wanted(spark, searches, host, bool(layout))
+    of_feeds = [s for s in searches if s.feed]
+    of_files = [s for s in searches if not s.feed]
+    wanted = _wanted(spark, of_files, host, bool(layout))
     version, state = sinks.state_version(spark, state_path), sinks.load_state(spark, state_path)
     state = state if state is not None else spark.createDataFrame([], STATE)
     for f in spark.createDataFrame([], STATE).schema.fields:  # a state of an older form
         state = state if f.name in state.columns else state.withColumn(f.name, F.lit(None).cast(f.dataType))
 
     shown = _shown(paths)
-    files = incremental.match_archives(_hosts(lines.list_files(spark, paths, levels=levels), layout, host), wanted)
-    newest = [s.tag for s in searches if s.newest]
-    if newest:
-        files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
-    files = written(files)
-    state = incremental.adopted(state, files.select(*KEY).distinct())
-    chosen, splits, broken = _chosen(spark, files, state, searches)
-    state = state.drop("shared")
-    events, tails = _fresh_events(spark, chosen, splits, searches, state.filter("tail is not null").select(*KEY, "tail"))
+    if of_files:
+        files = incremental.match_archives(_hosts(lines.list_files(spark, paths, levels=levels), layout, host), wanted)
+        newest = [s.tag for s in of_files if s.newest]
+        if newest:
+            files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
+        files = written(files)
+        state = incremental.adopted(state, files.select(*KEY).distinct())
+        chosen, splits, broken = _chosen(spark, files, state, of_files)
+        state = state.drop("shared")
+        events, tails = _fresh_events(spark, chosen, splits, of_files, state.filter("tail is not null").select(*KEY, "tail"))
+    else:
+        files, chosen, broken, events, tails = spark.createDataFrame([], FILES), spark.createDataFrame([], CHOSEN), None, None, None
+    read = [chosen.groupBy("tag").agg(F.sum(F.col("rows") - F.col("seen")).alias("lines"))]
+    cursors = None
+    for s in of_feeds:
+        found, reached = feeds_of_run.read((feeds or {})[s.feed], s.feed, s.tag, s.host or host, state, run_ts, s.read_all_first)
+        found = written(found)
+        more, ends = line_events(found, [s], state.filter("tail is not null").select(*KEY, "tail"))
+        events = more if events is None else events.unionByName(more)
+        tails = ends if tails is None else tails if ends is None else tails.unionByName(ends)
+        cursors = reached if cursors is None else cursors.unionByName(reached)
+        read.append(found.groupBy("tag").agg(F.count(F.lit(1)).alias("lines")))
 
     old = _carried(state, searches, run_ts)
     tags = [s.tag for s in searches]
@@ -356,6 +379,10 @@ def run(
     base = F.regexp_extract("logfile", r"([^/]+)$", 1)
     had = state.filter(F.contains("logfile", F.lit("/"))).select(*KEY, base.alias("_base")).join(wanted.select("tag", F.regexp_extract("logfile", r"([^/]+)$", 1).alias("_base")), ["tag", "_base"]).select(*KEY)
     sources = files.select(*KEY).unionByName(had).distinct()
+    if cursors is not None:
+        cursors = written(cursors)
+        fed = state.filter(F.col("cursor").isNotNull() & F.col("tag").isin([s.tag for s in of_feeds])).select(*KEY)
+        sources = sources.unionByName(fed.unionByName(cursors.select(*KEY)).distinct())
     sources = sources.unionByName(wanted.select("tag", F.coalesce("host", F.lit(host)).alias("host"), "logfile").join(sources.select("tag").distinct(), "tag", "left_anti"))
     # the first run of a source that reads all of it does not miss patterns
     unread = sources.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))
@@ -363,14 +390,19 @@ def run(
     matches, carry = scanned.matches, scanned.carry
     reached = chosen.select(*KEY, "file_seq", F.col("end").alias("end_offset"), "mtime", "fingerprint", "current", F.col("rows").alias("loglines"))
     state_after = incremental.advance_state(state, reached, run_ts)
-    stale = [incremental.stale_sources(state_after.filter(F.col("tag").isin(own)), run_ts, maxage, shown=shown) for maxage, own in _by(searches, lambda s: s.maxage).items()]
+    stale = [incremental.stale_sources(state_after.filter(F.col("tag").isin(own)), run_ts, maxage, shown=shown) for maxage, own in _by(of_files, lambda s: s.maxage).items()]
     # a source that is not there yet is known from now on, and read from its start when it comes
     unseen = sources.join(state_after.select(*KEY), list(KEY), "left_anti")
     state_after = state_after.unionByName(unseen.select(*KEY, F.lit(0).cast("long").alias("logoffset"), F.timestamp_seconds(F.lit(0)).alias("logtime"), F.lit(None).cast("string").alias("fingerprint"), F.lit(1).cast("long").alias("runcount"), F.lit(run_ts).alias("runtime")))
+    if cursors is not None:
+        kept = state.filter("cursor is not null").select(*KEY, "cursor").join(cursors.select(*KEY), list(KEY), "left_anti")
+        state_after = state_after.join(kept.unionByName(cursors), list(KEY), "left")
+    else:
+        state_after = state_after.join(state.filter("cursor is not null").select(*KEY, "cursor"), list(KEY), "left")
     at_line = reached.groupBy(*KEY).agg(F.max_by(F.when(F.col("current"), F.col("loglines")).otherwise(0), "file_seq").alias("_reached"))
     state_after = state_after.join(at_line, list(KEY), "left").join(state.select(*KEY, "loglines"), list(KEY), "left").withColumn("loglines", F.coalesce("_reached", "loglines")).drop("_reached")
-    for level in sorted({s.logfile_missing for s in searches} - {"off"}):
-        asked = sources.filter(F.col("tag").isin([s.tag for s in searches if s.logfile_missing == level]))
+    for level in sorted({s.logfile_missing for s in of_files} - {"off"}):
+        asked = sources.filter(F.col("tag").isin([s.tag for s in of_files if s.logfile_missing == level]))
         matches = matches.unionByName(_alerts(incremental.missing_sources(asked, files, level.upper(), shown=shown), "missing log"))
     if broken is not None:
         for level in sorted({s.unreadable for s in searches} - {"off"}):
@@ -430,5 +462,4 @@ def run(
     except Exception as e:
         matches = matches.unionByName(alert(spark, "state", state_error, f"cannot write state: {str(e)[:200]}", host))
         result = summed(matches)
-    read = chosen.groupBy("tag").agg(F.sum(F.col("rows") - F.col("seen")).alias("lines"))
-    return Run(matches, report.counters(read, matches), result, state_after)
+    return Run(matches, report.counters(reduce(DataFrame.unionByName, read), matches), result, state_after)

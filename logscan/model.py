@@ -48,7 +48,8 @@ class Search:
     rotation names. virtual: the file is read whole in each run. logfile_missing: the level of a
     missing log, `ok`, or `off` for none; unreadable: that of a file that is there and cannot be read. logfile is a
     name, with folders above it if these tell it from others; each folder's log is a source of its own. archives: a pattern of
-    the folder of its archives, below the log's folder or whole; without it they are beside the log. encoding: the charset of its files. formats: FORMAT blocks, with format_levels from severities
+    the folder of its archives, below the log's folder or whole; without it they are beside the log. encoding: the charset of its files. feed: the name of the records
+    that it looks at instead of files (see sources.feeds). formats: FORMAT blocks, with format_levels from severities
     to codes. callback sees the matches of a run (see callbacks.with_state).
     """
 
@@ -84,6 +85,7 @@ class Search:
     archives: str | None = None
     unreadable: str = "critical"
     encoding: str | None = None
+    feed: str | None = None
     formats: str | None = None
     format_levels: dict = field(default_factory=dict)
     callback: Callable | None = None

@@ -108,7 +108,7 @@ def adopted(state: DataFrame, sources: DataFrame, key: list = KEY) -> DataFrame:
     Such rows are those of logs that were not there yet, and of states of an older form. shared is true where several sources take
     over one position: which of them it belongs to, the fingerprint tells (see starts).
     """
-    nameless = state.filter(~F.contains("logfile", F.lit("/")))
+    nameless = state.filter(~F.contains("logfile", F.lit("/")) & (F.col("cursor").isNull() if "cursor" in state.columns else F.lit(True)))
     if not nameless.limit(1).count():
         return state.withColumn("shared", F.lit(False))
     own = sources.select(*key).join(state.select(*key), key, "left_anti").withColumn("_base", F.regexp_extract("logfile", r"([^/]+)$", 1))
