@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscan.llm.common import broadcast_if_small, written
+
 #: Vectors of a block, and bytes of a block's vectors, at most.
 BLOCK, BLOCK_BYTES = 2048, 4 << 20
 STRIPES = 8
@@ -42,15 +44,24 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """The largest vector of each id and dimension. Ids are counted first, so that only vectors of ids that repeat are shuffled for it; those of an id are reduced where they are before they meet."""
+    key = ["id", "dim"]
+    again = written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key))
+    if not again.limit(1).count():
+        return rows
+    again = broadcast_if_small(again)
+    largest = rows.join(again, key, "left_semi").groupBy(*key).agg(F.max("v").alias("v"))
+    return rows.join(again, key, "left_anti").select(*key, "v").unionByName(largest)
+
+
 def _pack(table: pa.Table) -> pa.Table:
-    """One block: ids ascending, each once, and the matrix of their vectors."""
+    """One block: ids ascending, and the matrix of their vectors."""
     ids = table.column("id").to_numpy()
     dim = table.column("dim")[0].as_py()
     v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    order = np.lexsort([*v.T[::-1], ids]) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
-    ids, v = ids[order], v[order]
-    last = np.append(ids[1:] != ids[:-1], True)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "block": table.column("block").slice(0, 1), "ids": pa.array([ids[last].tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v[last]).tobytes()], pa.binary())})
+    order = np.argsort(ids)
+    return pa.table({"dim": pa.array([dim], pa.int32()), "block": table.column("block").slice(0, 1), "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([np.ascontiguousarray(v[order]).tobytes()], pa.binary())})
 
 
 def _blocks(rows: DataFrame, count: int) -> DataFrame:
@@ -133,8 +144,8 @@ def _tiles(k: int):
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each row where is_query holds the k others of the largest inner product."""
-    rows = usable(vectors, id_col, vector_col)
-    queries = usable(vectors.filter(is_query), id_col, vector_col)
+    rows = once(usable(vectors, id_col, vector_col))
+    queries = once(usable(vectors.filter(is_query), id_col, vector_col))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
     asked = queries.count()
     per_block = max(32, min(BLOCK, BLOCK_BYTES // (8 * max(1, size["dim"] or 1))))
