@@ -34,7 +34,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscan.llm.common import written
+from logscan.llm.common import is_small, written
 
 # The kinds in order, and their patterns. Possessive quantifiers and the looks
 # behind change no match; they only keep the search linear.
@@ -159,14 +159,17 @@ def scored(edges: DataFrame, rounds: int = 3, seeds: int = 5) -> tuple[DataFrame
     size = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     support = edges.filter(~mention).groupBy("pattern", F.col("kind").alias("k")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= seeds)
     patterns = written(support.join(size, "pattern"))
-    open_ = written(edges.filter(mention).select("pattern", "instance").join(patterns.select("pattern").distinct(), "pattern").select("pattern", "instance", kinds))
+    # patterns with seeds enough are few, so edges, of which a frequent word may have a third, stay where they are; too many are
+    # joined by a shuffle, whose skewed parts Spark splits. Confidences have the rows of patterns
+    to_edges = F.broadcast if is_small(patterns) else lambda df: df
+    open_ = written(edges.filter(mention).select("pattern", "instance").join(to_edges(patterns.select("pattern").distinct()), "pattern").select("pattern", "instance", kinds))
     scores = open_.select("instance", "k").distinct().withColumn("score", F.lit(0.0))
     side, surest = F.substring_index("pattern", " ", 1), lambda name: F.coalesce(F.max(F.when(side == name, F.col("confidence"))), F.lit(0.0))
     confidence = patterns.select("pattern", "k", (F.col("seeds") / (F.col("n") + seeds)).alias("confidence"))
     for _ in range(rounds):
         gained = open_.join(scores, ["instance", "k"]).groupBy("pattern", "k").agg(F.sum("score").alias("gained"))
         confidence = patterns.join(gained, ["pattern", "k"], "left").select("pattern", "k", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + seeds)).alias("confidence"))
-        best = open_.join(confidence, ["pattern", "k"]).groupBy("instance", "k").agg(*[surest(x).alias(x) for x in ("left", "right", "both")])
+        best = open_.join(to_edges(confidence), ["pattern", "k"]).groupBy("instance", "k").agg(*[surest(x).alias(x) for x in ("left", "right", "both")])
         scores = written(best.select("instance", "k", F.greatest("both", 1 - (1 - F.col("left")) * (1 - F.col("right"))).alias("score")).filter(F.col("score") > 0.01))
     return confidence, scores
 
