@@ -1,8 +1,9 @@
 """Benchmark decontamination: SimHash windows of an item's size, multi-index Hamming blocks, exact weighted shingles.
 
 1. Texts become lower-case words (runs of letters and digits) and hashes of their word
-   shingles. The shingles of all documents meet those of the benchmark in broadcast joins,
-   one for each block of benchmark shingles of bounded size, so the corpus is never shuffled.
+   shingles. The shingles of all documents meet those of the benchmark in one broadcast join, so
+   the corpus is never shuffled. A larger benchmark sends a Bloom filter of its shingles, of bounded size, instead, and only
+   what passes it, hits and a few in a hundred others, is shuffled to meet it. Either way the corpus is read once for this.
 2. Windows of n shingles are taken for an item of n shingles where they can be similar at
    all. A window of similarity t shares 2 t n / (1 + t) shingles or more with the item (of
    a shorter document, t / (1 + t) times the sum of both sizes), so
@@ -18,7 +19,7 @@
    little by themselves; it is step 2 that keeps the number of fingerprints near that of leaks.
 
 DataFrame functions only. The texts are read twice, for all documents and for those with
-hits; without many hits they are never shuffled.
+hits, whatever the size of the benchmark; without many hits they are never shuffled.
 
 Null texts and null items have no words. Items of fewer words than a shingle take no part.
 A document shorter than an item is one window. Rows that repeat a doc_id are looked at one
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from logscan.llm.common import broadcast_if_small, written
 
-#: Bytes of the benchmark's shingles, with the sizes of their items, that are broadcast at a time.
+#: Bytes of the benchmark's shingles, with the sizes of their items, that are broadcast; bits of the filter for more, for each shingle
+#: and in all; and how many of them stand for a shingle.
 BLOCK_BYTES = 8 << 20
+BITS_EACH, BITS_MOST, HASHES = 12, 1 << 29, 3
 SIZE, THRESHOLD, RADIUS = 5, 0.8, 21
 LANES = 0x0001000100010001
 
@@ -96,6 +99,30 @@ def possible(hits: DataFrame, threshold: float) -> DataFrame:
     return starts.select("doc_id", "tag", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("j"), F.col("m") - F.col("n"))).cast("int").alias("start"), "n").distinct()
 
 
+def _bits(h: Column, n: int) -> list[Column]:
+    """The bits of a filter of n bits that stand for a shingle."""
+    return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(n)) for i in range(HASHES)]
+
+
+def bloom(shingles: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """A row with the words (of 64 bits) of a Bloom filter of the shingles h, written, and its bits."""
+    n = min(BITS_MOST, -(-BITS_EACH * count // 64) * 64)
+    at = shingles.select(F.explode(F.array(*_bits(F.col("h"), n))).alias("bit"))
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    words = at.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("i")).agg(F.bit_or(one).alias("w"))
+    # every word, set or not, in its place: at most BITS_MOST / 8 bytes
+    full = shingles.sparkSession.range(n // 64).select(F.col("id").cast("int").alias("i")).join(words, "i", "left")
+    row = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("words"))
+    return written(row), n
+
+
+def passing(hits: DataFrame, filter_: DataFrame, n: int) -> DataFrame:
+    """The rows whose shingle h the filter may hold; the filter is one row, sent to all tasks."""
+    kept = hits.join(F.broadcast(filter_), F.lit(True))  # one row
+    tests = [F.get("words", F.floor(b / 64).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))) != 0 for b in _bits(F.col("h"), n)]
+    return kept.filter(reduce(lambda a, b: a & b, tests)).drop("words")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, similarity, start (word of the best window), n_windows: of each document and item with a window of similarity threshold or more."""
     items = written(with_shingles(benchmark.select("item_id", "text").filter("item_id is not null").distinct(), size).filter(F.size("sh") > 0))
@@ -106,9 +133,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, threshol
     hits = with_shingles(docs, size).select("doc_id", "tag", "sh", F.size("sh").alias("m")).select("doc_id", "tag", "m", F.posexplode_outer("sh").alias("pos", "h"))
     by_size = written(item_shingles.groupBy("h").agg(F.collect_set("n").alias("sizes")))
     size_bytes = by_size.agg(F.sum(24 + 8 * F.size("sizes"))).first()[0] or 0
-    n_blocks = -(-size_bytes // BLOCK_BYTES) or 1
-    blocks = [by_size.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == i) if n_blocks > 1 else by_size for i in range(n_blocks)]
-    hits = written(reduce(DataFrame.unionByName, [hits.join(F.broadcast(b), "h") for b in blocks]).select("doc_id", "tag", "m", "pos", "sizes"))
+    if size_bytes <= BLOCK_BYTES:
+        met = hits.join(F.broadcast(by_size), "h")
+    else:
+        met = written(passing(hits, *bloom(by_size, by_size.count()))).join(by_size, "h")
+    hits = written(met.select("doc_id", "tag", "m", "pos", "sizes"))
     asked = possible(hits, threshold).select(F.col("doc_id").alias("at_doc"), F.col("tag").alias("at_tag"), "start", "n").distinct()
     asked = written(asked.groupBy("at_doc", "at_tag").agg(F.collect_list(F.struct("start", "n")).alias("asked")))
     here = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("tag") == F.col("at_tag"))

@@ -82,3 +82,12 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         assert out.filter("doc_id = 99").count() == 1, name
         assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0, name
     assert p.STAGES[-1][1](spark, wide.limit(0), str(tmp_path)).count() == 0
+
+
+def test_a_corpus_without_labels_keeps_its_texts(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(i, f"some words of document {i}", None, "s", 1) for i in range(10)] + [(10, "12 34", None, "s", 1), (11, None, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = p.identify_language(spark, docs, str(tmp_path)).collect()
+    assert sorted(x["doc_id"] for x in out) == list(range(10)) and {x["lang"] for x in out} == {None}

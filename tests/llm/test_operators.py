@@ -187,9 +187,39 @@ def test_hamming_blocks_find_all_within_the_radius(spark):
     assert got == {(sign(x), i) for x in near for i, b in enumerate(base) if (x ^ b).bit_count() <= 12}
 
 
+def test_a_large_benchmark_reads_the_corpus_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    r = random.Random(8)
+    items = [words(r, 30) for _ in range(40)]
+    texts = [" ".join(words(r, 40) + items[i] + words(r, 40)) for i in range(0, 40, 4)] + [" ".join(words(r, 90)) for _ in range(30)]
+    passed = []
+    keep = decontaminate.passing
+    monkeypatch.setattr(decontaminate, "passing", lambda *a: passed.append(keep(*a)) or passed[-1])
+    found = decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert sorted((x["doc_id"], x["item_id"]) for x in found.collect()) == [(i, 4 * i) for i in range(10)]
+    (kept,) = passed
+    hits, all_ = 10 * 26, sum(len(t.split()) - 4 for t in texts)
+    assert hits <= kept.count() <= hits + 0.06 * all_  # few shingles besides pass the filter
+
+
 # ------------------------------------------------------------------ nearest neighbours
 
 
+def test_nearest_with_one_id_on_most_rows(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(r.normal(size=(60, 4)))] + [(7, x.tolist()) for x in r.normal(size=(500, 4))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    kept = nearest.once(nearest.usable(frame, "vec_id", "embedding"))
+    assert kept.count() == 60  # before any block is packed
+    best = {i: max(v for j, v in rows if j == i) for i in range(60)}
+    assert {x["id"]: x["v"] for x in kept.collect()} == best
+    got = [(x["query_id"], x["vec_id"]) for x in nearest.nearest(frame, F.col("vec_id") == 7, k=5).orderBy("rank").collect()]
+    dot = lambda j: sum(a * b for a, b in zip(best[7], best[j], strict=True))
+    assert got == [(7, j) for j in sorted((j for j in range(60) if j != 7), key=lambda j: (-dot(j), j))[:5]]
+
+
+
+
 @pytest.mark.parametrize("dim", [3, 64])
 def test_nearest(spark, dim):
     r = np.random.default_rng(dim)
