@@ -30,10 +30,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops the documents that are in no language: null and empty texts and texts without a letter (`und`). Where lang is null it becomes the language found.
 
     The model learns from the rows of docs whose language is known and that are not held out;
-    without any such row nothing can be told and all documents go. An empty table gives no rows.
+    without any such row no language can be told, and all texts with a letter stay as they are. An empty table gives no rows.
     """
     own, back = _aside(docs, "lang_pred", "score")
     model = language_id.train(own.filter(language_id.remainder(4) != 2))
+    if model.families is None:
+        return back(own.filter(F.col("text").rlike(r"\p{L}")))
     out = language_id.identify(own, model).filter(F.col("lang_pred") != language_id.UNKNOWN)
     return back(out.withColumn("lang", F.coalesce("lang", "lang_pred")))
 

@@ -84,7 +84,7 @@ def test_records_beside_files_with_thresholds(spark, tmp_path):
 def test_jdbc_windows_are_pushed_down(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/alerts;create=true"
     rows = timed(spark, *[(f"h{i % 3}", float(i), f"bad {i}") for i in range(100)], ("h0", 50.0, ""))
-    rows.select("host", "message", "ts").write.format("jdbc").options(url=url, dbtable="alerts", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    rows.select("host", "message", "ts").write.format("jdbc").options(url=url, dbtable="alerts", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", createTableColumnTypes="host VARCHAR(20), message VARCHAR(200)").save()
     ask = feeds.jdbc_rows(spark, url, "alerts", partitions=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     begin, end = AT + timedelta(seconds=10), AT + timedelta(seconds=90)
     found = ask(begin, end)
