@@ -13,8 +13,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logscan.model import KEY, TEN_YEARS, Search
 from logscan.operators.classify import accepted, appearances, line_matches
+from logscan.operators.report import alert_rate
+from logscan.tables import broadcast_if_small
 
 CARRY = "tag string, host string, logfile string, level string, carry long, threshold_times array<timestamp>"
+CLEAR = "tag string, host string, logfile string, cleared long"
 SEEN = "tag string, host string, logfile string, level string, pat_idx int, message string, seen int"
 
 
@@ -39,6 +42,34 @@ def stream_missing(spark: SparkSession, out: str) -> DataFrame:
     return seen.filter("seen = 0").drop("seen")
 
 
+def _cleared(spark: SparkSession, out: str, epoch: int | None) -> DataFrame:
+    """key, cleared: the last micro-batch up to one that had an all-clear line."""
+    place, fs = _hadoop(spark, f"{out}/_state/{epoch}/clear")
+    return spark.read.schema(CLEAR).parquet(f"{out}/_state/{epoch}/clear") if epoch is not None and fs.exists(place) else spark.createDataFrame([], CLEAR)
+
+
+def stream_standing(spark: SparkSession, out: str, searches: list[Search], now: datetime) -> DataFrame:
+    """The matches of the stream into out that stand at now, with when: of sticky searches those that no later all-clear line has taken back and that are not too old, of others those of the last micro-batch.
+
+    Matches are written once; a row for each source that was cleared is all that changes. So what stands after many
+    micro-batches is what one batch over all their lines has.
+    """
+    epochs = _epochs(spark, out)
+    rows = spark.read.option("basePath", out).parquet(out)
+    if not epochs:
+        return rows.limit(0).drop("batch")
+    stands = F.lit(False)
+    by_time: dict[int, list[str]] = {}
+    for s in searches:
+        by_time.setdefault((s.sticky if s.sticky > 1 else TEN_YEARS) if s.sticky else 0, []).append(s.tag)
+    for seconds, tags in by_time.items():
+        young = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("when") <= seconds if seconds else F.col("batch") == epochs[-1]
+        stands = stands | (F.col("tag").isin(tags) & young)
+    rows = rows.filter((F.col("batch") <= epochs[-1]) & stands)
+    clear = broadcast_if_small(_cleared(spark, out, epochs[-1]))
+    return rows.join(clear, list(KEY), "left").filter(F.col("cleared").isNull() | (F.col("batch") >= F.col("cleared"))).drop("cleared", "batch")
+
+
 def scan_stream(lines: DataFrame, searches: list[Search], out: str, checkpoint: str, trigger: dict | None = None):
     """Matches of a stream of lines (tag, host, logfile, file_seq, line_no, line) into Parquet, a folder per micro-batch.
 
@@ -46,9 +77,9 @@ def scan_stream(lines: DataFrame, searches: list[Search], out: str, checkpoint:
     Thresholds count on from micro-batch to micro-batch, hits expire as in runs, and
     must-appear patterns are judged over the whole stream (stream_missing): the state after each
     micro-batch is in out/_state, and one that is run again starts from that of the one before.
-    An all-clear line cannot call back what earlier micro-batches have written.
+    What an all-clear line takes back of earlier micro-batches, and what stands, is told by stream_standing.
     """
-    from logscan.jobs.scan import scan_lines
+    from logscan.jobs.scan import scan_all
     from logscan.operators.thresholds import live_times
 
     def batch(df: DataFrame, epoch: int) -> None:
@@ -66,9 +97,12 @@ def scan_stream(lines: DataFrame, searches: list[Search], out: str, checkpoint:
                 seen = seen.unionByName(appearances(df.filter(F.col("tag") == s.tag), s))
         df.persist()
         try:
-            matches, after = scan_lines(df, searches, carry, df.select(*KEY).limit(0), now)
-            matches.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-            after = after if after is not None else carry
+            scanned = scan_all(df, searches, carry, df.select(*KEY).limit(0), now)
+            scanned.matches.withColumn("when", F.lit(now)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+            after = scanned.carry if scanned.carry is not None else carry
+            # the last micro-batch that clears a source, one row each
+            cleared = _cleared(spark, out, before[-1] if before else None).unionByName(scanned.clear.select(*KEY, F.lit(epoch).cast("long").alias("cleared")))
+            cleared.groupBy(*KEY).agg(F.max("cleared").alias("cleared")).write.mode("overwrite").parquet(f"{out}/_state/{epoch}/clear")
             after.write.mode("overwrite").parquet(f"{out}/_state/{epoch}/carry")
             seen.groupBy(*KEY, "level", "pat_idx", "message").agg(F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{out}/_state/{epoch}/seen")
         finally:
@@ -150,3 +184,65 @@ def heartbeat(events: DataFrame, is_beat, start, end, interval: str, key: str, t
     grid = keys.withColumn("window_start", F.explode(F.sequence(F.lit(start), F.expr(f"timestamp '{end}' - interval {interval}"), F.expr(f"interval {interval}"))))
     beats = events.filter(is_beat).select(key, F.window(ts, interval).start.alias("window_start")).distinct()
     return grid.join(beats, [key, "window_start"], "left_anti")
+
+
+class _Beats(StatefulProcessor):
+    """The intervals without a beat of a key: an interval is judged when the watermark has passed its end, by a timer, whether the key has rows or not."""
+
+    def __init__(self, interval: int, columns: list[str]):
+        self.interval, self.columns = interval, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "at long")  # the interval that is judged next
+        self.beats = handle.getMapState("beats", "at long", "n int")  # intervals from there on that have a beat
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            at = frame["at"] // self.interval * self.interval
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+            for beat in at[frame["beat"]].unique():
+                self.beats.updateValue((int(beat),), (1,))
+        if not self.next.exists():
+            self.next.update((first,))
+            self.handle.registerTimer(first + self.interval)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached, at, silent = timerValues.getCurrentWatermarkInMs(), self.next.get()[0], []
+        while at + self.interval <= reached:
+            if self.beats.containsKey((at,)):
+                self.beats.removeKey((at,))
+            else:
+                silent.append(at)
+            at += self.interval
+        self.next.update((at,))
+        self.handle.registerTimer(at + self.interval)
+        if silent:  # Spark takes no empty frame here
+            yield pd.DataFrame([(*key, n) for n in silent], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeat_stream(events: DataFrame, is_beat, interval: int, delay: str, key: str, ts: str = "ts") -> DataFrame:
+    """key, window_start of the intervals (of so many seconds) in which a key has no beat, from the interval of its first event on.
+
+    An interval is told as soon as the watermark, delay behind the latest event of any key, passes its end: a key that has fallen
+    silent alerts without any new row of it. A key's state is one number and its beats since then.
+    """
+    rows = events.withWatermark(ts, delay).select(key, ts, (F.unix_micros(ts) / 1000).cast("long").alias("at"), F.coalesce(is_beat, F.lit(False)).alias("beat"))
+    kind = events.schema[key].dataType.simpleString()
+    found = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=_Beats(interval * 1000, [key, "at"]), outputStructType=f"`{key}` {kind}, at long", outputMode="Append", timeMode="EventTime")
+    return found.select(key, F.timestamp_millis("at").alias("window_start"))
+
+
+def drop_late_stream(events: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+    """Events of a stream with a watermark: what comes later than delay behind the latest event is dropped by the windows that follow."""
+    return events.withWatermark(ts, delay)
+
+
+def alert_rates(matches: DataFrame, window: str, slide: str | None = None, delay: str = "10 minutes", key: tuple = ("tag",), when: str = "when") -> DataFrame:
+    """report.alert_rate of a stream of matches: a window is told once, when the watermark has passed its end."""
+    return alert_rate(drop_late_stream(matches, delay, when), window, slide, key, when)

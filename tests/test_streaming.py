@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from logscan.jobs.scan import scan_lines
 from logscan.model import Search
 from logscan.operators import callbacks
+from logscan.operators import report
+from logscan.streaming import stream as streams
 from logscan.streaming.stream import scan_stream, stream_alerts, stream_missing
 
 SCHEMA = "tag string, host string, logfile string, file_seq int, line_no long, line string"
@@ -87,3 +92,57 @@ def test_callbacks(spark):
     assert rows(callbacks.on_match(m, louder, "supersmart")) == [("OK", "A", "callback"), ("OK", "B", "callback")]
     assert len(rows(callbacks.on_match(m, louder, "smart"))) == 4 and len(rows(callbacks.on_match(m, louder, "plain"))) == 2
     assert rows(callbacks.on_match(m, broken, "smart")) == [("CRITICAL", "a", "match"), ("WARNING", "b", "match"), ("WARNING", "could not execute callback: no", "failure")]
+
+
+def test_standing_alerts_of_a_stream_equal_one_batch(spark, tmp_path):
+    r = random.Random(3)
+    rows = [("t", "h", f"l{r.randrange(3)}", n, i, r.choice(["open", "open", "x", "closed" if r.random() < 0.3 else "odd"])) for n in range(4) for i in range(12)]
+    rows += [("u", "h", "l", n, 0, "open") for n in range(4)]
+    for n in range(4):
+        spark.createDataFrame([x for x in rows if x[3] == n], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    t = Search(tag="t", critical=["open"], warning=["odd"], ok=["closed"], threshold={"warning": 2}, sticky=1)
+    u = Search(tag="u", critical=["open"])
+    source = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    scan_stream(source, [t, u], out, str(tmp_path / "cp")).awaitTermination(180)
+    cols = ["tag", "logfile", "level", "file_seq", "line_no", "message"]
+    standing = streams.stream_standing(spark, out, [t, u], datetime.now()).select(*cols)
+    want, _ = scan_lines(spark.createDataFrame(rows, SCHEMA), [t, u])
+    got = sorted(map(tuple, standing.collect()))
+    assert got == sorted(map(tuple, want.filter("tag = 't' or file_seq = 3").select(*cols).collect()))
+    assert spark.read.parquet(out).filter("tag = 't'").count() > sum(x[0] == "t" for x in got)  # some were taken back
+    late = datetime.now() + timedelta(seconds=100)
+    assert streams.stream_standing(spark, out, [Search(tag="t", critical=["open"], sticky=60)], late).count() == 0
+
+
+def _events(spark, tmp_path, parts):
+    for n, part in enumerate(parts):
+        df = spark.createDataFrame([(h, t, k) for h, t, k in part], "host string, s long, kind string").select("host", F.timestamp_seconds("s").alias("ts"), "kind")
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"{n:02}"))
+    schema = "host string, ts timestamp, kind string"
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_silent_keys_alert_by_timers(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # a beats in every minute but one; b beats once and then has no row at all
+    parts = [[("a", 60 * n + 5, "other" if n == 3 else "beat"), *([("b", 10, "beat")] if n == 0 else [])] for n in range(8)]
+    out = streams.heartbeat_stream(_events(spark, tmp_path, parts), F.col("kind") == "beat", 60, "30 seconds", "host")
+    out.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    got = sorted((r["host"], int(r["window_start"].timestamp())) for r in spark.sql("select * from silent").collect())
+    # the watermark is 30 seconds behind second 425: the interval of 360 is open still
+    assert got == [("a", 180)] + [("b", 60 * n) for n in range(1, 6)]
+    rows = [(h, t, k) for part in parts for h, t, k in part]
+    batch = spark.createDataFrame(rows, "host string, s long, kind string").select("host", F.timestamp_seconds("s").alias("ts"), "kind")
+    grid = streams.heartbeat(batch, F.col("kind") == "beat", F.timestamp_seconds(F.lit(0)), "1970-01-01 00:06:00", "60 seconds", "host")
+    assert got == sorted((r["host"], int(r["window_start"].timestamp())) for r in grid.collect())
+
+
+def test_rates_of_a_stream_drop_late_rows(spark, tmp_path):
+    parts = [[("a", 10, "x"), ("a", 20, "x"), ("b", 70, "x")], [("a", 400, "x"), ("b", 410, "x")], [("b", 420, "x")], [("a", 30, "late"), ("a", 390, "x")], [("a", 900, "x")], [("a", 1500, "x")]]
+    events = _events(spark, tmp_path, parts)
+    rates = streams.alert_rates(events, "1 minute", delay="1 minute", key=("host",), when="ts")
+    rates.writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(240)
+    kept = spark.read.parquet(*[str(tmp_path / "in" / f"{n:02}") for n in range(6)]).filter("kind <> 'late' and ts < timestamp_seconds(1440)")
+    want = report.alert_rate(kept, "1 minute", key=("host",), when="ts")
+    assert sorted(map(tuple, spark.sql("select * from rates").collect())) == sorted(map(tuple, want.collect()))
