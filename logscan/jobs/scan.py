@@ -7,6 +7,7 @@ have for the searches is written as a table of events, and all that follows work
 
 from __future__ import annotations
 
+import getpass
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logscan.jobs import sinks
-from logscan.model import KEY, LEVELS, ORD, TEN_YEARS, Search, macros, resolved
+from logscan.model import KEY, LEVELS, ORD, TEN_YEARS, Search, address, macros, resolved
 from logscan.operators import callbacks, classify, formats, report, sticky, thresholds
 from logscan.sources import feeds as feeds_of_run
 from logscan.sources import incremental, lines
@@ -177,13 +178,19 @@ def _standing(matches: DataFrame, state: DataFrame, clear: DataFrame, searches:
 
 
 def _called_back(matches: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, DataFrame]:
-    """The matches after the callbacks of their searches have seen them, and the callbacks' state (key, private)."""
+    """The matches after the callbacks of their searches have seen them, and the callbacks' state (key, private).
+
+    A callback sees a match with its pattern (pat_idx, pat_key, pattern), what the groups of that hold (captures), and
+    the time and the number of its source's last run (lastruntime, runcount).
+    """
+    last = state.select(*KEY, F.col("runtime").alias("lastruntime"), "runcount")
     out = matches.filter(~F.col("tag").isin([s.tag for s in searches]))
     states = state.filter("private is not null").select(*KEY, "private")
     kept = states.filter(~F.col("tag").isin([s.tag for s in searches]))
     for s in searches:
         own = F.col("tag") == s.tag
-        seen = written(callbacks.with_state(matches.filter(own), s.callback, s.callback_mode, states.filter(own)))
+        told = classify.row_captures(matches.filter(own), s).join(last, list(KEY), "left")
+        seen = written(callbacks.with_state(told, s.callback, s.callback_mode, states.filter(own), also=("pat_idx", "pat_key", "pattern", "captures", "lastruntime", "runcount")))
         rows = seen.filter("origin <> 'state'")
         if s.callback_mode == "plain":
             rows = rows.filter("origin = 'failure'")
@@ -194,6 +201,23 @@ def _called_back(matches: DataFrame, state: DataFrame, searches: list[Search]) -
     return out, kept
 
 
+def _late(searches: list[Search], state: DataFrame | None, values: dict[str, str]) -> tuple[dict[str, str], dict[str, dict[str, str]]]:
+    """values with the host's address and the user, and by tag the macros of a search's last run, each only where it is asked for."""
+    asked = {s.tag: repr(s) for s in searches}
+    uses = lambda name: any(f"${name}$" in text for text in asked.values())
+    if uses("CL_IPADDRESS"):
+        values = {"CL_IPADDRESS": address(values.get("CL_FQDN", ""))} | values
+    if uses("CL_USERNAME"):
+        values = {"CL_USERNAME": getpass.getuser()} | values
+    own: dict[str, dict[str, str]] = {s.tag: {} for s in searches}
+    if uses("CL_LAST_RUNTIME") or uses("CL_RUN_COUNT"):
+        own = {s.tag: {"CL_LAST_RUNTIME": "0", "CL_RUN_COUNT": "0"} for s in searches}
+        if state is not None:  # a row for each search
+            for r in state.filter(F.col("tag").isin(list(own))).groupBy("tag").agg(F.max(F.unix_timestamp("runtime")).alias("t"), F.max("runcount").alias("n")).collect():
+                own[r["tag"]] = {"CL_LAST_RUNTIME": str(r["t"] or 0), "CL_RUN_COUNT": str(r["n"] or 0)}
+    return values, own
+
+
 def _options(spark: SparkSession, searches: list[Search]) -> DataFrame:
     """What reading files depends on, a row for each search."""
     rows = [(s.tag, bool(s.rotation), s.read_all_first, s.virtual, s.encoding or "") for s in searches]
@@ -329,8 +353,8 @@ def run(
 
     A log of a name that is in several folders, or of several hosts, is a source each, with a state each.
     """
-    values = macros(run_ts, host, **(own_macros or {}))
-    searches = [resolved(s, values) for s in searches]
+    values, of_tags = _late(searches, sinks.load_state(spark, state_path), macros(run_ts, host, **(own_macros or {})))
+    searches = [resolved(s, values | of_tags[s.tag]) for s in searches]
     for s in searches:
         s.check(spark)
     alerts = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import socket
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime
@@ -183,6 +184,14 @@ def macros(run_ts: datetime, host: str = "", **own: str) -> dict[str, str]:
     return {f"CL_DATE_{k}": run_ts.strftime(v) for k, v in parts.items()} | {"CL_DATE_TIMESTAMP": f"{int(run_ts.timestamp()):10d}"} | names | own
 
 
+def address(name: str) -> str:
+    """The address of a host, that of this one itself if none is known."""
+    try:
+        return socket.gethostbyname(name)
+    except OSError:
+        return "127.0.0.1"
+
+
 def resolve(text: str, values: dict[str, str], in_pattern: bool = False) -> str:
     """$NAME$ replaced by its value; in patterns its / - and . are escaped."""
     quote = (lambda v: re.sub(r"([/.\-])", r"\\\1", v)) if in_pattern else (lambda v: v)

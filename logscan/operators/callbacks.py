@@ -55,21 +55,21 @@ def _by_key(frames: Iterator[pd.DataFrame], key: tuple) -> Iterator[tuple[tuple,
                 last = now
 
 
-def with_state(matches: DataFrame, call: Callable[[pd.DataFrame, dict], pd.DataFrame], mode: str = "plain", private: DataFrame | None = None, key: tuple = KEY, order: tuple = (*ORD, "pat_pos")) -> DataFrame:
+def with_state(matches: DataFrame, call: Callable[[pd.DataFrame, dict], pd.DataFrame], mode: str = "plain", private: DataFrame | None = None, key: tuple = KEY, order: tuple = (*ORD, "pat_pos"), also: tuple = ()) -> DataFrame:
     """tag, host, logfile, level, message, the order, origin and private (on rows of origin `state`): the events after call has seen the matches of each key in order.
 
     call gets a frame of matches and a dict of texts, and returns a frame with level and message,
     a row each, as in on_match; what it puts into the dict is there for the key's next matches and, if
     the rows of origin `state` are given as private (key, private) then, in the next run. A key with
-    many matches comes in several frames, so no key is held whole.
+    many matches comes in several frames, so no key is held whole. also: further columns of matches that call sees.
     """
     cols = [*key, "level", "message", *order]
-    rows = matches.select(*cols)
+    rows = matches.select(*cols, *also)
     if private is not None:
         rows = rows.join(private.select(*key, "private"), list(key), "left")
     else:
         rows = rows.withColumn("private", F.lit(None).cast("map<string,string>"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "private") + ", origin string, private map<string,string>"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in cols) + ", origin string, private map<string,string>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
@@ -86,7 +86,7 @@ def with_state(matches: DataFrame, call: Callable[[pd.DataFrame, dict], pd.DataF
                 held, before = dict(given) if given is not None else {}, k
             own = part[cols].astype(object).assign(origin="match", private=None).astype(object)
             try:
-                result = call(part[cols], held)
+                result = call(part[[*cols, *also]], held)
                 got = own.assign(origin="callback", level=[x if x in LEVELS else "UNKNOWN" for x in result["level"]], message=list(result["message"])).astype(object)
             except Exception as e:  # the user's code, whatever it does
                 yield own

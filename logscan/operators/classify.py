@@ -206,3 +206,15 @@ def with_captures(matches: DataFrame, regex: str, groups: int, column: str = "li
     each = F.array(*[F.nullif(F.regexp_extract(column, regex, i), F.lit("")) for i in range(1, groups + 1)])
     last = F.array_max(F.transform(each, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)))
     return matches.withColumns({"captures": each, "highest": last})
+
+
+def row_captures(matches: DataFrame, search: Search) -> DataFrame:
+    """captures: what the groups of a match's own pattern hold in its message, null for groups that hold nothing; empty for formats and for patterns without groups."""
+    none = F.array().cast("array<string>")
+    out = none
+    for p in dict.fromkeys(p for level in VISITED for _, _, p in search.rules(level)):
+        groups = matches.sparkSession._jvm.java.util.regex.Pattern.compile(search.flags() + p).matcher("").groupCount()
+        if groups:
+            each = F.array(*[F.nullif(F.regexp_extract("message", search.flags() + p, i), F.lit("")) for i in range(1, groups + 1)])
+            out = F.when(F.col("pattern") == p, each).otherwise(out)
+    return matches.withColumn("captures", out)

@@ -555,9 +555,9 @@ def missing_sources(spark, sf_dir):
     return incremental.missing_sources(_hosts(spark, sf_dir), _events(spark, sf_dir)).select("host", "level", "message")
 
 
-@register(f"WITH {EVENTS}, s AS (SELECT host, max(ts) AS t FROM ev WHERE event_type = 'error' GROUP BY host) SELECT host, 'logfile events is too old (> 86400 s)' AS message FROM s WHERE floor(epoch(t)) <= epoch(TIMESTAMP '{END}') - 86400")
+@register(f"WITH {EVENTS}, s AS (SELECT host, max(ts) AS t FROM ev GROUP BY host) SELECT host, 'logfile events is too old (> 86400 s)' AS message FROM s WHERE floor(epoch(t)) <= epoch(TIMESTAMP '{END}') - 86400")
 def stale_sources(spark, sf_dir):
-    state = _events(spark, sf_dir).filter("event_type = 'error'").groupBy("tag", "host", "logfile").agg(F.max("ts").alias("logtime"))
+    state = _events(spark, sf_dir).groupBy("tag", "host", "logfile").agg(F.max("ts").alias("logtime"))
     return incremental.stale_sources(state, _ts(END), 86400).select("host", "message")
 
 
@@ -588,14 +588,16 @@ def situation(spark, sf_dir):
     return incremental.classify_source(_files(spark, sf_dir).filter("current"), _state(spark, sf_dir)).select("logfile", "situation", F.coalesce("start_at", F.lit(-1)).alias("start_at"))
 
 
-@register(f"""WITH {FILES}, seen AS (SELECT * FROM files WHERE path % 3 <> 0), one AS (
+@register(f"""WITH {FILES}, seen AS (SELECT f.* REPLACE (f.current AND o.o_orderstatus = 'O' AS current) FROM files f JOIN orders o ON o.o_orderkey = f.path), one AS (
   SELECT f.logfile, max(f.length) FILTER (WHERE f.current) AS length, max(f.fingerprint) FILTER (WHERE f.current) AS now, max(CASE WHEN f.fingerprint = s.fingerprint THEN 1 ELSE 0 END) AS found, max(s.logoffset) AS logoffset, max(s.fingerprint) AS before
   FROM seen f LEFT JOIN state s ON f.logfile = s.logfile GROUP BY f.logfile)
 SELECT logfile, CASE WHEN length IS NULL THEN 'only_archives' WHEN logoffset IS NULL THEN 'new' WHEN now = before AND length > logoffset THEN 'grown' WHEN now = before AND length = logoffset THEN 'same' WHEN found = 1 THEN 'rotated' ELSE 'replaced' END AS situation FROM one
 UNION ALL SELECT logfile, 'missing' FROM state WHERE logfile NOT IN (SELECT logfile FROM seen)""")
 def situation_rotating(spark, sf_dir):
-    """What has become of logs that rotate; a third of the files is gone."""
-    return incremental.situation_rotating(_files(spark, sf_dir).filter("path % 3 <> 0"), _state(spark, sf_dir)).select("logfile", "situation")
+    """What has become of logs that rotate; where the newest order is not open, the log itself is gone."""
+    open_ = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), (F.col("o_orderstatus") == "O").alias("open"))
+    files = _files(spark, sf_dir).join(open_, "path").withColumn("current", F.col("current") & F.col("open"))
+    return incremental.situation_rotating(files, _state(spark, sf_dir)).select("logfile", "situation")
 
 
 @register(f"""WITH {FILES} SELECT f.logfile, f.path, CAST(row_number() OVER (PARTITION BY f.logfile ORDER BY f.current, f.mtime, f.path) - 1 AS INTEGER) AS file_seq
@@ -612,15 +614,15 @@ def dedupe_files(spark, sf_dir):
 
 
 @register(f"""WITH {FILES}, a AS (SELECT f.*, row_number() OVER (PARTITION BY f.logfile ORDER BY f.current, f.mtime, f.path) - 1 AS file_seq FROM files f),
-l AS (SELECT logfile, path, file_seq, length, i, i * 1000 AS start_offset FROM (SELECT *, unnest(range(0, length // 1000)) AS i FROM a WHERE length >= 1000)),
-b AS (SELECT logfile, max((i + 1) * 1000) AS size FROM l WHERE file_seq = 0 GROUP BY logfile)
+l AS (SELECT logfile, path, file_seq, length, i, i * 1000 AS start_offset FROM (SELECT *, unnest(range(0, (length + 999) // 1000)) AS i FROM a)),
+b AS (SELECT logfile, max(least((i + 1) * 1000, length)) AS size FROM l WHERE file_seq = 0 GROUP BY logfile)
 SELECT l.logfile, l.path, count(*) AS lines FROM l LEFT JOIN state s USING (logfile) LEFT JOIN b USING (logfile)
 WHERE l.file_seq > 0 OR l.start_offset >= CASE WHEN s.logoffset <= b.size THEN s.logoffset ELSE 0 END GROUP BY ALL""")
 def apply_offset(spark, sf_dir):
-    """Files of lines of 1,000 bytes."""
-    files = incremental.relevant_files(_files(spark, sf_dir), _state(spark, sf_dir).limit(0)).filter("length >= 1000")
-    lines = files.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("length") / 1000).cast("int") - 1)))
-    lines = lines.withColumns({"start_offset": F.col("i").cast("long") * 1000, "end_offset": (F.col("i").cast("long") + 1) * 1000})
+    """Files of lines of 1,000 bytes, the last one shorter."""
+    files = incremental.relevant_files(_files(spark, sf_dir), _state(spark, sf_dir).limit(0))
+    lines = files.withColumn("i", F.explode(F.sequence(F.lit(1), F.ceil(F.col("length") / 1000).cast("int"), F.lit(1)))).withColumn("i", F.col("i") - 1)
+    lines = lines.withColumns({"start_offset": F.col("i").cast("long") * 1000, "end_offset": F.least((F.col("i").cast("long") + 1) * 1000, "length")})
     return incremental.apply_offset(lines, _state(spark, sf_dir)).groupBy("logfile", "path").agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -629,12 +631,12 @@ def first_run_offset(spark, sf_dir):
     return incremental.first_start(_files(spark, sf_dir).filter("current"), _state(spark, sf_dir)).select("logfile", "start_at")
 
 
-@register(f"""WITH {FILES}, seen AS (SELECT *, path % 2 = 0 AS cur FROM files WHERE current AND path % 5 <> 0)
+@register(f"""WITH {FILES}, seen AS (SELECT *, path % 2 = 0 AS cur FROM files WHERE current)
 SELECT coalesce(s.logfile, r.logfile) AS logfile, CAST(CASE WHEN r.logfile IS NULL THEN s.logoffset WHEN NOT r.cur THEN 0 ELSE r.length END AS BIGINT) AS logoffset,
   strftime(CASE WHEN r.logfile IS NULL THEN s.logtime WHEN NOT r.cur THEN TIMESTAMP '{SPLIT}' ELSE r.mtime END, '%Y-%m-%d %H:%M:%S') AS logtime,
   CASE WHEN r.logfile IS NULL THEN s.fingerprint ELSE r.fingerprint END AS fingerprint, CAST(coalesce(s.runcount, 0) + 1 AS BIGINT) AS runcount FROM state s FULL JOIN seen r ON s.logfile = r.logfile""")
 def advance_state(spark, sf_dir):
-    read = _files(spark, sf_dir).filter("current and path % 5 <> 0").withColumns({"current": F.col("path") % 2 == 0, "file_seq": F.lit(0), "end_offset": F.col("length")})
+    read = incremental.relevant_files(_files(spark, sf_dir), _state(spark, sf_dir).limit(0)).withColumns({"current": F.col("path") % 2 == 0, "end_offset": F.col("length")})
     out = incremental.advance_state(_state(spark, sf_dir), read, _ts(SPLIT))
     return out.select("logfile", "logoffset", _text("logtime").alias("logtime"), "fingerprint", "runcount")
 
@@ -746,7 +748,7 @@ def formats_mixed(spark, sf_dir):
     return matches.select("logfile", "file_seq", "line_no", "level", "message")
 
 
-FILES = [Search(tag="docs", logfile="part", rotation="part-.*", newest=True, read_all_first=True, critical=["[0-9]{4}", "@"], warning=["%%%"], exceptions={"critical": ["[0-9]{16}"]}, need=["e"])]
+ROTATED = [Search(tag="docs", logfile="part", rotation="part-.*", newest=True, read_all_first=True, critical=["[0-9]{4}", "@"], warning=["%%%"], exceptions={"critical": ["[0-9]{16}"]}, need=["e"])]
 
 
 @register("""WITH lines AS (
@@ -761,7 +763,7 @@ def run_over_files(spark, sf_dir):
     docs, out = _table(spark, sf_dir, "documents").filter("text is not null"), None
     for run, rest in ((1, 0), (2, 1)):
         docs.filter(F.pmod("doc_id", F.lit(2)) == rest).select("source", "text").write.mode("append").partitionBy("source").text(f"{folder}/logs")
-        found = scan.run(spark, FILES, [f"{folder}/logs"], f"{folder}/state", datetime(2024, 1, run), layout=f"{folder}/logs/source={{host}}/").matches
+        found = scan.run(spark, ROTATED, [f"{folder}/logs"], f"{folder}/state", datetime(2024, 1, run), layout=f"{folder}/logs/source={{host}}/").matches
         found = found.groupBy("host", "level").agg(F.count(F.lit(1)).alias("n")).select(F.lit(run).alias("run"), "host", "level", "n")
         out = found if out is None else out.unionByName(found)
     return out

@@ -284,3 +284,16 @@ def test_flood_without_times_and_with_equal_ones(spark):
     df = spark.createDataFrame(rows, "tag string, at long, n int").withColumn("when", F.timestamp_seconds("at")).drop("at")
     got = {r["n"]: r["wait"] for r in callbacks.flood(df.repartition(3), 2, 60).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 60, 4: 0, 5: 0}  # in the order of time, then of the other columns; events without a time are allowed
+
+
+def test_callbacks_see_captures_and_the_last_run(tmp_path, go):
+    def call(frame, private):
+        seen = [(r.pat_key, list(r.captures), int(r.runcount) if r.runcount == r.runcount and r.runcount is not None else 0) for r in frame.itertuples()]
+        return frame.assign(level="WARNING", message=[str(x) for x in seen])
+
+    s = Search(tag="t", logfile="log", critical={"three": "bla ((pat1) blub (pat2.*)) bla(x)?", "none": "plain"}, read_all_first=True, callback=call, callback_mode="supersmart")
+    again = Search(tag="again", logfile="log", critical=["run $CL_RUN_COUNT$!"], read_all_first=True)
+    write(tmp_path / "logs/log", "bla pat1 blub pat2kaas bla\nrun 0!\n", 0)
+    assert [x[3] for x in go(1, s, again)] == ["run 0!", "('three', ['pat1 blub pat2kaas', 'pat1', 'pat2kaas', None], 0)"]
+    write(tmp_path / "logs/log", "plain\nrun 0!\nrun 1!\n", 2)
+    assert [x[3] for x in go(3, s, again)] == ["run 1!", "('none', [], 1)"]
