@@ -377,7 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows
     draw = (F.xxhash64("_doc") / F.lit(float(1 << 63)) + 1) / 2
     share = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, clean_rows / max(1, n.get(0, 0))))
     # ids are drawn whole, so one that repeats could bring any number of rows: the bound holds for rows too
-    drawn = written(labels.filter(draw < share).limit(2 * (toxic_rows + clean_rows)))
+    drawn = written(labels.filter(draw < share).orderBy(draw, "_doc", "toxic").limit(2 * (toxic_rows + clean_rows)))
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(broadcast_if_small(drawn), F.col("doc_id") == F.col("_doc")).select("toxic", "text")
     sample = sample.mapInArrow(_sketched, "toxic int, text string, " + ", ".join(f"s{i} long" for i in SKETCHES))
     for i in SKETCHES:
