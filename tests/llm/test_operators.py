@@ -503,6 +503,30 @@ def test_language_id_on_the_given_tables(spark):
     assert len(out) > 100 and np.mean([x["lang"] == x["lang_pred"] for x in out if x["lang_pred"] != "und"]) > 0.97
 
 
+@pytest.mark.parametrize("classes", [2, 3, 5])
+def test_language_votes_against_brute_force(classes):
+    r = np.random.default_rng(classes)
+    names = [f"l{i}" for i in range(classes)]
+    centres = r.normal(size=(classes, language_id.DIMS)).astype(np.float32)
+    of = np.array([names[i % classes] for i in range(20 * classes)], dtype=object)
+    x = (centres[np.arange(20 * classes) % classes] + r.normal(size=(20 * classes, language_id.DIMS)) * 0.3).astype(np.float32)
+    choice = language_id.Choice(names, x, of)
+    rows = np.concatenate([x, r.normal(size=(200, language_id.DIMS)).astype(np.float32) * 0.2])
+    best, sure = choice(rows)
+    for n, row in enumerate(rows):
+        won, total, weakest = [0] * classes, [0.0] * classes, [float("inf")] * classes
+        for (i, j), w in zip(choice.pairs, choice.weights.T, strict=True):
+            margin = float(np.float32(row @ w[:-1]) + w[-1])
+            for a, m in ((i, margin), (j, -margin)):
+                total[a] += m
+                weakest[a] = min(weakest[a], m)
+            won[i if margin >= 0 else j] += 1
+        first = max(range(classes), key=lambda a: (won[a], total[a]))
+        assert first == best[n] or won[first] == won[best[n]] and abs(total[first] - total[best[n]]) < 1e-3
+        assert abs(sure[n] - 1 / (1 + np.exp(-3 * weakest[best[n]]))) < 1e-3
+    assert (np.array(names, dtype=object)[best[: len(of)]] == of).all()
+
+
 def test_language_id_without_labels(spark):
     frame = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [x["lang_pred"] for x in language_id.identify(frame, language_id.train(frame)).collect()] == ["und"]
