@@ -380,14 +380,15 @@ def run(
         if newest:
             files = files.filter(~F.col("tag").isin(newest)).unionByName(incremental.current_file(files.filter(F.col("tag").isin(newest)), KEY))
         files = written(files)
-        state = incremental.adopted(state, files.select(*KEY).distinct())
+        fed = F.col("tag").isin([s.tag for s in of_feeds])
+        state = incremental.adopted(state.filter(~fed), files.select(*KEY).distinct()).unionByName(state.filter(fed).withColumn("shared", F.lit(False)))
         chosen, splits, broken = _chosen(spark, files, state, of_files)
         state = state.drop("shared")
         events, tails = _fresh_events(spark, chosen, splits, of_files, state.filter("tail is not null").select(*KEY, "tail"))
     else:
         files, chosen, broken, events, tails = spark.createDataFrame([], FILES), spark.createDataFrame([], CHOSEN), None, None, None
     read = [chosen.groupBy("tag").agg(F.sum(F.col("rows") - F.col("seen")).alias("lines"))]
-    cursors = None
+    cursors, hosts = None, state.filter(F.col("tag").isin([s.tag for s in of_feeds])).select(*KEY)
     for s in of_feeds:
         found, reached = feeds_of_run.read((feeds or {})[s.feed], s.feed, s.tag, s.host or host, state, run_ts, s.read_all_first)
         found = written(found)
@@ -395,6 +396,7 @@ def run(
         events = more if events is None else events.unionByName(more)
         tails = ends if tails is None else tails if ends is None else tails.unionByName(ends)
         cursors = reached if cursors is None else cursors.unionByName(reached)
+        hosts = hosts.unionByName(found.select(*KEY))
         read.append(found.groupBy("tag").agg(F.count(F.lit(1)).alias("lines")))
 
     old = _carried(state, searches, run_ts)
@@ -405,8 +407,7 @@ def run(
     sources = files.select(*KEY).unionByName(had).distinct()
     if cursors is not None:
         cursors = written(cursors)
-        fed = state.filter(F.col("cursor").isNotNull() & F.col("tag").isin([s.tag for s in of_feeds])).select(*KEY)
-        sources = sources.unionByName(fed.unionByName(cursors.select(*KEY)).distinct())
+        sources = sources.unionByName(hosts.unionByName(cursors.select(*KEY)).distinct())
     sources = sources.unionByName(wanted.select("tag", F.coalesce("host", F.lit(host)).alias("host"), "logfile").join(sources.select("tag").distinct(), "tag", "left_anti"))
     # the first run of a source that reads all of it does not miss patterns
     unread = sources.join(state.filter("logoffset is not null").select(*KEY), list(KEY), "left_anti").filter(F.col("tag").isin([s.tag for s in searches if s.read_all_first]))

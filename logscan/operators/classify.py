@@ -16,6 +16,7 @@ from logscan.model import KEY, MISSED, ORD, VISITED, Search
 from logscan.operators.dispatch import APPEARED, CLEARED, MATCHED, many, rule_events
 from logscan.operators.formats import format_hit, parse_formats, span
 from logscan.operators.literals import any_found, found
+from logscan.tables import BROADCAST_ROWS
 
 MATCH = "struct<tag:string,level:string,pat_idx:int,pat_key:string,pattern:string,text:string>"
 EVENT = "struct<kind:int,level:string,pat_idx:int,pat_key:string,pattern:string,text:string,pat_pos:int>"
@@ -197,7 +198,7 @@ def missing_events(events: DataFrame, searches: list[Search], keys: DataFrame) -
         return None
     rules = events.sparkSession.createDataFrame(wanted, "tag string, level string, pat_idx int, pattern string, message string")
     seen = events.filter(F.col("kind") == APPEARED).select(*KEY, "level", "pat_idx").distinct()
-    asked = keys.select(*KEY).distinct().join(F.broadcast(rules), "tag")  # rules are configuration
+    asked = keys.select(*KEY).distinct().join(F.broadcast(rules) if len(wanted) <= BROADCAST_ROWS else rules, "tag")
     return asked.join(seen, [*KEY, "level", "pat_idx"], "left_anti").select(*KEY, "level", "pat_idx", "pattern", "message")
 
 

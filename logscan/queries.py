@@ -18,7 +18,7 @@ from logscan.functions.text import html_encode, html_escape, url_decode
 from logscan.jobs import scan, sinks
 from logscan.model import Search, merge_searches, newest_configs, with_rules
 from logscan.operators import callbacks, classify, events, formats, report, sticky, thresholds
-from logscan.sources import incremental, records
+from logscan.sources import feeds, incremental, records
 from logscan.sources.lines import text_lines
 from logscan.streaming import stream
 from logscan.tables import shared_dir
@@ -767,3 +767,23 @@ def run_over_files(spark, sf_dir):
         found = found.groupBy("host", "level").agg(F.count(F.lit(1)).alias("n")).select(F.lit(run).alias("run"), "host", "level", "n")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+RECORDS = [Search(tag="shop", feed="events", critical=["^error"], warning=["^purchase"], threshold={"warning": 3}, read_all_first=True)]
+RUNS = ("2024-01-10 00:00:00", SPLIT, END)
+
+
+@register(f"""WITH {EVENTS}, r AS (SELECT *, CASE WHEN ts < TIMESTAMP '{RUNS[0]}' THEN 1 WHEN ts < TIMESTAMP '{RUNS[1]}' THEN 2 WHEN ts < TIMESTAMP '{RUNS[2]}' THEN 3 END AS run,
+  row_number() OVER (PARTITION BY host, level ORDER BY ts, event_id) AS k FROM ev WHERE level IS NOT NULL)
+SELECT run, coalesce(host, 'localhost') AS host, level, count(*) AS n FROM r WHERE run IS NOT NULL AND (level = 'CRITICAL' OR k % 3 = 0) GROUP BY ALL""")
+def run_over_records(spark, sf_dir):
+    """Three runs over events as records: each takes those since the last, and counts every third purchase of a host on from run to run."""
+    rows = _table(spark, sf_dir, "events").withColumns({"ts": F.col("ts").cast("timestamp"), "host": F.col("user_id").cast("string")})
+    feed = feeds.Feed(rows, "time", "ts", F.concat_ws(" ", "event_type", F.col("value").cast("string")), "host")
+    folder, out = f"{shared_dir(spark)}/{uuid.uuid4().hex}", None
+    for n, at in enumerate(RUNS, 1):
+        when = spark.range(1).select(_ts(at)).first()[0]
+        found = scan.run(spark, RECORDS, [], f"{folder}/state", when, feeds={"events": feed}).matches
+        found = found.groupBy("host", "level").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("run"), "host", "level", "n")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -35,7 +35,7 @@ class Feed:
     - id: records whose id the last listing of their host did not have. line: lines whose number is the next of their host or more; a host
       whose lines end before it is read from its start. A first run takes these as known, unless its search reads all.
 
-    line: the text of a record, its column line if None. host: the column of its host, if it has one. chosen: which records count.
+    line: the text of a record, its column line if None. host: the column of its host, if it has one; records without are the run's host's. chosen: which records count.
     """
 
     rows: DataFrame | Callable[[datetime, datetime], DataFrame]
@@ -113,7 +113,7 @@ def read(feed: Feed, name: str, tag: str, host: str, state: DataFrame, now: date
     state: key and cursor of the last run. Each record is in one run: windows meet without a gap, and ids and
     numbers are kept by host.
     """
-    own = lambda rows: rows.select(F.lit(tag).alias("tag"), (F.col(feed.host) if feed.host else F.lit(host)).alias("host"), F.lit(name).alias("logfile"), F.lit(0).alias("file_seq"), *more, (F.col("line") if feed.line is None else feed.line).alias("line"))
+    own = lambda rows: rows.select(F.lit(tag).alias("tag"), (F.coalesce(F.col(feed.host).cast("string"), F.lit(host)) if feed.host else F.lit(host)).alias("host"), F.lit(name).alias("logfile"), F.lit(0).alias("file_seq"), *more, (F.col("line") if feed.line is None else feed.line).alias("line"))
     known = state.filter((F.col("tag") == tag) & (F.col("logfile") == name) & F.col("cursor").isNotNull())
     if feed.cursor in ("time", "minute", "second"):
         begin, end = _window(feed, known, now, read_all)
@@ -121,8 +121,7 @@ def read(feed: Feed, name: str, tag: str, host: str, state: DataFrame, now: date
         inside = rows.filter((F.col(feed.column) >= F.lit(begin)) & (F.col(feed.column) < F.lit(end)))
         inside = inside if feed.chosen is None else inside.filter(feed.chosen)
         more = [F.unix_micros(F.col(feed.column).cast("timestamp")).alias("line_no")]
-        reached = now.__class__.timestamp(end)
-        cursors = state.sparkSession.createDataFrame([(tag, host, name, {"at": str(round(reached * 1_000_000))})], f"tag string, host string, logfile string, cursor {CURSOR}")
+        cursors = state.sparkSession.createDataFrame([(tag, host, name, {"at": str(round(end.timestamp() * 1_000_000))})], f"tag string, host string, logfile string, cursor {CURSOR}")
         return own(inside), cursors
     rows = feed.rows if feed.chosen is None else feed.rows.filter(feed.chosen)
     first = not read_all and not known.limit(1).count()

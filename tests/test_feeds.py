@@ -81,6 +81,13 @@ def test_records_beside_files_with_thresholds(spark, tmp_path):
     assert go(20) == [missing]
 
 
+def test_thresholds_and_missing_patterns_by_host(spark, go):
+    rows = timed(spark, *[(h, float(t), "bad") for h, at in (("h1", (1, 2, 11, 12)), ("h2", (3, 13, 23))) for t in at], ("h3", 5.0, "beat"))
+    feed = feeds.journal_feed(rows, host="host")
+    opts = {"threshold": {"critical": 3}}
+    assert [go(second, feed, **opts)[0] for second in (10, 20, 30)] == [[], [("h1", "bad")], [("h2", "bad")]]
+
+
 def test_jdbc_windows_are_pushed_down(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/alerts;create=true"
     rows = timed(spark, *[(f"h{i % 3}", float(i), f"bad {i}") for i in range(100)], ("h0", 50.0, ""))
