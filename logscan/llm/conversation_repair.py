@@ -16,7 +16,8 @@ positions. Within a block the search runs from each state that it may be entered
 states that it may be left in; the best paths between states are then joined by the same search over
 blocks, which is exact as a best path is made of best paths. Most conversations lie within one
 block, and many of those are alike, so a task remembers the last it has solved. The edits of a
-block go back to its turns by position. What a conversation has in one row is what is asked of it: its edits.
+block go back to its turns by position. What a conversation has in one row is its edits, as is asked of it, and before they are chosen
+at most sixteen such paths.
 The digest of a repaired conversation streams its turns, sorted, through a task, as one hash over a
 text must; it holds no more than a batch.
 
