@@ -67,7 +67,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (of the tokens), n_tokens and decoded (the text that the ids stand for). A null text has no tokens and is decoded as ''; an empty table gives no rows."""
     path = vocabulary()
-    out = bpe.decode(bpe.encode(docs, path).select("doc_id", "lang", "source", "ids"), path)
+    # written between, so that a task has one Python worker at a time and not two with a vocabulary each
+    encoded = written(bpe.encode(docs, path).select("doc_id", "lang", "source", "ids"))
+    out = bpe.decode(encoded, path)
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
