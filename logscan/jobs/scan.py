@@ -1,7 +1,8 @@
 """One incremental run: list, measure, select, read, classify, reduce, write, then save the state.
 
 The text is read twice: once to measure it (sizes, line counts, fingerprints: sums of each
-split), and, of files with something new, once for all searches together. What the lines
+split), and, of files with something new, once for all searches together; of a log that has only
+grown, what has come since the last run alone. What the lines
 have for the searches is written as a table of events, and all that follows works on that.
 """
 
@@ -23,6 +24,7 @@ from logscan.model import KEY, LEVELS, ORD, TEN_YEARS, Search, address, macros,
 from logscan.operators import callbacks, classify, formats, report, sticky, thresholds
 from logscan.sources import feeds as feeds_of_run
 from logscan.sources import incremental, lines
+from logscan.sources import tails as ends_of_logs
 from logscan.sources.feeds import Feed
 from logscan.tables import BROADCAST_ROWS, broadcast_if_small, written
 
@@ -225,20 +227,60 @@ def _options(spark: SparkSession, searches: list[Search]) -> DataFrame:
     return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
 
 
-def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, dict[str, DataFrame], DataFrame | None]:
-    """The files of this run (key, path, file_path, encoding, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, the splits of their text by encoding, and the sources' files (key, path) that cannot be read.
+@dataclass
+class Tails:
+    """Logs of one encoding that have only grown: files (path, begin, end, lines before begin) and the measured parts of their tails."""
+
+    files: list[tuple[str, int, int, int]]
+    parts: DataFrame
+
 
-    A log with the time and the size of the last run, and no archive beside it, is not read at all.
+def _grown(spark: SparkSession, marked: DataFrame) -> tuple[DataFrame | None, dict[str, Tails]]:
+    """The logs of marked that are read on at their offsets, with the rows of their files, written, and their tails by encoding.
+
+    These are logs without a new archive, longer than before, whose first line is the saved one. A log of several searches is
+    read from the first of their offsets on.
+    """
+    could = written(marked.filter(ends_of_logs.grown(marked)))
+    asked: dict[str, list[tuple[str, int]]] = {}
+    for r in could.groupBy("path", "encoding").agg(F.max("length").alias("end")).collect():  # file names
+        asked.setdefault(r["encoding"], []).append((r["path"], r["end"]))
+    if not asked:
+        return None, {}
+    heads = [ends_of_logs.fingerprints(spark, sorted(own), e or None).withColumn("encoding", F.lit(e)) for e, own in sorted(asked.items())]
+    same = written(could.join(reduce(DataFrame.unionByName, heads), ["path", "encoding"]).filter(F.col("fingerprint") == F.col("_print")))
+    of_file = ["path", "encoding"]
+    first = written(same.groupBy(*of_file).agg(F.min("logoffset").alias("begin"), F.max("length").alias("until"), F.min_by("loglines", "logoffset").alias("before")))
+    files: dict[str, list[tuple[str, int, int, int]]] = {}
+    for r in first.collect():
+        files.setdefault(r["encoding"], []).append((r["path"], r["begin"], r["until"], r["before"]))
+    if not files:
+        return None, {}
+    found = {e: Tails(sorted(own), ends_of_logs.measure(spark, sorted(f[:3] for f in own), e or None)) for e, own in sorted(files.items())}
+    counted = reduce(DataFrame.unionByName, [t.parts.groupBy("path").agg(F.sum("rows").alias("_new")).withColumn("encoding", F.lit(e)) for e, t in found.items()])
+    rows = (F.col("before") + F.coalesce("_new", F.lit(0))).alias("rows")
+    return written(same.join(first, of_file).join(counted, of_file, "left").select(*marked.columns, "until", rows)), found
+
+
+def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, dict[str, DataFrame], dict[str, Tails], DataFrame | None]:
+    """The files of this run (key, path, file_path, encoding, mtime, current, file_seq, end, rows, fingerprint, start, seen), written, the splits of their text and the tails by encoding, and the sources' files (key, path) that cannot be read.
+
+    A log with the time and the size of the last run, and no archive beside it, is not read at all; of one that has
+    grown and has no archive beside it only the first line and its tail are.
     """
     options = _options(spark, searches)
     saved = state.select(*KEY, "logoffset", "logtime", F.col("fingerprint").alias("_print"), "loglines")
     alone = F.count(F.lit(1)).over(Window.partitionBy(*KEY)) == 1  # over the files of a log
     unchanged = F.col("current") & ~F.col("virtual") & alone & (F.col("mtime") == F.col("logtime")) & (F.col("length") == F.col("logoffset")) & F.col("loglines").isNotNull()
     relevant = incremental.relevant_files(files, state).select(*KEY, "path", "mtime", "current", "file_seq", "length")
-    marked = written(relevant.join(options, "tag").join(saved, list(KEY), "left").withColumn("idle", F.coalesce(unchanged, F.lit(False))))
+    marked = written(relevant.join(options, "tag").join(saved, list(KEY), "left").withColumns({"alone": alone, "idle": F.coalesce(unchanged, F.lit(False))}))
     columns = [*KEY, "path", "file_path", "encoding", "mtime", "current", "file_seq", "end", "rows", "fingerprint", "start", "seen"]
     idle = marked.filter("idle").select(*KEY, "path", F.lit("").alias("file_path"), "encoding", "mtime", "current", "file_seq", F.col("length").alias("end"), F.col("loglines").alias("rows"), F.col("_print").alias("fingerprint"), F.col("length").alias("start"), F.col("loglines").alias("seen"))
     busy = marked.filter("not idle").select(*KEY, "path", "mtime", "current", "encoding")
+    longer, tails = _grown(spark, marked.filter("not idle"))
+    if longer is not None:
+        busy = busy.join(longer.select(*KEY, "path"), [*KEY, "path"], "left_anti")
+        idle = idle.unionByName(longer.select(*KEY, "path", F.concat(F.lit(ends_of_logs.MARK), "path").alias("file_path"), "encoding", "mtime", "current", "file_seq", F.col("until").alias("end"), "rows", F.col("_print").alias("fingerprint"), F.col("logoffset").alias("start"), F.col("loglines").alias("seen")))
     names: dict[str, list[str]] = {}
     for r in busy.select("path", "encoding").distinct().collect():  # file names: Spark's own listing is on the driver too
         names.setdefault(r["encoding"], []).append(r["path"])
@@ -250,7 +292,7 @@ def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: l
             splits[encoding] = found
             measured.append(lines.measured_files(found).withColumn("_encoding", F.lit(encoding)))
     if not names:
-        return idle, splits, None
+        return (idle if longer is None else written(idle)), splits, tails, None
     bad = None
     if broken:
         given = spark.createDataFrame(broken, "path string, encoding string")
@@ -264,18 +306,19 @@ def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: l
     once = incremental.dedupe_files(copies).withColumns({"mtime": F.col("_mtime"), "fingerprint": F.col("_print")})
     chosen = incremental.relevant_files(once, state).select(*KEY, "path", "file_path", "mtime", "current", "file_seq", F.col("length").alias("end"), "rows", "fingerprint")
     chosen = incremental.starts(chosen.join(options, "tag"), state).select(*columns)
-    return written(chosen.unionByName(idle)), splits, bad
+    return written(chosen.unionByName(idle)), splits, tails, bad
 
 
-def _fresh_events(spark: SparkSession, chosen: DataFrame, splits: dict[str, DataFrame], searches: list[Search], tails: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """What the new lines of the files have for their searches, and the tails of their logs."""
+def _fresh_events(spark: SparkSession, chosen: DataFrame, splits: dict[str, DataFrame], grown: dict[str, Tails], searches: list[Search], tails: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What the new lines of the files have for their searches, and the last lines of their logs."""
     fresh = chosen.filter("start < end").select(*KEY, "file_path", "encoding", "file_seq", "start")  # of a written table
     names: dict[str, list[str]] = {}
-    for r in fresh.select("file_path", "encoding").distinct().collect():
+    for r in fresh.filter(~F.col("file_path").startswith(ends_of_logs.MARK)).select("file_path", "encoding").distinct().collect():
         names.setdefault(r["encoding"], []).append(r["file_path"])
-    if not names:
+    if not names and not grown:
         return line_events(spark.createDataFrame([], "tag string, host string, logfile string, file_seq int, line_no long, line string"), searches[:1], None)
     texts = [lines.read_lines(spark, sorted(unquote(n) for n in own), splits=splits[e], encoding=e or None).drop("host", "logfile", "file_mtime", "end_offset").withColumn("encoding", F.lit(e)) for e, own in sorted(names.items())]
+    texts += [ends_of_logs.read_tails(spark, t.files, t.parts, e or None).withColumn("encoding", F.lit(e)) for e, t in grown.items()]
     text = reduce(DataFrame.unionByName, texts)
     by_file = ["file_path", "encoding"]
     own_lines = lambda fresh: text.join(broadcast_if_small(fresh, size=64 << 20), by_file).filter("start_offset >= start")
@@ -382,9 +425,9 @@ def run(
         files = written(files)
         fed = F.col("tag").isin([s.tag for s in of_feeds])
         state = incremental.adopted(state.filter(~fed), files.select(*KEY).distinct()).unionByName(state.filter(fed).withColumn("shared", F.lit(False)))
-        chosen, splits, broken = _chosen(spark, files, state, of_files)
+        chosen, splits, grown, broken = _chosen(spark, files, state, of_files)
         state = state.drop("shared")
-        events, tails = _fresh_events(spark, chosen, splits, of_files, state.filter("tail is not null").select(*KEY, "tail"))
+        events, tails = _fresh_events(spark, chosen, splits, grown, of_files, state.filter("tail is not null").select(*KEY, "tail"))
     else:
         files, chosen, broken, events, tails = spark.createDataFrame([], FILES), spark.createDataFrame([], CHOSEN), None, None, None
     read = [chosen.groupBy("tag").agg(F.sum(F.col("rows") - F.col("seen")).alias("lines"))]

@@ -125,6 +125,12 @@ def measured_files(splits: DataFrame) -> DataFrame:
     return files.select("file_path", "rows", F.when(plain, F.least("bytes", "size")).otherwise(F.col("bytes")).alias("end"), F.when(whole, F.col("first").cast("string")).alias("fingerprint"), F.col("content").cast("string").alias("content"))
 
 
+def decoded_line(line: bytes, encoding: str) -> str:
+    """The text of a line; signs beyond ASCII become `?`, and carriage returns line feeds."""
+    text = line.decode(encoding, "replace").replace("\r\n", "\n").replace("\r", "\n")
+    return text.removesuffix("\n").encode("ascii", "replace").decode()
+
+
 def _numbered(encoding: str | None) -> Callable:
     """Adds the number of each line in its split and the bytes up to its end; the lines of a split follow on each other in a task.
 
@@ -143,8 +149,7 @@ def _numbered(encoding: str | None) -> Callable:
                 out.append(None)
                 continue
             held.clear()
-            text = whole.decode(encoding, "replace").replace("\r\n", "\n").replace("\r", "\n")
-            out.append(text.removesuffix("\n").encode("ascii", "replace").decode())
+            out.append(decoded_line(whole, encoding))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
