@@ -235,31 +235,38 @@ class Tails:
     parts: DataFrame
 
 
-def _grown(spark: SparkSession, marked: DataFrame) -> tuple[DataFrame | None, dict[str, Tails]]:
-    """The logs of marked that are read on at their offsets, with the rows of their files, written, and their tails by encoding.
+def _grown(spark: SparkSession, marked: DataFrame) -> dict[str, Tails]:
+    """The logs of marked that are read on at their offsets, by encoding: those without a new archive, longer than before, whose first line is the saved one.
 
-    These are logs without a new archive, longer than before, whose first line is the saved one. A log of several searches is
-    read from the first of their offsets on.
+    A log of several searches is read from the first of their offsets on, and whole if their states do not agree on its first line.
     """
-    could = written(marked.filter(ends_of_logs.grown(marked)))
-    asked: dict[str, list[tuple[str, int]]] = {}
-    for r in could.groupBy("path", "encoding").agg(F.max("length").alias("end")).collect():  # file names
-        asked.setdefault(r["encoding"], []).append((r["path"], r["end"]))
-    if not asked:
-        return None, {}
-    heads = [ends_of_logs.fingerprints(spark, sorted(own), e or None).withColumn("encoding", F.lit(e)) for e, own in sorted(asked.items())]
-    same = written(could.join(reduce(DataFrame.unionByName, heads), ["path", "encoding"]).filter(F.col("fingerprint") == F.col("_print")))
-    of_file = ["path", "encoding"]
-    first = written(same.groupBy(*of_file).agg(F.min("logoffset").alias("begin"), F.max("length").alias("until"), F.min_by("loglines", "logoffset").alias("before")))
-    files: dict[str, list[tuple[str, int, int, int]]] = {}
-    for r in first.collect():
-        files.setdefault(r["encoding"], []).append((r["path"], r["begin"], r["until"], r["before"]))
-    if not files:
-        return None, {}
-    found = {e: Tails(sorted(own), ends_of_logs.measure(spark, sorted(f[:3] for f in own), e or None)) for e, own in sorted(files.items())}
-    counted = reduce(DataFrame.unionByName, [t.parts.groupBy("path").agg(F.sum("rows").alias("_new")).withColumn("encoding", F.lit(e)) for e, t in found.items()])
-    rows = (F.col("before") + F.coalesce("_new", F.lit(0))).alias("rows")
-    return written(same.join(first, of_file).join(counted, of_file, "left").select(*marked.columns, "until", rows)), found
+    asked: dict[str, dict[str, list]] = {}
+    saved = marked.filter(ends_of_logs.grown()).select("path", "encoding", "logoffset", "loglines", "length", "_print").distinct()
+    for r in saved.collect():  # file names, as above
+        asked.setdefault(r["encoding"], {}).setdefault(r["path"], []).append(r)
+    found = {}
+    for e, own in sorted(asked.items()):
+        wide = lines.width(e or None)
+        files = {}
+        for path, rows in own.items():
+            first = min(rows, key=lambda r: r["logoffset"])
+            if not first["logoffset"] % wide and len({r["_print"] for r in rows}) == 1:
+                files[path] = (first["logoffset"], first["length"], first["loglines"], first["_print"])
+        if files:
+            parts = ends_of_logs.measure(spark, [(p, begin, end) for p, (begin, end, _, _) in sorted(files.items())], e or None)
+            now = {r["path"]: r["fingerprint"] for r in parts.filter("begin = 0").select("path", "fingerprint").collect()}  # a row a file
+            same = [(p, begin, end, seen) for p, (begin, end, seen, known) in sorted(files.items()) if now.get(p) == known]
+            if same:
+                found[e] = Tails(same, parts)
+    return found
+
+
+def _grown_rows(spark: SparkSession, marked: DataFrame, tails: dict[str, Tails]) -> DataFrame:
+    """The rows of marked whose logs are tails, with until and rows of their files."""
+    files = spark.createDataFrame([(p, e, end, seen) for e, t in tails.items() for p, _, end, seen in t.files], "path string, encoding string, until long, before long")
+    counted = reduce(DataFrame.unionByName, [t.parts.filter("begin > 0").groupBy("path").agg(F.sum("rows").alias("_new")).withColumn("encoding", F.lit(e)) for e, t in tails.items()])
+    files = files.join(counted, ["path", "encoding"], "left").withColumn("rows", F.col("before") + F.coalesce("_new", F.lit(0)))
+    return marked.filter(ends_of_logs.grown()).join(files, ["path", "encoding"])
 
 
 def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: list[Search]) -> tuple[DataFrame, dict[str, DataFrame], dict[str, Tails], DataFrame | None]:
@@ -277,9 +284,10 @@ def _chosen(spark: SparkSession, files: DataFrame, state: DataFrame, searches: l
     columns = [*KEY, "path", "file_path", "encoding", "mtime", "current", "file_seq", "end", "rows", "fingerprint", "start", "seen"]
     idle = marked.filter("idle").select(*KEY, "path", F.lit("").alias("file_path"), "encoding", "mtime", "current", "file_seq", F.col("length").alias("end"), F.col("loglines").alias("rows"), F.col("_print").alias("fingerprint"), F.col("length").alias("start"), F.col("loglines").alias("seen"))
     busy = marked.filter("not idle").select(*KEY, "path", "mtime", "current", "encoding")
-    longer, tails = _grown(spark, marked.filter("not idle"))
-    if longer is not None:
-        busy = busy.join(longer.select(*KEY, "path"), [*KEY, "path"], "left_anti")
+    tails, longer = _grown(spark, marked.filter("not idle")), None
+    if tails:
+        longer = _grown_rows(spark, marked.filter("not idle"), tails)
+        busy = written(busy.join(longer.select(*KEY, "path"), [*KEY, "path"], "left_anti"))
         idle = idle.unionByName(longer.select(*KEY, "path", F.concat(F.lit(ends_of_logs.MARK), "path").alias("file_path"), "encoding", "mtime", "current", "file_seq", F.col("until").alias("end"), "rows", F.col("_print").alias("fingerprint"), F.col("logoffset").alias("start"), F.col("loglines").alias("seen")))
     names: dict[str, list[str]] = {}
     for r in busy.select("path", "encoding").distinct().collect():  # file names: Spark's own listing is on the driver too

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from logscan.sources.lines import COMPRESSED, decoded_line, width
-from logscan.tables import broadcast_if_small, written
+from logscan.tables import is_small, written
 
 #: What marks the file_path of lines that are read from a tail.
 MARK = "tail:"
@@ -144,26 +144,27 @@ def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int, int]], en
     return reader.option("skip", str(skip).lower()).load()
 
 
-def fingerprints(spark: SparkSession, files: list[tuple[str, int]], encoding: str | None = None) -> DataFrame:
-    """path, fingerprint of files (path, end), written: only their first lines are read. Files that cannot be read are left out."""
-    heads = read_ranges(spark, [(p, 0, width(encoding), end) for p, end in files], encoding, skip=True)
-    return written(heads.select("path", F.xxhash64("line").cast("string").alias("fingerprint")))
-
-
 def measure(spark: SparkSession, files: list[tuple[str, int, int]], encoding: str | None = None) -> DataFrame:
-    """path, begin, rows of the parts of the tails of files (path, begin, end), written. A tail without a line that begins there has none."""
-    parts = read_ranges(spark, [(p, begin, end, end) for p, begin, end in files], encoding)
-    return written(parts.groupBy("path", "begin").agg(F.count(F.lit(1)).alias("rows")))
+    """path, begin, rows and fingerprint (of the first line, where begin is 0) of the first lines and of the parts of the tails of files (path, begin, end), written.
+
+    Nothing between is read. A tail without a line that begins there has no part. Files that cannot be read are left out.
+    """
+    heads = [(p, 0, width(encoding), end) for p, _, end in files]
+    rows = read_ranges(spark, heads + [(p, begin, end, end) for p, begin, end in files], encoding, skip=True)
+    first = F.max(F.when(F.col("begin") == 0, F.xxhash64("line"))).cast("string").alias("fingerprint")
+    return written(rows.groupBy("path", "begin").agg(F.count(F.lit(1)).alias("rows"), first))
 
 
 def read_tails(spark: SparkSession, files: list[tuple[str, int, int, int]], parts: DataFrame, encoding: str | None = None) -> DataFrame:
     """file_path, line_no, start_offset, line of the tails of files (path, begin, end, lines before begin); parts as measured."""
     given = spark.createDataFrame([(p, seen) for p, _, _, seen in files], "path string, seen long")
+    small = is_small(parts, size=64 << 20)
     before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)  # over the parts of a tail
-    bases = written(parts.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).join(given, "path").select("path", "begin", (F.col("base") + F.col("seen")).alias("base")))
+    own = parts.filter("begin > 0").withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    bases = own.join(given, "path").select("path", "begin", (F.col("base") + F.col("seen")).alias("base"))
     text = read_ranges(spark, [(p, begin, end, end) for p, begin, end, _ in files], encoding)
     line = F.col("line").cast("string") if not encoding else _decoded(encoding)("line")
-    rows = text.join(broadcast_if_small(bases, size=64 << 20), ["path", "begin"])
+    rows = text.join(F.broadcast(bases) if small else bases, ["path", "begin"])
     return rows.select(F.concat(F.lit(MARK), "path").alias("file_path"), (F.col("base") + F.col("n")).alias("line_no"), "start_offset", line.alias("line"))
 
 
@@ -171,11 +172,8 @@ def _decoded(encoding: str):
     return F.pandas_udf(lambda lines: lines.map(lambda b: decoded_line(bytes(b), encoding)), "string")
 
 
-def grown(marked: DataFrame) -> Column:
-    """Whether a log (with current, virtual, alone, length, logoffset, loglines, _print, path, encoding) can be read on at its offset, if its first line is still the same."""
-    aligned = F.lit(True)
-    for r in marked.select("encoding").distinct().collect():  # encodings: configuration
-        aligned = aligned & F.when(F.col("encoding") == r["encoding"], F.col("logoffset") % width(r["encoding"] or None) == 0).otherwise(True)
+def grown() -> Column:
+    """Whether a log (with current, virtual, alone, length, logoffset, loglines, _print, path) can be read on at its offset, if its first line is still the same."""
     known = F.col("logoffset").isNotNull() & F.col("loglines").isNotNull() & F.col("_print").isNotNull()
     longer = (F.col("logoffset") > 0) & (F.col("length") > F.col("logoffset"))
-    return F.coalesce(F.col("current") & ~F.col("virtual") & F.col("alone") & known & longer & aligned & can_seek("path"), F.lit(False))
+    return F.coalesce(F.col("current") & ~F.col("virtual") & F.col("alone") & known & longer & can_seek("path"), F.lit(False))

@@ -95,7 +95,7 @@ def test_a_tail_is_read_in_parts(spark, tmp_path):
         rows = tails.read_tails(spark, [(str(path), len(head), end, 7)], parts).orderBy("line_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert parts.count() > 10
+    assert parts.filter("begin > 0").count() > 10
     assert [(r["line_no"], r["line"].encode()) for r in rows] == list(enumerate(body, 7))
     data = path.read_bytes()
     assert all(data[r["start_offset"] :].startswith(r["line"].encode()) and data[r["start_offset"] - 1 : r["start_offset"]] == b"\n" for r in rows)
@@ -105,5 +105,5 @@ def test_a_tail_is_read_in_parts(spark, tmp_path):
 def test_a_log_that_cannot_be_read_any_more(tmp_path, spark):
     path = tmp_path / "log"
     path.write_bytes(b"a\nb\n")
-    gone = str(tmp_path / "gone")
-    assert [r["path"] for r in tails.fingerprints(spark, [(str(path), 4), (gone, 4)]).collect()] == [str(path)]
+    found = tails.measure(spark, [(str(path), 2, 4), (str(tmp_path / "gone"), 2, 4)])
+    assert sorted((r["path"], r["begin"], r["rows"], r["fingerprint"] is None) for r in found.collect()) == [(str(path), 0, 1, False), (str(path), 2, 1, True)]
